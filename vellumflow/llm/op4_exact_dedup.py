@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from ..plans.scratch import materialize, scratch_path
 from ..sources.tables import table_path
 
+#: Bytes of input to a partition of the state, and the least number of partitions. Each costs a fixed 4 MB of disk.
+STATE_BYTES, STATE_LEAST = 2 << 30, 12
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -37,6 +39,12 @@ def _rows(df: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
     return df.select("doc_id", text.alias("text"), digest(text).alias("digest"), at.alias("at"))
 
 
+def _state_partitions(spark: SparkSession, path: str) -> int:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = where.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+    return max(STATE_LEAST, -(-size // STATE_BYTES))
+
+
 def ingest(spark: SparkSession, path: str, root: str, *, digest: Callable[[Column], Column] = sha256, files_per_batch: int | None = None) -> None:
     """Bring the state below ``root`` up to date with the files at ``path``; files seen before are not read again."""
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
@@ -49,13 +57,16 @@ def ingest(spark: SparkSession, path: str, root: str, *, digest: Callable[[Colum
     def log(changed: DataFrame, batch: int) -> None:
         changed.write.mode("overwrite").parquet(f"{root}/changes/batch={batch}")
 
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name)
-    spark.conf.set(name, ROCKSDB)  # a stream keeps the settings it was started with
+    # A stream keeps the settings it was started with, and a state the number of partitions it was made with.
+    settings = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.internal.stateStore.partitions": str(_state_partitions(spark, path))}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
         query = groups.writeStream.outputMode("update").foreachBatch(log).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
     finally:
-        spark.conf.set(name, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     query.awaitTermination()
 
 
