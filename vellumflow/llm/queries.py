@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import op2_mix_sources, op4_exact_dedup, op5_simhash, op7_decontaminate, op8_toxicity, op9_language_id, op10_chat_format
+from . import op2_mix_sources, op3_pack_tokens, op4_exact_dedup, op5_simhash, op6_html_extract, op7_decontaminate, op8_toxicity, op9_language_id, op10_chat_format
 
 QUERIES = {
     "op2_mix_sources": op2_mix_sources.op2_mix_sources,
+    "op3_pack_tokens": op3_pack_tokens.op3_pack_tokens,
     "op4_exact_dedup": op4_exact_dedup.op4_exact_dedup,
     "op5_simhash": op5_simhash.op5_simhash,
+    "op6_html_extract": op6_html_extract.op6_html_extract,
     "op7_decontaminate": op7_decontaminate.op7_decontaminate,
     "op8_toxicity": op8_toxicity.op8_toxicity,
     "op9_language_id": op9_language_id.op9_language_id,
