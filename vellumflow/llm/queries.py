@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import op2_mix_sources, op3_pack_tokens, op4_exact_dedup, op5_simhash, op6_html_extract, op7_decontaminate, op8_toxicity, op9_language_id, op10_chat_format
+from . import op1_line_dedup, op2_mix_sources, op3_pack_tokens, op4_exact_dedup, op5_simhash, op6_html_extract, op7_decontaminate, op8_toxicity, op9_language_id, op10_chat_format
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup.op1_line_dedup,
     "op2_mix_sources": op2_mix_sources.op2_mix_sources,
     "op3_pack_tokens": op3_pack_tokens.op3_pack_tokens,
     "op4_exact_dedup": op4_exact_dedup.op4_exact_dedup,
