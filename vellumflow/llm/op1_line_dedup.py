@@ -31,11 +31,11 @@ from pyspark.sql import functions as F
 
 from ..plans.scratch import materialize, release
 from ..sources.tables import read_table
+from .bits import FILTER_BITS, bitmap
 from .words import SPACES, blocks, hash_words, mix
 
 SIMILARITY, RARITY_BITS, SLICE_BITS = 0.8, 22, 16
 FIRST, LISTED = 2, 64
-FILTER_BITS = 25
 _K1, _K2, _K3 = (np.uint64(k) for k in (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93))
 
 
@@ -262,15 +262,6 @@ def _verify(similarity: float):
     return read
 
 
-def _bitmap(ids: DataFrame, column: str) -> np.ndarray:
-    """Bits of the high ends of 64-bit values; 2**(FILTER_BITS - 5) rows at most reach the driver."""
-    at = F.shiftrightunsigned(column, 64 - FILTER_BITS)
-    rows = ids.select(at.alias("at")).groupBy(F.shiftright("at", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 31 as int))")).alias("bits")).toArrow()
-    out = np.zeros(1 << FILTER_BITS - 5, "<u4")
-    out[rows["word"].to_numpy()] = rows["bits"].to_numpy().astype(np.uint32)
-    return out.view(np.uint8)
-
-
 def _rarity(first: DataFrame) -> np.ndarray:
     """Per counter the whole part of the logarithm of its count: 0 where all its words together occur once."""
     sums = first.where("slice is not null").select("slice", "places", "counts")
@@ -297,7 +288,7 @@ def later_matches(docs: DataFrame, *, similarity: float = SIMILARITY, listed: in
 
     found = materialize(candidates(listed, None), "lines-candidates")
     wanted = found.select(F.explode(F.array_append("near", F.col("c1"))).alias("c"))
-    sets = rows.select("text").mapInArrow(_sets(spark.sparkContext.broadcast(_bitmap(wanted, "c"))), "c1 long, words binary")
+    sets = rows.select("text").mapInArrow(_sets(spark.sparkContext.broadcast(bitmap(wanted, "c"))), "c1 long, words binary")
     sets = materialize(sets.groupBy("c1").agg(F.first("words").alias("words")), "lines-sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -311,9 +302,9 @@ def later_matches(docs: DataFrame, *, similarity: float = SIMILARITY, listed: in
     settled = settled.union(more)
     long_ = materialize(open_.where("more").select("c1").distinct().join(more, "c1", "left_anti"), "lines-long")
     if not long_.isEmpty():
-        only = spark.sparkContext.broadcast(_bitmap(long_, "c1"))
+        only = spark.sparkContext.broadcast(bitmap(long_, "c1"))
         rest = materialize(candidates(None, only).join(long_, "c1", "left_semi").select("c1", F.explode("near").alias("near")), "lines-rest")
-        every = spark.sparkContext.broadcast(_bitmap(rest.select(F.explode(F.array("c1", "near")).alias("c")), "c"))
+        every = spark.sparkContext.broadcast(bitmap(rest.select(F.explode(F.array("c1", "near")).alias("c")), "c"))
         sets = materialize(rows.select("text").mapInArrow(_sets(every), "c1 long, words binary").groupBy("c1").agg(F.first("words").alias("words")), "lines-sets")
         settled = settled.union(verified(rest))
     return heads, settled.distinct()

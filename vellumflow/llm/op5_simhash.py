@@ -17,6 +17,7 @@ Defined cases
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,9 @@ from pyspark.sql import functions as F
 
 from ..plans.scratch import materialize
 from ..sources.tables import read_table
+from .bits import FILTER_BITS, bitmap
 from .components import connected_components
+from .words import blocks, hash_words, mix
 
 BITS, RUN = 2, 1024
 #: A byte spread over eight lanes of eight bits, so that up to 255 bytes can be added up in one word.
@@ -181,12 +184,205 @@ def near_duplicates(docs: DataFrame, *, bits: int = BITS, run_limit: int = RUN)
     return marks.join(named, "mark").select("doc_id", F.lower(F.lpad(F.hex("mark"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+# --- similarity of 0.8 and more ----------------------------------------------------------------------------------------------
+#
+# Two bits of 64 stand for a similarity of about 0.98. For a lower one the fingerprint is longer and cut into more segments, so
+# that one of them still differs by at most one bit with high probability; a candidate pair is verified on its shingles.
+
+
+def segment_plan(texts: int, similarity: float, recall: float) -> tuple[int, int]:
+    """(bits of a segment, number of segments) for so many distinct texts.
+
+    Bits: runs of equal variants hold a few dozen unrelated texts at most. Segments: a pair at just ``similarity`` shares a
+    variant with probability ``recall``; more similar pairs do with a higher one.
+    """
+    size = max(20, math.ceil(math.log2(max(texts, 2))) - 4)
+    apart = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi  # expected share of differing bits
+    one = (1 - apart) ** size + size * apart * (1 - apart) ** (size - 1)
+    return size, max(1, math.ceil(math.log(1 - recall) / math.log(1 - one)))
+
+
+def _shingles(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, text number) of all shingles, in order; a text of fewer words is one shingle."""
+    hashes, which, _, _ = hash_words([t.lower() for t in texts])
+    counts = np.bincount(which, minlength=len(texts))
+    n = len(hashes) - words + 1
+    found = np.zeros(max(n, 0), np.uint64)
+    for k in range(words if n > 0 else 0):
+        found = mix(found + hashes[k : k + n] * np.uint64(2 * k + 0x9E3779B97F4A7C15))
+    inside = np.flatnonzero(which[: max(n, 0)] == which[words - 1 :]) if n > 0 else np.empty(0, np.int64)
+    begin = np.cumsum(counts) - counts
+    short = np.flatnonzero((counts > 0) & (counts < words))
+    whole = np.array([int.from_bytes(xxhash.xxh64_digest(hashes[begin[t] : begin[t] + counts[t]].tobytes())) for t in short], dtype=np.uint64)
+    h, of = np.concatenate((found[inside], whole)), np.concatenate((which[inside], short))
+    order = np.argsort(of, kind="stable")
+    return h[order], of[order]
+
+
+def _bit_majorities(h: np.ndarray, of: np.ndarray, texts: int, planes: int) -> np.ndarray:
+    """(texts, 64 * planes) bits: 1 where over half of a text's derived hashes have it."""
+    out = np.zeros((texts, 64 * planes), np.uint8)
+    if not len(h):
+        return out
+    first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+    size = np.diff(np.append(first, len(of)))
+    steps = np.concatenate([np.arange(a, a + n, 255) for a, n in zip(first.tolist(), size.tolist(), strict=True)])
+    groups = np.searchsorted(steps, first)
+    for k in range(planes):
+        lanes = LANES[mix(h ^ np.uint64(0xD1342543DE82EF95 * (k + 1) % 2**64)).view(np.uint8).reshape(-1, 8)]
+        sums = np.add.reduceat(lanes, steps, axis=0).view(np.uint8).reshape(-1, 64).astype(np.int64)
+        out[of[first], 64 * k : 64 * k + 64] = np.add.reduceat(sums, groups, axis=0) * 2 > size[:, None]
+    return out
+
+
+def _signatures(words: int, size: int, segments: int):
+    """Rows (key, node, sketch) for every variant: its number and the segment with one bit cleared."""
+    planes = -(-size * segments // 64)
+    place = np.uint64(1) << np.arange(size, dtype=np.uint64)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes = batch.column("node").to_numpy()
+            for first, texts in blocks(batch.column("text").to_pylist(), 1 << 20):
+                h, of = _shingles(texts, words)
+                bits = _bit_majorities(h, of, len(texts), planes)
+                sketch = np.packbits(bits[:, :64], axis=1, bitorder="little").view(np.uint64).reshape(-1).view(np.int64)
+                values = bits[:, : size * segments].reshape(-1, segments, size).astype(np.uint64) @ place
+                some = np.flatnonzero(np.bincount(of, minlength=len(texts)) > 0)
+                values, sketch = values[some], sketch[some]
+                number = np.arange(segments * size, dtype=np.uint64).reshape(segments, size) << np.uint64(size)
+                keys = (values[:, :, None] & ~place[None, None, :]) | number[None]
+                each = segments * size
+                columns = [pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(nodes[first + some], each)), pa.array(np.repeat(sketch, each))]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "node", "sketch"])
+
+    return read
+
+
+def _spanning(nodes: np.ndarray, sketches: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Edges of a minimum spanning forest by sketch distance, of at most ``most`` bits.
+
+    Whatever two nodes some threshold connects, it connects them along this forest.
+    """
+    near = np.full(len(nodes), 65, np.int64)
+    at, link = 0, np.zeros(len(nodes), np.int64)
+    left = np.ones(len(nodes), bool)
+    for _ in range(len(nodes) - 1):
+        left[at] = False
+        apart = np.bitwise_count(sketches ^ sketches[at]).astype(np.int64)
+        closer = left & (apart < near)
+        near[closer], link[closer] = apart[closer], at
+        at = int(np.argmin(np.where(left, near, 66)))
+        if near[at] <= most:
+            yield int(nodes[at]), int(nodes[link[at]])
+
+
+def _near_runs(most: int, limit: int):
+    """Candidate pairs (u, v) from (key, node, sketch) sorted by key."""
+
+    def settle(k: np.ndarray, n: np.ndarray, s: np.ndarray) -> Iterator[pa.RecordBatch]:
+        first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+        size = np.diff(np.append(first, len(k)))
+        us, vs = [], []
+        for step in range(1, 3):  # runs of two and three, the usual case, all at once
+            a = np.concatenate([first[size == m] + i for m in (2, 3) for i in range(m - step)] or [first[:0]])
+            a = a[np.bitwise_count(s[a] ^ s[a + step]) <= most]
+            us.append(n[a])
+            vs.append(n[a + step])
+        edges = []
+        for a, m in zip(first[size > 3].tolist(), size[size > 3].tolist(), strict=True):
+            heads = []
+            for b in range(a, a + m, limit):  # runs beyond the limit in parts, whose first nodes are linked too
+                heads.append(b)
+                edges += _spanning(n[b : min(a + m, b + limit)], s[b : min(a + m, b + limit)], most)
+            if len(heads) > 1:
+                edges += _spanning(n[heads], s[heads], most)
+        more = np.array(edges, np.int64).reshape(-1, 2)
+        u, v = np.concatenate((*us, more[:, 0])), np.concatenate((*vs, more[:, 1]))
+        if len(u):
+            pairs = np.unique(np.column_stack((np.minimum(u, v), np.maximum(u, v))), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["u", "v"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)]
+        for batch in batches:
+            new = [batch.column("key").to_numpy(), batch.column("node").to_numpy(), batch.column("sketch").to_numpy().view(np.uint64)]
+            held = [np.concatenate(x) for x in zip(held, new, strict=True)]
+            cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
+            if cut:
+                yield from settle(*(x[:cut] for x in held))
+                held = [x[cut:] for x in held]
+        if len(held[0]):
+            yield from settle(*held)
+
+    return read
+
+
+def _shingle_sets(words: int, wanted):
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = wanted.value
+        for batch in batches:
+            nodes = batch.column("node").to_numpy()
+            at = (nodes.view(np.uint64) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+            chosen = np.flatnonzero(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+            texts = batch.column("text").take(pa.array(chosen)).to_pylist()
+            for first, part in blocks(texts):
+                h, of = _shingles(part, words)
+                ends = np.searchsorted(of, np.arange(len(part) + 1))
+                sets = [np.unique(h[a:b]).tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[chosen[first : first + len(part)]]), pa.array(sets, pa.binary())], ["node", "shingles"])
+
+    return read
+
+
+def _similar(similarity: float):
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                keep.append(both >= similarity * (len(a) + len(b) - both) - 1e-9 and both > 0)
+            keep = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("u", "v")], ["u", "v"])
+
+    return read
+
+
+def similar_documents(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, recall: float = 0.9) -> DataFrame:
+    """One row per document: doc_id, node (of its text), component_id, the smallest doc_id of the texts linked to its own.
+
+    Texts are linked whose sets of ``words``-word shingles have a Jaccard similarity of at least ``similarity``; every link is
+    verified, and of pairs at just that similarity about ``recall`` are found, of more similar ones more.
+    """
+    spark = docs.sparkSession
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("node"), text.cast("binary").alias("text"))
+    nodes = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")), "similar-nodes")
+    size, segments = segment_plan(nodes.count(), similarity, recall)
+    # Of copies one is indexed, the one with the smallest identifier, or all without one.
+    firsts = rows.join(nodes.select("node", "least").where("copies > 1"), "node", "left").where("least is null or doc_id is null or doc_id = least")
+    keyed = firsts.select("node", "text").mapInArrow(_signatures(words, size, segments), "key long, node long, sketch long")
+    most = 20  # of 64 bits; at a similarity of 0.8 about 10 differ
+    pairs = keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_near_runs(most, 2048), "u long, v long")
+    pairs = materialize(pairs.where("u <> v").distinct(), "similar-pairs")
+    sent = spark.sparkContext.broadcast(bitmap(pairs.select(F.explode(F.array("u", "v")).alias("c")), "c"))
+    sets = rows.select("node", "text").mapInArrow(_shingle_sets(words, sent), "node long, shingles binary")
+    sets = materialize(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "similar-sets")
+    sides = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
+    links = sides.select("u", "v", "a", "b").mapInArrow(_similar(similarity), "u long, v long")
+    roots = connected_components(links, "similar-links")
+    linked = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = linked.join(linked.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
+    return rows.select("doc_id", "node").join(materialize(named, "similar-components"), "node").select("doc_id", "node", "component_id")
+
+
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """Documents without the near-duplicates of others; of each component the row with the smallest doc_id stays.
 
     Rows that repeat the identifier that stays count as one document: one of them stays. Rows without identifier stay.
     """
-    found = near_duplicates(docs.where("doc_id is not null"), **options).where("doc_id = component_id")
+    found = similar_documents(docs.where("doc_id is not null"), **options).where("doc_id = component_id")
     kept = materialize(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")), "simhash-kept")
     stay = docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
     if not kept.where("rows > 1").isEmpty():
