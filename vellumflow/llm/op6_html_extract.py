@@ -40,7 +40,8 @@ BLOCKS = frozenset(
 )
 CONTAINERS = frozenset("article body center div main section td blockquote".split())
 CUT_TAGS = frozenset("nav footer aside form dialog menu button select option head header figure search fieldset input label".split())
-NEVER_CUT = frozenset("html body main article".split())
+NEVER_CUT = frozenset("html body main".split())
+PAGE_TAGS = frozenset("article body center div form main section table tbody td tr".split())
 ENDS_P = BLOCKS - {"option", "caption"}
 SAME_ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("table ul ol dl div article section main body html td th li".split())
@@ -174,14 +175,16 @@ class Page:
                 owner = stack[-1]
             pieces.append(source[at:])
         flush()
-        # An element that holds most of the text is the page itself, whatever its name.
-        size = [0] * len(self.tag)
+        # An element around the page's main heading or article, with most of the text, is the page itself, whatever its name.
+        size, main = [0] * len(self.tag), [False] * len(self.tag)
         for e, text, _ in self.blocks:
             size[e] += len(text)
         for e in range(len(size) - 1, 0, -1):
-            size[self.parent[e]] += size[e]
+            up = self.parent[e]
+            size[up] += size[e]
+            main[up] = main[up] or main[e] or self.tag[e] in ("h1", "main") or self.tag[e] == "article" and not self.cut[e]
         for e in range(1, len(size)):
-            if self.cut[e] and self.tag[e] not in CUT_TAGS and size[e] > 0.8 * size[0]:
+            if self.cut[e] and main[e] and self.tag[e] in PAGE_TAGS and size[e] > 0.5 * size[0]:
                 self.cut[e] = False
             self.cut[e] = self.cut[e] or self.cut[self.parent[e]]
 

@@ -77,8 +77,8 @@ class Model:
     mean: np.ndarray | None = None
     spread: np.ndarray | None = None
 
-    def words(self, words: list[str]) -> np.ndarray:
-        """(words, languages): minus the log probability of each word's letters."""
+    def symbols(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Minus the log probability of every symbol, (symbols, languages), and where words start; their start costs nothing."""
         codes, starts = _codes(words)
         hashes = _gram_hashes(codes, starts, len(self.hashes))
         n, k = len(codes), len(self.languages)
@@ -97,7 +97,11 @@ class Model:
             back = np.concatenate((weight[:1], weight[:-1]))  # the context of a symbol ends one place before it
         cost = -np.log(p)
         cost[starts] = 0
-        return np.add.reduceat(cost, starts, axis=0)
+        return cost, starts
+
+    def words(self, words: list[str]) -> np.ndarray:
+        """(words, languages): minus the log probability of each word with its end."""
+        return np.add.reduceat(*self.symbols(words), axis=0)
 
 
 def train(rows: list[tuple[str, str, int]], order: int = ORDER) -> Model:
