@@ -44,6 +44,23 @@ def zone(segment: Column) -> Column:
     )
 
 
+def attribute_names(html: Column) -> Column:
+    """Distinct attribute names in start tags, sorted."""
+    tags = F.filter(segments(html), lambda s: s.rlike("^<[A-Za-z]"))
+    names = F.flatten(F.transform(tags, lambda t: F.regexp_extract_all(t, F.lit(r"\s([A-Za-z][A-Za-z0-9_-]*)="), F.lit(1))))
+    return F.array_sort(F.array_distinct(F.transform(names, lambda n: F.lower(n))))
+
+
+def diagnostics(html: Column) -> list[Column]:
+    """What a page holds when no record was found in it: counts by kind of element, attribute names, first rows and anchors."""
+    def count(tag: str) -> Column:
+        return F.regexp_count(html, F.lit(f"(?i)<{tag}[ >]")).cast("long").alias(f"n_{tag}")
+
+    rows = F.transform(F.slice(F.regexp_extract_all(html, F.lit(r"(?is)<tr[ >].*?</tr>"), F.lit(0)), 1, 3), lambda r: F.substring(r, 1, 600))
+    anchors = F.transform(F.slice(F.regexp_extract_all(html, F.lit(r"(?is)<a[ >].*?</a>"), F.lit(0)), 1, 10), lambda a: F.substring(a, 1, 120))
+    return [*map(count, ("a", "tr", "iframe", "form", "li")), F.array_join(attribute_names(html), " ").alias("attributes"), F.size(rows).cast("long").alias("row_samples"), F.array_join(anchors, "\n").alias("anchors")]
+
+
 _META = translate_pattern("<meta\\s+charset\\s*=\\s*[\"']?[^\"'>\\s]+[\"']?\\s*/?>".replace("[^\"'>\\s]", "[^\"'>" + S[1:-1] + "]"), ignore_case=True)
 _META_HTTP = translate_pattern("<meta\\s+http-equiv\\s*=\\s*(?:\"content-type\"|'content-type'|content-type)\\s+content\\s*=\\s*(?:\"[^\"']*\"|'[^\"']*')\\s*/?>", ignore_case=True)
 _SAYS_UTF8 = translate_pattern("charset\\s*=\\s*[\"']?utf-?8", ignore_case=True)

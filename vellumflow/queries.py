@@ -17,7 +17,9 @@ from .operators import anonymize as A
 from .operators import corpus as C
 from .operators import metadata as M
 from .sources.archive import zip_packages
-from .sources.tables import read_table
+from .sources.tables import read_table, table_path
+from .streaming.run import run_to_end
+from .streaming.tokens import drop_captured, tokenize_stream
 
 NOISY = (*L.CATEGORIES, "Siguiente", "nosotros")
 NAMES = ("Juan Pérez", "María Rodríguez", "José Núñez", "Ana Gómez", "Luis de la Rosa", "Juan José")
@@ -423,6 +425,15 @@ def url_routes(spark, d):
     return read_table(spark, d, "pages").select("page_id", F.lower(F.parse_url("url", F.lit("HOST"))).alias("host"), F.col("url").rlike(r"/en/\d+").alias("detail"), F.col("url").contains("?").alias("with_query"))
 
 
+@query(r"""WITH t AS (SELECT page_id, html, list_filter(regexp_extract_all(html, 'SEGMENT', 0), lambda s: regexp_matches(s, '^<[A-Za-z]')) AS tags FROM pages),
+names AS (SELECT page_id, array_to_string(list_sort(list_distinct(flatten(list_transform(tags, lambda s: list_transform(regexp_extract_all(s, '\s([A-Za-z][A-Za-z0-9_-]*)=', 1), lambda n: lower(n)))))), ' ') AS attributes FROM t)
+SELECT page_id, len(regexp_extract_all(html, '(?i)<a[ >]')) AS n_a, len(regexp_extract_all(html, '(?i)<tr[ >]')) AS n_tr, len(regexp_extract_all(html, '(?i)<iframe[ >]')) AS n_iframe,
+  len(regexp_extract_all(html, '(?i)<form[ >]')) AS n_form, len(regexp_extract_all(html, '(?i)<li[ >]')) AS n_li, attributes, CAST(least(3, len(regexp_extract_all(html, '(?is)<tr[ >].*?</tr>'))) AS BIGINT) AS row_samples,
+  array_to_string(list_transform(regexp_extract_all(html, '(?is)<a[ >].*?</a>')[1:10], lambda a: substring(a, 1, 120)), chr(10)) AS anchors FROM t JOIN names USING (page_id)""".replace("SEGMENT", SEGMENT))
+def dom_diagnostics(spark, d):
+    return read_table(spark, d, "pages").select("page_id", *H.diagnostics(F.col("html")))
+
+
 # --- names, header cells -----------------------------------------------------------------------------------------------------
 
 
@@ -616,3 +627,24 @@ def zip_manifest(spark, d):
     docs = read_table(spark, d, "documents")
     entries = docs.select(F.col("source").alias("package"), F.concat(F.lit("docs/d"), F.col("doc_id").cast("string"), F.lit(".html")).alias("name"), F.col("text").cast("binary").alias("data"))
     return zip_packages(entries).select("package", "entries", F.octet_length("data").alias("bytes"), F.sha2("data", 256).alias("sha256"))
+
+
+# --- streams -----------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT DISTINCT source AS run_id, sha256(text) AS sha256 FROM documents")
+def stream_sha_dedup(spark, d):
+    hashed = lambda docs: drop_captured(docs.select(F.col("source").alias("run_id"), T.sha256_hex(F.col("text")).alias("sha256")))
+    return run_to_end(spark, table_path(d, "documents"), hashed)
+
+
+@query(f"""WITH docs AS (SELECT source AS run_id, doc_id AS id, text FROM documents),
+places AS (SELECT run_id, id, unnest({_email_keys('text')}) AS key, generate_subscripts({_email_keys('text')}, 1) AS pos FROM docs),
+numbered AS (SELECT run_id, key, row_number() OVER (PARTITION BY run_id ORDER BY id, pos) AS n FROM (SELECT *, row_number() OVER (PARTITION BY run_id, key ORDER BY id, pos) AS k FROM places) WHERE k = 1),
+maps AS (SELECT run_id, map_from_entries(list((key, n))) AS m FROM numbered GROUP BY run_id),
+done AS (SELECT docs.run_id, id, {_sql_tokens('text', EMAIL, LOWER, 'maps', 'EMAIL')} AS text FROM docs LEFT JOIN maps ON docs.run_id = maps.run_id)
+SELECT run_id, id AS ordinal, sha256(text) AS sha256, row_number() OVER (PARTITION BY run_id, text ORDER BY id) > 1 AS duplicate, CASE WHEN n = 1 THEN 'doc' ELSE 'doc-' || n END AS slug
+FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY id) AS n FROM done)""")
+def stream_tokens(spark, d):
+    change = lambda docs: tokenize_stream(docs.select(F.col("source").alias("run_id"), F.col("doc_id").alias("ordinal"), "text", F.lit("doc").alias("base")))
+    return run_to_end(spark, table_path(d, "documents"), change).select("run_id", "ordinal", "sha256", "duplicate", "slug")
