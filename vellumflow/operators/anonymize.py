@@ -128,6 +128,8 @@ def anonymize(
     found = None
     if names:
         found = materialize(find_names(docs.where(F.col(text).isNotNull()), order, text, seeds=seed_names, strict=strict_labels), "names")
+        names = not found.isEmpty()
+    if names:
         per = names_by_document(present, order, text, found, names_scope)
         out = out.join(materialize(per, "names-docs"), order, "left")
 
