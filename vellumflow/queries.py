@@ -17,6 +17,7 @@ from .operators import anonymize as A
 from .operators import corpus as C
 from .operators import metadata as M
 from .sources.archive import zip_packages
+from .sources.listing import list_records
 from .sources.tables import read_table, table_path
 from .streaming.run import run_to_end
 from .streaming.tokens import drop_captured, tokenize_stream
@@ -236,6 +237,20 @@ def labelled_cell(spark, d):
     return rows.select("o_orderkey", L.labelled_cell(F.col("cells"), "Prestador", "Institución").alias("prestador"), L.labelled_cell(F.col("cells"), "Profesional", "Médico").alias("profesional"))
 
 
+@query(f"""WITH {ROWS}, base AS (SELECT o_orderkey, o_orderkey // 100 AS page, {CATEGORY} AS categoria, {DATE} AS fecha, custkey % 7 AS prov, cells FROM listing WHERE {CATEGORY} IS NOT NULL),
+c AS (SELECT o_orderkey, lower(categoria) AS low, unnest(cells) AS cell, generate_subscripts(cells, 1) AS pos FROM base),
+k AS (SELECT o_orderkey, cell, row_number() OVER (PARTITION BY o_orderkey ORDER BY length(cell) DESC, pos) AS n FROM c WHERE lower(cell) NOT IN (low, '', 'ver', 'detalle') AND NOT (regexp_matches(cell, '\\d{{2}}/\\d{{2}}/\\d{{4}}') AND length(cell) <= 10)),
+r AS (SELECT base.*, cell AS descripcion, fecha || '_' || {_sql_slug('categoria')} || '_' || {_sql_slug('cell')} AS id FROM base JOIN k USING (o_orderkey) WHERE n = 1)
+SELECT page, id, 'visualizar?' || o_orderkey AS href, categoria, fecha, 'Prov ' || prov AS prestador, CAST(NULL AS VARCHAR) AS profesional, descripcion FROM (SELECT *, row_number() OVER (PARTITION BY page, id ORDER BY o_orderkey) AS f FROM r) WHERE f = 1""")
+def listing_records(spark, d):
+    cells = F.array_join(F.transform(F.slice("cells", 1, 4), lambda c: F.concat(F.lit("<td>"), H.escape_html(c), F.lit("</td>"))), "")
+    row = F.concat(F.lit("<tr>"), cells, F.lit('<td><a data-gx-evt="5" href="visualizar?'), F.col("o_orderkey").cast("string"), F.lit('">ver</a></td></tr>'))
+    rows = listing_rows(spark, d).select(F.floor(F.col("o_orderkey") / 100).alias("page"), "o_orderkey", row.alias("row"))
+    pages = rows.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "row"))).alias("r"))  # a page has a bounded number of rows
+    html = F.concat(F.lit("<table><tbody>"), F.array_join(F.transform("r", lambda x: x["row"]), "\n"), F.lit("</tbody></table>"))
+    return list_records(pages.select("page", html.alias("html"))).select("page", "id", "href", "categoria", "fecha", "prestador", "profesional", "descripcion")
+
+
 # --- names of records and files ----------------------------------------------------------------------------------------------
 
 
@@ -508,6 +523,21 @@ def pdf_validate(spark, d):
     return read_table(spark, d, "documents").where("doc_id % 5 = 0").select("doc_id", pdf.pdf_problem(T.base64_bytes(text)).alias("problem"))
 
 
+@query()
+def pdf_redact(spark, d):
+    """Small files of one to three pages, covered; every seventh is no PDF."""
+    key = F.col("doc_id")
+    kids = F.array_join(F.transform(F.sequence(F.lit(3), (3 + key % 3).cast("int")), lambda i: F.concat(i.cast("string"), F.lit(" 0 R"))), " ")
+    page = lambda i: F.concat(i.cast("string"), F.lit(" 0 obj\n<< /Type /Page /Parent 2 0 R >>\nendobj\n"))
+    text = F.concat(
+        F.lit("%PDF-1.4\n1 0 obj\n<< /Type /Catalog /Pages 2 0 R >>\nendobj\n2 0 obj\n<< /Type /Pages /MediaBox [0 0 595 842] /Kids ["), kids, F.lit("] >>\nendobj\n"),
+        F.array_join(F.transform(F.sequence(F.lit(3), (3 + key % 3).cast("int")), page), ""), F.lit("trailer\n<< /Root 1 0 R >>\nstartxref\n0\n%%EOF\n"),
+    )
+    data = F.when(key % 7 == 0, "hola").otherwise(text).cast("binary")
+    done = read_table(spark, d, "documents").select("doc_id", pdf.redact_pdf(data).alias("r"))
+    return done.select("doc_id", "r.ok", "r.sha256", "r.reason", F.octet_length("r.data").alias("bytes"))
+
+
 # --- index, totals, logs -----------------------------------------------------------------------------------------------------
 
 

@@ -19,10 +19,11 @@ _GRID = re.compile(r"(CONTENTGRID_|RIGTH_|TABLEACCION_)")
 
 
 class _Node:
-    __slots__ = ("attributes", "parent", "pieces", "tag")
+    __slots__ = ("anchors", "attributes", "cells", "parent", "pieces", "tag")
 
     def __init__(self, tag: str, attributes: dict[str, str], parent: _Node | None):
-        self.tag, self.attributes, self.parent, self.pieces = tag, attributes, parent, []
+        self.tag, self.attributes, self.parent = tag, attributes, parent
+        self.pieces, self.cells, self.anchors = [], [], []  # of all that is below
 
     def up(self) -> Iterator[_Node]:
         node: _Node | None = self
@@ -45,6 +46,9 @@ class _Tree(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         node = _Node(tag, {k: v or "" for k, v in attrs}, self.at)
         self.nodes.append(node)
+        if tag in ("td", "span", "div", "a"):
+            for up in self.at.up():
+                (up.anchors if tag == "a" else up.cells).append(node)
         if tag in _BLOCK:
             self.handle_data(" ")
         if tag not in _VOID:
@@ -103,12 +107,11 @@ def read_rows(html: str | None, route: str) -> Iterator[tuple[int, str, str, lis
         for place, a in enumerate(anchors):
             row = _row_of(a)
             if row is not None and row.text():
-                cells = [n.text() for n in tree.nodes if n.tag in ("td", "span", "div") and any(x is row for x in list(n.up())[1:])]
-                yield place, a.attributes.get("href", ""), row.text(), cells, fallback
+                yield place, a.attributes.get("href", ""), row.text(), [n.text() for n in row.cells], fallback
 
     yield from out([n for n in tree.nodes if _opens_record(n, route)], False)
     rows = [n for n in tree.nodes if _is_row(n)]
-    firsts = [next((a for a in tree.nodes if _anchor_of_row(a, route) and any(x is r for x in a.up())), None) for r in rows]
+    firsts = [next((a for a in r.anchors if _anchor_of_row(a, route)), None) for r in rows]
     yield from out([a for a in firsts if a is not None], True)
 
 
