@@ -236,25 +236,28 @@ def _bit_majorities(h: np.ndarray, of: np.ndarray, texts: int, planes: int) -> n
 
 
 def _signatures(words: int, size: int, segments: int):
-    """Rows (key, node, sketch) for every variant: its number and the segment with one bit cleared."""
+    """Rows (key, node, sketch, sketch2) for every variant: its number and the segment with one bit cleared.
+
+    Of copies a batch indexes one, so that a large group of them sends a few rows from each task.
+    """
     planes = -(-size * segments // 64)
     place = np.uint64(1) << np.arange(size, dtype=np.uint64)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes = batch.column("node").to_numpy()
-            for first, texts in blocks(batch.column("text").to_pylist(), 1 << 20):
+            nodes, at = np.unique(batch.column("node").to_numpy(), return_index=True)
+            for first, texts in blocks(batch.column("text").take(pa.array(at)).to_pylist(), 1 << 20):
                 h, of = _shingles(texts, words)
-                bits = _bit_majorities(h, of, len(texts), planes)
-                sketch = np.packbits(bits[:, :64], axis=1, bitorder="little").view(np.uint64).reshape(-1).view(np.int64)
+                bits = _bit_majorities(h, of, len(texts), max(planes, 2))
+                sketch = np.packbits(bits[:, :128], axis=1, bitorder="little").view(np.int64)
                 values = bits[:, : size * segments].reshape(-1, segments, size).astype(np.uint64) @ place
                 some = np.flatnonzero(np.bincount(of, minlength=len(texts)) > 0)
                 values, sketch = values[some], sketch[some]
                 number = np.arange(segments * size, dtype=np.uint64).reshape(segments, size) << np.uint64(size)
                 keys = (values[:, :, None] & ~place[None, None, :]) | number[None]
                 each = segments * size
-                columns = [pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(nodes[first + some], each)), pa.array(np.repeat(sketch, each))]
-                yield pa.RecordBatch.from_arrays(columns, ["key", "node", "sketch"])
+                columns = [pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(nodes[first + some], each)), *(pa.array(np.repeat(sketch[:, k], each)) for k in (0, 1))]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "node", "sketch", "sketch2"])
 
     return read
 
@@ -264,29 +267,31 @@ def _spanning(nodes: np.ndarray, sketches: np.ndarray, most: int) -> Iterator[tu
 
     Whatever two nodes some threshold connects, it connects them along this forest.
     """
-    near = np.full(len(nodes), 65, np.int64)
+    near = np.full(len(nodes), 129, np.int64)
     at, link = 0, np.zeros(len(nodes), np.int64)
     left = np.ones(len(nodes), bool)
     for _ in range(len(nodes) - 1):
         left[at] = False
-        apart = np.bitwise_count(sketches ^ sketches[at]).astype(np.int64)
+        apart = np.bitwise_count(sketches ^ sketches[at]).sum(1, dtype=np.int64)
         closer = left & (apart < near)
         near[closer], link[closer] = apart[closer], at
-        at = int(np.argmin(np.where(left, near, 66)))
+        at = int(np.argmin(np.where(left, near, 130)))
         if near[at] <= most:
             yield int(nodes[at]), int(nodes[link[at]])
 
 
 def _near_runs(most: int, limit: int):
-    """Candidate pairs (u, v) from (key, node, sketch) sorted by key."""
+    """Candidate pairs (u, v) from (key, node, sketch, sketch2) sorted by key and node."""
 
     def settle(k: np.ndarray, n: np.ndarray, s: np.ndarray) -> Iterator[pa.RecordBatch]:
+        fresh = np.concatenate(([True], (k[1:] != k[:-1]) | (n[1:] != n[:-1])))
+        k, n, s = k[fresh], n[fresh], s[fresh]
         first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
         size = np.diff(np.append(first, len(k)))
         us, vs = [], []
         for step in range(1, 3):  # runs of two and three, the usual case, all at once
             a = np.concatenate([first[size == m] + i for m in (2, 3) for i in range(m - step)] or [first[:0]])
-            a = a[np.bitwise_count(s[a] ^ s[a + step]) <= most]
+            a = a[np.bitwise_count(s[a] ^ s[a + step]).sum(1) <= most]
             us.append(n[a])
             vs.append(n[a + step])
         edges = []
@@ -304,9 +309,10 @@ def _near_runs(most: int, limit: int):
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["u", "v"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)]
+        held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, 2), np.uint64)]
         for batch in batches:
-            new = [batch.column("key").to_numpy(), batch.column("node").to_numpy(), batch.column("sketch").to_numpy().view(np.uint64)]
+            sketches = np.column_stack([batch.column(c).to_numpy() for c in ("sketch", "sketch2")]).view(np.uint64)
+            new = [batch.column("key").to_numpy(), batch.column("node").to_numpy(), sketches]
             held = [np.concatenate(x) for x in zip(held, new, strict=True)]
             cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
             if cut:
@@ -358,12 +364,11 @@ def similar_documents(docs: DataFrame, *, words: int = 5, similarity: float = 0.
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("node"), text.cast("binary").alias("text"))
-    nodes = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")), "similar-nodes")
+    nodes = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("least")), "similar-nodes")
     size, segments = segment_plan(nodes.count(), similarity, recall)
-    # Of copies one is indexed, the one with the smallest identifier, or all without one.
-    firsts = rows.join(nodes.select("node", "least").where("copies > 1"), "node", "left").where("least is null or doc_id is null or doc_id = least")
-    keyed = firsts.select("node", "text").mapInArrow(_signatures(words, size, segments), "key long, node long, sketch long")
-    most = 20  # of 64 bits; at a similarity of 0.8 about 10 differ
+    keyed = rows.select("node", "text").mapInArrow(_signatures(words, size, segments), "key long, node long, sketch long, sketch2 long")
+    apart = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    most = math.ceil(128 * apart + 3 * math.sqrt(128 * apart * (1 - apart)))  # of 128 bits: expected, and three deviations
     pairs = keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_near_runs(most, 2048), "u long, v long")
     pairs = materialize(pairs.where("u <> v").distinct(), "similar-pairs")
     sent = spark.sparkContext.broadcast(bitmap(pairs.select(F.explode(F.array("u", "v")).alias("c")), "c"))
