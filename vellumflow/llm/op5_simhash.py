@@ -335,7 +335,8 @@ def _shingle_sets(words: int, wanted):
             for first, part in blocks(texts):
                 h, of = _shingles(part, words)
                 ends = np.searchsorted(of, np.arange(len(part) + 1))
-                sets = [np.unique(h[a:b]).tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+                # The upper halves of the hashes: of two texts of n shingles about n * n / 2**32 are equal by chance.
+                sets = [np.unique((h[a:b] >> np.uint64(32)).astype(np.uint32)).tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(nodes[chosen[first : first + len(part)]]), pa.array(sets, pa.binary())], ["node", "shingles"])
 
     return read
@@ -346,7 +347,7 @@ def _similar(similarity: float):
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
-                a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                a, b = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
                 both = len(np.intersect1d(a, b, assume_unique=True))
                 keep.append(both >= similarity * (len(a) + len(b) - both) - 1e-9 and both > 0)
             keep = pa.array(keep, pa.bool_())
@@ -368,7 +369,7 @@ def similar_documents(docs: DataFrame, *, words: int = 5, similarity: float = 0.
     size, segments = segment_plan(nodes.count(), similarity, recall)
     keyed = rows.select("node", "text").mapInArrow(_signatures(words, size, segments), "key long, node long, sketch long, sketch2 long")
     apart = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    most = math.ceil(128 * apart + 3 * math.sqrt(128 * apart * (1 - apart)))  # of 128 bits: expected, and three deviations
+    most = math.ceil(128 * apart + 2.5 * math.sqrt(128 * apart * (1 - apart)))  # of 128 bits: expected, and 2.5 deviations
     pairs = keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_near_runs(most, 2048), "u long, v long")
     pairs = materialize(pairs.where("u <> v").distinct(), "similar-pairs")
     sent = spark.sparkContext.broadcast(bitmap(pairs.select(F.explode(F.array("u", "v")).alias("c")), "c"))
