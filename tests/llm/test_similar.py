@@ -55,8 +55,8 @@ def test_line_dedup(spark):
         rows.append((d, "\n".join([*text, "", " \t"])))
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("line", F.lit(1)).withColumn("c1", F.lit(2))
     want = brute_removed(rows)
-    for listed in (64, 3):
-        got = lines.dedup_lines(df, listed=listed).collect()
+    for steps in ((2, 64, 512), (1, 3)):
+        got = lines.dedup_lines(df, steps=steps).collect()
         assert {r.doc_id: list(r.removed) for r in got if r.removed} == {d: x for d, x in want.items() if x}
         for r in got:
             kept = [x for i, x in enumerate(dict(rows)[r.doc_id].split("\n")) if i not in want[r.doc_id]]

@@ -4,14 +4,15 @@ A line is a set of words. Words are ordered by rarity over all documents; two li
 ``SIMILARITY`` share a word among the rarest few of each (prefix filter). Lines that share such a word are compared by their
 sizes (length filter), by where in the order the word stands (positional filter) and by a parity signature that bounds their
 difference; what is left is verified on the full sets. A line is removed if any earlier line is equal or similar to it,
-whether that one stays or not. Earlier: smaller doc_id, then text hash, then line number.
+whether that one stays or not. Earlier: smaller doc_id, then line number; ties go by hash.
 
 Lines that are equal as bags of words form a class, found by a 128-bit sum over their words, and only the first line of a class
 is compared. To know that a class has an earlier match one verified match is enough, so of the earlier lines that pass all
-filters the nearest ``FIRST`` are verified first; a class that these do not settle has its list verified up to ``LISTED``, and
-one with a longer list gets all of it. Large groups of similar lines are settled in the first step and nothing is dropped.
+filters the nearest two are verified first; classes that these do not settle have more of their list verified, in ``STEPS``,
+and where the last step does not settle one with a longer list, all of it is listed and verified. Large groups of similar
+lines are settled in the first step and nothing is dropped.
 
-Rarity is counted over all words in 2**RARITY_BITS counters (4 MB as sent to tasks, whatever the input); words that share a
+Rarity is counted over all words in 2**RARITY_BITS counters (32 MB as sent to tasks, whatever the input); words that share a
 counter count as more common than they are, which changes the order only, the same way everywhere, never the result.
 
 Defined cases
@@ -34,8 +35,12 @@ from ..sources.tables import read_table
 from .bits import FILTER_BITS, bitmap
 from .words import SPACES, blocks, hash_words, mix
 
-SIMILARITY, RARITY_BITS, SLICE_BITS = 0.8, 22, 16
-FIRST, LISTED = 2, 64
+SIMILARITY, RARITY_BITS, SLICE_BITS = 0.8, 25, 16
+LONG_RUN = 512
+#: How many of the nearest earlier lines are verified in each step; a step is for lines that the ones before it did not settle.
+STEPS = (2, 64, 512)
+#: Words whose counters are added up at a time.
+COUNTED = 2_000_000
 _K1, _K2, _K3 = (np.uint64(k) for k in (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93))
 
 
@@ -58,7 +63,7 @@ class Lines:
 
 def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of kind 1: the first line of each class in a block; rows of kind 0: sums of the rarity counters by slice."""
-    counts = np.zeros(1 << RARITY_BITS, np.int64)
+    places, counts, waiting = np.empty(0, np.uint64), np.empty(0, np.int64), []
     names = ["c1", "c2", "doc_id", "sum", "line", "slice", "places", "counts"]
     kinds = [*[pa.int64()] * 4, pa.int32(), pa.int32(), pa.binary(), pa.binary()]
 
@@ -69,16 +74,28 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, sums = batch.column("doc_id"), batch.column("sum").to_numpy()
         for first, texts in blocks(batch.column("text").to_pylist()):
             lines = Lines(texts)
-            counts += np.bincount((lines.hashes >> np.uint64(64 - RARITY_BITS)).astype(np.int64), minlength=1 << RARITY_BITS)
+            waiting.append(lines.hashes >> np.uint64(64 - RARITY_BITS))
+            if sum(map(len, waiting)) > COUNTED:
+                places, counts = _add_counts(places, counts, waiting)
+                waiting = []
             c1, c2 = (c.view(np.int64) for c in lines.classes)
             rows = pa.array(lines.text + first)
             yield out({"c1": c1, "c2": c2, "doc_id": ids.take(rows), "sum": sums[lines.text + first], "line": lines.number.astype(np.int32)}, len(c1))
-    size = 1 << SLICE_BITS
-    for n in range(1 << RARITY_BITS - SLICE_BITS):
-        part = counts[n * size : (n + 1) * size]
-        at = np.flatnonzero(part)
-        if len(at):
-            yield out({"slice": [n], "places": [at.astype("<u2").tobytes()], "counts": [part[at].astype("<u8").tobytes()]}, 1)
+    places, counts = _add_counts(places, counts, waiting)
+    slices = (places >> np.uint64(SLICE_BITS)).astype(np.int64)
+    edges = np.flatnonzero(np.diff(slices, prepend=-1))
+    for a, b in zip(edges, np.append(edges[1:], len(slices)), strict=True):
+        inside = (places[a:b] & np.uint64((1 << SLICE_BITS) - 1)).astype("<u2")
+        yield out({"slice": [int(slices[a])], "places": [inside.tobytes()], "counts": [counts[a:b].astype("<u8").tobytes()]}, 1)
+
+
+def _add_counts(places: np.ndarray, counts: np.ndarray, more: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted places and their counts, with one more for each of ``more``."""
+    if not more:
+        return places, counts
+    new, n = np.unique(np.concatenate(more), return_counts=True)
+    places, where = np.unique(np.concatenate((places, new)), return_inverse=True)
+    return places, np.bincount(where, np.concatenate((counts, n)), len(places)).astype(np.int64)
 
 
 def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,7 +123,7 @@ def _needed(similarity: float, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _prefixes(rarity, similarity: float):
-    """Rows (token, size, place, c1, parity, doc_id, line) of the prefixes of lines; words that stand nowhere else are left out."""
+    """Rows (token, size, place, c1, parity, parity2, doc_id, line) of the prefixes of lines; words that stand nowhere else are left out."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = rarity.value
@@ -133,8 +150,10 @@ def _prefixes(rarity, similarity: float):
                 first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
                 size = np.diff(np.append(first, len(h)))
                 place = np.arange(len(h)) - np.repeat(first, size)
-                bits = np.uint64(1) << (mix(h ^ _K3) & np.uint64(63))
-                parity = np.bitwise_xor.reduceat(bits, first)
+                spread = mix(h ^ _K3)
+                bits, upper = np.uint64(1) << (spread & np.uint64(63)), spread >> np.uint64(63)
+                # Each word turns one of 128 bits, in one of two parts.
+                parity, parity2 = (np.bitwise_xor.reduceat(np.where(upper == part, bits, np.uint64(0)), first) for part in (0, 1))
                 n = np.repeat(size, size)
                 # Sets of three words or fewer have no similar set but themselves, of 0.8 that is.
                 some = (place <= n - np.ceil(similarity * n - 1e-9)) & (code > 0)
@@ -144,86 +163,97 @@ def _prefixes(rarity, similarity: float):
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(h[at].view(np.int64)), pa.array(n[at].astype(np.int32)), pa.array(place[at].astype(np.int32)),
-                        pa.array(lines.classes[0].view(np.int64)[line]), pa.array(parity[rank].view(np.int64)),
+                        pa.array(lines.classes[0].view(np.int64)[line]), pa.array(parity[rank].view(np.int64)), pa.array(parity2[rank].view(np.int64)),
                         ids.take(pa.array(lines.text[line] + start)), pa.array(lines.number[line].astype(np.int32)),
                     ],
-                    ["token", "size", "place", "c1", "parity", "doc_id", "line"],
+                    ["token", "size", "place", "c1", "parity", "parity2", "doc_id", "line"],
                 )
 
     return read
 
 
 def _candidates(similarity: float, listed: int | None, only):
-    """Reads prefix rows sorted by token; gives (c1, near: earlier classes that pass all filters, nearest first, more)."""
-
-    def settle(run: dict[str, np.ndarray]) -> pa.RecordBatch | None:
-        # One row per class: its first line. Then by size, so that sizes to compare lie together.
-        order = np.lexsort((run["line"], run["doc_id"], run["null"], run["c1"]))
-        run = {k: v[order] for k, v in run.items()}
-        keep = np.concatenate(([True], run["c1"][1:] != run["c1"][:-1]))
-        run = {k: v[keep] for k, v in run.items()}
-        m = len(run["c1"])
-        if m < 2:
-            return None
-        order = np.lexsort((run["line"], run["doc_id"], run["null"]))
-        run = {k: v[order] for k, v in run.items()}
-        chosen = np.flatnonzero((only.value[(run["c1"].view(np.uint64) >> np.uint64(64 - FILTER_BITS)).astype(np.int64) >> 3] >> (run["c1"].view(np.uint64) >> np.uint64(64 - FILTER_BITS)).astype(np.uint8) % 8) & 1) if only is not None else np.arange(m)
-        keys, lists, more = [], [], []
-        size, place, parity = run["size"].astype(np.int64), run["place"].astype(np.int64), run["parity"].view(np.uint64)
-        for y in chosen.tolist():
-            if not y:
-                continue
-            need = np.ceil(similarity / (1 + similarity) * (size[:y] + size[y]) - 1e-9)
-            room = 1 + np.minimum(size[:y] - place[:y], size[y] - place[y]) - 1
-            apart = np.bitwise_count(parity[:y] ^ parity[y])
-            fine = np.flatnonzero((np.minimum(size[:y], size[y]) >= need) & (room >= need) & (apart <= size[:y] + size[y] - 2 * need))
-            if len(fine):
-                fine = fine[np.argsort(apart[fine], kind="stable")]
-                keys.append(run["c1"][y])
-                more.append(listed is not None and len(fine) > listed)
-                lists.append(run["c1"][fine[:listed]].tolist())
-        if not keys:
-            return None
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(lists, pa.list_(pa.int64())), pa.array(more)], ["c1", "near", "more"])
+    """Reads prefix rows by token, then by first line; gives (c1, near: earlier classes that pass all filters, nearest first, more).
+
+    Rows of a token are a run. All runs at hand are compared together, each row with the ones 1, 2, ... before it; a run longer
+    than ``LONG_RUN`` is compared on its own, a row with all before it.
+    """
+    slack = (1 - similarity) / (1 + similarity)  # sets of sizes a and b may differ in this share of a + b
+
+    def pass_filters(r: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which pairs of rows pass, and how far their signatures are apart."""
+        both = r["size"][x] + r["size"][y]
+        apart = np.bitwise_count(r["parity"][x] ^ r["parity"][y]).astype(np.int64) + np.bitwise_count(r["parity2"][x] ^ r["parity2"][y])
+        fine = np.flatnonzero(apart <= both * slack + 1e-9)
+        x, y, apart = x[fine], y[fine], apart[fine]
+        need = _needed(similarity, r["size"][x], r["size"][y])
+        room = np.minimum(r["size"][x] - r["place"][x], r["size"][y] - r["place"][y])
+        good = (np.minimum(r["size"][x], r["size"][y]) >= need) & (room >= need)
+        return fine[good], apart[good]
+
+    def settle(r: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        n = len(r["token"])
+        run = np.cumsum(np.concatenate(([True], r["token"][1:] != r["token"][:-1]))) - 1
+        order = np.lexsort((np.arange(n), r["c1"], run))
+        first = np.concatenate(([True], (run[order][1:] != run[order][:-1]) | (r["c1"][order][1:] != r["c1"][order][:-1])))
+        keep = np.sort(order[first])  # of a class the first line, as rows come in that order
+        r, run = {k: v[keep] for k, v in r.items()}, run[keep]
+        r["size"], r["place"] = r["size"].astype(np.int64), r["place"].astype(np.int64)
+        starts = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
+        sizes = np.diff(np.append(starts, len(run)))
+        wanted = np.ones(len(run), bool)
+        if only is not None:
+            at = (r["c1"].view(np.uint64) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+            wanted = (only.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+        long_ = np.repeat(sizes > LONG_RUN, sizes)
+        place = np.arange(len(run)) - np.repeat(starts, sizes)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        active, step = np.flatnonzero(wanted & ~long_ & (place > 0)), 0
+        while len(active):
+            step += 1
+            active = active[place[active] >= step]
+            fine, apart = pass_filters(r, active - step, active)
+            found.append((active[fine], active[fine] - step, apart))
+        for y in np.flatnonzero(wanted & long_ & (place > 0)).tolist():
+            x = np.arange(y - place[y], y)
+            fine, apart = pass_filters(r, x, np.full(len(x), y))
+            if listed is not None and len(fine) > listed + 1:
+                nearest = np.argsort(apart, kind="stable")[: listed + 1]
+                fine, apart = fine[nearest], apart[nearest]
+            found.append((np.full(len(fine), y), x[fine], apart))
+        if not found:
+            return
+        y, x, apart = (np.concatenate(c) for c in zip(*found, strict=True))
+        order = np.lexsort((x, apart, y))
+        y, x = y[order], x[order]
+        heads = np.flatnonzero(np.concatenate(([True], y[1:] != y[:-1]))) if len(y) else y
+        counts = np.diff(np.append(heads, len(y)))
+        if listed is not None:
+            x = x[np.arange(len(y)) - np.repeat(heads, counts) < listed]
+        lengths = counts if listed is None else np.minimum(counts, listed)
+        near = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32()), pa.array(r["c1"][x], pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(r["c1"][y[heads]], pa.int64()), near, pa.array(counts > lengths)], ["c1", "near", "more"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] | None = None
+        held: list[dict[str, np.ndarray]] = []
+        rows = 0
+
+        def joined() -> dict[str, np.ndarray]:
+            return {k: np.concatenate([h[k] for h in held]) for k in held[0]}
+
         for batch in batches:
-            got = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("token", "size", "place", "c1", "parity", "line")}
-            ids = batch.column("doc_id")
-            got |= {"doc_id": ids.fill_null(0).to_numpy(zero_copy_only=False), "null": ids.is_valid().to_numpy(zero_copy_only=False)}
-            held = got if held is None else {k: np.concatenate((held[k], v)) for k, v in got.items()}
-            token = held["token"]
-            edges = np.append(np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1]))), len(token))
-            last = edges[-2] if len(token) else 0
-            yield from _settle_all({k: v[:last] for k, v in held.items()}, edges[:-1])
-            held = {k: v[last:] for k, v in held.items()}
-        if held is not None and len(held["token"]):
-            yield from _settle_all(held, np.array([0, len(held["token"])]))
-
-    def _settle_all(rows: dict[str, np.ndarray], edges: np.ndarray) -> Iterator[pa.RecordBatch]:
-        sizes = np.diff(edges)
-        # Two rows are by far the most frequent case, and done together.
-        a = edges[:-1][sizes == 2]
-        if len(a) and only is None:
-            yield from _pairs(rows, a)
-        for begin, n in zip(edges[:-1][sizes > (2 if only is None else 1)].tolist(), sizes[sizes > (2 if only is None else 1)].tolist(), strict=True):
-            if (found := settle({k: v[begin : begin + n] for k, v in rows.items()})) is not None:
-                yield found
-
-    def _pairs(rows: dict[str, np.ndarray], a: np.ndarray) -> Iterator[pa.RecordBatch]:
-        b = a + 1
-        size, place, parity = rows["size"].astype(np.int64), rows["place"].astype(np.int64), rows["parity"].view(np.uint64)
-        need = _needed(similarity, size[a], size[b])
-        fine = (np.minimum(size[a], size[b]) >= need) & (np.minimum(size[a] - place[a], size[b] - place[b]) >= need)
-        fine &= (np.bitwise_count(parity[a] ^ parity[b]) <= size[a] + size[b] - 2 * need) & (rows["c1"][a] != rows["c1"][b])
-        a, b = a[fine], b[fine]
-        key = lambda i: (rows["null"][i], rows["doc_id"][i], rows["line"][i])
-        (n1, d1, l1), (n2, d2, l2) = key(a), key(b)
-        swap = (n1 > n2) | (n1 == n2) & ((d1 > d2) | (d1 == d2) & (l1 > l2))
-        early, late = np.where(swap, b, a), np.where(swap, a, b)
-        near = pa.ListArray.from_arrays(pa.array(np.arange(len(a) + 1), pa.int32()), pa.array(rows["c1"][early]))
-        yield pa.RecordBatch.from_arrays([pa.array(rows["c1"][late]), near, pa.array(np.zeros(len(a), bool))], ["c1", "near", "more"])
+            got = {c: batch.column(c).to_numpy() for c in ("token", "size", "place", "c1")} | {c: batch.column(c).to_numpy().view(np.uint64) for c in ("parity", "parity2")}
+            if len(got["token"]):
+                held.append(got)
+                rows += len(got["token"])
+            if rows >= 100_000 and held[-1]["token"][-1] != held[0]["token"][0]:
+                whole = joined()
+                cut = int(np.searchsorted(whole["token"], whole["token"][-1]))  # the last run may go on
+                yield from settle({k: v[:cut] for k, v in whole.items()})
+                held = [{k: v[cut:] for k, v in whole.items()}]
+                rows = len(held[0]["token"])
+        if rows:
+            yield from settle(joined())
 
     return read
 
@@ -274,19 +304,19 @@ def _rarity(first: DataFrame) -> np.ndarray:
     return codes.reshape(-1)
 
 
-def later_matches(docs: DataFrame, *, similarity: float = SIMILARITY, listed: int = LISTED) -> tuple[DataFrame, DataFrame]:
+def later_matches(docs: DataFrame, *, similarity: float = SIMILARITY, steps: tuple[int, ...] = STEPS) -> tuple[DataFrame, DataFrame]:
     """(first lines of classes: c1, c2, doc_id, sum, line; c1 of the classes with an earlier similar line)."""
     spark = docs.sparkSession
     rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("sum"), F.col("text").cast("binary").alias("text"))
     first = materialize(rows.mapInArrow(_first_pass, "c1 long, c2 long, doc_id long, sum long, line int, slice int, places binary, counts binary"), "lines-first")
-    heads = first.where("slice is null").groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "sum", "line")).alias("at")).select("c1", "c2", "at.*")
+    heads = first.where("slice is null").groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "line", "sum")).alias("at")).select("c1", "c2", "at.*")
     rarity = spark.sparkContext.broadcast(_rarity(first))
 
     def candidates(listed: int | None, only) -> DataFrame:
-        prefixes = rows.select("doc_id", "text").mapInArrow(_prefixes(rarity, similarity), "token long, size int, place int, c1 long, parity long, doc_id long, line int")
-        return prefixes.repartition("token").sortWithinPartitions("token").mapInArrow(_candidates(similarity, listed, only), "c1 long, near array<long>, more boolean")
+        prefixes = rows.select("doc_id", "text").mapInArrow(_prefixes(rarity, similarity), "token long, size int, place int, c1 long, parity long, parity2 long, doc_id long, line int")
+        return prefixes.repartition("token").sortWithinPartitions("token", "doc_id", "line", "c1").mapInArrow(_candidates(similarity, listed, only), "c1 long, near array<long>, more boolean")
 
-    found = materialize(candidates(listed, None), "lines-candidates")
+    found = materialize(candidates(steps[-1], None), "lines-candidates")
     wanted = found.select(F.explode(F.array_append("near", F.col("c1"))).alias("c"))
     sets = rows.select("text").mapInArrow(_sets(spark.sparkContext.broadcast(bitmap(wanted, "c"))), "c1 long, words binary")
     sets = materialize(sets.groupBy("c1").agg(F.first("words").alias("words")), "lines-sets")
@@ -296,11 +326,12 @@ def later_matches(docs: DataFrame, *, similarity: float = SIMILARITY, listed: in
         other = sets.select(F.col("c1").alias("near"), F.col("words").alias("other"))
         return pairs.distinct().join(sets, "c1").join(other, "near").select("c1", "words", "other").mapInArrow(_verify(similarity), "c1 long").distinct()
 
-    settled = materialize(verified(found.select("c1", F.explode(F.slice("near", 1, FIRST)).alias("near"))), "lines-settled")
-    open_ = found.where(F.size("near") > FIRST).join(settled, "c1", "left_anti")
-    more = materialize(verified(open_.select("c1", F.explode(F.slice("near", FIRST + 1, listed)).alias("near"))), "lines-more")
-    settled = settled.union(more)
-    long_ = materialize(open_.where("more").select("c1").distinct().join(more, "c1", "left_anti"), "lines-long")
+    settled = spark.createDataFrame([], "c1 long")
+    for low, high in zip((0, *steps), steps, strict=False):
+        left = found.where(F.size("near") > low).join(settled, "c1", "left_anti")
+        new = verified(left.select("c1", F.explode(F.slice("near", low + 1, high - low)).alias("near")))
+        settled = materialize(settled.union(new), "lines-settled")
+    long_ = materialize(found.where("more").select("c1").distinct().join(settled, "c1", "left_anti"), "lines-long")
     if not long_.isEmpty():
         only = spark.sparkContext.broadcast(bitmap(long_, "c1"))
         rest = materialize(candidates(None, only).join(long_, "c1", "left_semi").select("c1", F.explode("near").alias("near")), "lines-rest")
