@@ -258,6 +258,13 @@ def _candidates(similarity: float, listed: int | None, only):
     return read
 
 
+def _ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Classes of candidate lists, each once per batch."""
+    for batch in batches:
+        c = np.unique(np.concatenate((batch.column("c1").to_numpy(), batch.column("near").flatten().to_numpy())))
+        yield pa.RecordBatch.from_arrays([pa.array(c)], ["c"])
+
+
 def _sets(wanted):
     """(c1, words): the sorted distinct word hashes of lines whose class may be wanted."""
 
@@ -317,9 +324,10 @@ def later_matches(docs: DataFrame, *, similarity: float = SIMILARITY, steps: tup
         return prefixes.repartition("token").sortWithinPartitions("token", "doc_id", "line", "c1").mapInArrow(_candidates(similarity, listed, only), "c1 long, near array<long>, more boolean")
 
     found = materialize(candidates(steps[-1], None), "lines-candidates")
-    wanted = found.select(F.explode(F.array_append("near", F.col("c1"))).alias("c"))
+    wanted = found.select("c1", "near").mapInArrow(_ids, "c long")
     sets = rows.select("text").mapInArrow(_sets(spark.sparkContext.broadcast(bitmap(wanted, "c"))), "c1 long, words binary")
     sets = materialize(sets.groupBy("c1").agg(F.first("words").alias("words")), "lines-sets")
+    all_sets = [sets]
 
     def verified(pairs: DataFrame) -> DataFrame:
         """c1 of the pairs (c1, other class) that are similar."""
@@ -337,14 +345,18 @@ def later_matches(docs: DataFrame, *, similarity: float = SIMILARITY, steps: tup
         rest = materialize(candidates(None, only).join(long_, "c1", "left_semi").select("c1", F.explode("near").alias("near")), "lines-rest")
         every = spark.sparkContext.broadcast(bitmap(rest.select(F.explode(F.array("c1", "near")).alias("c")), "c"))
         sets = materialize(rows.select("text").mapInArrow(_sets(every), "c1 long, words binary").groupBy("c1").agg(F.first("words").alias("words")), "lines-sets")
+        all_sets.append(sets)
         settled = settled.union(verified(rest))
-    return heads, settled.distinct()
+    settled = materialize(settled.distinct(), "lines-removed")
+    for df in (found, *all_sets):  # before texts are shuffled
+        release(df)
+    return heads, settled
 
 
 def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with the lines that stay as ``text``, and n_lines, kept_lines, removed (line numbers from 0)."""
     heads, settled = later_matches(docs.select("doc_id", "text"), **options)
-    stay = heads.join(materialize(settled, "lines-removed"), "c1", "left_anti")
+    stay = heads.join(settled, "c1", "left_anti")
     stay = stay.groupBy("doc_id", "sum").agg(F.collect_list("line").alias("_stay")).withColumnsRenamed({"doc_id": "_id", "sum": "_sum"})
     keyed = docs.withColumn("_key", F.xxhash64("text"))
     joined = keyed.join(stay, keyed["doc_id"].cast("long").eqNullSafe(stay["_id"]) & (keyed["_key"] == stay["_sum"]), "left")
