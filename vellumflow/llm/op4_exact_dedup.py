@@ -25,6 +25,8 @@ from ..sources.tables import table_path
 
 #: Bytes of input to a partition of the state, and the least number of partitions. Each costs a fixed 4 MB of disk.
 STATE_BYTES, STATE_LEAST = 2 << 30, 12
+#: Digests with more than this part of all rows, so at most 10,000 of them, are sent to all tasks and their rows stay where they are.
+HEAVY = 10_000
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -78,6 +80,17 @@ def groups_of(spark: SparkSession, root: str) -> DataFrame:
     return last.select("digest", "g.keep", "g.group_size")
 
 
+def _with_groups(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """Add keep and group_size by digest. Rows of heavy digests find them in a bounded table and are dealt by their own place."""
+    total = groups.agg(F.sum("group_size")).first()[0] or 0
+    heavy = groups.where(F.col("group_size") * HEAVY > total).select("digest", F.col("keep").alias("_keep"), F.col("group_size").alias("_size"))
+    light = groups.where(F.col("group_size") * HEAVY <= total).withColumnRenamed("digest", "_digest")
+    both = rows.join(F.broadcast(heavy), "digest", "left")
+    key = F.when(F.col("_size").isNull(), F.col("digest")).otherwise(F.concat_ws(" ", "at.file", "at.row"))
+    both = both.withColumn("_key", key).join(light, F.col("_key") == F.col("_digest"), "left")
+    return both.select(*rows.columns, F.coalesce("_keep", "keep").alias("keep"), F.coalesce("_size", "group_size").alias("group_size"))
+
+
 def exact_dedup(spark: SparkSession, path: str, *, root: str | None = None, digest: Callable[[Column], Column] = sha256, files_per_batch: int | None = None) -> DataFrame:
     """One row per row at ``path``: doc_id, keep_id, group_size, kept, text_sha256. ``root`` keeps the state between calls."""
     root = root or scratch_path(spark, "exact")
@@ -92,11 +105,11 @@ def exact_dedup(spark: SparkSession, path: str, *, root: str | None = None, dige
 
     narrow = rows.select("doc_id", "digest", "at", sha256(F.col("text")).alias("text_sha256"))
     if clashing.isEmpty():
-        found = narrow.join(groups, "digest")
+        found = _with_groups(narrow, groups)
     else:
         apart = rows.join(clashing, "digest").join(texts, ["digest", "text"])
         apart = apart.select("doc_id", "digest", "at", sha256(F.col("text")).alias("text_sha256"), "keep", "group_size")
-        found = narrow.join(clashing, "digest", "left_anti").join(groups, "digest").unionByName(apart)
+        found = _with_groups(narrow.join(clashing, "digest", "left_anti"), groups).unionByName(apart)
     return found.select("doc_id", F.col("keep.id").alias("keep_id"), "group_size", (F.col("at") == F.col("keep")).alias("kept"), "text_sha256")
 
 
