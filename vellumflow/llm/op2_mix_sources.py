@@ -8,7 +8,7 @@ Targets: a source weighs by its rank in code point order (null last), the weight
 weight and stop at ``max_epochs`` times the source's size; what is over is shared again by weight until none is above.
 
 Running sums never need one task for one source: rows are first summed by (source, slice of the hash), the number of slices
-grows with the number of rows, and only these sums are added up along a source. The cut is found the same way along ranges.
+grows with the root of the number of rows, and only these sums are added up along a source. The cut is found the same way along ranges.
 
 Defined cases
 - null text has no words; such documents are queued and take nothing. Null source: a source of its own, last in order.
@@ -18,6 +18,8 @@ Defined cases
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,7 +27,6 @@ from ..plans.scratch import materialize, release
 from ..sources.tables import read_table
 
 WEIGHTS, BUDGET, MAX_EPOCHS = (5.0, 2.0, 1.0), 1.5, 2
-SLICE_ROWS = 50_000
 
 
 def word_count(text: Column) -> Column:
@@ -69,9 +70,10 @@ def mix_plan(docs: DataFrame, *, weights: tuple = WEIGHTS, budget: float = BUDGE
     base = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64(F.lit("mix"), "doc_id").alias("h")), "mix-base")
     targets, total = source_targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget, max_epochs)
     targets = materialize(targets, "mix-targets")
-    slices = max(1, -(-base.count() // SLICE_ROWS))
+    slices = math.isqrt(base.count()) + 1
 
-    # Slices cut the shuffled order of every source into runs of like numbers of rows.
+    # Slices cut the shuffled order of every source into runs of like numbers of rows; a source of n rows has about the square
+    # root of n slices of as many rows, so neither a slice nor the sums along a source become a large task.
     slice_no = F.floor((F.col("h") / 2.0**64 + 0.5) * slices).cast("int")
     rows = base.join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("slice", slice_no)
     sums = rows.groupBy("rank", "slice").agg(F.sum("size").alias("words"))
