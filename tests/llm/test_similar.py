@@ -155,6 +155,37 @@ def test_similar_documents(spark):
     assert simhash.drop_near_duplicates(twice).count() == 44
 
 
+def brute_components(rows, words=5, similarity=0.8):
+    sets = {}
+    for d, t in rows:
+        w = t.encode().lower().split()
+        sets[d] = {tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set()
+    ids = sorted(sets)
+    links = [(a, b) for a in ids for b in ids if a < b and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]) - 1e-9 and sets[a] & sets[b]]
+    return roots(ids, links)
+
+
+def families(rng, count, versions, length, most):
+    """Versions of a text with up to ``most`` edits each, about half of the pairs of a family below 0.8."""
+    rows = []
+    for _ in range(count):
+        base = rng.choices(WORDS, k=length)
+        for _ in range(versions):
+            w = list(base)
+            for at in rng.sample(range(length), rng.randint(0, most)):
+                w[at] = f"e{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    rng.shuffle(rows)
+    return rows
+
+
+def test_similar_families(spark):
+    rng = random.Random(7)
+    rows = families(rng, 12, 30, 300, 12) + [(1000 + d, t) for d, t in families(rng, 40, 2, 300, 12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.similar_documents(df).collect()} == brute_components(rows)
+
+
 def test_decontamination(spark):
     rng = random.Random(4)
     items = [(i, " ".join(rng.choices(WORDS, k=20 + i))) for i in range(30)] + [(50, "short item of six words here"), (51, "too short"), (52, None), (0, "again the same number but other words in it here")]

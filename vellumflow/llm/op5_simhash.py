@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.scratch import materialize
+from ..plans.scratch import materialize, release
 from ..sources.tables import read_table
 from .bits import FILTER_BITS, bitmap
 from .components import connected_components
@@ -186,8 +186,13 @@ def near_duplicates(docs: DataFrame, *, bits: int = BITS, run_limit: int = RUN)
 
 # --- similarity of 0.8 and more ----------------------------------------------------------------------------------------------
 #
-# Two bits of 64 stand for a similarity of about 0.98. For a lower one the fingerprint is longer and cut into more segments, so
-# that one of them still differs by at most one bit with high probability; a candidate pair is verified on its shingles.
+# Two bits of 64 stand for a similarity of about 0.98. A lower one is found by an exact join of the sets of shingles: shingles
+# are put in an order, rare ones first, and two sets at the similarity share one among the first few of each (prefix filter).
+# Texts that share such a shingle form a run. Of a run each text is verified against the first and the one before it; what this
+# does not connect is compared pair by pair. No pair that passes the size and place filters is left out.
+
+#: Counters of shingles, 2 MB as sent to tasks. They set the order only: rare shingles first makes short runs, any order is exact.
+RARITY_BITS, SLICE_BITS = 21, 16
 
 
 def segment_plan(texts: int, similarity: float, recall: float) -> tuple[int, int]:
@@ -219,107 +224,159 @@ def _shingles(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
     return h[order], of[order]
 
 
-def _bit_majorities(h: np.ndarray, of: np.ndarray, texts: int, planes: int) -> np.ndarray:
-    """(texts, 64 * planes) bits: 1 where over half of a text's derived hashes have it."""
-    out = np.zeros((texts, 64 * planes), np.uint8)
-    if not len(h):
-        return out
-    first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
-    size = np.diff(np.append(first, len(of)))
-    steps = np.concatenate([np.arange(a, a + n, 255) for a, n in zip(first.tolist(), size.tolist(), strict=True)])
-    groups = np.searchsorted(steps, first)
-    for k in range(planes):
-        lanes = LANES[mix(h ^ np.uint64(0xD1342543DE82EF95 * (k + 1) % 2**64)).view(np.uint8).reshape(-1, 8)]
-        sums = np.add.reduceat(lanes, steps, axis=0).view(np.uint8).reshape(-1, 64).astype(np.int64)
-        out[of[first], 64 * k : 64 * k + 64] = np.add.reduceat(sums, groups, axis=0) * 2 > size[:, None]
-    return out
+def _counter(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - RARITY_BITS)).astype(np.int64)
+
+
+def _shingle_counts(words: int):
+    """Rows (slice, counts) of this task's counters."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << RARITY_BITS, np.int64)
+        for batch in batches:
+            at = np.unique(batch.column("node").to_numpy(), return_index=True)[1]
+            for _, texts in blocks(batch.column("text").take(pa.array(at)).to_pylist()):
+                counts += np.bincount(_counter(_shingles(texts, words)[0]), minlength=len(counts))
+        if counts.any():
+            # Low bytes, then high bytes, which are mostly 0 and shrink to nothing.
+            parts = [c.view(np.uint8).reshape(-1, 2).T.tobytes() for c in np.minimum(counts, 0xFFFF).astype("<u2").reshape(-1, 1 << SLICE_BITS)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], ["slice", "counts"])
+
+    return read
+
+
+def _slice_logs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for n, part in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+            sums.setdefault(n, np.zeros(1 << SLICE_BITS, np.int64))[:] += np.frombuffer(part, np.uint8).reshape(2, -1).T.copy().view("<u2").reshape(-1)
+    for n, total in sums.items():
+        codes = np.log2(np.maximum(total, 1)).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.array([codes.tobytes()], pa.binary())], ["slice", "codes"])
+
+
+def _shingle_rarity(rows: DataFrame, words: int) -> np.ndarray:
+    """Per counter the whole part of the logarithm of its count; at most 2**(RARITY_BITS - SLICE_BITS) rows reach the driver."""
+    codes = np.zeros((1 << RARITY_BITS - SLICE_BITS, 1 << SLICE_BITS), np.uint8)
+    counted = rows.mapInArrow(_shingle_counts(words), "slice int, counts binary").repartition("slice")
+    for r in counted.mapInArrow(_slice_logs, "slice int, codes binary").collect():
+        codes[r["slice"]] = np.frombuffer(r["codes"], np.uint8)
+    return codes.reshape(-1)
 
 
-def _signatures(words: int, size: int, segments: int):
-    """Rows (key, node, sketch, sketch2) for every variant: its number and the segment with one bit cleared.
+def _shingle_prefixes(words: int, similarity: float, rarity):
+    """Rows (key, node, size, place): the shingles of a text's prefix, the size of its set, and where in the order each stands.
 
     Of copies a batch indexes one, so that a large group of them sends a few rows from each task.
     """
-    planes = -(-size * segments // 64)
-    place = np.uint64(1) << np.arange(size, dtype=np.uint64)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = rarity.value
         for batch in batches:
             nodes, at = np.unique(batch.column("node").to_numpy(), return_index=True)
-            for first, texts in blocks(batch.column("text").take(pa.array(at)).to_pylist(), 1 << 20):
+            for start, texts in blocks(batch.column("text").take(pa.array(at)).to_pylist()):
                 h, of = _shingles(texts, words)
-                bits = _bit_majorities(h, of, len(texts), max(planes, 2))
-                sketch = np.packbits(bits[:, :128], axis=1, bitorder="little").view(np.int64)
-                values = bits[:, : size * segments].reshape(-1, segments, size).astype(np.uint64) @ place
-                some = np.flatnonzero(np.bincount(of, minlength=len(texts)) > 0)
-                values, sketch = values[some], sketch[some]
-                number = np.arange(segments * size, dtype=np.uint64).reshape(segments, size) << np.uint64(size)
-                keys = (values[:, :, None] & ~place[None, None, :]) | number[None]
-                each = segments * size
-                columns = [pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(nodes[first + some], each)), *(pa.array(np.repeat(sketch[:, k], each)) for k in (0, 1))]
-                yield pa.RecordBatch.from_arrays(columns, ["key", "node", "sketch", "sketch2"])
+                if not len(h):
+                    continue
+                order = np.lexsort((h, codes[_counter(h)], of))
+                h, of = h[order], of[order]
+                fresh = np.concatenate(([True], (h[1:] != h[:-1]) | (of[1:] != of[:-1])))
+                h, of = h[fresh], of[fresh]
+                first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+                size = np.diff(np.append(first, len(of)))
+                place, n = np.arange(len(of)) - np.repeat(first, size), np.repeat(size, size)
+                some = np.flatnonzero(place <= n - np.ceil(similarity * n - 1e-9))
+                columns = [h[some].view(np.int64), nodes[start + of[some]], n[some].astype(np.int32), place[some].astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "node", "size", "place"])
 
     return read
 
 
-def _spanning(nodes: np.ndarray, sketches: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
-    """Edges of a minimum spanning forest by sketch distance, of at most ``most`` bits.
+def _fit(similarity: float, size: np.ndarray, place: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which pairs of rows can reach the similarity by their sizes, if the shingle they share is the first that they share."""
+    need = np.ceil(similarity / (1 + similarity) * (size[x] + size[y]) - 1e-9)
+    return np.minimum(size[x] - place[x], size[y] - place[y]) >= need
+
+
+def _pairs(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return np.unique(np.column_stack((np.minimum(u, v), np.maximum(u, v))), axis=0)
+
 
-    Whatever two nodes some threshold connects, it connects them along this forest.
+def _first_links(similarity: float):
+    """From prefix rows sorted by key and node: pairs (u, v) of each text with the first of its run and the one before it.
+
+    Gives also the rows of runs of four or more, whose other pairs are left, as (key, u, size, place).
     """
-    near = np.full(len(nodes), 129, np.int64)
-    at, link = 0, np.zeros(len(nodes), np.int64)
-    left = np.ones(len(nodes), bool)
-    for _ in range(len(nodes) - 1):
-        left[at] = False
-        apart = np.bitwise_count(sketches ^ sketches[at]).sum(1, dtype=np.int64)
-        closer = left & (apart < near)
-        near[closer], link[closer] = apart[closer], at
-        at = int(np.argmin(np.where(left, near, 130)))
-        if near[at] <= most:
-            yield int(nodes[at]), int(nodes[link[at]])
-
-
-def _near_runs(most: int, limit: int):
-    """Candidate pairs (u, v) from (key, node, sketch, sketch2) sorted by key and node."""
-
-    def settle(k: np.ndarray, n: np.ndarray, s: np.ndarray) -> Iterator[pa.RecordBatch]:
-        fresh = np.concatenate(([True], (k[1:] != k[:-1]) | (n[1:] != n[:-1])))
-        k, n, s = k[fresh], n[fresh], s[fresh]
+    names = ["u", "v", "key", "size", "place"]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names_in, held = ["key", "node", "size", "place"], None  # the first and last row of a run that may go on
+        for batch in batches:
+            k, n, size, place = (batch.column(c).to_numpy().astype(np.int64) for c in names_in)
+            if not len(k):
+                continue
+            if held is not None:
+                k, n, size, place = (np.concatenate(x) for x in zip(held, (k, n, size, place), strict=True))
+            own = 0 if held is None else len(held[0])
+            fresh = np.concatenate(([True], (k[1:] != k[:-1]) | (n[1:] != n[:-1])))
+            own = int(fresh[:own].sum())
+            k, n, size, place = k[fresh], n[fresh], size[fresh], place[fresh]
+            first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+            length = np.diff(np.append(first, len(k)))
+            head = np.repeat(first, length)
+            y = np.flatnonzero(np.arange(len(k)) > head)
+            x, y = np.concatenate((head[y], y - 1)), np.concatenate((y, y))
+            good = _fit(similarity, size, place, x, y)
+            pairs = _pairs(n[x[good]], n[y[good]])
+            open_ = np.isin(head, (first[0], first[-1]))  # may have rows in other batches
+            rest = np.flatnonzero((open_ | (np.repeat(length, length) > 3)) & (np.arange(len(k)) >= own))
+            a = [pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), pa.nulls(len(pairs), pa.int64()), pa.nulls(len(pairs), pa.int32()), pa.nulls(len(pairs), pa.int32())]
+            yield pa.RecordBatch.from_arrays(a, names)
+            b = [pa.array(n[rest]), pa.nulls(len(rest), pa.int64()), pa.array(k[rest]), pa.array(size[rest].astype(np.int32)), pa.array(place[rest].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(b, names)
+            ends = np.unique([first[-1], len(k) - 1])
+            held = tuple(c[ends] for c in (k, n, size, place))
+
+    return read
+
+
+#: Pairs compared at a time, and pairs of texts gathered before they are given.
+COMPARED = 1 << 22
+
+
+def _other_links(similarity: float):
+    """Pairs (u, v) of different root from (key, node, size, place, root) sorted by key."""
+
+    def settle(k: np.ndarray, n: np.ndarray, size: np.ndarray, place: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
         first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
-        size = np.diff(np.append(first, len(k)))
-        us, vs = [], []
-        for step in range(1, 3):  # runs of two and three, the usual case, all at once
-            a = np.concatenate([first[size == m] + i for m in (2, 3) for i in range(m - step)] or [first[:0]])
-            a = a[np.bitwise_count(s[a] ^ s[a + step]).sum(1) <= most]
-            us.append(n[a])
-            vs.append(n[a + step])
-        edges = []
-        for a, m in zip(first[size > 3].tolist(), size[size > 3].tolist(), strict=True):
-            heads = []
-            for b in range(a, a + m, limit):  # runs beyond the limit in parts, whose first nodes are linked too
-                heads.append(b)
-                edges += _spanning(n[b : min(a + m, b + limit)], s[b : min(a + m, b + limit)], most)
-            if len(heads) > 1:
-                edges += _spanning(n[heads], s[heads], most)
-        more = np.array(edges, np.int64).reshape(-1, 2)
-        u, v = np.concatenate((*us, more[:, 0])), np.concatenate((*vs, more[:, 1]))
-        if len(u):
-            pairs = np.unique(np.column_stack((np.minimum(u, v), np.maximum(u, v))), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["u", "v"])
+        at = np.arange(len(k)) - np.repeat(first, np.diff(np.append(first, len(k))))
+        found, total, y, step = [], 0, np.arange(len(k)), 0
+        while len(y):
+            step += 1
+            y = y[at[y] >= step]
+            z = y[root[y] != root[y - step]]
+            z = z[_fit(similarity, size, place, z - step, z)]
+            found.append((n[z], n[z - step]))
+            total += len(z)
+            if found and (total > COMPARED or not len(y)):
+                pairs = _pairs(*(np.concatenate(c) for c in zip(*found, strict=True)))
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["u", "v"])
+                found, total = [], 0
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, 2), np.uint64)]
+        held: list[list[np.ndarray]] = []
         for batch in batches:
-            sketches = np.column_stack([batch.column(c).to_numpy() for c in ("sketch", "sketch2")]).view(np.uint64)
-            new = [batch.column("key").to_numpy(), batch.column("node").to_numpy(), sketches]
-            held = [np.concatenate(x) for x in zip(held, new, strict=True)]
-            cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
-            if cut:
-                yield from settle(*(x[:cut] for x in held))
-                held = [x[cut:] for x in held]
-        if len(held[0]):
-            yield from settle(*held)
+            if not batch.num_rows:
+                continue
+            held.append([batch.column(c).to_numpy().astype(np.int64) for c in ("key", "node", "size", "place", "root")])
+            if held[-1][0][-1] == held[0][0][0]:
+                continue
+            whole = [np.concatenate(c) for c in zip(*held, strict=True)]
+            cut = int(np.searchsorted(whole[0], whole[0][-1]))  # the last run may go on
+            yield from settle(*(c[:cut] for c in whole))
+            held = [[c[cut:] for c in whole]]
+        if held:
+            yield from settle(*(np.concatenate(c) for c in zip(*held, strict=True)))
 
     return read
 
@@ -356,28 +413,48 @@ def _similar(similarity: float):
     return read
 
 
+def _verified(rows: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (u, v) of nodes whose sets of shingles are similar."""
+    sent = rows.sparkSession.sparkContext.broadcast(bitmap(pairs.select(F.explode(F.array("u", "v")).alias("c")), "c"))
+    sets = rows.mapInArrow(_shingle_sets(words, sent), "node long, shingles binary")
+    sets = materialize(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "similar-sets")
+    sides = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
+    links = materialize(sides.select("u", "v", "a", "b").mapInArrow(_similar(similarity), "u long, v long"), "similar-verified")
+    release(sets)
+    return links
+
+
+def similar_links(rows: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Verified links (u, v) that connect all (node, text) in ``rows`` whose sets of shingles have the similarity."""
+    rarity = rows.sparkSession.sparkContext.broadcast(_shingle_rarity(rows, words))
+    keyed = rows.mapInArrow(_shingle_prefixes(words, similarity, rarity), "key long, node long, size int, place int")
+    found = keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_first_links(similarity), "u long, v long, key long, size int, place int")
+    found = materialize(found, "similar-runs")
+    pairs = materialize(found.where("key is null").select("u", "v").distinct(), "similar-pairs")
+    links = _verified(rows, pairs, words, similarity)
+    roots = materialize(connected_components(links, "similar-links"), "similar-roots")
+    runs = found.where("key is not null").select("key", F.col("u").alias("node"), "size", "place")
+    runs = materialize(runs.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "similar-left")
+    release(found)
+    mixed = runs.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("rows")).where("low <> high and rows > 3")
+    left = runs.join(mixed.select("key"), "key").repartition("key").sortWithinPartitions("key", "node")
+    more = left.select("key", "node", "size", "place", "root").mapInArrow(_other_links(similarity), "u long, v long").distinct()
+    more = materialize(more.join(pairs, ["u", "v"], "left_anti"), "similar-more")
+    if more.isEmpty():
+        return links
+    return links.union(_verified(rows, more, words, similarity))
+
+
 def similar_documents(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, recall: float = 0.9) -> DataFrame:
     """One row per document: doc_id, node (of its text), component_id, the smallest doc_id of the texts linked to its own.
 
-    Texts are linked whose sets of ``words``-word shingles have a Jaccard similarity of at least ``similarity``; every link is
-    verified, and of pairs at just that similarity about ``recall`` are found, of more similar ones more.
+    Texts are linked whose sets of ``words``-word shingles have a Jaccard similarity of at least ``similarity``: all of
+    them are found, and every link is verified.
     """
-    spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("node"), text.cast("binary").alias("text"))
     nodes = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("least")), "similar-nodes")
-    size, segments = segment_plan(nodes.count(), similarity, recall)
-    keyed = rows.select("node", "text").mapInArrow(_signatures(words, size, segments), "key long, node long, sketch long, sketch2 long")
-    apart = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    most = math.ceil(128 * apart + 2.5 * math.sqrt(128 * apart * (1 - apart)))  # of 128 bits: expected, and 2.5 deviations
-    pairs = keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_near_runs(most, 2048), "u long, v long")
-    pairs = materialize(pairs.where("u <> v").distinct(), "similar-pairs")
-    sent = spark.sparkContext.broadcast(bitmap(pairs.select(F.explode(F.array("u", "v")).alias("c")), "c"))
-    sets = rows.select("node", "text").mapInArrow(_shingle_sets(words, sent), "node long, shingles binary")
-    sets = materialize(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "similar-sets")
-    sides = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
-    links = sides.select("u", "v", "a", "b").mapInArrow(_similar(similarity), "u long, v long")
-    roots = connected_components(links, "similar-links")
+    roots = connected_components(similar_links(rows.select("node", "text"), words, similarity), "similar-links")
     linked = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = linked.join(linked.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
     return rows.select("doc_id", "node").join(materialize(named, "similar-components"), "node").select("doc_id", "node", "component_id")
