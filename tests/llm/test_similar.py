@@ -186,6 +186,27 @@ def test_similar_families(spark):
     assert {r.doc_id: r.component_id for r in simhash.similar_documents(df).collect()} == brute_components(rows)
 
 
+def test_similar_long_runs_lose_no_link(spark):
+    """Pairs of near copies in runs far beyond the limit: all texts share a passage."""
+    rng = random.Random(8)
+    shared = rng.choices(WORDS, k=40)
+    rows = [(i, " ".join([*shared, *(f"x{rng.randrange(10**9)}" for _ in range(4))])) for i in range(60)]
+    other = [(100 + i, " ".join([*shared, *(f"y{i}z{k}" for k in range(20))])) for i in range(60)]
+    rows += other + [(200 + i, t + " end") for i, t in other]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_components(rows)
+    for limit in (2048, 8):
+        assert {r.doc_id: r.component_id for r in simhash.similar_documents(df, run_limit=limit).collect()} == want
+
+
+def test_block_pairs_meet_once_or_within(spark):
+    rows = [(k, n, 10, 0, n) for k, m in ((1, 30), (2, 4)) for n in range(m)]
+    df = spark.createDataFrame([(*r, 30 if r[0] == 1 else 4) for r in rows], "key long, node long, size int, place int, root long, rows long")
+    left = simhash._block_pairs(df, 8).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+    got = {tuple(r) for r in left.mapInArrow(simhash._other_links(0.8), "u long, v long").collect()}
+    assert got == {(a, b) for b in range(30) for a in range(b)}
+
+
 def test_decontamination(spark):
     rng = random.Random(4)
     items = [(i, " ".join(rng.choices(WORDS, k=20 + i))) for i in range(30)] + [(50, "short item of six words here"), (51, "too short"), (52, None), (0, "again the same number but other words in it here")]

@@ -345,16 +345,20 @@ COMPARED = 1 << 22
 
 
 def _other_links(similarity: float):
-    """Pairs (u, v) of different root from (key, node, size, place, root) sorted by key."""
+    """Pairs (u, v) of different root from (key, i, j, block, node, size, place, root) sorted by key, i and j.
 
-    def settle(k: np.ndarray, n: np.ndarray, size: np.ndarray, place: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
-        first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+    Where i and j differ, of pairs of one from block i and one from block j.
+    """
+
+    def settle(k: np.ndarray, i: np.ndarray, j: np.ndarray, block: np.ndarray, n: np.ndarray, size: np.ndarray, place: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
+        first = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
         at = np.arange(len(k)) - np.repeat(first, np.diff(np.append(first, len(k))))
+        apart = i != j
         found, total, y, step = [], 0, np.arange(len(k)), 0
         while len(y):
             step += 1
             y = y[at[y] >= step]
-            z = y[root[y] != root[y - step]]
+            z = y[(root[y] != root[y - step]) & ((block[y] != block[y - step]) | ~apart[y])]
             z = z[_fit(similarity, size, place, z - step, z)]
             found.append((n[z], n[z - step]))
             total += len(z)
@@ -368,11 +372,12 @@ def _other_links(similarity: float):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held.append([batch.column(c).to_numpy().astype(np.int64) for c in ("key", "node", "size", "place", "root")])
-            if held[-1][0][-1] == held[0][0][0]:
+            held.append([batch.column(c).to_numpy().astype(np.int64) for c in ("key", "i", "j", "block", "node", "size", "place", "root")])
+            if all(held[-1][c][-1] == held[0][c][0] for c in range(3)):
                 continue
             whole = [np.concatenate(c) for c in zip(*held, strict=True)]
-            cut = int(np.searchsorted(whole[0], whole[0][-1]))  # the last run may go on
+            last = (whole[0] == whole[0][-1]) & (whole[1] == whole[1][-1]) & (whole[2] == whole[2][-1])
+            cut = int(np.argmax(last))  # the last block pair may go on
             yield from settle(*(c[:cut] for c in whole))
             held = [[c[cut:] for c in whole]]
         if held:
@@ -424,7 +429,18 @@ def _verified(rows: DataFrame, pairs: DataFrame, words: int, similarity: float)
     return links
 
 
-def similar_links(rows: DataFrame, words: int, similarity: float) -> DataFrame:
+def _block_pairs(runs: DataFrame, limit: int) -> DataFrame:
+    """``runs`` with i, j and block: runs of more than ``limit`` rows are cut into blocks, and each row goes to all pairs of its own.
+
+    So a task compares about two blocks at a time, and every two rows of a run meet under one (key, i, j).
+    """
+    count = F.ceil(F.col("rows") / F.lit(limit)).cast("int")
+    cut = runs.withColumn("blocks", count).withColumn("block", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int"))
+    other = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return other.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "size", "place", "root")
+
+
+def similar_links(rows: DataFrame, words: int, similarity: float, run_limit: int) -> DataFrame:
     """Verified links (u, v) that connect all (node, text) in ``rows`` whose sets of shingles have the similarity."""
     rarity = rows.sparkSession.sparkContext.broadcast(_shingle_rarity(rows, words))
     keyed = rows.mapInArrow(_shingle_prefixes(words, similarity, rarity), "key long, node long, size int, place int")
@@ -437,15 +453,15 @@ def similar_links(rows: DataFrame, words: int, similarity: float) -> DataFrame:
     runs = materialize(runs.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "similar-left")
     release(found)
     mixed = runs.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("rows")).where("low <> high and rows > 3")
-    left = runs.join(mixed.select("key"), "key").repartition("key").sortWithinPartitions("key", "node")
-    more = left.select("key", "node", "size", "place", "root").mapInArrow(_other_links(similarity), "u long, v long").distinct()
+    left = _block_pairs(runs.join(mixed.select("key", "rows"), "key"), run_limit).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+    more = left.mapInArrow(_other_links(similarity), "u long, v long").distinct()
     more = materialize(more.join(pairs, ["u", "v"], "left_anti"), "similar-more")
     if more.isEmpty():
         return links
     return links.union(_verified(rows, more, words, similarity))
 
 
-def similar_documents(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, recall: float = 0.9) -> DataFrame:
+def similar_documents(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, recall: float = 0.9, run_limit: int = 2048) -> DataFrame:
     """One row per document: doc_id, node (of its text), component_id, the smallest doc_id of the texts linked to its own.
 
     Texts are linked whose sets of ``words``-word shingles have a Jaccard similarity of at least ``similarity``: all of
@@ -454,7 +470,7 @@ def similar_documents(docs: DataFrame, *, words: int = 5, similarity: float = 0.
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("node"), text.cast("binary").alias("text"))
     nodes = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("least")), "similar-nodes")
-    roots = connected_components(similar_links(rows.select("node", "text"), words, similarity), "similar-links")
+    roots = connected_components(similar_links(rows.select("node", "text"), words, similarity, run_limit), "similar-links")
     linked = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = linked.join(linked.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
     return rows.select("doc_id", "node").join(materialize(named, "similar-components"), "node").select("doc_id", "node", "component_id")
