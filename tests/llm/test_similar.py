@@ -186,6 +186,18 @@ def test_similar_families(spark):
     assert {r.doc_id: r.component_id for r in simhash.similar_documents(df).collect()} == brute_components(rows)
 
 
+def test_similar_repeated_passages(spark):
+    """Repeats do not change the set of shingles, so a text is linked to one that repeats a passage of it."""
+    rng = random.Random(9)
+    rows = []
+    for i, k in enumerate([1, 2, 5, 10] * 10):
+        w = rng.choices(WORDS, k=300)
+        rows += [(i, " ".join(w)), (100 + i, " ".join(w + w[:30] * k))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(df).collect()}
+    assert got == brute_components(rows) and all(got[100 + i] == i for i in range(40))
+
+
 def test_similar_long_runs_lose_no_link(spark):
     """Pairs of near copies in runs far beyond the limit: all texts share a passage."""
     rng = random.Random(8)
