@@ -186,6 +186,22 @@ def test_similar_families(spark):
     assert {r.doc_id: r.component_id for r in simhash.similar_documents(df).collect()} == brute_components(rows)
 
 
+def test_similar_finds_every_pair(spark):
+    """Pairs just above 0.8, each a family of its own: all are found, and none just below."""
+    rng = random.Random(10)
+    rows = []
+    for i in range(150):
+        w = rng.choices(WORDS, k=300)
+        v = list(w)
+        for at in range(5 + i % 7, 300, 300 // (5 + i % 3)):
+            v[at] = "edit"
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(v))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_components(rows)
+    assert 20 < sum(want[2 * i + 1] == 2 * i for i in range(150)) < 150
+    assert {r.doc_id: r.component_id for r in simhash.similar_documents(df).collect()} == want
+
+
 def test_similar_repeated_passages(spark):
     """Repeats do not change the set of shingles, so a text is linked to one that repeats a passage of it."""
     rng = random.Random(9)

@@ -17,7 +17,6 @@ Defined cases
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -195,18 +194,6 @@ def near_duplicates(docs: DataFrame, *, bits: int = BITS, run_limit: int = RUN)
 RARITY_BITS, SLICE_BITS = 21, 16
 
 
-def segment_plan(texts: int, similarity: float, recall: float) -> tuple[int, int]:
-    """(bits of a segment, number of segments) for so many distinct texts.
-
-    Bits: runs of equal variants hold a few dozen unrelated texts at most. Segments: a pair at just ``similarity`` shares a
-    variant with probability ``recall``; more similar pairs do with a higher one.
-    """
-    size = max(20, math.ceil(math.log2(max(texts, 2))) - 4)
-    apart = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi  # expected share of differing bits
-    one = (1 - apart) ** size + size * apart * (1 - apart) ** (size - 1)
-    return size, max(1, math.ceil(math.log(1 - recall) / math.log(1 - one)))
-
-
 def _shingles(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash, text number) of all shingles, in order; a text of fewer words is one shingle."""
     hashes, which, _, _ = hash_words([t.lower() for t in texts])
@@ -461,7 +448,7 @@ def similar_links(rows: DataFrame, words: int, similarity: float, run_limit: int
     return links.union(_verified(rows, more, words, similarity))
 
 
-def similar_documents(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, recall: float = 0.9, run_limit: int = 2048) -> DataFrame:
+def similar_documents(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, run_limit: int = 2048) -> DataFrame:
     """One row per document: doc_id, node (of its text), component_id, the smallest doc_id of the texts linked to its own.
 
     Texts are linked whose sets of ``words``-word shingles have a Jaccard similarity of at least ``similarity``: all of
