@@ -2,6 +2,7 @@
 
 import random
 from collections import defaultdict
+from itertools import combinations
 
 import numpy as np
 import xxhash
@@ -259,3 +260,38 @@ def test_decontamination(spark):
     assert kept.columns == df.columns and kept.count() == len(docs) - len(want) - 1
     assert clean.drop_contaminated(df, bench.limit(0)).count() == len(docs)
     assert clean.contamination(df.limit(0), bench).count() == 0
+
+
+def accepted(size):
+    """Places of a passage of ``size`` tokens that may be substituted together, by the rule of ``overlap``."""
+    item = np.arange(size, dtype=np.uint64)
+    for k in range(size):
+        some = False
+        for out in combinations(range(size), k):
+            doc = item.copy()
+            doc[list(out)] = 999
+            if clean.overlap(doc, item, 0):
+                some = True
+                yield out
+        if not some:
+            return
+
+
+def test_masks_hit_every_accepted_pattern():
+    for size in range(clean.LEAST, clean.WINDOW + 4):
+        masks = clean.MASKS if size >= clean.WINDOW else clean.short_masks(size)
+        for out in accepted(size):
+            shifts = lambda m: range(size - m[-1]) if size >= clean.WINDOW else (0,)
+            assert any(not {i + s for i in m} & set(out) for m in masks for s in shifts(m)), (size, out)
+
+
+def test_short_and_sparse_overlaps(spark):
+    rng = random.Random(11)
+    rows, items = [], []
+    for size, outs in ((5, (2,)), (7, (3,)), (8, (4,)), (9, (4,)), (10, (0, 5)), (12, (3, 8)), (13, (4, 8)), (13, (5, 10)), (15, (0, 6, 10))):
+        w = [f"i{len(items)}n{k}" for k in range(size)]
+        v = ["changed" if k in outs else x for k, x in enumerate(w)]
+        items.append((len(items), " ".join(w)))
+        rows.append((len(rows), " ".join([*rng.choices(WORDS, k=20), *v, *rng.choices(WORDS, k=20)])))
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {r.doc_id: r.item_ids for r in clean.contamination(df, bench).collect()} == {i: [i] for i in range(len(items))}

@@ -12,14 +12,16 @@ and only those, with the tokens around them, go into the join that decides. The
 
 Defined cases
 - null or empty text: not contaminated. Null document identifiers are kept and reported as null.
-- items with fewer than ``LEAST`` tokens, or null, match nothing; shorter items than a mask are matched by all their tokens.
+- items with fewer than ``LEAST`` tokens, or null, match nothing; items shorter than a window have masks of their own.
 - rows that repeat an identifier are judged by their own texts. Rows that repeat an item identifier are separate items.
 - extra columns are ignored. An empty benchmark marks nothing; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -31,16 +33,25 @@ from ..plans.scratch import materialize
 from ..sources.tables import read_table
 from .words import NOT_ALNUM, blocks, hash_words, mix
 
-#: Offsets that a mask looks at. The gaps differ, so that one substitution, or two in some places, leave a hit.
-MASKS = ((0, 1, 2, 4, 5, 7, 8), (0, 1, 3, 4, 6, 9, 10), (0, 2, 3, 5, 8, 9, 11), (0, 1, 2, 3, 4, 5, 6))
+#: Offsets that a mask looks at. Of a window with as many substitutions as ``IDENTITY`` allows, wherever they are, one mask at
+#: some place sees none.
+MASKS = ((0, 1, 2, 4, 5, 7, 8), (0, 1, 3, 4, 6, 9, 10), (0, 2, 3, 5, 8, 9, 11), (0, 1, 2, 3, 4, 5, 6), (0, 1, 2, 6, 8, 10, 11))
 WINDOW, IDENTITY, LEAST = 13, 0.8, 5
 #: The filter has 2**FILTER_BITS bits (4 MB) whatever the size of the benchmark; three bits stand for a hash.
 FILTER_BITS = 25
 
 
+def short_masks(size: int) -> list[tuple[int, ...]]:
+    """Masks for items of ``size`` < ``WINDOW`` tokens: without every choice of as many groups of places as may be substituted."""
+    wrong = size - math.ceil(IDENTITY * size - 1e-9)
+    width = 3 if size - 3 * wrong >= 5 else 2
+    groups = [range(a, min(a + width, size)) for a in range(0, size, width)]
+    return [tuple(i for i in range(size) if not any(i in g for g in out)) for out in combinations(groups, wrong)]
+
+
 def _shapes(short: list[int]) -> list[tuple[int, ...]]:
-    """The masks, and a full one for every length that only short items have."""
-    return [*MASKS, *(tuple(range(n)) for n in short)]
+    """The masks, and those of every size that short items have."""
+    return [*MASKS, *(m for n in short for m in short_masks(n))]
 
 
 def _seeds(hashes: np.ndarray, which: np.ndarray, shapes: list[tuple[int, ...]]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -70,13 +81,12 @@ def _items(short: list[int]):
             for first, texts in blocks(batch.column("text").to_pylist()):
                 hashes, which, _, _ = hash_words(texts, NOT_ALNUM)
                 starts = np.searchsorted(which, np.arange(len(texts) + 1))
-                shapes = _shapes(short)
+                shapes, own = _shapes(short), [n for n in short for _ in short_masks(n)]
                 for number, at, seeds in _seeds(hashes, which, shapes):
                     item = which[at]
                     size = np.diff(starts)[item]
-                    span = shapes[number][-1] + 1
-                    # Full masks of less than a window serve the items of just that length.
-                    use = size >= LEAST if number < len(MASKS) else size == span
+                    # Masks of less than a window serve the items of just that size, laid on their first token.
+                    use = size >= WINDOW if number < len(MASKS) else (size == own[number - len(MASKS)]) & (at == starts[item])
                     at, seeds, item = at[use], seeds[use], item[use]
                     yield pa.RecordBatch.from_arrays([pa.array(seeds.view(np.int64)), pa.array([keys[first + i] for i in item], pa.int64()), pa.array(at - starts[item])], ["seed", "key", "place"])
 
@@ -166,9 +176,8 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = materialize(items.withColumn("key", F.monotonically_increasing_id()), "seeds-items")
     tokens = materialize(items.select("key", "item_id", "text").mapInArrow(_item_tokens, "key long, item_id long, item binary"), "seeds-tokens")
     sizes = tokens.select((F.octet_length("item") / 8).cast("int").alias("n")).where(F.col("n") >= LEAST)
-    longest_mask = max(m[-1] + 1 for m in MASKS)
     reach = sizes.agg(F.max("n")).first()[0] or 0
-    short = sorted(r["n"] for r in sizes.where(F.col("n") < longest_mask).distinct().collect())  # at most a mask's length
+    short = sorted(r["n"] for r in sizes.where(F.col("n") < WINDOW).distinct().collect())  # at most WINDOW - LEAST
     tests = materialize(items.select("key", "text").mapInArrow(_items(short), "seed long, key long, place long"), "seeds-tests")
 
     words = F.explode(F.array(*(F.shiftrightunsigned("seed", s).bitwiseAND((1 << FILTER_BITS) - 1) for s in (0, FILTER_BITS - 5, 64 - FILTER_BITS)))).alias("bit")
