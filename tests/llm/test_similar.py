@@ -64,6 +64,29 @@ def test_line_dedup(spark):
             assert r.text == "\n".join(kept) and r.n_lines == 5 and r.kept_lines == len(kept)
 
 
+def test_line_dedup_shuffled_rows(spark):
+    line, similar = "a b c d e f g h i j", "a b c d e f g h i k"
+    rows = [(10, line), (3, line), (5, similar), (11, "z\n" + line)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: list(r.removed) for r in lines.dedup_lines(df).collect()}
+    assert got == {3: [], 5: [0], 10: [0], 11: [1]}
+    rng = random.Random(12)
+    base = [rng.choices(WORDS, k=k) for k in (5, 8, 10, 20, 30)]
+    rows = []
+    for d in range(100):
+        text = []
+        for b in rng.sample(base, 3):
+            w = list(b)
+            for _ in range(rng.randint(0, 3)):
+                w[rng.randrange(len(w))] = rng.choice(WORDS[:5])
+            text.append(" ".join(w))
+        rows.append((d, "\n".join(text)))
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    want = brute_removed(rows)
+    assert {r.doc_id: list(r.removed) for r in lines.dedup_lines(df).collect() if r.removed} == {d: x for d, x in want.items() if x}
+
+
 def test_line_dedup_odd_rows(spark):
     long = " ".join(f"x{i}" for i in range(30_000))
     rows = [(None, "a b c d e"), (1, None), (2, ""), (3, "a b c d e\n\n" + long), (4, long), (5, "q r"), (5, "q r"), (5, "other")]

@@ -134,9 +134,12 @@ def _prefixes(rarity, similarity: float):
                 h, of = lines.hashes, lines.of_word
                 if not len(h):
                     continue
-                _, once = np.unique(lines.classes[0], return_index=True)  # equal lines of a block have equal prefixes
+                # Equal lines of a block have equal prefixes: the earliest is sent, in whatever order rows are stored.
+                c1, own = lines.classes[0], ids.take(pa.array(lines.text + start))
+                known = own.is_valid().to_numpy(zero_copy_only=False)
+                order = np.lexsort((lines.number, own.fill_null(0).to_numpy(), known, c1))
                 use = np.zeros(len(lines.first), bool)
-                use[once] = True
+                use[order[np.concatenate(([True], c1[order][1:] != c1[order][:-1]))]] = True
                 h, of = h[use[of]], of[use[of]]
                 code = codes[(h >> np.uint64(64 - RARITY_BITS)).astype(np.int64)]
                 packed = of.astype(np.uint64) << np.uint64(43) | code.astype(np.uint64) << np.uint64(37) | h >> np.uint64(27)
