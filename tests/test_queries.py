@@ -1,5 +1,6 @@
 """Every query with SQL gives the rows of that SQL, on the smallest driver tables."""
 
+import json
 import os
 
 import duckdb
@@ -46,3 +47,8 @@ def test_runs(spark, duck, name):
 def test_entry(spark, duck):
     assert entry.entry(spark).count() == 200
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_metadata_json_has_all_documents(spark, duck):
+    index = json.loads(core.QUERIES["metadata_json"](spark, D).first().json)
+    assert len(index["documents"]) == index["totals"]["captured"] == duck.execute("SELECT count(*) FROM documents").fetchone()[0]

@@ -645,8 +645,7 @@ def backoff(spark, d):
 @query()
 def metadata_json(spark, d):
     at = F.lit("2026-01-02 03:04:05").cast("timestamp")
-    docs = captured(spark, d).where("source = 'src0'")
-    index = M.document_rows(docs)
+    index = M.document_rows(captured(spark, d))
     errors = metadata_errors(spark, d)
     return M.metadata(index, errors, order="id", expected=10, started_at=at, now=at, export_id=F.lit("00000000-0000-4000-8000-000000000000"), patient="paciente")
 
