@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: A word boundary between ASCII word characters and all others.
 EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+#: The same where the character after it, or before it, is known to be a word character.
+BEGIN, END = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 #: White space, without brackets, for use in a class.
 SPACE = "\\t\\n\\x0B\\f\\r \\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF"
 S = f"[{SPACE}]"
@@ -29,11 +31,21 @@ def matches(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
-def rewrite(text: Column, pattern: str, change: Callable[[Column], Column]) -> Column:
-    """Replace every match by ``change(match)``: the gaps between matches zipped with the changed matches."""
-    gaps = F.split(text, pattern, -1)
-    found = F.concat(matches(text, pattern), F.array(F.lit("")))
-    return F.array_join(F.zip_with(gaps, found, lambda g, m: F.concat(g, F.when(m == "", F.lit("")).otherwise(change(m)))), "")
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once, however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def rewrite(text: Column, pattern: str, change: Callable[[Column], Column], *, hint: str | None = None) -> Column:
+    """Replace every match by ``change(match)``: the gaps between matches zipped with the changed matches.
+
+    ``hint`` is a cheap pattern that stands in every text with a match; other texts are left as they are without a look at ``pattern``.
+    """
+    def changed(t: Column) -> Column:
+        found = F.concat(matches(t, pattern), F.array(F.lit("")))
+        return F.array_join(F.zip_with(F.split(t, pattern, -1), found, lambda g, m: F.concat(g, F.when(m == "", F.lit("")).otherwise(change(m)))), "")
+
+    return bind(text, lambda t: F.when(t.rlike(hint), changed(t)).otherwise(t) if hint else changed(t))
 
 
 def trim(text: Column) -> Column:

@@ -8,6 +8,7 @@ neighbouring words, so the names of a large corpus are never applied to every te
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -15,12 +16,13 @@ from pyspark.sql import functions as F
 
 from ..functions import html as H
 from ..functions import pii
-from ..functions.regex import matches, rewrite
+from ..functions.regex import bind, matches, rewrite
 from ..functions.text import fold_accents
 from ..plans.ranking import number_rows
 from ..plans.scratch import materialize
 
 EMAIL_STUB = "[EMAIL_0]"
+PREFIXES = {"email": "EMAIL", "tel": "TEL"}
 
 
 def first_seen(found: DataFrame, key: str = "key", order: str = "at") -> DataFrame:
@@ -34,28 +36,62 @@ def text_parts(text: Column, markup: bool) -> Column:
     return F.filter(H.segments(text), H.is_text) if markup else F.array(text)
 
 
+def without_emails(part: Column) -> Column:
+    return F.when(part.contains(pii.EMAIL_HINT), F.regexp_replace(part, pii.EMAIL, F.lit(EMAIL_STUB))).otherwise(part)
+
+
 def email_matches(parts: Column) -> Column:
-    return F.flatten(F.transform(parts, lambda p: F.transform(matches(p, pii.EMAIL), pii.email_key)))
+    def keys(part: Column) -> Column:
+        return F.when(part.contains(pii.EMAIL_HINT), F.transform(matches(part, pii.EMAIL), pii.email_key)).otherwise(_no_keys())
+
+    return F.flatten(F.transform(parts, keys))
 
 
 def phone_matches(parts: Column) -> Column:
     """Keys of phones in the text as it is after e-mail addresses and national identifiers have been replaced."""
     def keys(part: Column) -> Column:
-        left = pii.rewrite_national_ids(F.regexp_replace(part, pii.EMAIL, F.lit(EMAIL_STUB)))
-        return F.transform(matches(left, pii.PHONE), pii.phone_key)
+        found = bind(pii.rewrite_national_ids(without_emails(part)), lambda left: F.transform(matches(left, pii.PHONE), pii.phone_key))
+        return F.when(part.rlike(pii.PHONE_HINT), found).otherwise(_no_keys())
 
     return F.flatten(F.transform(parts, keys))
 
 
-def token_places(docs: DataFrame, order: str, parts: Column, kind: str) -> DataFrame:
-    """(order, key, at) of every match of ``kind``: email or tel."""
-    keys = {"email": email_matches, "tel": phone_matches}[kind](parts)
-    return docs.select(order, F.posexplode(keys).alias("pos", "key")).select(order, "key", F.struct(F.col(order).alias("doc"), "pos").alias("at"))
+def national_ids(parts: Column) -> Column:
+    counts = F.transform(parts, lambda p: bind(without_emails(p), pii.count_national_ids))
+    return F.aggregate(counts, F.lit(0).cast("long"), lambda a, b: a + b)
+
+
+def _no_keys() -> Column:
+    return F.array().cast("array<string>")
+
+
+def identifier_keys(docs: DataFrame, order: str, text: str, markup: bool) -> DataFrame:
+    """(order, email, tel, cedulas) of the documents that hold any: keys in the order of the text, and the number of national identifiers.
+
+    Texts without an at sign or a digit are not looked at any further, and the parts of the others are cut once.
+    """
+    some = docs.where(F.col(text).rlike("@|\\d{3}"))
+    parts = some.select(order, text_parts(F.col(text), markup).alias("_parts"))
+    found = parts.select(order, email_matches(F.col("_parts")).alias("email"), phone_matches(F.col("_parts")).alias("tel"), national_ids(F.col("_parts")).alias("cedulas"))
+    return found.where("size(email) > 0 or size(tel) > 0 or cedulas > 0")
+
+
+def key_places(found: DataFrame, order: str, kind: str) -> DataFrame:
+    """(order, key, at) of every key of ``kind``, email or tel."""
+    rows = found.select(order, F.posexplode(kind).alias("pos", "key"))
+    return rows.select(order, "key", F.struct(F.col(order).alias("doc"), "pos").alias("at"))
+
+
+def token_places(docs: DataFrame, order: str, text: str, kind: str) -> DataFrame:
+    """(order, key, at) of every match of ``kind`` in a plain text: email or tel."""
+    keys = {"email": email_matches, "tel": phone_matches}[kind](F.array(text))
+    return key_places(docs.where(F.col(text).isNotNull()).select(order, keys.alias(kind)), order, kind)
 
 
 def replace_from_dictionary(text: Column, pattern: str, key, table: Column, prefix: str) -> Column:
-    """Replace matches by ``[PREFIX_n]`` with n from a map by key."""
-    return rewrite(text, pattern, lambda m: F.concat(F.lit(f"[{prefix}_"), F.element_at(table, key(m)).cast("string"), F.lit("]")))
+    """Replace matches by ``[PREFIX_n]`` with n from a map by key; a text without a map has no match."""
+    new = rewrite(text, pattern, lambda m: F.concat(F.lit(f"[{prefix}_"), F.element_at(table, key(m)).cast("string"), F.lit("]")))
+    return F.when(table.isNotNull(), new).otherwise(text)
 
 
 @dataclass(frozen=True)
@@ -64,7 +100,7 @@ class Anonymized:
     emails: DataFrame  # key, n
     phones: DataFrame  # key, n
     names: DataFrame  # name, n
-    national_ids: int | Column
+    found: DataFrame  # order, email, tel, cedulas: what each document with an identifier holds
 
 
 def find_names(docs: DataFrame, order: str, text: str, *, seeds: tuple[str, ...] = (), strict: bool = False) -> DataFrame:
@@ -79,21 +115,26 @@ def find_names(docs: DataFrame, order: str, text: str, *, seeds: tuple[str, ...]
     return number_rows(firsts, F.col("at"), tag="names").select("name", F.col("at.first").alias("first"), "n")
 
 
+def word_pairs(docs: DataFrame, order: str, text: str) -> DataFrame:
+    """(order, pair): the distinct pairs of neighbouring words of each text, in plain lower case."""
+    folded = F.regexp_replace(F.lower(fold_accents(F.col(text))), "[^a-z']+", " ")
+    words = docs.select(order, F.filter(F.split(folded, " "), lambda w: w != "").alias("_words")).where("size(_words) > 1")
+    after = F.slice("_words", F.lit(2), F.size("_words"))
+    pairs = F.zip_with(F.slice("_words", F.lit(1), F.size("_words") - 1), after, lambda a, b: F.concat(a, F.lit(" "), b))
+    return words.select(order, F.explode(F.array_distinct(pairs)).alias("pair"))
+
+
 def names_by_document(docs: DataFrame, order: str, text: str, names: DataFrame, scope: str) -> DataFrame:
-    """(order, patterns): patterns of the names that may occur in a document, in the order of their first appearance."""
-    words = F.filter(F.split(F.regexp_replace(F.lower(fold_accents(F.col(text))), "[^a-z']+", " "), " "), lambda w: w != "")
-    pairs = F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat_ws(" ", F.element_at(words, i), F.element_at(words, i + 1)))
-    seen = docs.select(order, F.explode(F.array_distinct(F.when(F.size(words) > 1, pairs).otherwise(F.array()))).alias("pair"))
+    """(order, n, name) of the names that may occur in a document."""
     parts = F.split("name", " ")
     starts = F.array_distinct(F.array(F.concat_ws(" ", F.get(parts, F.lit(0)), F.get(parts, F.lit(1))), F.concat_ws(" ", F.element_at(parts, -1), F.element_at(parts, -2))))
     keyed = names.select("name", "first", "n", F.explode(starts).alias("pair"))
-    hits = seen.join(keyed, "pair")
+    hits = word_pairs(docs, order, text).join(keyed, "pair")
     if scope == "cumulative":
         hits = hits.where(F.col("first").isNull() | (F.col("first") <= F.col(order)))
     elif scope != "global":
         raise ValueError("names_scope is 'global' or 'cumulative'")
-    per = hits.select(order, "n", "name").distinct().groupBy(order).agg(F.array_sort(F.collect_list(F.struct("n", "name"))).alias("found"))
-    return per.select(order, F.transform("found", lambda r: pii.name_pattern(r["name"])).alias("patterns"))
+    return hits.select(order, "n", "name").distinct()
 
 
 def anonymize(
@@ -111,47 +152,52 @@ def anonymize(
 
     ``order`` is a unique key that gives the order of documents. With ``markup`` only text outside tags and raw zones is
     changed. Null text stays null.
+
+    Texts are read three times (identifiers, names, rewriting) and joined once, with what each document has to have replaced.
     """
-    source = docs.withColumn("_raw", F.col(text))
-    if markup:
-        source = source.withColumn(text, pii.rewrite_header_id(F.col(text)))
-    parts = text_parts(F.col(text), markup)
-    present = source.where(F.col(text).isNotNull())
-    places = {k: token_places(present, order, parts, k) for k in ("email", "tel")}
+    spark, kind = docs.sparkSession, docs.schema[order].dataType
+    source = docs.withColumn(text, pii.rewrite_header_id(F.col(text))) if markup else docs
+    present = source.where(F.col(text).isNotNull()).select(order, text)
+    found = materialize(identifier_keys(present, order, text, markup), "identifiers")
+    places = {k: key_places(found, order, k) for k in PREFIXES}
     tables = {k: materialize(first_seen(p), f"tokens-{k}") for k, p in places.items()}
-
-    out = source
-    for kind in ("email", "tel"):
-        hits = places[kind].select(order, "key").distinct().join(tables[kind], "key")
-        per = hits.groupBy(order).agg(F.map_from_entries(F.collect_list(F.struct("key", "n"))).alias(f"_{kind}"))
-        out = out.join(materialize(per, f"tokens-{kind}-docs"), order, "left")
-    found = None
+    # What is to be replaced: a row per document, kind and key.
+    entries = [places[k].select(order, "key").distinct().join(tables[k], "key").select(order, F.lit(k).alias("kind"), "key", "n") for k in PREFIXES]
+    known = spark.createDataFrame([], "name string, first string, n long")
     if names:
-        found = materialize(find_names(docs.where(F.col(text).isNotNull()), order, text, seeds=seed_names, strict=strict_labels), "names")
-        names = not found.isEmpty()
-    if names:
-        per = names_by_document(present, order, text, found, names_scope)
-        out = out.join(materialize(per, "names-docs"), order, "left")
+        known = materialize(find_names(docs.where(F.col(text).isNotNull()), order, text, seeds=seed_names, strict=strict_labels), "names")
+        if not known.isEmpty():
+            entries.append(names_by_document(present, order, text, known, names_scope).select(order, F.lit("name").alias("kind"), F.col("name").alias("key"), "n"))
+    rows = functools.reduce(DataFrame.unionByName, entries)
+
+    def of(kind: str) -> Column:
+        return F.collect_list(F.when(F.col("kind") == kind, F.struct("key", "n")))
+
+    columns = [F.map_from_entries(F.nullif(of(k), F.array().cast("array<struct<key:string,n:bigint>>"))).alias(f"_{k}") for k in PREFIXES]
+    ordered = F.array_sort(F.transform(of("name"), lambda r: F.struct(r["n"].alias("n"), r["key"].alias("name"))))
+    per = rows.groupBy(F.col(order).alias("_order")).agg(*columns, F.transform(ordered, lambda r: pii.name_pattern(r["name"])).alias("_names"))
+    per = materialize(per.select(F.col("_order").cast(kind), *(c for c in per.columns if c != "_order")), "replacements")
+    out = source.join(per, F.col(order) == F.col("_order"), "left")
 
     def change(part: Column) -> Column:
-        part = replace_from_dictionary(part, pii.EMAIL, pii.email_key, F.col("_email"), "EMAIL")
-        part = pii.rewrite_national_ids(part)
-        part = replace_from_dictionary(part, pii.PHONE, pii.phone_key, F.col("_tel"), "TEL")
-        if names:
-            part = pii.replace_names(part, F.coalesce("patterns", F.array().cast("array<string>")))
-        return part
+        def ids(p: Column) -> Column:
+            return bind(pii.rewrite_national_ids(p), tel)
+
+        def tel(p: Column) -> Column:
+            done = replace_from_dictionary(p, pii.PHONE, pii.phone_key, F.col("_tel"), PREFIXES["tel"])
+            return F.when(F.size("_names") > 0, pii.replace_names(done, F.col("_names"))).otherwise(done)
+
+        return bind(replace_from_dictionary(part, pii.EMAIL, pii.email_key, F.col("_email"), PREFIXES["email"]), ids)
 
     new = H.map_text(F.col(text), change) if markup else change(F.col(text))
-    rewritten = out.withColumn(text, new).select(*docs.columns)
-    ids = F.aggregate(F.transform(parts, lambda p: pii.count_national_ids(F.regexp_replace(p, pii.EMAIL, F.lit(EMAIL_STUB)))), F.lit(0).cast("long"), lambda a, b: a + b)
-    empty = docs.sparkSession.createDataFrame([], "name string, first string, n long")
-    return Anonymized(rewritten, tables["email"], tables["tel"], found if found is not None else empty, ids)
+    touched = F.col("_order").isNotNull() | F.col(text).rlike(pii.CEDULA_HINT)
+    rewritten = out.withColumn(text, F.when(touched, new).otherwise(F.col(text))).select(*docs.columns)
+    return Anonymized(rewritten, tables["email"], tables["tel"], known, found)
 
 
-def anonymizer_stats(docs: DataFrame, result: Anonymized, *, text: str, markup: bool, with_names: bool = False) -> DataFrame:
+def anonymizer_stats(result: Anonymized, *, with_names: bool = False) -> DataFrame:
     """One row: distinct phones and e-mail addresses, national identifiers found, number of names; names only when asked for."""
-    source = docs.withColumn(text, pii.rewrite_header_id(F.col(text))) if markup else docs
-    ids = source.agg(F.coalesce(F.sum(result.national_ids), F.lit(0)).cast("long").alias("cedulas"))
+    ids = result.found.agg(F.coalesce(F.sum("cedulas"), F.lit(0)).cast("long").alias("cedulas"))
     counts = [df.agg(F.count(F.lit(1)).alias(n)) for df, n in ((result.phones, "telephones"), (result.emails, "emails"), (result.names, "patient_names"))]
     for c in counts:
         ids = ids.crossJoin(c)  # one row each

@@ -86,16 +86,16 @@ headers AS (SELECT id, name, '<table><tr><td class="td_label">Nombre</td><td cla
 
 
 def attachment_rows(spark: SparkSession, d: str) -> DataFrame:
-    data = F.concat(F.lit("%PDF-1.4 "), F.substring("text", 1, 120)).cast("binary")
+    data = F.concat(F.lit("%PDF-1.4 "), "text").cast("binary")
     html = F.concat(F.lit('<pre id="b64">'), T.base64_plain(data), F.lit("</pre>"))
-    return read_table(spark, d, "documents").where("doc_id % 5 = 0").select("doc_id", html.alias("html"))
+    return read_table(spark, d, "documents").select("doc_id", html.alias("html"))
 
 
-ATTACHMENTS = """attached AS (SELECT doc_id, '<pre id="b64">' || to_base64(encode('%PDF-1.4 ' || substring(text, 1, 120))) || '</pre>' AS html FROM documents WHERE doc_id % 5 = 0),
+ATTACHMENTS = """attached AS (SELECT doc_id, '<pre id="b64">' || to_base64(encode('%PDF-1.4 ' || text)) || '</pre>' AS html FROM documents),
 raw AS (SELECT doc_id, regexp_extract(html, '<pre id="b64">(.*)</pre>', 1) AS b64 FROM attached),
 bytes AS (SELECT doc_id, b64, from_base64(b64) AS data FROM raw WHERE length(b64) >= 100)"""
 
-# Patterns and rewrites in DuckDB, whose regular expressions have ASCII word boundaries.
+# The identifiers' shapes for DuckDB, whose regular expressions have ASCII word boundaries.
 EMAIL = r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b"
 CEDULA = r"\b(?:\d{1,3}(?:\.\d{3}){1,2}[-/]?\d?|\d{7,8}[-/]?\d?)\b"
 PHONE = r"\+598[\s.\-]?\d{1,2}[\s.\-]?\d{3}[\s.\-]?\d{3,4}\b|\b09\d[\s.\-]?\d{3}[\s.\-]?\d{3}\b|\b(?:2|4)\d{3}[\s.\-]?\d{4}\b"
@@ -172,18 +172,22 @@ def page_ordinals(spark, d):
 
 
 def _footers(spark, d):
+    """Footer of the page that a customer looks at: page o_custkey % 3 + 1 or the last one, ten rows a page."""
     count = read_table(spark, d, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
-    return count.select("o_custkey", F.concat(F.lit("Mostrando del 1 al "), F.least(F.lit(10), "n").cast("string"), F.lit("  de "), F.col("n").cast("string"), F.lit(" RESULTADOS")).alias("line"), F.concat(F.lit("Todos los registros ("), F.col("n").cast("string"), F.lit(")")).alias("side"))
+    first = (F.least(F.col("o_custkey") % 3, F.floor((F.col("n") - 1) / 10)) * 10 + 1).cast("long")
+    line = F.concat(F.lit("Mostrando del "), first.cast("string"), F.lit(" al "), F.least(first + 9, "n").cast("string"), F.lit("  de "), F.col("n").cast("string"), F.lit(" RESULTADOS"))
+    return count.select("o_custkey", line.alias("line"), F.concat(F.lit("Todos los registros ("), F.col("n").cast("string"), F.lit(")")).alias("side"))
 
 
-FOOTERS = "footers AS (SELECT o_custkey, 'Mostrando del 1 al ' || least(10, count(*)) || '  de ' || count(*) || ' RESULTADOS' AS line, 'Todos los registros (' || count(*) || ')' AS side FROM orders GROUP BY o_custkey)"
+FOOTERS = """counts AS (SELECT o_custkey, count(*) AS n, least(o_custkey % 3, (count(*) - 1) // 10) * 10 + 1 AS f FROM orders GROUP BY o_custkey),
+footers AS (SELECT o_custkey, f, least(f + 9, n) AS t, n, 'Mostrando del ' || f || ' al ' || least(f + 9, n) || '  de ' || n || ' RESULTADOS' AS line, 'Todos los registros (' || n || ')' AS side FROM counts)"""
 
 
-@query(f"""WITH {FOOTERS}, g AS (SELECT o_custkey, CAST(regexp_extract(line, 'del\\s+(\\d+)', 1) AS INT) AS f, CAST(regexp_extract(line, 'al\\s+(\\d+)', 1) AS INT) AS t, CAST(regexp_extract(line, 'de\\s+(\\d+)', 1) AS INT) AS total FROM footers)
-SELECT o_custkey, f AS first, t AS last, total, CAST(1 AS INT) AS page, CAST(greatest(1, ceil(total / (t - f + 1.0))) AS INT) AS pages, CAST(t - f + 1 AS INT) AS page_size FROM g""")
+@query(f"""WITH {FOOTERS} SELECT o_custkey, CAST(f AS INT) AS first, CAST(t AS INT) AS last, CAST(n AS INT) AS total, CAST(greatest(1, ceil(f / (t - f + 1.0))) AS INT) AS page,
+  CAST(greatest(1, ceil(n / (t - f + 1.0))) AS INT) AS pages, CAST(t - f + 1 AS INT) AS page_size, CAST(f // 10 + 1 AS INT) AS nominal FROM footers""")
 def pagination_line(spark, d):
     rows = _footers(spark, d).select("o_custkey", L.total_line(F.col("line")).alias("l")).withColumn("p", L.pagination(F.col("l")))
-    return rows.select("o_custkey", F.col("l.from").alias("first"), F.col("l.to").alias("last"), "l.total", "p.page", "p.pages", "p.page_size")
+    return rows.select("o_custkey", F.col("l.from").alias("first"), F.col("l.to").alias("last"), "l.total", "p.page", "p.pages", "p.page_size", L.nominal_page(F.col("l.from")).alias("nominal"))
 
 
 @query(f"WITH {FOOTERS} SELECT o_custkey, CAST(regexp_extract(side, '\\((\\d+)\\)', 1) AS INT) AS n FROM footers")
@@ -317,15 +321,15 @@ DOCS = "docs AS (SELECT doc_id AS id, text FROM documents)"
 @query(f"WITH {DOCS}, {_sql_first_seen('docs', _email_keys('text'), 'emails')} SELECT key, n FROM emails")
 def email_tokens(spark, d):
     docs = read_table(spark, d, "documents").select("doc_id", "text")
-    return A.first_seen(A.token_places(docs, "doc_id", F.array("text"), "email"))
+    return A.first_seen(A.token_places(docs, "doc_id", "text", "email"))
 
 
-@query(f"WITH {DOCS}, {_sql_first_seen('docs', _email_keys('text'), 'emails')} SELECT id AS doc_id, {_sql_tokens('text', EMAIL, LOWER, 'emails_map', 'EMAIL')} AS text FROM docs, emails_map WHERE regexp_matches(text, '{EMAIL}')")
+@query(f"WITH {DOCS}, {_sql_first_seen('docs', _email_keys('text'), 'emails')} SELECT id AS doc_id, {_sql_tokens('text', EMAIL, LOWER, 'emails_map', 'EMAIL')} AS text FROM docs, emails_map")
 def email_replace(spark, d):
-    docs = read_table(spark, d, "documents").select("doc_id", "text").where(F.col("text").rlike(pii.EMAIL))
-    places = A.token_places(docs, "doc_id", F.array("text"), "email")
+    docs = read_table(spark, d, "documents").select("doc_id", "text")
+    places = A.token_places(docs, "doc_id", "text", "email")
     per = places.select("doc_id", "key").distinct().join(A.first_seen(places), "key").groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "n"))).alias("m"))
-    return docs.join(per, "doc_id").select("doc_id", A.replace_from_dictionary(F.col("text"), pii.EMAIL, pii.email_key, F.col("m"), "EMAIL").alias("text"))
+    return docs.join(per, "doc_id", "left").select("doc_id", A.replace_from_dictionary(F.col("text"), pii.EMAIL, pii.email_key, F.col("m"), "EMAIL").alias("text"))
 
 
 @query(f"SELECT doc_id, {_sql_cedula('text')} AS text FROM documents")
@@ -344,7 +348,7 @@ PHONE_KEYS = rf"list_transform(regexp_extract_all(text, '{PHONE}', 0), lambda e:
 
 @query(f"WITH {PHONES}, {LEFT}, {_sql_first_seen('lefts', PHONE_KEYS, 'tels')} SELECT key, n FROM tels")
 def phone_tokens(spark, d):
-    return A.first_seen(A.token_places(phone_rows(spark, d), "id", F.array("text"), "tel"))
+    return A.first_seen(A.token_places(phone_rows(spark, d), "id", "text", "tel"))
 
 
 ANON_PHONES = f"""WITH {PHONES}, {LEFT}, {_sql_first_seen('lefts', PHONE_KEYS, 'tels')}, {_sql_first_seen('phones', _email_keys('text'), 'emails')},
@@ -401,19 +405,34 @@ def anonymize_pages(spark, d):
     return A.anonymize(pages, order="page_id", text="html", markup=True).docs.select("page_id", T.sha256_hex(F.col("html")).alias("sha256"))
 
 
-@query(f"""WITH {PHONES}, lefts AS (SELECT id, {STUBBED} AS text FROM phones), after AS (SELECT id, {_sql_cedula('text')} AS text FROM lefts)
+def contact_rows(spark, d) -> DataFrame:
+    """Phone rows of which every seventh names a person after a label, and every fifth mentions one."""
+    key, name = F.col("id"), _pick(NAMES, "id")
+    label = F.when(key % 7 == 0, F.concat(F.lit("Paciente: "), name, F.lit("; "))).otherwise("")
+    mention = F.when(key % 5 == 0, F.concat(F.lit(", firma "), name)).otherwise("")
+    return phone_rows(spark, d).select("id", F.concat(label, F.col("text"), mention).alias("text"))
+
+
+CONTACTS = f"""{PHONES}, contacts AS (SELECT id, CASE WHEN id % 7 = 0 THEN 'Paciente: ' || ({_sql_list(NAMES)})[id % {len(NAMES)} + 1] || '; ' ELSE '' END || text
+  || CASE WHEN id % 5 = 0 THEN ', firma ' || ({_sql_list(NAMES)})[id % {len(NAMES)} + 1] ELSE '' END AS text FROM phones)"""
+
+
+@query(f"""WITH {CONTACTS}, lefts AS (SELECT id, {STUBBED} AS text FROM contacts), after AS (SELECT id, {_sql_cedula('text')} AS text FROM lefts)
 SELECT CAST((SELECT sum({_sql_cedula_count('text')}) FROM lefts) AS BIGINT) AS cedulas, (SELECT count(DISTINCT k) FROM (SELECT unnest({PHONE_KEYS}) AS k FROM after)) AS telephones,
-  (SELECT count(DISTINCT k) FROM (SELECT unnest({_email_keys('text')}) AS k FROM phones)) AS emails, CAST(0 AS BIGINT) AS patient_names""")
+  (SELECT count(DISTINCT k) FROM (SELECT unnest({_email_keys('text')}) AS k FROM contacts)) AS emails,
+  (SELECT count(DISTINCT lower(strip_accents(regexp_extract(text, 'Paciente: ([^;]+);', 1)))) FROM contacts WHERE starts_with(text, 'Paciente: ')) AS patient_names""")
 def anonymizer_stats(spark, d):
-    rows = phone_rows(spark, d)
-    return A.anonymizer_stats(rows, A.anonymize(rows, order="id", text="text", markup=False, names=False), text="text", markup=False)
+    return A.anonymizer_stats(A.anonymize(contact_rows(spark, d), order="id", text="text", markup=False))
 
 
-@query("SELECT count(*) AS rows, CAST(0 AS BIGINT) AS changed FROM customer")
+@query(f"""WITH {CONTACTS} SELECT count(*) AS rows, count_if(NOT regexp_matches(text, '(?i)paciente|firma')) AS without_names, CAST(0 AS BIGINT) AS changed, count_if(contains(text, 'Juan José')) AS left_over FROM contacts""")
 def anonymize_idempotent(spark, d):
-    once = A.anonymize(phone_rows(spark, d), order="id", text="text", markup=False).docs
+    """A second run changes nothing, and no address, number or name is left but the one that ends in an accented letter."""
+    once = A.anonymize(contact_rows(spark, d), order="id", text="text", markup=False).docs
     twice = A.anonymize(once, order="id", text="text", markup=False).docs.withColumnRenamed("text", "again")
-    return once.join(twice, "id").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("text") != F.col("again")).alias("changed"))
+    left = F.col("text").rlike("@|" + pii.PHONE + "|1\\.234\\.") | (F.col("text").rlike("Paciente|firma") & ~F.col("text").contains(pii.NAME_TOKEN))
+    counts = [F.count(F.lit(1)).alias("rows"), F.count_if(~F.col("text").rlike("(?i)paciente|firma")).alias("without_names"), F.count_if(F.col("text") != F.col("again")).alias("changed"), F.count_if(left).alias("left_over")]
+    return once.join(twice, "id").agg(*counts)
 
 
 @query(r"""SELECT page_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
@@ -509,18 +528,19 @@ def attachment_extract(spark, d):
 PAGE = "'<!DOCTYPE html>' || chr(10) || '<html lang=\"es\">' || chr(10) || '<head><meta charset=\"utf-8\"><title>' || t || '</title></head>' || chr(10) || '<body>' || chr(10) || '<h1>' || t || '</h1>' || chr(10) || '<dl>' || chr(10) || CASE WHEN d <> '' THEN '<dt>Descripción</dt><dd>' || d || '</dd>' || chr(10) ELSE '' END || '<dt>Archivo</dt><dd><a href=\"./' || f || '\">' || f || '</a></dd>' || chr(10) || '<dt>SHA-256</dt><dd><code>' || s || '</code></dd>' || chr(10) || '</dl>' || chr(10) || '<embed src=\"./' || f || '\" type=\"application/pdf\">' || chr(10) || '</body>' || chr(10) || '</html>'"
 
 
-@query(f"""SELECT doc_id, {PAGE} AS html FROM (SELECT doc_id, 'Laboratorio — 2026-01-02' AS t, replace(replace(replace(replace(substring(text, 1, 40), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS d, 'd' || doc_id || '.pdf' AS f, sha256(text) AS s FROM documents WHERE doc_id % 5 = 0)""")
+@query(f"""SELECT doc_id, {PAGE} AS html FROM (SELECT doc_id, 'Laboratorio — 2026-01-02' AS t, replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS d, 'd' || doc_id || '.pdf' AS f, sha256(text) AS s FROM documents)""")
 def attachment_html(spark, d):
-    docs, none = read_table(spark, d, "documents").where("doc_id % 5 = 0"), F.lit(None).cast("string")
-    page = H.attachment_page(F.concat(F.lit("d"), F.col("doc_id").cast("string")), F.lit("Laboratorio"), F.lit("2026-01-02"), T.sha256_hex(F.col("text")), F.substring("text", 1, 40), none, none)
+    docs, none = read_table(spark, d, "documents"), F.lit(None).cast("string")
+    page = H.attachment_page(F.concat(F.lit("d"), F.col("doc_id").cast("string")), F.lit("Laboratorio"), F.lit("2026-01-02"), T.sha256_hex(F.col("text")), F.col("text"), none, none)
     return docs.select("doc_id", page.alias("html"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 15 = 0 THEN 'base64 decode falló' WHEN doc_id % 15 = 5 THEN 'No es un PDF válido (magic number incorrecto)' END AS problem FROM documents WHERE doc_id % 5 = 0")
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'base64 decode falló' WHEN doc_id % 3 = 1 THEN 'No es un PDF válido (magic number incorrecto)' END AS problem FROM documents")
 def pdf_validate(spark, d):
-    key = F.col("doc_id") % 15
-    text = F.when(key == 0, "!!!no-es-base64!!!").when(key == 5, T.base64_plain(F.lit("hola mundo").cast("binary"))).otherwise(T.base64_plain(F.lit("%PDF-1.4 x").cast("binary")))
-    return read_table(spark, d, "documents").where("doc_id % 5 = 0").select("doc_id", pdf.pdf_problem(T.base64_bytes(text)).alias("problem"))
+    """Of every document: no base64, base64 of the text alone, and of the text as a PDF."""
+    key, text = F.col("doc_id") % 3, F.coalesce("text", F.lit(""))
+    data = F.when(key == 0, F.concat(F.lit("!"), text)).when(key == 1, T.base64_plain(F.concat(F.lit("hola "), text).cast("binary"))).otherwise(T.base64_plain(F.concat(F.lit("%PDF-1.4 "), text).cast("binary")))
+    return read_table(spark, d, "documents").select("doc_id", pdf.pdf_problem(T.base64_bytes(data)).alias("problem"))
 
 
 @query()
@@ -545,14 +565,14 @@ def captured(spark, d) -> DataFrame:
     key, text = F.col("doc_id"), F.col("text")
     return read_table(spark, d, "documents").select(
         "doc_id", F.concat(F.lit("d"), key.cast("string")).alias("id"), _pick(L.CATEGORIES, "doc_id").alias("categoria"), F.lit("2026-01-02").alias("fecha"),
-        F.when(key % 2 == 0, F.col("source")).alias("prestador"), F.when(key % 3 == 0, F.lit("Dra. X")).alias("profesional"), F.when(key % 5 != 0, F.substring("text", 1, 20)).alias("descripcion"),
+        F.when(key % 2 == 0, F.col("source")).alias("prestador"), F.when(key % 3 == 0, F.lit("Dra. X")).alias("profesional"), F.when(key % 5 != 0, F.col("text")).alias("descripcion"),
         F.lit("/v").alias("visualizarUrl"), F.lit("/c").alias("captureUrl"), F.lit("2026-01-02T03:04:05.678Z").alias("capturedAt"), T.sha256_hex(text).alias("sha256"),
         F.when(key % 4 == 0, F.lit("JVBERg==")).alias("attachmentBase64"), F.when(key % 8 == 0, M.PDF).when(key % 4 == 0, "text/plain").alias("attachmentMime"), F.when(key % 16 == 0, F.lit("ab")).alias("attachmentSha256"),
     )
 
 
 DOCUMENTS = f"""SELECT 'd' || doc_id AS id, 'docs/d' || doc_id || '.html' AS file, ({_sql_list(L.CATEGORIES)})[doc_id % {len(L.CATEGORIES)} + 1] AS categoria, '2026-01-02' AS fecha, CASE WHEN doc_id % 2 = 0 THEN source END AS prestador,
-  CASE WHEN doc_id % 3 = 0 THEN 'Dra. X' END AS profesional, CASE WHEN doc_id % 5 <> 0 THEN substring(text, 1, 20) END AS descripcion, '/v' AS "visualizarUrl", '/c' AS "captureUrl", '2026-01-02T03:04:05.678Z' AS "capturedAt",
+  CASE WHEN doc_id % 3 = 0 THEN 'Dra. X' END AS profesional, CASE WHEN doc_id % 5 <> 0 THEN text END AS descripcion, '/v' AS "visualizarUrl", '/c' AS "captureUrl", '2026-01-02T03:04:05.678Z' AS "capturedAt",
   sha256(text) AS sha256, CASE WHEN doc_id % 8 = 0 THEN 'docs/d' || doc_id || '.pdf' END AS "attachmentFile", CASE WHEN doc_id % 8 = 0 THEN 'application/pdf' END AS "attachmentMime", CASE WHEN doc_id % 16 = 0 THEN 'ab' END AS "attachmentSha256" FROM documents"""
 
 
@@ -561,9 +581,10 @@ def metadata_documents(spark, d):
     return M.document_rows(captured(spark, d))
 
 
-@query("SELECT 'd' || doc_id AS id, CASE WHEN doc_id % 7 = 0 THEN 'docs/d' || doc_id || '.html' ELSE 'docs/d' || doc_id || '.html' END AS file FROM documents")
+@query("SELECT 'd' || doc_id AS id, CASE WHEN doc_id % 7 = 0 THEN 'archivo/' || doc_id || '.htm' ELSE 'docs/d' || doc_id || '.html' END AS file FROM documents")
 def metadata_file_lookup(spark, d):
-    index = M.document_rows(captured(spark, d).where("doc_id % 7 = 0"))
+    """The index names a path of its own for every seventh document; the others have the usual one."""
+    index = M.document_rows(captured(spark, d).where("doc_id % 7 = 0")).withColumn("file", F.concat(F.lit("archivo/"), F.substring("id", 2, 20), F.lit(".htm")))
     return M.file_of(captured(spark, d).select("id"), index)
 
 

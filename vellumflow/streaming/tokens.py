@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
+# Fixed value: the shape of an address, for Python.
 EMAIL = re.compile(r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b", re.ASCII)
 OUTPUT = StructType(
     [StructField("run_id", StringType()), StructField("ordinal", LongType()), StructField("text", StringType()), StructField("slug", StringType()), StructField("sha256", StringType()), StructField("duplicate", BooleanType())]
