@@ -1,6 +1,7 @@
 """Operators on small tables, and properties."""
 
 import io
+import random
 import re
 import time
 import zipfile
@@ -83,12 +84,25 @@ def test_number_rows(spark):
     assert len(got) == 1000 and all(r.n == r.x + 1 for r in got)
 
 
-def test_unique_slugs(spark):
-    rows = [(1, "x"), (2, "x"), (3, "x-2"), (4, "x"), (5, ""), (6, None), (7, "x-2")]
-    df = spark.createDataFrame(rows, "i int, b string")
+def greedy_slugs(bases):
+    """Each row takes the first name of base, base-2, base-3, ... that no earlier row has."""
+    seen, out = set(), []
+    for b in bases:
+        b = b or "evento"
+        names = (b if n == 1 else f"{b}-{n}" for n in range(1, len(bases) + 2))
+        out.append(next(x for x in names if x not in seen))
+        seen.add(out[-1])
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_unique_slugs(spark, seed):
+    rng = random.Random(seed)
+    names = ["x", "x", "x", "x-2", "x-3", "x-2-2", "x-5", "y-2", "y", "y", "", None, "evento-2", "z-02", "x-2-3"]
+    bases = ["x", "x", "x-2", "x", "", None, "x-2"] if seed == 0 else [rng.choice(names) for _ in range(60)]
+    df = spark.createDataFrame([*enumerate(bases)], "i int, b string").repartition(5)
     got = {r.i: r.slug for r in C.unique_slugs(df, "b", F.col("i")).collect()}
-    assert got[1] == "x" and got[3] == "x-2" and got[2] == "x-3" and got[4] == "x-4" and got[5] == "evento" and got[6] == "evento-2"
-    assert len(set(got.values())) == len(rows)
+    assert [got[i] for i in range(len(bases))] == greedy_slugs(bases)
 
 
 def test_hash_operators(spark):

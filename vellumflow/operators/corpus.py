@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import timeline
 from ..plans.ranking import number_rows
+from ..plans.scratch import materialize
 
 
 def page_ordinals(records: DataFrame, *order: Column, size: int = timeline.PAGE_SIZE) -> DataFrame:
@@ -37,26 +39,68 @@ def not_yet_captured(docs: DataFrame, captured: DataFrame, sha: str) -> DataFram
     return docs.join(captured.select(sha).distinct(), sha, "left_anti")
 
 
+def number_in_groups(rows: DataFrame, group: str, *order: Column, name: str = "n") -> DataFrame:
+    """Add ``name``: 1, 2, ... in ``order`` within each ``group``, by ranks over all rows, so that a large group is not one task's."""
+    ranked = number_rows(rows, F.col(group), *order, name="_rank", tag="groups")
+    firsts = ranked.groupBy(group).agg(F.min("_rank").alias("_first")).withColumnRenamed(group, "_group")
+    return ranked.join(firsts, F.col(group) == F.col("_group")).withColumn(name, F.col("_rank") - F.col("_first") + 1).drop("_rank", "_first", "_group")
+
+
+def _numbered_form(base: str) -> tuple[Column, Column]:
+    """Stem and number of a base such as ``x-2``."""
+    pattern = r"^(.+)-([1-9]\d{0,8})$"
+    return F.regexp_extract(base, pattern, 1), F.regexp_extract(base, pattern, 2).try_cast("int")
+
+
+def _replay(clashes: pd.DataFrame) -> pd.DataFrame:
+    """(base, late, taken) of one family from (base, stem, k, place, before), in order of place.
+
+    ``before`` rows of the stem come before the first row of ``base``, which is the stem with -k. If one of them has been
+    given that name already, ``base`` comes late and starts with its number 2; otherwise the stem's rows skip k.
+    """
+    late: dict[str, bool] = {}
+    taken: dict[str, list[int]] = {}
+    for r in clashes.sort_values("place").itertuples(index=False):
+        reached = r.before + late.get(r.stem, False) if r.before else 0
+        for k in sorted(taken.get(r.stem, [])):
+            reached += k <= reached
+        if r.k <= reached:
+            late[r.base] = True
+        else:
+            taken.setdefault(r.stem, []).append(r.k)
+    bases = sorted(late.keys() | taken.keys())
+    return pd.DataFrame({"base": bases, "late": [late.get(b, False) for b in bases], "taken": [sorted(taken.get(b, [])) for b in bases]})
+
+
 def unique_slugs(rows: DataFrame, base: str, *order: Column, name: str = "slug", fallback: str = "evento") -> DataFrame:
-    """Add ``name``: the base for its first row, then base-2, base-3 and so on.
+    """Add ``name``: the base for its first row, then base-2, base-3 and so on, each row taking the first name not yet given.
 
-    A base that equals another one's numbered form makes numbers clash. Such bases, found by comparing bases without a final
-    number, are numbered on: a row takes the next number whose name is no base at all.
+    Names are given in ``order``, which should leave no ties. Numbers follow from ranks; only where a base equals another one's
+    numbered form (``x-2`` beside ``x``) does it matter which came first. Of such a pair of bases one row is replayed, in order,
+    by families of bases without their final numbers.
     """
     base_ = F.when(F.coalesce(F.col(base), F.lit("")) == "", fallback).otherwise(F.col(base))
-    rows = rows.withColumn("_base", base_)
-    n = F.row_number().over(Window.partitionBy("_base").orderBy(*order))
-    numbered = rows.withColumn("_n", n)
-    bases = numbered.where("_n = 1").select("_base").distinct()
-    # Numbers that are taken by other bases, per base.
-    stem, number = F.regexp_extract("_base", r"^(.+)-([1-9]\d{0,8})$", 1), F.regexp_extract("_base", r"^(.+)-([1-9]\d{0,8})$", 2).try_cast("int")
-    taken = bases.select(stem.alias("_base"), number.alias("_taken")).where("_taken >= 2")
-    taken = taken.join(bases, "_base", "left_semi").groupBy("_base").agg(F.array_sort(F.collect_set("_taken")).alias("_taken"))
-    joined = numbered.join(taken, "_base", "left")
-    # Skip every taken number that is not above the number reached so far.
-    free = F.aggregate(F.coalesce("_taken", F.array().cast("array<int>")), F.col("_n"), lambda at, t: F.when((at >= 2) & (t <= at), at + 1).otherwise(at))
-    slug = F.when(F.col("_n") == 1, F.col("_base")).otherwise(F.concat("_base", F.lit("-"), free.cast("string")))
-    return joined.withColumn(name, slug).drop("_base", "_n", "_taken")
+    numbered = materialize(number_in_groups(rows.withColumn("_base", base_), "_base", *order, name="_n").withColumn("_place", F.struct(*order)), "slugs")
+    firsts = numbered.where("_n = 1").select(F.col("_base").alias("base"), F.col("_place").alias("place"))
+    stem, k = _numbered_form("base")
+    pairs = firsts.select("base", "place", stem.alias("stem"), k.alias("k")).where("k >= 2")
+    pairs = pairs.join(firsts.select(F.col("base").alias("stem")), "stem")
+    own = numbered.select(F.col("_base").alias("stem"), F.col("_place").alias("own"))
+    before = pairs.join(own, "stem", "left").groupBy("base", "stem", "k", "place").agg(F.count_if(F.col("own") < F.col("place")).alias("before"))
+    before = materialize(before, "slugs-clashes")
+    joined = numbered
+    late, taken = F.lit(False), F.array().cast("array<int>")
+    if not before.isEmpty():
+        ranked = number_rows(before, F.col("place"), F.col("base"), name="at", tag="slugs-order").withColumn("family", F.regexp_replace("base", r"(-[1-9]\d{0,8})+$", ""))
+        replayed = ranked.select("family", "base", "stem", "k", F.col("at").alias("place"), "before").groupBy("family").applyInPandas(lambda pdf: _replay(pdf), "base string, late boolean, taken array<int>")
+        known = materialize(replayed, "slugs-replayed").withColumnsRenamed({"base": "_known", "late": "_late", "taken": "_taken"})
+        joined = numbered.join(known, F.col("_base") == F.col("_known"), "left").drop("_known")
+        late, taken = F.coalesce("_late", F.lit(False)), F.coalesce("_taken", taken)
+    number = F.col("_n") + F.when(late, 1).otherwise(0)
+    # The number-th of 1, 2, ... without those taken.
+    free = F.aggregate(taken, number, lambda at, t: F.when(t <= at, at + 1).otherwise(at))
+    slug = F.when(number == 1, F.col("_base")).otherwise(F.concat("_base", F.lit("-"), free.cast("string")))
+    return joined.withColumn(name, slug).drop("_base", "_n", "_place", "_late", "_taken")
 
 
 def totals(expected: Column | int, captured: DataFrame, failed: DataFrame) -> DataFrame:

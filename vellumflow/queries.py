@@ -263,10 +263,23 @@ def slugify(spark, d):
     return read_table(spark, d, "documents").select("doc_id", T.slugify(F.col("text")).alias("slug"))
 
 
-@query(f"SELECT p_partkey, CASE WHEN n = 1 THEN b ELSE b || '-' || n END AS slug FROM (SELECT p_partkey, {_sql_slug('p_brand')} AS b, row_number() OVER (PARTITION BY {_sql_slug('p_brand')} ORDER BY p_partkey) AS n FROM part) WHERE b NOT SIMILAR TO '.*-[0-9]+-[0-9]+'")
+@query(f"""WITH named AS (SELECT p_partkey, {_sql_slug('p_brand')} || CASE WHEN p_partkey % 7 = 0 THEN '-2' WHEN p_partkey % 11 = 0 THEN '-3' ELSE '' END AS b FROM part),
+n AS (SELECT p_partkey, b, row_number() OVER (PARTITION BY b ORDER BY p_partkey) AS n, min(p_partkey) OVER (PARTITION BY b) AS first FROM named),
+stems AS (SELECT DISTINCT b, first, regexp_extract(b, '^(.+)-([23])$', 1) AS stem, CAST(regexp_extract(b, '^(.+-[0-9]+)-([23])$', 2) AS VARCHAR) AS k FROM n),
+lits AS (SELECT b, stem, CAST(k AS INT) AS k, first, (SELECT count(*) FROM n WHERE n.b = stem AND n.p_partkey < stems.first) AS before FROM stems WHERE k <> '' AND stem IN (SELECT b FROM n)),
+two AS (SELECT *, k <= before AS late FROM lits WHERE k = 2),
+three AS (SELECT lits.*, 3 <= lits.before + CASE WHEN two.late = false AND two.first < lits.first AND lits.before >= 2 THEN 1 ELSE 0 END AS late FROM lits LEFT JOIN two ON two.stem = lits.stem WHERE lits.k = 3),
+lit AS (SELECT b, stem, k, late FROM two UNION ALL SELECT b, stem, k, late FROM three),
+taken AS (SELECT stem, list_sort(list(k)) AS ks FROM lit WHERE NOT late GROUP BY stem),
+m AS (SELECT n.p_partkey, n.b, n.n + CASE WHEN coalesce(late, false) THEN 1 ELSE 0 END AS m, coalesce(ks, []) AS ks FROM n LEFT JOIN lit ON lit.b = n.b LEFT JOIN taken ON taken.stem = n.b)
+SELECT p_partkey, CASE WHEN m = 1 THEN b ELSE b || '-' || (m + CASE WHEN list_contains(ks, 2) AND m >= 2 THEN 1 ELSE 0 END
+  + CASE WHEN list_contains(ks, 3) AND m + CASE WHEN list_contains(ks, 2) AND m >= 2 THEN 1 ELSE 0 END >= 3 THEN 1 ELSE 0 END) END AS slug FROM m""")
 def unique_slug(spark, d):
-    rows = read_table(spark, d, "part").select("p_partkey", T.slugify(F.col("p_brand")).alias("base"))
-    return C.unique_slugs(rows, "base", F.col("p_partkey")).select("p_partkey", "slug")
+    """Brands as names; some parts are named by another brand's second or third name outright."""
+    key = F.col("p_partkey")
+    literal = F.when(key % 7 == 0, "-2").when(key % 11 == 0, "-3").otherwise("")
+    rows = read_table(spark, d, "part").select("p_partkey", F.concat(T.slugify(F.col("p_brand")), literal).alias("base"))
+    return C.unique_slugs(rows, "base", key).select("p_partkey", "slug")
 
 
 EVENT_NAME = f"{DATE} || '_' || {_sql_slug(CATEGORY)} || CASE WHEN custkey % 5 = 0 THEN '' WHEN custkey % 5 = 1 THEN '_sin-descripcion' ELSE '_consulta-' || (custkey % 5) END"
