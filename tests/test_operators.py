@@ -1,6 +1,9 @@
 """Operators on small tables, and properties."""
 
+import base64
+import hashlib
 import io
+import json
 import random
 import re
 import time
@@ -15,9 +18,12 @@ from vellumflow.functions import html as H
 from vellumflow.operators import anonymize as A
 from vellumflow.operators import corpus as C
 from vellumflow.operators import metadata as M
+from vellumflow.operators import package as K
 from vellumflow.plans.ranking import number_rows
+from vellumflow.sources import archive
 from vellumflow.sources.archive import read_packages, zip_packages
 from vellumflow.sources.listing import list_records, read_details
+from vellumflow.streaming.control import Run
 
 HTML = "<html><p>Paciente: Juan Pérez Prestador: X</p><p>CI 1.234.567-8, tel 099 123 456 y 2487 1234, mail A@e.com, a@E.com, b@e.com. <a href='mailto:a@e.com'>Perez, Juan</a></p><script>a@e.com</script></html>"
 
@@ -125,14 +131,19 @@ def test_metadata_leaves_out_what_is_absent(spark):
         [("a", "Vacunas", "2026-01-01", None, None, "d", "/v", "/c", "t", "s", None, None, None), ("b", "Otros", "2026-01-02", "p", "q", None, "/v", "/c", "t", "s", "JVBE", "application/pdf", "h")],
         "id string, categoria string, fecha string, prestador string, profesional string, descripcion string, visualizarUrl string, captureUrl string, capturedAt string, sha256 string, attachmentBase64 string, attachmentMime string, attachmentSha256 string",
     )
-    errors = spark.createDataFrame([], "categoria string, fecha string, descripcion string, url string, message string, occurredAt string")
+    kinds = "meta struct<categoria: string, fecha: string, descripcion: string>, url string, message string, occurredAt string"
+    errors = spark.createDataFrame([], kinds)
     at = F.lit("2026-04-20 10:30:00").cast("timestamp")
-    json = M.metadata(M.document_rows(docs), errors, order="id", expected=10, started_at=at, now=at, export_id=F.lit("e"), patient="P").first().json
+    text = M.metadata(docs, errors, order="id", expected=10, started_at=at, now=at, export_id=F.lit("e"), patient="P").first().json
     import json as j
 
-    got = j.loads(json)
+    got = j.loads(text)
     assert got["totals"] == {"expected": 10, "captured": 2, "failed": 0} and "anonymized" not in got and got["patient"] == {"displayName": "P"}
-    assert "prestador" not in got["documents"][0] and got["documents"][1]["attachmentFile"] == "docs/b.pdf" and "null" not in json
+    assert "prestador" not in got["documents"][0] and got["documents"][1]["attachmentFile"] == "docs/b.pdf" and "null" not in text
+    bad = spark.createDataFrame([((None, None, "b"), None, "m2", "t2"), (("Otros", None, None), "/u", "m1", "t1"), ((None, None, "a"), None, "m2", "t2")], kinds)
+    again = [M.metadata(docs, e, order="id", expected=10, started_at=at, now=at, export_id=F.lit("e"), redact=True, indent=False).first().json for e in (bad, bad.repartition(3))]
+    assert again[0] == again[1] and "\n" not in again[0] and "descripcion" not in j.loads(again[0])["documents"][0]
+    assert [e["message"] for e in j.loads(again[0])["errors"]] == ["m1", "m2", "m2"]
     assert got["exportedAt"] == "2026-04-20T10:30:00.000Z"
     assert "activada" in M.readme("x", anonymized=True) and "desactivada" in M.readme("x", anonymized=False)
     with pytest.raises(ValueError):
@@ -181,6 +192,83 @@ def test_paged_source(spark, tmp_path):
     assert sorted(tuple(r) for r in df.collect()) == [(1, "1.html", "<p>1</p>"), (2, "2.html", "<p>2</p>")] and df.rdd.getNumPartitions() == 2
 
 
+def small_pdf():
+    return b"%PDF-1.4\n1 0 obj\n<< /Type /Catalog /Pages 2 0 R >>\nendobj\n2 0 obj\n<< /Type /Pages /MediaBox [0 0 595 842] /Kids [3 0 R] >>\nendobj\n3 0 obj\n<< /Type /Page /Parent 2 0 R >>\nendobj\ntrailer\n<< /Root 1 0 R >>\nstartxref\n0\n%%EOF\n"
+
+
+def test_anonymize_and_pack_a_run(spark):
+    good, odd = (base64.b64encode(x).decode() for x in (small_pdf(), b"hola"))
+    kinds = "package string, n int, id string, html string, categoria string, fecha string, prestador string, profesional string, descripcion string, visualizarUrl string, captureUrl string, capturedAt string, sha256 string, attachmentBase64 string, attachmentMime string, attachmentSha256 string"
+    rest = ("Otros", "2026-01-02", None, None, None, "/v", "/c", "t", "old")
+    docs = spark.createDataFrame([("p", 1, "a", "<p>Paciente: Ana Gómez, a@e.com</p>", *rest, good, "application/pdf", "x"), ("p", 2, "b", "<p>ana gomez b@e.com</p>", *rest, odd, "application/pdf", "y"), ("q", 3, "c", "<p>A@E.com</p>", *rest, None, None, None)], kinds)
+    run = K.anonymize_captured(docs, order="n")
+    got = {r.id: r for r in run.docs.collect()}
+    assert got["a"].html == "<p>Paciente: [PACIENTE], [EMAIL_1]</p>" and got["b"].html == "<p>[PACIENTE] [EMAIL_2]</p>" and got["c"].html == "<p>[EMAIL_1]</p>"
+    assert all(r.sha256 == hashlib.sha256(r.html.encode()).hexdigest() for r in got.values())
+    new = base64.b64decode(got["a"].attachmentBase64)
+    assert new.startswith(small_pdf()) and len(new) > len(small_pdf()) and got["a"].attachmentSha256 == hashlib.sha256(new).hexdigest()
+    assert got["b"].attachmentBase64 == odd and got["b"].attachmentSha256 == "y" and got["c"].attachmentBase64 is None
+    assert {(r.id, r.level) for r in run.log.collect()} == {("a", "INFO"), ("b", "WARN")} and run.stats.first().emails == 2
+    now = F.lit("2026-04-20 10:30:00").cast("timestamp")
+    errors = spark.createDataFrame([], "package string, meta struct<categoria: string, fecha: string, descripcion: string>, url string, message string, occurredAt string")
+    log = spark.createDataFrame([], "package string, at timestamp, level string, message string, context string")
+    runs = spark.createDataFrame([("p", 5, "s", (1,)), ("q", 1, "s", (0,))], "package string, expected long, startedAt string, stats struct<emails: int>")
+    packed = K.build_packages(run.docs, errors, log, runs, now=now, anonymized=True, owner="Ana Gómez")
+    files = {(r.package, r.name): bytes(r.data) for r in read_packages(packed).collect()}
+    assert {n for p, n in files if p == "p"} == {"metadata.json", "log.txt", "README.txt", "docs/a.html", "docs/a.pdf", "docs/b.html", "docs/b.pdf"}
+    index = json.loads(files["p", "metadata.json"])
+    assert index["totals"] == {"expected": 5, "captured": 2, "failed": 0} and index["anonymization"]["tokens"] == ["[PACIENTE]", "[CI]", "[TEL_N]", "[EMAIL_N]"]
+    assert index["anonymization"]["files"] == ["docs/a.html", "docs/b.html"] and files["p", "log.txt"] == b"\n" and files["p", "docs/a.pdf"] == new
+    assert {r.filename for r in packed.collect()} == {"export_ana-gomez_2026-04-20_1030.zip"}
+
+
+def test_shards_are_bounded_and_lose_nothing(spark):
+    docs = spark.range(400).select(F.lit("p").alias("package"), F.concat(F.lit("d"), "id").alias("id"), F.repeat(F.lit("x"), 1000).alias("html"), F.lit(None).cast("string").alias("attachmentBase64"))
+    got = K.shard(docs.union(docs.limit(1).withColumn("package", F.lit("small"))), limit=20_000)
+    sizes = {r.package: r["count"] for r in got.groupBy("package").count().collect()}
+    assert sizes.pop("small") == 1 and sum(sizes.values()) == 400 and len(sizes) == 20 and max(sizes.values()) < 50
+
+
+def test_kept_packages(spark, tmp_path):
+    packages = spark.createDataFrame([("p", b"1", 1)], archive.SCHEMA)
+    root = str(tmp_path / "kept")
+    assert archive.package_to_give(archive.restore(spark, root, "zip"), lambda: packages).count() == 1
+    archive.keep(packages, root, "zip")
+    assert archive.package_to_give(archive.restore(spark, root, "zip"), lambda: packages.limit(0)).count() == 1
+    archive.clear(spark, root, "zip")
+    assert archive.restore(spark, root, "zip").count() == 0
+
+
+def test_run_control(spark, tmp_path):
+    for n in range(4):
+        spark.range(n * 10, n * 10 + 10).coalesce(1).write.parquet(str(tmp_path / "in" / f"{n}"))
+    spark.read.parquet(*(str(tmp_path / "in" / f"{n}") for n in range(4))).repartition(4).write.parquet(str(tmp_path / "flat"))
+    run = Run(spark, str(tmp_path / "flat"), lambda df: df, every=0.01)
+    with pytest.raises(ValueError):
+        run.pause()
+    run.start()
+    run.pause()
+    done = run.progress()["processed"]
+    assert run.progress()["state"] == "paused" and run.poll() == "paused"
+    run.resume()
+    assert run.poll() == "completed" and sorted(r.id for r in run.output().collect()) == list(range(40))
+    assert run.progress()["processed"] == 40 >= done and run.progress()["batches"] == 4
+    run.start()
+    run.cancel()
+    assert run.poll() == "cancelled"
+    with pytest.raises(ValueError):
+        run.resume()
+
+
+def test_run_tries_again_and_gives_up(spark, tmp_path):
+    spark.range(5).write.parquet(str(tmp_path / "in"))
+    waits = []
+    fail = F.raise_error(F.lit("no"))
+    run = Run(spark, str(tmp_path / "in"), lambda df: df.withColumn("x", F.when(F.col("id") >= 0, fail).cast("string")), every=0.01, wait=waits.append)
+    run.start()
+    assert run.poll() == "error" and waits == [1.0, 2.0] and run.progress()["processed"] == 0
+
+
 def test_stream_tokens(spark, tmp_path):
     from vellumflow.streaming.tokens import drop_captured, tokenize_stream
 
@@ -198,4 +286,12 @@ def test_stream_tokens(spark, tmp_path):
     got = {(r.run_id, r.ordinal): (r.text, r.slug, r.duplicate) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got["r", 1] == ("[EMAIL_1] [EMAIL_2]", "x", False) and got["r", 2] == ("[EMAIL_1]", "x-2", False)
     assert got["r", 3] == ("[EMAIL_2] [EMAIL_3]", "x-3", False) and got["r", 4] == ("[EMAIL_1]", "evento", True) and got["s", 1] == ("[EMAIL_1]", "x", False)
+    texts = [("r", 1, "CI 1.234.567-8 tel 099 123 456, 2487 1234 Ana Gómez"), ("r", 2, "Paciente: Ana Gómez; 099-123-456"), ("r", 3, "GOMEZ, Ana y 2024-2025 +598 99 123 456")]
+    spark.createDataFrame([(*t, "x") for t in texts], kinds).coalesce(1).write.parquet(str(tmp_path / "names"))
+    from vellumflow.streaming.run import run_to_end
+
+    streamed = {r.ordinal: r.text for r in run_to_end(spark, str(tmp_path / "names"), tokenize_stream).collect()}
+    docs = spark.createDataFrame(texts, "run_id string, ordinal long, text string")
+    batch = {r.ordinal: r.text for r in A.anonymize(docs, order="ordinal", text="text", markup=False, names_scope="cumulative").docs.collect()}
+    assert streamed == batch and streamed[1].endswith("Ana Gómez") and streamed[2] == "Paciente: [PACIENTE]; [TEL_1]" and streamed[3].startswith("[PACIENTE] y [TEL_3]")
     assert drop_captured(spark.createDataFrame([("r", "h"), ("r", "h")], "run_id string, sha256 string")).count() == 1

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .regex import S, translate_pattern
+from .regex import S, translate_pattern, trim
 from .text import base64_bytes, base64_plain
 
 #: Raw zones whole, other tags, and runs of text. A zone without its end reaches to the end; so does a tag.
@@ -52,13 +52,23 @@ def attribute_names(html: Column) -> Column:
 
 
 def diagnostics(html: Column) -> list[Column]:
-    """What a page holds when no record was found in it: counts by kind of element, attribute names, first rows and anchors."""
+    """What a page holds when no record was found in it: counts by kind of element, attribute names, first rows and anchors.
+
+    Of the first three rows 600 characters and 200 of their text, of the first ten anchors 120 and 80 of their text.
+    """
     def count(tag: str) -> Column:
         return F.regexp_count(html, F.lit(f"(?i)<{tag}[ >]")).cast("long").alias(f"n_{tag}")
 
-    rows = F.transform(F.slice(F.regexp_extract_all(html, F.lit(r"(?is)<tr[ >].*?</tr>"), F.lit(0)), 1, 3), lambda r: F.substring(r, 1, 600))
-    anchors = F.transform(F.slice(F.regexp_extract_all(html, F.lit(r"(?is)<a[ >].*?</a>"), F.lit(0)), 1, 10), lambda a: F.substring(a, 1, 120))
-    return [*map(count, ("a", "tr", "iframe", "form", "li")), F.array_join(attribute_names(html), " ").alias("attributes"), F.size(rows).cast("long").alias("row_samples"), F.array_join(anchors, "\n").alias("anchors")]
+    def samples(tag: str, most: int, long: int, short: int) -> tuple[Column, Column]:
+        found = F.slice(F.regexp_extract_all(html, F.lit(f"(?is)<{tag}[ >].*?</{tag}>"), F.lit(0)), 1, most)
+        plain = F.transform(found, lambda x: F.substring(trim(F.regexp_replace(x, "<[^>]*>", "")), 1, short))
+        return F.transform(found, lambda x: F.substring(x, 1, long)), plain
+
+    rows, row_texts = samples("tr", 3, 600, 200)
+    anchors, anchor_texts = samples("a", 10, 120, 80)
+    joined = ((rows, "rows"), (row_texts, "row_texts"), (anchors, "anchors"), (anchor_texts, "anchor_texts"))
+    kept = F.size(rows).cast("long").alias("row_samples")
+    return [*map(count, ("a", "tr", "iframe", "form", "li")), F.array_join(attribute_names(html), " ").alias("attributes"), kept, *(F.array_join(x, "\n").alias(n) for x, n in joined)]
 
 
 _META = translate_pattern("<meta\\s+charset\\s*=\\s*[\"']?[^\"'>\\s]+[\"']?\\s*/?>".replace("[^\"'>\\s]", "[^\"'>" + S[1:-1] + "]"), ignore_case=True)

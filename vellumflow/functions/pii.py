@@ -19,7 +19,9 @@ PHONE = f"\\+598{_GAP}\\d{{1,2}}{_GAP}\\d{{3}}{_GAP}\\d{{3,4}}{END}|{BEGIN}09\\d
 EMAIL_HINT, CEDULA_HINT, PHONE_HINT = "@", r"\d(?:\d{6}|\.\d{3})", f"09\\d|\\+598|[24]\\d{{3}}{_GAP}\\d{{4}}"
 REDACTED = f"^{S}*(?:\\[[A-Z_0-9]+\\]|\\*+|[Xx]+|[-—]+|N/?A|n/?a)?{S}*$"
 ID_TOKEN, NATIONAL_ID_TOKEN, NAME_TOKEN = "[ID]", "[CI]", "[PACIENTE]"
-TOKENS = ("[PACIENTE]", "[CI]", "[TEL_N]", "[EMAIL_N]", "[ID]")
+# Tokens that a manifest lists; header identifiers are replaced by ID_TOKEN, which it does not list.
+LISTED_TOKENS = ("[PACIENTE]", "[CI]", "[TEL_N]", "[EMAIL_N]")
+TOKENS = (*LISTED_TOKENS, ID_TOKEN)
 
 
 def email_key(match: Column) -> Column:

@@ -50,3 +50,8 @@ def rewrite(text: Column, pattern: str, change: Callable[[Column], Column], *, h
 
 def trim(text: Column) -> Column:
     return F.regexp_replace(text, f"^{S}+|{S}+$", "")
+
+
+def quote(text: Column) -> Column:
+    """A pattern that matches ``text`` itself."""
+    return F.regexp_replace(text, r"([.*+?^${}()|\[\]\\])", r"\\$1")

@@ -100,7 +100,7 @@ class Anonymized:
     emails: DataFrame  # key, n
     phones: DataFrame  # key, n
     names: DataFrame  # name, n
-    found: DataFrame  # order, email, tel, cedulas: what each document with an identifier holds
+    found: DataFrame  # _order, email, tel, cedulas: what each document with an identifier holds
 
 
 def find_names(docs: DataFrame, order: str, text: str, *, seeds: tuple[str, ...] = (), strict: bool = False) -> DataFrame:
@@ -155,19 +155,20 @@ def anonymize(
 
     Texts are read three times (identifiers, names, rewriting) and joined once, with what each document has to have replaced.
     """
-    spark, kind = docs.sparkSession, docs.schema[order].dataType
+    spark, at = docs.sparkSession, "_order"
     source = docs.withColumn(text, pii.rewrite_header_id(F.col(text))) if markup else docs
-    present = source.where(F.col(text).isNotNull()).select(order, text)
-    found = materialize(identifier_keys(present, order, text, markup), "identifiers")
-    places = {k: key_places(found, order, k) for k in PREFIXES}
+    narrow = [F.col(order).alias(at), F.col(text).alias("_text")]  # the caller's names may be any
+    present = source.where(F.col(text).isNotNull()).select(*narrow)
+    found = materialize(identifier_keys(present, at, "_text", markup), "identifiers")
+    places = {k: key_places(found, at, k) for k in PREFIXES}
     tables = {k: materialize(first_seen(p), f"tokens-{k}") for k, p in places.items()}
     # What is to be replaced: a row per document, kind and key.
-    entries = [places[k].select(order, "key").distinct().join(tables[k], "key").select(order, F.lit(k).alias("kind"), "key", "n") for k in PREFIXES]
+    entries = [places[k].select(at, "key").distinct().join(tables[k], "key").select(at, F.lit(k).alias("kind"), "key", "n") for k in PREFIXES]
     known = spark.createDataFrame([], "name string, first string, n long")
     if names:
-        known = materialize(find_names(docs.where(F.col(text).isNotNull()), order, text, seeds=seed_names, strict=strict_labels), "names")
+        known = materialize(find_names(docs.where(F.col(text).isNotNull()).select(*narrow), at, "_text", seeds=seed_names, strict=strict_labels), "names")
         if not known.isEmpty():
-            entries.append(names_by_document(present, order, text, known, names_scope).select(order, F.lit("name").alias("kind"), F.col("name").alias("key"), "n"))
+            entries.append(names_by_document(present, at, "_text", known, names_scope).select(at, F.lit("name").alias("kind"), F.col("name").alias("key"), "n"))
     rows = functools.reduce(DataFrame.unionByName, entries)
 
     def of(kind: str) -> Column:
@@ -175,9 +176,8 @@ def anonymize(
 
     columns = [F.map_from_entries(F.nullif(of(k), F.array().cast("array<struct<key:string,n:bigint>>"))).alias(f"_{k}") for k in PREFIXES]
     ordered = F.array_sort(F.transform(of("name"), lambda r: F.struct(r["n"].alias("n"), r["key"].alias("name"))))
-    per = rows.groupBy(F.col(order).alias("_order")).agg(*columns, F.transform(ordered, lambda r: pii.name_pattern(r["name"])).alias("_names"))
-    per = materialize(per.select(F.col("_order").cast(kind), *(c for c in per.columns if c != "_order")), "replacements")
-    out = source.join(per, F.col(order) == F.col("_order"), "left")
+    per = rows.groupBy(at).agg(*columns, F.transform(ordered, lambda r: pii.name_pattern(r["name"])).alias("_names"))
+    out = source.join(materialize(per, "replacements"), F.col(order) == F.col(at), "left")
 
     def change(part: Column) -> Column:
         def ids(p: Column) -> Column:

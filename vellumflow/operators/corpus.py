@@ -124,6 +124,11 @@ def last_rows(rows: DataFrame, order: str, n: int, *, newest_first: bool = False
     return last if newest_first else last.orderBy(order)
 
 
+def feed(events: DataFrame, key: str, order: str, n: int = 20) -> DataFrame:
+    """(key, order) of the ``n`` newest entries of a feed that takes each key once, when it first comes; newest first."""
+    return last_rows(events.groupBy(key).agg(F.min(order).alias(order)), order, n, newest_first=True)
+
+
 def log_line(at: Column, level: Column, message: Column, context: Column) -> Column:
     """Instant, level padded to five, message, and the context where there is one."""
     padded = F.when(F.length(level) < 5, F.rpad(level, 5, " ")).otherwise(level)

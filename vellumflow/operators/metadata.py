@@ -22,13 +22,22 @@ def file_of(ids: DataFrame, documents: DataFrame) -> DataFrame:
     return ids.join(known, "id", "left").withColumn("file", F.coalesce("_file", html_path(F.col("id")))).drop("_file")
 
 
-def document_rows(docs: DataFrame) -> DataFrame:
-    """Index rows of captured documents; optional fields are null where absent, so ``to_json`` leaves them out.
+#: Columns of an index row.
+INDEX = ("id", "file", "categoria", "fecha", "prestador", "profesional", "descripcion", "visualizarUrl", "captureUrl", "capturedAt", "sha256", "attachmentFile", "attachmentMime", "attachmentSha256")
 
-    Attachment fields are there only for an attachment that is a PDF.
+
+def document_rows(docs: DataFrame, *keys: str, redact: bool = False) -> DataFrame:
+    """Index rows of captured documents, after ``keys``; optional fields are null where absent, so ``to_json`` leaves them out.
+
+    Attachment fields are there only for an attachment that is a PDF. With ``redact`` the free texts that may name a person
+    (professional, description) are left out, and addresses end before their query.
     """
+    if redact:
+        none = F.lit(None).cast("string")
+        docs = docs.withColumns({"profesional": none, "descripcion": none} | {c: F.regexp_replace(c, r"[?#].*$", "") for c in ("visualizarUrl", "captureUrl")})
     pdf = F.col("attachmentBase64").isNotNull() & (F.col("attachmentBase64") != "") & (F.col("attachmentMime") == PDF)
     return docs.select(
+        *keys,
         "id",
         html_path(F.col("id")).alias("file"),
         *("categoria fecha prestador profesional descripcion visualizarUrl captureUrl capturedAt sha256".split()),
@@ -38,12 +47,12 @@ def document_rows(docs: DataFrame) -> DataFrame:
     )
 
 
-def error_rows(errors: DataFrame) -> DataFrame:
-    """Index rows of errors (meta struct, url, message, occurredAt)."""
-    return errors.select("meta.categoria", "meta.fecha", "meta.descripcion", "url", "message", "occurredAt")
+def error_rows(errors: DataFrame, *keys: str) -> DataFrame:
+    """Index rows of errors (meta struct, url, message, occurredAt), after ``keys``."""
+    return errors.select(*keys, "meta.categoria", "meta.fecha", "meta.descripcion", "url", "message", "occurredAt")
 
 
-def manifest(*, by: str, version: str, stats: Column, files: Column, tokens: tuple[str, ...] = pii.TOKENS) -> Column:
+def manifest(*, by: str, version: str, stats: Column, files: Column, tokens: tuple[str, ...] = pii.LISTED_TOKENS) -> Column:
     """What was pseudonymised, how, and in which files."""
     return F.struct(
         F.lit(by).alias("by"), F.lit(version).alias("version"), F.lit("basic").alias("scope"), F.array(*map(F.lit, tokens)).alias("tokens"), stats.alias("stats"), files.alias("files")
@@ -55,25 +64,40 @@ def check_manifest(files: DataFrame) -> DataFrame:
     return files.where(F.col("declared") & ~F.col("html").rlike(r"\[[A-Z_0-9]+\]"))
 
 
-def metadata(
-    documents: DataFrame, errors: DataFrame, *, order: str, expected: int, started_at: Column, now: Column, export_id: Column, patient: str, document_hash: str | None = None,
-    portal: str = "", base_url: str = "", anonymization: Column | None = None,
+def metadata_by(
+    docs: DataFrame, errors: DataFrame, runs: DataFrame, *, by: str, order: str, now: Column, anonymized: bool = False, version: str = "1.0.0", patient: str = "paciente",
+    document_hash: str | None = None, portal: str = "", base_url: str = "", redact: bool = False, export_id: Column | None = None, indent: bool = True,
 ) -> DataFrame:
-    """One row, ``json``: the whole index of one package.
+    """(``by``, json): the index of each package of captured documents. ``runs``: ``by``, expected, startedAt and, where pseudonymised, stats.
 
-    An index of one package is one JSON document, so it is as large as the package has rows; large corpora are packed as many.
+    Documents are in ``order``, errors by time, then message, address and kind. A package is bounded by its bytes, see
+    ``package.shard``, and so is its index.
     """
-    docs = documents.agg(F.array_sort(F.collect_list(F.struct(order, F.struct(*(c for c in documents.columns if c != order)).alias("d")))).alias("docs"), F.count(F.lit(1)).alias("captured"))
-    errs = errors.agg(F.collect_list(F.struct(*errors.columns)).alias("errors"), F.count(F.lit(1)).alias("failed"))
-    fields = [
-        F.lit(SCHEMA_VERSION).alias("schemaVersion"), export_id.alias("exportId"), iso_instant(now).alias("exportedAt"), iso_instant(started_at).alias("startedAt"),
+    rows = document_rows(docs, F.col(order).alias("_at"), F.col(by).alias("_by"), redact=redact)
+    per = rows.groupBy("_by").agg(F.array_sort(F.collect_list(F.struct("_at", F.struct(*INDEX).alias("d")))).alias("_docs"), F.count(F.lit(1)).alias("_captured"))
+    fields = ("categoria", "fecha", "descripcion", "url", "message", "occurredAt")
+    bad = error_rows(errors, F.col(by).alias("_of")).groupBy("_of").agg(F.collect_list(F.struct("occurredAt", "message", "url", "categoria", "fecha", "descripcion")).alias("_errors"))
+    both = per.join(bad, F.col("_by") == F.col("_of"), "left").join(runs, F.col("_by") == F.col(by), "left")
+    listed = F.transform(F.array_sort(F.coalesce("_errors", F.array())), lambda e: F.struct(*(e[f].alias(f) for f in fields)))
+    said = []
+    if anonymized:
+        files = F.transform("_docs", lambda x: x["d"]["file"])
+        said = [F.lit(True).alias("anonymized"), F.lit("basic").alias("anonymizationScope"), manifest(by="vellumflow", version=version, stats=F.col("stats"), files=files).alias("anonymization")]
+    whole = F.struct(
+        F.lit(SCHEMA_VERSION).alias("schemaVersion"), (F.uuid() if export_id is None else export_id).alias("exportId"), iso_instant(now).alias("exportedAt"), F.col("startedAt"),
         F.struct(F.lit(portal).alias("portal"), F.lit(base_url).alias("baseUrl")).alias("source"),
         F.struct(F.lit(patient).alias("displayName"), F.lit(document_hash).cast("string").alias("documentHash")).alias("patient"),
-        *([F.lit(True).alias("anonymized"), F.lit("basic").alias("anonymizationScope"), anonymization.alias("anonymization")] if anonymization is not None else []),
-        F.struct(F.lit(expected).cast("long").alias("expected"), F.col("captured"), F.col("failed")).alias("totals"),
-        F.transform("docs", lambda x: x["d"]).alias("documents"), F.col("errors"),
-    ]
-    return docs.crossJoin(errs).select(F.to_json(F.struct(*fields), {"pretty": "true"}).alias("json"))  # one row each
+        *said, F.struct(F.col("expected").cast("long").alias("expected"), F.col("_captured").alias("captured"), F.size(listed).cast("long").alias("failed")).alias("totals"),
+        F.transform("_docs", lambda x: x["d"]).alias("documents"), listed.alias("errors"),
+    )
+    return both.select(F.col("_by").alias(by), F.to_json(whole, {"pretty": "true"} if indent else {}).alias("json"))
+
+
+def metadata(documents: DataFrame, errors: DataFrame, *, order: str, expected: int, started_at: Column, now: Column, **options) -> DataFrame:
+    """One row, ``json``: the index of one package of captured documents."""
+    one = documents.sparkSession.range(1).select(F.lit("").alias("package"), F.lit(expected).alias("expected"), iso_instant(started_at).alias("startedAt"))
+    key = {"package": F.lit("")}
+    return metadata_by(documents.withColumns(key), errors.withColumns(key), one, by="package", order=order, now=now, **options).select("json")
 
 
 def readme(now: str, *, anonymized: bool) -> str:

@@ -10,15 +10,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import html as H
-from .functions import pdf, pii
+from .functions import pdf, pii, regex, routes
 from .functions import text as T
 from .functions import timeline as L
 from .operators import anonymize as A
 from .operators import corpus as C
 from .operators import metadata as M
-from .sources.archive import zip_packages
-from .sources.listing import list_records
+from .operators import package as K
+from .sources.archive import read_packages, zip_packages
+from .sources.listing import list_records, read_details
 from .sources.tables import read_table, table_path
+from .streaming.control import Run
 from .streaming.run import run_to_end
 from .streaming.tokens import drop_captured, tokenize_stream
 
@@ -255,6 +257,42 @@ def listing_records(spark, d):
     return list_records(pages.select("page", html.alias("html"))).select("page", "id", "href", "categoria", "fecha", "prestador", "profesional", "descripcion")
 
 
+@query("""WITH totals AS (SELECT CAST(o_custkey % 40 AS VARCHAR) AS package, count(*) AS total FROM orders GROUP BY 1),
+wanted AS (SELECT package, unnest(generate_series(1, CAST(greatest(1, ceil(total / 10.0)) AS BIGINT))) AS page FROM totals)
+SELECT package, page, CASE WHEN page % 5 IN (3, 4) THEN 'No se pudo posicionar la página ' || page END AS error FROM wanted""")
+def paginated_scan(spark, d):
+    """Listings of records of ten rows a page. Of every five pages one is missing and one is empty; a page beyond the last is passed over."""
+    rows = read_table(spark, d, "orders").select((F.col("o_custkey") % 40).cast("string").alias("package"), "o_orderkey")
+    totals = rows.groupBy("package").agg(F.count(F.lit(1)).alias("total"))
+    numbers = F.sequence(F.lit(1).cast("long"), L.page_count(F.col("total")) + 1)
+    pages = totals.select("package", F.explode(numbers).alias("page")).where("page % 5 <> 3").withColumn("html", F.when(F.col("page") % 5 == 4, " ").otherwise("<table></table>"))
+    there, errors = K.paginated_scan(pages, totals)
+    return K.append_all(there.select("package", "page"), errors.select("package", F.regexp_extract("message", r"(\d+)$", 1).cast("long").alias("page"), F.col("message").alias("error")))
+
+
+@query("""SELECT c_custkey AS id, n_chars FROM customer JOIN documents ON doc_id = c_custkey % 2000 WHERE length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) >= 200 OR doc_id % 9 = 0""")
+def listing_details(spark, d):
+    """Listed records with their pages where these are ready: by text, or every ninth by an attachment."""
+    listing = read_table(spark, d, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 2000).alias("key"))
+    details = read_table(spark, d, "documents").select(F.col("doc_id").alias("key"), F.col("text").alias("html"), F.when(F.col("doc_id") % 9 == 0, F.repeat(F.lit("A"), 200)).alias("b64"), "n_chars")
+    return read_details(listing, details, key="key").select("id", "n_chars")
+
+
+@query("SELECT page_id, sha256(CASE WHEN page_id % 2 = 0 THEN '<!DOCTYPE html>' ELSE '<!DOCTYPE svg>' END || chr(10) || html) AS sha256 FROM pages")
+def serialize_document(spark, d):
+    doctype = F.when(F.col("page_id") % 2 == 1, "<!DOCTYPE svg>")
+    return read_table(spark, d, "pages").select("page_id", T.sha256_hex(H.serialize_document(doctype, F.col("html"))).alias("sha256"))
+
+
+@query("SELECT c_custkey AS id, c_custkey % 6 IN (0, 1, 3) AS record, c_custkey % 6 = 4 AS listing, c_custkey % 6 IN (0, 3, 4) AS portal, c_custkey % 6 IN (0, 1, 2, 3, 4) AS host FROM customer")
+def route_predicates(spark, d):
+    """Addresses of records and listings, at the portal, at its host by another scheme, at none."""
+    urls = ("https://portal.example/app/record?7", "http://portal.example/app/RECORD", "https://portal.example:8443/app/records", "https://u:p@portal.example:443/app/record", "https://PORTAL.example/app/list?all=1#x", "about:blank")
+    hosts = F.when(F.col("c_custkey") % 6 == 2, routes.on_host(F.col("url"), "portal.example:8443")).otherwise(routes.on_host(F.col("url"), "portal.example"))
+    rows = read_table(spark, d, "customer").select("c_custkey", _pick(urls, "c_custkey").alias("url"))
+    return rows.select(F.col("c_custkey").alias("id"), routes.has_route(F.col("url"), "/app/record").alias("record"), routes.has_route(F.col("url"), "/app/list").alias("listing"), routes.at_portal(F.col("url"), "https://portal.example").alias("portal"), hosts.alias("host"))
+
+
 # --- names of records and files ----------------------------------------------------------------------------------------------
 
 
@@ -472,11 +510,16 @@ def url_routes(spark, d):
     return read_table(spark, d, "pages").select("page_id", F.lower(F.parse_url("url", F.lit("HOST"))).alias("host"), F.col("url").rlike(r"/en/\d+").alias("detail"), F.col("url").contains("?").alias("with_query"))
 
 
+def _samples(tag: str, most: int, chars: int, plain: bool) -> str:
+    x = "regexp_replace(regexp_replace(x, '<[^>]*>', '', 'g'), '^\\s+|\\s+$', '', 'g')" if plain else "x"
+    return f"array_to_string(list_transform(regexp_extract_all(html, '(?is)<{tag}[ >].*?</{tag}>')[1:{most}], lambda x: substring({x}, 1, {chars})), chr(10))"
+
+
 @query(r"""WITH t AS (SELECT page_id, html, list_filter(regexp_extract_all(html, 'SEGMENT', 0), lambda s: regexp_matches(s, '^<[A-Za-z]')) AS tags FROM pages),
 names AS (SELECT page_id, array_to_string(list_sort(list_distinct(flatten(list_transform(tags, lambda s: list_transform(regexp_extract_all(s, '\s([A-Za-z][A-Za-z0-9_-]*)=', 1), lambda n: lower(n)))))), ' ') AS attributes FROM t)
 SELECT page_id, len(regexp_extract_all(html, '(?i)<a[ >]')) AS n_a, len(regexp_extract_all(html, '(?i)<tr[ >]')) AS n_tr, len(regexp_extract_all(html, '(?i)<iframe[ >]')) AS n_iframe,
   len(regexp_extract_all(html, '(?i)<form[ >]')) AS n_form, len(regexp_extract_all(html, '(?i)<li[ >]')) AS n_li, attributes, CAST(least(3, len(regexp_extract_all(html, '(?is)<tr[ >].*?</tr>'))) AS BIGINT) AS row_samples,
-  array_to_string(list_transform(regexp_extract_all(html, '(?is)<a[ >].*?</a>')[1:10], lambda a: substring(a, 1, 120)), chr(10)) AS anchors FROM t JOIN names USING (page_id)""".replace("SEGMENT", SEGMENT))
+  array_to_string(list_transform(regexp_extract_all(html, '(?is)<a[ >].*?</a>')[1:10], lambda a: substring(a, 1, 120)), chr(10)) AS anchors, ROWS AS rows, ROWTEXTS AS row_texts, ATEXTS AS anchor_texts FROM t JOIN names USING (page_id)""".replace("SEGMENT", SEGMENT).replace("ROWTEXTS", _samples("tr", 3, 200, True)).replace("ROWS", _samples("tr", 3, 600, False)).replace("ATEXTS", _samples("a", 10, 80, True)))
 def dom_diagnostics(spark, d):
     return read_table(spark, d, "pages").select("page_id", *H.diagnostics(F.col("html")))
 
@@ -556,19 +599,23 @@ def pdf_validate(spark, d):
     return read_table(spark, d, "documents").select("doc_id", pdf.pdf_problem(T.base64_bytes(data)).alias("problem"))
 
 
-@query()
+@query("SELECT doc_id, doc_id % 7 <> 0 AS ok, CASE WHEN doc_id % 7 = 0 THEN 'No es un PDF válido (magic number incorrecto)' END AS reason, doc_id % 7 <> 0 AS changed, CASE WHEN doc_id % 7 = 0 THEN 0 ELSE doc_id % 3 + 1 END AS pages FROM documents")
 def pdf_redact(spark, d):
-    """Small files of one to three pages, covered; every seventh is no PDF."""
-    key = F.col("doc_id")
-    kids = F.array_join(F.transform(F.sequence(F.lit(3), (3 + key % 3).cast("int")), lambda i: F.concat(i.cast("string"), F.lit(" 0 R"))), " ")
-    page = lambda i: F.concat(i.cast("string"), F.lit(" 0 obj\n<< /Type /Page /Parent 2 0 R >>\nendobj\n"))
-    text = F.concat(
+    """Files of one to three pages with the document as their contents, covered; every seventh is no PDF. Each page gets contents of its own."""
+    key, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    numbers = F.sequence(F.lit(3), (3 + key % 3).cast("int"))
+    kids = F.array_join(F.transform(numbers, lambda i: F.concat(i.cast("string"), F.lit(" 0 R"))), " ")
+    page = lambda i: F.concat(i.cast("string"), F.lit(" 0 obj\n<< /Type /Page /Parent 2 0 R /Contents 9 0 R >>\nendobj\n"))
+    whole = F.concat(
         F.lit("%PDF-1.4\n1 0 obj\n<< /Type /Catalog /Pages 2 0 R >>\nendobj\n2 0 obj\n<< /Type /Pages /MediaBox [0 0 595 842] /Kids ["), kids, F.lit("] >>\nendobj\n"),
-        F.array_join(F.transform(F.sequence(F.lit(3), (3 + key % 3).cast("int")), page), ""), F.lit("trailer\n<< /Root 1 0 R >>\nstartxref\n0\n%%EOF\n"),
+        F.array_join(F.transform(numbers, page), ""), F.lit("9 0 obj\n<< /Length "), F.octet_length(text).cast("string"), F.lit(" >>\nstream\n"), text,
+        F.lit("\nendstream\nendobj\ntrailer\n<< /Root 1 0 R >>\nstartxref\n0\n%%EOF\n"),
     )
-    data = F.when(key % 7 == 0, "hola").otherwise(text).cast("binary")
-    done = read_table(spark, d, "documents").select("doc_id", pdf.redact_pdf(data).alias("r"))
-    return done.select("doc_id", "r.ok", "r.sha256", "r.reason", F.octet_length("r.data").alias("bytes"))
+    data = F.when(key % 7 == 0, "hola").otherwise(whole).cast("binary")
+    done = read_table(spark, d, "documents").select("doc_id", data.alias("data"), pdf.redact_pdf(data).alias("r"))
+    new = F.expr("substring(r.data, octet_length(data) + 1, octet_length(r.data))").cast("string")
+    pages = F.when(F.col("r.ok"), F.regexp_count(new, F.lit(r"/Type\s*/Page\b"))).otherwise(0)
+    return done.select("doc_id", "r.ok", "r.reason", (F.col("r.data") != F.col("data")).alias("changed"), pages.cast("long").alias("pages"))
 
 
 # --- index, totals, logs -----------------------------------------------------------------------------------------------------
@@ -676,20 +723,111 @@ def backoff(spark, d):
     return read_table(spark, d, "events").select("event_id", T.backoff_ms(F.col("event_id") % 6).alias("ms"))
 
 
-@query()
+NOW = "2026-01-02 03:04:05"
+
+
+def run_tables(spark, d) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Documents, errors, log lines and runs, a run per source: an error for each label, a log line for each document."""
+    docs = captured(spark, d).join(read_table(spark, d, "documents").select("doc_id", F.col("source").alias("package"), F.col("text").alias("html")), "doc_id")
+    key = F.col("doc_id")
+    meta = F.struct(F.when(key % 2 == 0, "Vacunas").alias("categoria"), F.lit(None).cast("string").alias("fecha"), F.lit(None).cast("string").alias("descripcion"))
+    errors = read_table(spark, d, "labels").join(docs.select("doc_id", "package"), "doc_id")
+    errors = errors.select("package", meta.alias("meta"), F.lit(None).cast("string").alias("url"), F.concat(F.lit("e"), key.cast("string")).alias("message"), F.lit("2026-01-01").alias("occurredAt"))
+    at = F.timestamp_seconds(key + 1_700_000_000)
+    log = docs.select("package", at.alias("at"), F.when(key % 10 == 0, "ERROR").otherwise("INFO").alias("level"), F.concat(F.lit("d"), key.cast("string")).alias("message"), F.lit(None).cast("string").alias("context"))
+    runs = docs.groupBy("package").agg((F.count(F.lit(1)) + 5).alias("expected")).select("package", "expected", F.lit("2026-01-01T00:00:00.000Z").alias("startedAt"), F.struct(F.lit(3).alias("emails")).alias("stats"))
+    return docs, errors, log, runs
+
+
+@query(f"""WITH d AS ({DOCUMENTS}), k AS (SELECT d.*, source AS package FROM d JOIN documents ON d.id = 'd' || doc_id),
+e AS (SELECT source AS package, count(*) AS failed FROM labels JOIN documents USING (doc_id) GROUP BY 1)
+SELECT k.*, n.captured, n.captured + 5 AS expected, coalesce(failed, 0) AS failed, '2026-01-02T03:04:05.000Z' AS "exportedAt", row_number() OVER (PARTITION BY k.package ORDER BY k.id) - 1 AS place
+FROM k JOIN (SELECT package, count(*) AS captured FROM k GROUP BY 1) n ON n.package IS NOT DISTINCT FROM k.package LEFT JOIN e ON e.package = k.package""")
 def metadata_json(spark, d):
-    at = F.lit("2026-01-02 03:04:05").cast("timestamp")
-    index = M.document_rows(captured(spark, d))
-    errors = metadata_errors(spark, d)
-    return M.metadata(index, errors, order="id", expected=10, started_at=at, now=at, export_id=F.lit("00000000-0000-4000-8000-000000000000"), patient="paciente")
+    """The index of each source's package, read back from its JSON."""
+    docs, errors, _, runs = run_tables(spark, d)
+    index = M.metadata_by(docs, errors, runs, by="package", order="id", now=F.lit(NOW).cast("timestamp"))
+    kinds = ", ".join(f"{c}: STRING" for c in M.INDEX)
+    schema = f"STRUCT<totals: STRUCT<expected: BIGINT, captured: BIGINT, failed: BIGINT>, exportedAt: STRING, documents: ARRAY<STRUCT<{kinds}>>, errors: ARRAY<STRUCT<message: STRING>>>"
+    read = index.select("package", F.from_json("json", schema).alias("j"))
+    rows = read.select("package", "j.totals", "j.exportedAt", F.posexplode("j.documents").alias("place", "d"))
+    return rows.select(*(F.col(f"d.{c}").alias(c) for c in M.INDEX), "package", "totals.captured", "totals.expected", "totals.failed", "exportedAt", F.col("place").cast("long").alias("place"))
 
 
-@query()
+@query("""SELECT source AS package, name, octet_length(encode(data)) AS bytes, sha256(data) AS sha256 FROM (SELECT source, 'docs/d' || doc_id || '.html' AS name, text AS data FROM documents)""")
 def zip_manifest(spark, d):
-    """Packages of the documents of each source: file name, number of entries, size and hash."""
-    docs = read_table(spark, d, "documents")
-    entries = docs.select(F.col("source").alias("package"), F.concat(F.lit("docs/d"), F.col("doc_id").cast("string"), F.lit(".html")).alias("name"), F.col("text").cast("binary").alias("data"))
-    return zip_packages(entries).select("package", "entries", F.octet_length("data").alias("bytes"), F.sha2("data", 256).alias("sha256"))
+    """Packages of the documents of each source, cut by size, read back entry by entry."""
+    docs = read_table(spark, d, "documents").select(F.col("source").alias("package"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.col("text").alias("html"), F.lit(None).cast("string").alias("attachmentBase64"))
+    entries = K.shard(docs, limit=1 << 22).select("package", M.html_path(F.col("id")).alias("name"), F.col("html").cast("binary").alias("data"))
+    return read_packages(zip_packages(entries)).select(F.regexp_replace("package", r"-\d{4}$", "").alias("package"), "name", F.octet_length("data").alias("bytes"), F.sha2("data", 256).alias("sha256"))
+
+
+@query(f"""WITH k AS (SELECT 'd' || doc_id AS id, doc_id, source AS package, text FROM documents),
+lines AS (SELECT package, doc_id, strftime(to_timestamp(doc_id + 1700000000) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S.000Z') || ' ' || CASE WHEN doc_id % 10 = 0 THEN 'ERROR' ELSE 'INFO ' END || ' d' || doc_id AS line, row_number() OVER (PARTITION BY package ORDER BY doc_id DESC) AS n FROM k),
+files AS (SELECT package, 'docs/' || id || '.html' AS name, sha256(text) AS sha256 FROM k
+  UNION ALL SELECT package, 'docs/' || id || '.pdf', sha256(from_base64('JVBERg==')) FROM k WHERE doc_id % 8 = 0
+  UNION ALL SELECT package, 'log.txt', sha256(string_agg(line, chr(10) ORDER BY doc_id) || chr(10)) FROM lines WHERE n <= 2000 GROUP BY package
+  UNION ALL SELECT DISTINCT package, 'README.txt', sha256('{M.readme("2026-01-02T03:04:05.000Z", anonymized=True)}') FROM k)
+SELECT * FROM files UNION ALL SELECT package, 'metadata.json', sha256(string_agg('docs/' || id || '.html', ' ' ORDER BY id) || ' [PACIENTE] [CI] [TEL_N] [EMAIL_N]') FROM k GROUP BY package""")
+def package_files(spark, d):
+    """Whole packages of pseudonymised runs, read back; of the index what its manifest lists."""
+    docs, errors, log, runs = run_tables(spark, d)
+    now = F.lit(NOW).cast("timestamp")
+    read = read_packages(K.build_packages(docs, errors, log, runs, now=now, anonymized=True))
+    listed = F.from_json(F.col("data").cast("string"), "anonymization STRUCT<tokens: ARRAY<STRING>, files: ARRAY<STRING>>")["anonymization"]
+    said = F.array_join(F.concat(listed["files"], listed["tokens"]), " ")
+    return read.select("package", "name", F.when(F.col("name") == "metadata.json", F.sha2(said, 256)).otherwise(F.sha2("data", 256)).alias("sha256"))
+
+
+@query("SELECT doc_id, doc_id % 2 = 0 AND NOT regexp_matches(CASE WHEN doc_id % 3 = 0 THEN text || ' [CI]' ELSE text END, '\[[A-Z_0-9]+\]') AS missing FROM documents")
+def manifest_check(spark, d):
+    """Every second file is declared as pseudonymised, every third holds a token."""
+    key = F.col("doc_id")
+    files = read_table(spark, d, "documents").select(key.alias("file"), F.when(key % 3 == 0, F.concat("text", F.lit(" [CI]"))).otherwise(F.col("text")).alias("html"), (key % 2 == 0).alias("declared"))
+    found = M.check_manifest(files).select(F.col("file").alias("doc_id"), F.lit(True).alias("missing"))
+    return files.select(F.col("file").alias("doc_id")).join(found, "doc_id", "left").select("doc_id", F.coalesce("missing", F.lit(False)).alias("missing"))
+
+
+@query("SELECT doc_id, text, CAST(NULL AS INT) AS toxic FROM documents UNION ALL SELECT doc_id, text, NULL FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, NULL, toxic FROM labels")
+def append_bag(spark, d):
+    """Documents, some of them once more, and labels in one bag."""
+    docs = read_table(spark, d, "documents").select("doc_id", "text")
+    return K.append_all(docs, docs.where("doc_id % 3 = 0"), read_table(spark, d, "labels").select("doc_id", "toxic"))
+
+
+@query("SELECT user_id, min(event_id) AS event_id FROM events GROUP BY 1 ORDER BY 2 DESC LIMIT 20")
+def feed_of_users(spark, d):
+    return C.feed(read_table(spark, d, "events"), "user_id", "event_id")
+
+
+@query("SELECT event_type, count(*) AS n FROM events WHERE event_type IN ('view', 'error') GROUP BY 1")
+def log_levels(spark, d):
+    """Events as log lines: errors, views as warnings, others as information; those that are warnings at least."""
+    level = F.when(F.col("event_type") == "error", "ERROR").when(F.col("event_type") == "view", "WARN").otherwise("INFO")
+    return K.log_at_least(read_table(spark, d, "events").withColumn("level", level), "WARN").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT count(*) AS n, count(*) AS different, count(*) AS well_formed FROM customer")
+def export_ids(spark, d):
+    ids = read_table(spark, d, "customer").select(F.uuid().alias("u"))
+    form = F.col("u").rlike("^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$")
+    return ids.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("u").alias("different"), F.count_if(form).alias("well_formed"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN to_json({'id': event_id, 'type': event_type}) ELSE to_json({'id': event_id, 'type': event_type, 'props': props}) END AS json FROM events")
+def json_compact(spark, d):
+    fields = F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("type"), F.when(F.col("event_id") % 3 != 0, F.col("props")).alias("props"))
+    return read_table(spark, d, "events").select("event_id", F.to_json(fields).alias("json"))
+
+
+@query(r"SELECT doc_id, sha256(regexp_replace(text, '([.*+?^${}()|\[\]\\])', '\\\1', 'g')) AS sha256 FROM documents")
+def escape_pattern(spark, d):
+    return read_table(spark, d, "documents").select("doc_id", T.sha256_hex(regex.quote(F.col("text"))).alias("sha256"))
+
+
+@query("SELECT 'data:application/zip;base64,' || to_base64(encode(text)) AS url FROM documents")
+def package_url(spark, d):
+    return read_table(spark, d, "documents").select(K.data_url(F.col("text").cast("binary")).alias("url"))
 
 
 # --- streams -----------------------------------------------------------------------------------------------------------------
@@ -705,9 +843,27 @@ def stream_sha_dedup(spark, d):
 places AS (SELECT run_id, id, unnest({_email_keys('text')}) AS key, generate_subscripts({_email_keys('text')}, 1) AS pos FROM docs),
 numbered AS (SELECT run_id, key, row_number() OVER (PARTITION BY run_id ORDER BY id, pos) AS n FROM (SELECT *, row_number() OVER (PARTITION BY run_id, key ORDER BY id, pos) AS k FROM places) WHERE k = 1),
 maps AS (SELECT run_id, map_from_entries(list((key, n))) AS m FROM numbered GROUP BY run_id),
-done AS (SELECT docs.run_id, id, {_sql_tokens('text', EMAIL, LOWER, 'maps', 'EMAIL')} AS text FROM docs LEFT JOIN maps ON docs.run_id = maps.run_id)
+lefts AS (SELECT run_id, id, {_sql_cedula(STUBBED)} AS text FROM docs),
+tels AS (SELECT run_id, id, unnest({PHONE_KEYS}) AS key, generate_subscripts({PHONE_KEYS}, 1) AS pos FROM lefts),
+tel_numbers AS (SELECT run_id, key, row_number() OVER (PARTITION BY run_id ORDER BY id, pos) AS n FROM (SELECT *, row_number() OVER (PARTITION BY run_id, key ORDER BY id, pos) AS k FROM tels) WHERE k = 1),
+tel_maps AS (SELECT run_id, map_from_entries(list((key, n))) AS m FROM tel_numbers GROUP BY run_id),
+step AS (SELECT docs.run_id, id, {_sql_tokens('text', EMAIL, LOWER, 'maps', 'EMAIL')} AS text FROM docs LEFT JOIN maps ON docs.run_id = maps.run_id),
+step2 AS (SELECT run_id, id, {_sql_cedula('text')} AS text FROM step),
+done AS (SELECT step2.run_id, id, {_sql_tokens('text', PHONE, DIGITS, 'tel_maps', 'TEL')} AS text FROM step2 LEFT JOIN tel_maps ON step2.run_id = tel_maps.run_id)
 SELECT run_id, id AS ordinal, sha256(text) AS sha256, row_number() OVER (PARTITION BY run_id, text ORDER BY id) > 1 AS duplicate, CASE WHEN n = 1 THEN 'doc' ELSE 'doc-' || n END AS slug
 FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY id) AS n FROM done)""")
 def stream_tokens(spark, d):
     change = lambda docs: tokenize_stream(docs.select(F.col("source").alias("run_id"), F.col("doc_id").alias("ordinal"), "text", F.lit("doc").alias("base")))
     return run_to_end(spark, table_path(d, "documents"), change).select("run_id", "ordinal", "sha256", "duplicate", "slug")
+
+
+@query("SELECT doc_id, sha256(text) AS sha256 FROM documents")
+def controlled_run(spark, d):
+    """A run that is started, paused, resumed and read to its end: every document once."""
+    run = Run(spark, table_path(d, "documents"), lambda docs: docs.select("doc_id", T.sha256_hex(F.col("text")).alias("sha256")), every=0.05)
+    run.start()
+    run.pause()
+    run.resume()
+    if run.poll() != "completed":
+        raise RuntimeError("the run ended as " + run.state)
+    return run.output()

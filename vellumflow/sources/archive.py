@@ -1,16 +1,20 @@
 """ZIP packages of a corpus.
 
-A package is one file, so its documents pass through one task; a large corpus is packed as many packages by a key. Within a task
-documents are read in batches and the archive is made with fixed dates, so equal input gives equal bytes.
+A package is one file, so its documents are held by one task; a large run is packed as several packages of bounded size first
+(``operators.package.shard``). Archives are made with fixed dates and sorted names, so equal input gives equal bytes. Packages and
+the progress of runs can be kept in a folder that all executors share, read back, and cleared before a run starts anew.
 """
 
 from __future__ import annotations
 
 import io
 import zipfile
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+from ..plans.scratch import delete_path
 
 SCHEMA = "package string, data binary, entries long"
 _DATE = (1980, 1, 1, 0, 0, 0)
@@ -43,3 +47,25 @@ def read_packages(packages: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["package", "name", "data"])
 
     return packages.select("package", "data").mapInPandas(read, "package string, name string, data binary")
+
+
+def keep(table: DataFrame, root: str, what: str) -> None:
+    """Keep a table of packages or of progress below ``root`` until it is cleared; what was kept under that name is replaced."""
+    table.write.mode("overwrite").parquet(f"{root}/{what}")
+
+
+def restore(spark: SparkSession, root: str, what: str, schema: str = SCHEMA) -> DataFrame:
+    """What is kept below ``root``, or no rows."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{what}")
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{root}/{what}")
+
+
+def clear(spark: SparkSession, root: str, what: str) -> None:
+    delete_path(spark, f"{root}/{what}")
+
+
+def package_to_give(kept: DataFrame, built: Callable[[], DataFrame]) -> DataFrame:
+    """The packages that are kept, or where there are none, those that ``built`` makes."""
+    return built() if kept.isEmpty() else kept

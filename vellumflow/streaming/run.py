@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import contextlib
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,6 +13,23 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
+def stream_pattern(path: str) -> str:
+    """A pattern for a file or a folder: a stream takes a folder or a pattern, and a pattern may stand for one file."""
+    path = path.rstrip("/")
+    return f"{path[:-1]}[{path[-1]}]"
+
+
+@contextlib.contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB."""
+    before = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(PROVIDER, before)
+
+
 def run_to_end(spark: SparkSession, path: str, change: Callable[[DataFrame], DataFrame], *, root: str | None = None, files_per_batch: int | None = None) -> DataFrame:
     """Read what is new at ``path`` as a stream, change it, append it below ``root``, and give all that is there.
 
@@ -22,12 +40,8 @@ def run_to_end(spark: SparkSession, path: str, change: Callable[[DataFrame], Dat
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    out = change(reader.parquet(f"{path[:-1]}[{path[-1]}]"))  # a pattern may stand for one file
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKSDB)
-    try:
+    out = change(reader.parquet(stream_pattern(path)))
+    with rocksdb(spark):
         query = out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
-    finally:
-        spark.conf.set(PROVIDER, before)
     query.awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{root}/out")

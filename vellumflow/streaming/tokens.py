@@ -1,13 +1,17 @@
-"""Tokens, names of files and duplicates over a stream of documents, with state per run.
+"""Pseudonyms, names of files and duplicates over a stream of documents, with state per run.
 
-Documents of a run come in order within a batch; the state of a run holds its token numbers, its slugs and its hashes, each in
-a map on disk, so that memory does not grow with the run.
+Documents of a run come in order within a batch; the state of a run holds its token numbers, its names, its slugs and its hashes,
+each in a map on disk, so that state in memory does not grow with the run. A run is one ordered stream, so one task reads its
+rows of a batch; how many these are is set by ``files_per_batch``. Many runs are read side by side.
+
+A name found after a label is replaced from that document on; whole corpora go through ``operators.anonymize`` instead.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,8 +19,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
-# Fixed value: the shape of an address, for Python.
+from ..functions import pii
+
+# The shapes of addresses, national identity numbers and phones, for Python.
 EMAIL = re.compile(r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b", re.ASCII)
+CEDULA = re.compile(r"\b(?:\d{1,3}(?:\.\d{3}){1,2}[-/]?\d?|\d{7,8}[-/]?\d?)\b", re.ASCII)
+_GAP = r"[\s\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff.\-]?"
+PHONE = re.compile(rf"\+598{_GAP}\d{{1,2}}{_GAP}\d{{3}}{_GAP}\d{{3,4}}\b|\b09\d{_GAP}\d{{3}}{_GAP}\d{{3}}\b|\b(?:2|4)\d{{3}}{_GAP}\d{{4}}\b", re.ASCII)
+_STOPS = "|".join(pii.STOP_LABELS)
+NAME = re.compile(rf"(?<!\w)(?:{'|'.join(pii.NAME_LABELS)})\s*[:\-]\s*([^\n\r,;|]+?)(?=\s+(?:{_STOPS})\s*[:\-]|[\n\r,;|]|\Z)", re.I)
 OUTPUT = StructType(
     [StructField("run_id", StringType()), StructField("ordinal", LongType()), StructField("text", StringType()), StructField("slug", StringType()), StructField("sha256", StringType()), StructField("duplicate", BooleanType())]
 )
@@ -24,23 +35,58 @@ _KEY = StructType([StructField("k", StringType())])
 _NUMBER = StructType([StructField("n", LongType())])
 
 
+def canonical_name(name: str) -> str:
+    """Plain lower-case parts of a name, or "" for what is no full name: two parts, and two of three letters or more."""
+    plain = "".join(c for c in unicodedata.normalize("NFD", name) if not "\u0300" <= c <= "\u036f").lower()
+    parts = [p for p in re.sub(r"[^a-z\s']", " ", plain).split() if len(p) >= 2]
+    return " ".join(parts) if len(parts) >= 2 and sum(len(p) >= 3 for p in parts) >= 2 else ""
+
+
+def name_expression(name: str) -> re.Pattern:
+    """A canonical name in its order or reversed, whatever its case, accents and spaces."""
+    both = {a: f"[{a}{b}]" for a, b in zip("aeioun", "áéíóúñ", strict=True)}
+    parts = ["".join(both.get(c, re.escape(c)) for c in p) for p in name.split()]
+    edge = "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+    return re.compile(f"{edge}(?:{r',?\s+'.join(parts)}|{r',?\s+'.join(reversed(parts))}){edge}", re.I)
+
+
 class RunTokens(StatefulProcessor):
-    """Numbers e-mail addresses by first appearance, makes slugs unique and marks repeated texts."""
+    """Replaces identifiers by tokens numbered by first appearance, makes slugs unique and marks repeated texts."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.tokens = handle.getMapState("tokens", _KEY, _NUMBER)
+        self.names = handle.getMapState("names", _KEY, _NUMBER)
         self.slugs = handle.getMapState("slugs", _KEY, _NUMBER)
         self.hashes = handle.getMapState("hashes", _KEY, _NUMBER)
-        self.count = handle.getValueState("count", _NUMBER)
-
-    def _number(self, key: str) -> int:
-        if self.tokens.containsKey((key,)):
-            return self.tokens.getValue((key,))[0]
-        n = (self.count.get()[0] if self.count.exists() else 0) + 1
-        self.count.update((n,))
-        self.tokens.updateValue((key,), (n,))
+        self.counts = handle.getMapState("counts", _KEY, _NUMBER)
+        self.patterns: dict[tuple, re.Pattern] = {}
+
+    def _count(self, kind: str) -> int:
+        n = (self.counts.getValue((kind,))[0] if self.counts.containsKey((kind,)) else 0) + 1
+        self.counts.updateValue((kind,), (n,))
         return n
 
+    def _token(self, kind: str, key: str) -> str:
+        entry = (f"{kind} {key}",)
+        if not self.tokens.containsKey(entry):
+            self.tokens.updateValue(entry, (self._count(kind),))
+        return f"[{kind}_{self.tokens.getValue(entry)[0]}]"
+
+    def _learn_names(self, text: str) -> None:
+        for found in NAME.findall(text):
+            name = canonical_name(found)
+            if name and not self.names.containsKey((name,)):
+                self.names.updateValue((name,), (self._count("NAME"),))
+
+    def _rewrite(self, text: str) -> str:
+        """Addresses, national identity numbers, phones, names, in this order."""
+        text = EMAIL.sub(lambda m: self._token("EMAIL", m[0].lower()), text)
+        text = CEDULA.sub(lambda m: pii.NATIONAL_ID_TOKEN if 7 <= len(re.sub(r"\D", "", m[0])) <= 8 else m[0], text)
+        text = PHONE.sub(lambda m: self._token("TEL", re.sub(r"[^\d+]", "", m[0])), text)
+        for name in self.known:
+            text = self.patterns.setdefault(name, name_expression(name)).sub(pii.NAME_TOKEN, text)
+        return text
+
     def _slug(self, base: str) -> str:
         base = base or "evento"
         if not self.slugs.containsKey((base,)):
@@ -55,9 +101,14 @@ class RunTokens(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(rows)).sort_values("ordinal")
+        self.known = [k[0] for k, _ in sorted(self.names.iterator(), key=lambda x: x[1][0])]
         out = []
         for r in frame.itertuples(index=False):
-            text = EMAIL.sub(lambda m: f"[EMAIL_{self._number(m[0].lower())}]", r.text or "")
+            before = len(self.known)
+            self._learn_names(r.text or "")
+            if self.counts.containsKey(("NAME",)) and self.counts.getValue(("NAME",))[0] > before:
+                self.known = [k[0] for k, _ in sorted(self.names.iterator(), key=lambda x: x[1][0])]
+            text = self._rewrite(r.text or "")
             sha = hashlib.sha256(text.encode()).hexdigest()
             slug, seen = self._slug(r.base), self.hashes.containsKey((sha,))
             if not seen:
