@@ -110,6 +110,62 @@ def test_mix(spark):
     assert again == {(r.doc_id, r.source, r.size): r.taken for r in got}
     mixed = mixing.mix_sources(df)
     assert mixed.columns == df.columns and mixed.count() == sum(r.copies for r in got)
+    want = {(r.doc_id, r.source, r.size): r.copies for r in got if r.doc_id != 5}
+    counted = mixed.select("doc_id", "source", mixing.word_count(F.col("text")).alias("n")).where("doc_id <> 5 or doc_id is null").groupBy("doc_id", "source", "n").count()
+    assert {(r.doc_id, r.source, r.n): r["count"] for r in counted.collect()} == {k: n for k, n in want.items() if n}
+
+
+def brute_mix(rows, places):
+    """Copies of each row by a queue of finish times: (source, place in the source's order) to copies."""
+    sizes, queue = defaultdict(int), []
+    size = [len((t or "").split(" ")) if t else 0 for _, t, _ in rows]
+    for (_, _, s), n in zip(rows, size, strict=True):
+        sizes[s] += n
+    target, total = brute_targets(dict(sizes))
+    rank = {s: i for i, s in enumerate(sorted(sizes, key=lambda s: (s is None, s or "")))}
+    for s in sizes:
+        own, upto = sorted((places[i], i) for i in range(len(rows)) if rows[i][2] == s), 0
+        for at, (_, i) in enumerate(own):
+            upto += size[i]
+            runs = min(2, max(1, math.ceil(target[s] / sizes[s]))) if sizes[s] else 1
+            queue += [((upto + e * sizes[s]) / target[s] if target[s] else 0.0, rank[s], e, at, i) for e in range(runs)]
+    copies, spent = [0] * len(rows), 0
+    for *_, i in sorted(queue):
+        spent += size[i]
+        if spent > total:
+            break
+        copies[i] += 1
+    return copies
+
+
+def test_mix_takes_what_a_queue_takes(spark):
+    """Against a plain queue: ties, empty texts, one very long text, and many equal rows of which some are taken."""
+    rows = [(i, " ".join(["w"] * (i * 31 % 40)) or None, "ab"[i % 2] if i % 7 else "hot") for i in range(300)]
+    rows += [(1000, " ".join(["w"] * 3000), "b")] + [(2000, "five words are in this", "hot")] * 150 + [(2001, "w w", None)] * 5
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("n", F.monotonically_increasing_id()).withColumn("doc", F.lit(1)).withColumn("at", F.lit(2))
+    df = df.cache()
+    found = df.select("doc_id", "text", "source", F.struct(*mixing.shuffled_place()).alias("p")).collect()
+    rows = [(r.doc_id, r.text, r.source) for r in found]
+    want = brute_mix(rows, [tuple(r.p) for r in found])
+    taken = defaultdict(int)
+    for r, n in zip(rows, want, strict=True):
+        taken[r] += n
+    got = defaultdict(int)
+    for r in mixing.mix_plan(df).collect():
+        got[r.doc_id, r.source] += r.copies
+    mixed = mixing.mix_sources(df)
+    assert mixed.columns == df.columns
+    counted = {(r.doc_id, r.text, r.source): r["count"] for r in mixed.groupBy("doc_id", "text", "source").count().collect()}
+    assert counted == {k: n for k, n in taken.items() if n}
+    assert {k: n for k, n in got.items() if n} == {(d, s): n for (d, _, s), n in taken.items() if n}
+    assert mixed.groupBy("n").count().agg(F.max("count")).first()[0] <= 2
+
+
+def test_mix_shares_equal_rows(spark):
+    """Half as much again of equal rows: each is taken, and half of them twice."""
+    df = spark.range(150).select(F.lit(7).alias("doc_id"), F.lit("a b").alias("text"), F.lit("s").alias("source"), F.col("id").alias("of")).repartition(6)
+    counts = [r["count"] for r in mixing.mix_sources(df).groupBy("of").count().collect()]
+    assert len(counts) == 150 and sorted(set(counts)) == [1, 2] and sum(counts) == 225
 
 
 def test_mix_of_nothing(spark):

@@ -12,8 +12,9 @@ grows with the root of the number of rows, and only these sums are added up alon
 
 Defined cases
 - null text has no words; such documents are queued and take nothing. Null source: a source of its own, last in order.
-- rows that repeat an identifier are separate documents; rows alike in all that is read here are interchangeable.
-- extra columns are ignored. Empty table, or no words at all: every target and every taken count is 0.
+- rows that repeat an identifier are separate documents, in the order of a hash of their texts; rows alike in identifier, source
+  and text are interchangeable.
+- extra columns are ignored by the plan and kept by ``mix_sources``, whatever their names. Empty table, or no words at all: every target and every taken count is 0.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 
 from ..plans.scratch import materialize, release
 from ..sources.tables import read_table
+from .alike import number_alike
 
 WEIGHTS, BUDGET, MAX_EPOCHS = (5.0, 2.0, 1.0), 1.5, 2
 
@@ -65,9 +67,14 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, budget: float = B
     return table.select("source", "source_size", "rank", share.alias("target")), total
 
 
-def mix_plan(docs: DataFrame, *, weights: tuple = WEIGHTS, budget: float = BUDGET, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """Per document: doc_id, size, source, source_size, target, copies, taken, finish (of its first copy)."""
-    base = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64(F.lit("mix"), "doc_id").alias("h")), "mix-base")
+def shuffled_place() -> list[Column]:
+    """h, id, th: the place of a document in its source's shuffled order, read off the document alone."""
+    return [F.xxhash64(F.lit("mix"), "doc_id").alias("h"), F.col("doc_id").alias("id"), F.xxhash64(F.lit("text"), "text").alias("th")]
+
+
+def _ranked(docs: DataFrame, weights: tuple, budget: float, max_epochs: int) -> tuple[DataFrame, Column]:
+    """Documents with their running sums, written once, and the column that says how many copies of each the mix takes."""
+    base = materialize(docs.select("source", word_count(F.col("text")).alias("size"), *shuffled_place()), "mix-base")
     targets, total = source_targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget, max_epochs)
     targets = materialize(targets, "mix-targets")
     slices = math.isqrt(base.count()) + 1
@@ -78,13 +85,10 @@ def mix_plan(docs: DataFrame, *, weights: tuple = WEIGHTS, budget: float = BUDGE
     rows = base.join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("slice", slice_no)
     sums = rows.groupBy("rank", "slice").agg(F.sum("size").alias("words"))
     sums = sums.select("rank", "slice", (F.sum("words").over(Window.partitionBy("rank").orderBy("slice")) - F.col("words")).alias("before"))
-    along = Window.partitionBy("rank", "slice").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("inside", F.sum("size").over(along)).withColumn("row", F.row_number().over(Window.partitionBy("rank", "slice").orderBy("h", "doc_id", "size")))
+    order = Window.partitionBy("rank", "slice").orderBy("h", "id", "th")
+    rows = rows.withColumn("inside", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("row", F.row_number().over(order))
     ranked = materialize(rows.join(sums, ["rank", "slice"]).withColumn("upto", F.col("before") + F.col("inside")).drop("before", "inside"), "mix-ranked")
 
-    def finish(epoch: Column | int) -> Column:
-        return F.when(F.col("target") > 0, (F.col("upto") + epoch * F.col("source_size")) / F.col("target")).otherwise(0.0)
-
     # What tells queue entries apart, in queue order. Equal finish times go by source, epoch and place in the source.
     def place(epoch: Column) -> Column:
         return F.struct(finish(epoch).alias("t"), F.col("rank").alias("s"), epoch.cast("long").alias("e"), F.col("slice").alias("b"), F.col("row").alias("r"))
@@ -104,33 +108,59 @@ def mix_plan(docs: DataFrame, *, weights: tuple = WEIGHTS, budget: float = BUDGE
         first = edge.where(F.col("upto") > total).orderBy("at").first()["at"]
         bound = F.struct(*(F.lit(v).cast(kind).alias(k) for (k, v), kind in zip(first.asDict().items(), ("double", "long", "long", "int", "int"), strict=True)))
         inside = [place(F.lit(e)) < bound for e in range(max_epochs)]
-    copies = sum((((F.size(epochs) > e) & ok).cast("long") for e, ok in enumerate(inside)), F.lit(0).cast("long"))
-    out = ranked.withColumn("copies", copies)
     for df in (base, queue):
         release(df)
-    return out.select("doc_id", "size", "source", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), finish(0).alias("finish"))
+    return ranked, sum((((F.size(epochs) > e) & ok).cast("long") for e, ok in enumerate(inside)), F.lit(0).cast("long"))
+
+
+def finish(epoch: Column | int) -> Column:
+    """Virtual finish time of a document's copy in a run through its source."""
+    return F.when(F.col("target") > 0, (F.col("upto") + epoch * F.col("source_size")) / F.col("target")).otherwise(0.0)
+
+
+def mix_plan(docs: DataFrame, *, weights: tuple = WEIGHTS, budget: float = BUDGET, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """Per document: doc_id, size, source, source_size, target, copies, taken, finish (of its first copy)."""
+    ranked, copies = _ranked(docs, weights, budget, max_epochs)
+    out = ranked.withColumn("copies", copies)
+    return out.select(F.col("id").alias("doc_id"), "size", "source", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), finish(0).alias("finish"))
+
+
+def source_cuts(docs: DataFrame, weights: tuple, budget: float, max_epochs: int) -> DataFrame:
+    """of (source) and cuts: for each run through the source the first place that is not taken (null: all are), and how many rows at that place are.
+
+    The queue of a source is in the order of its places, so what the mix takes of it is what stands before a place.
+    """
+    ranked, copies = _ranked(docs, weights, budget, max_epochs)
+    narrow = ranked.select(F.col("source").alias("of"), F.struct("h", "id", "th").alias("at"), copies.alias("copies"))
+    firsts = narrow.groupBy("of").agg(*(F.min(F.when(F.col("copies") <= e, F.col("at"))).alias(f"at{e}") for e in range(max_epochs)))
+    firsts = materialize(firsts, "mix-firsts")
+    same = narrow.withColumnRenamed("of", "own").join(firsts, F.col("own").eqNullSafe(F.col("of")))
+    counts = [F.count_if((F.col("at") == F.col(f"at{e}")) & (F.col("copies") > e)).alias(f"n{e}") for e in range(max_epochs)]
+    counted = same.groupBy("of").agg(*(F.first(f"at{e}").alias(f"at{e}") for e in range(max_epochs)), *counts)
+    cuts = materialize(counted.select("of", F.array(*(F.struct(F.col(f"at{e}").alias("at"), F.col(f"n{e}").alias("n")) for e in range(max_epochs))).alias("cuts")), "mix-cuts")
+    for df in (ranked, firsts):
+        release(df)
+    return cuts
 
 
-def mix_sources(docs: DataFrame, **options) -> DataFrame:
+def mix_sources(docs: DataFrame, *, weights: tuple = WEIGHTS, budget: float = BUDGET, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """The documents of the mix, all their columns, each as often as the mix takes it.
 
-    Rows are matched to their plan by identifier, source and number of words, so rows that repeat all three are matched
-    by number: the copies of such rows are added up and given to one of them.
+    A document's copies are told from its own place and its source's cuts, so texts are not shuffled.
     """
-    plan = mix_plan(docs.select("doc_id", "source", "text"), **options)
-    keys = ["doc_id", "source", "size"]
-    plan = plan.groupBy(*keys).agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
-    plan = plan.where("copies > 0").select(*(F.col(k).alias(f"_mix_{k}") for k in keys), "copies", "rows")
-    plan = plan.withColumnsRenamed({"copies": "_mix_copies", "rows": "_mix_rows"})
-    found = docs.withColumn("_mix_words", word_count(F.col("text")))
-    same = F.col("doc_id").eqNullSafe(F.col("_mix_doc_id")) & F.col("source").eqNullSafe(F.col("_mix_source")) & (F.col("_mix_words") == F.col("_mix_size"))
-    found = found.join(plan, same)
-    alike = Window.partitionBy("_mix_doc_id", "_mix_source", "_mix_size").orderBy("text")
-    share = F.when(F.col("_mix_rows") == 1, F.col("_mix_copies"))
-    twice = found.where("_mix_rows > 1").withColumn("_mix_n", F.row_number().over(alike))
-    spread = F.floor((F.col("_mix_copies") + F.col("_mix_rows") - F.col("_mix_n")) / F.col("_mix_rows")).cast("long")
-    out = found.where("_mix_rows = 1").withColumn("_mix_n", share).unionByName(twice.withColumn("_mix_n", spread))
-    return out.where("_mix_n > 0").withColumn("_mix_n", F.explode(F.sequence(F.lit(1), F.col("_mix_n").cast("int")))).select(*(F.col(c) for c in docs.columns))
+    own = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")
+    cuts = source_cuts(docs.select("doc_id", "source", "text"), weights, budget, max_epochs)
+    rows = docs.select(own, F.col("source").alias("own"), F.struct(*shuffled_place()).alias("at"))
+    rows = rows.join(cuts, F.col("own").eqNullSafe(F.col("of")))
+    before = F.size(F.filter("cuts", lambda c: c["at"].isNull() | (F.col("at") < c["at"])))
+    on_cut = F.exists("cuts", lambda c: (F.col("at") == c["at"]) & (c["n"] > 0))
+    taken = rows.select("doc", before.alias("copies"), F.coalesce(on_cut, F.lit(False)).alias("shared"), "own", "at", "cuts")
+    out = taken.where("not shared and copies > 0").select("doc", "copies")
+    if not cuts.where("exists(cuts, c -> c.n > 0)").isEmpty():  # equal rows of which some are taken
+        alike = number_alike(taken.where("shared"), ["own", "at"], "mix-alike")
+        more = F.size(F.filter("cuts", lambda c: (F.col("at") == c["at"]) & (F.col("n") <= c["n"])))
+        out = out.unionByName(alike.select("doc", (F.col("copies") + more).alias("copies")).where("copies > 0"))
+    return out.select("doc", F.explode(F.sequence(F.lit(1), "copies")).alias("n")).select("doc.*")
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
