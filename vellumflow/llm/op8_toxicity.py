@@ -1,24 +1,29 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words are read by a stem transducer into classes: insult, threat, target, negation, reported speech, other. Over the classes
-of a clause runs the composition of four small weighted transducers: insults and threats emit weight, a target near them adds
-to it, a negation before them takes from it, and reported speech lowers what it introduces. A document is scored by the
-weights of its clauses (the heaviest, their sum, and the share of clauses with any), put through a logistic link.
+Letters are read by a stem transducer, words to classes: insult, harm, intent, target, negation, reported speech, other. Over
+the classes of a clause runs the composition of five small weighted transducers. Insult: a word of abuse emits its weight, and
+more right after another one. Threat: a word of harm emits half its weight, or three times that after words of intent, and more
+where it is aimed at a target ("will ... hurt ... you"). Target: who is meant, near abuse or harm, adds weight. Negation: takes
+from what follows it. Reported speech: lowers what it introduces. A document is scored by the weights of its clauses (the
+heaviest, their sum, and the share of clauses with any), put through a logistic link.
 
 Seed stems of each class are fixed. Further insult stems are learned: prefixes that mark toxic rows among the labelled ones,
-each as long as possible without losing rows and counted against the other rows. At most ``SAMPLE`` labelled rows of each
-label, chosen by a hash over all of them, are used for fitting (a documented bound). Labels, language, source and
-identifier never enter a score.
+each as long as possible without losing rows and counted against the other rows. About ``SAMPLE`` labelled rows of each label,
+drawn by a hash over all of them, are used for fitting (a documented bound); stems of both labels are counted and chosen by rows
+and odds in Spark, so what reaches the driver is bounded by the sample. Labels, language, source and identifier never enter a
+score.
 
 Defined cases
 - null text is empty; an empty text, or one without words, gets the score of no matched clause.
 - no labelled rows, or one label only: seed stems and fixed weights are used.
-- rows of labels with null in doc_id or toxic are left out; repeated rows are repeated; extra columns are ignored.
+- rows of labels with null in doc_id or toxic are left out; repeated rows are repeated; ties go by stem.
+- extra columns are kept by ``toxicity``; its own, score and predicted, take the place of columns of the same name.
 - an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections import Counter
@@ -32,82 +37,139 @@ from pyspark.sql import functions as F
 
 from ..plans.scratch import materialize
 from ..sources.tables import read_table
+from .alike import as_struct
 
-SAMPLE, CANDIDATES, FOLDS, CUT = 6000, 20_000, 3, 0.7
+SAMPLE, FOLDS, CUT = 6000, 3, 0.7
 #: Learned stems: letters at most, rows at least, odds against other rows at least.
 STEM, STEM_ROWS, STEM_ODDS = 12, 5, 20.0
 REMEMBERED = 500_000
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
+CLASSES = 7
+OTHER, INSULT, HARM, INTENT, TARGET, NEGATION, REPORT = range(CLASSES)
 
 # Fixed seed stems; a stem that ends in a blank is a whole word.
 SEEDS = {
     INSULT: "idiot moron stupid dumb loser scum trash pathetic worthless disgusting clown imbecile dummkopf trottel abschaum connard abruti imbécile estúpid imbécil basura ",
-    THREAT: "kill hurt destroy beat burn punish murder töten vernichten tuer frapper détruire matar destruir golpear ",
+    HARM: "kill hurt destroy beat burn punish murder töten vernichten tuer frapper détruire matar destruir golpear ",
+    INTENT: "will shall gonna going i'll we'll you'll must should deserve hope werde werden wirst sollst vais allons vas doit voy vamos vas debes ",
     TARGET: "you your yours yourself they them he him she her people du dich dir ihr euch tu toi te vous ils elles tú ti usted ustedes ellos ",
     NEGATION: "not never no none isn't aren't don't nicht nie kein ne pas jamais aucun nunca ningún jamás ",
     REPORT: "said says wrote quoted reported claimed called according sagte schrieb zitierte dit écrit selon dijo escribió según ",
 }
-PREFIX_SEEDS = (INSULT, THREAT)  # their seeds also stand for longer words
+PREFIX_SEEDS = (INSULT, HARM)  # their seeds also stand for longer words
 
 _TOKENS = re.compile(r"[^\W_]+(?:['’][^\W_]+)*|[.!?;:\n]+")
 
 
 # --- transducers ----------------------------------------------------------------------------------------------------------
 
+_HARM = (INSULT, HARM)
+
 
 @dataclass(frozen=True)
 class Transducer:
-    """Deterministic and weighted: (state, class) -> (state, factor, addend). Missing arcs stay and change nothing."""
+    """Deterministic and weighted: (state, class) -> (state, gain, factor, addend). Missing arcs stay and change nothing.
+
+    A word of weight w gives factor * (gain * w + addend).
+    """
 
-    arcs: dict[tuple[int, int], tuple[int, float, float]]
-    states: int
+    arcs: dict[tuple[int, int], tuple[int, float, float, float]]
 
-    def arc(self, state: int, symbol: int) -> tuple[int, float, float]:
-        return self.arcs.get((state, symbol), (state, 1.0, 0.0))
+    def arc(self, state: int, symbol: int) -> tuple[int, float, float, float]:
+        return self.arcs.get((state, symbol), (state, 0.0, 1.0, 0.0))
 
 
 def compose(a: Transducer, b: Transducer) -> Transducer:
-    """Run both over the same classes: states are pairs, factors multiply, addends add. Only states that can be reached."""
+    """Run both over the same classes: states are pairs, gains and addends add, factors multiply. Only states that can be reached."""
     number, todo, arcs = {(0, 0): 0}, [(0, 0)], {}
     while todo:
         s, t = todo.pop()
-        for symbol in range(6):
-            (s2, f1, w1), (t2, f2, w2) = a.arc(s, symbol), b.arc(t, symbol)
+        for symbol in range(CLASSES):
+            (s2, g1, f1, w1), (t2, g2, f2, w2) = a.arc(s, symbol), b.arc(t, symbol)
             if (s2, t2) not in number:
                 number[s2, t2] = len(number)
                 todo.append((s2, t2))
-            arcs[number[s, t], symbol] = (number[s2, t2], f1 * f2, w1 + w2)
-    return Transducer(arcs, len(number))
+            arcs[number[s, t], symbol] = (number[s2, t2], g1 + g2, f1 * f2, w1 + w2)
+    return Transducer(arcs)
 
 
 def _span(opens: int, closes: tuple[int, ...], reach: int, factor: float, addend: float) -> Transducer:
     """After ``opens``, for ``reach`` words, a word of ``closes`` gets the factor and the addend."""
-    arcs: dict[tuple[int, int], tuple[int, float, float]] = {(s, opens): (reach, 1.0, 0.0) for s in range(reach + 1)}
+    arcs: dict[tuple[int, int], tuple[int, float, float, float]] = {(s, opens): (reach, 0.0, 1.0, 0.0) for s in range(reach + 1)}
     for s in range(1, reach + 1):
-        for symbol in range(6):
+        for symbol in range(CLASSES):
             if symbol != opens:
                 hit = symbol in closes
-                arcs[s, symbol] = (s - 1, factor if hit else 1.0, addend if hit else 0.0)
-    return Transducer(arcs, reach + 1)
+                arcs[s, symbol] = (s - 1, 0.0, factor if hit else 1.0, addend if hit else 0.0)
+    return Transducer(arcs)
+
+
+def _insult() -> Transducer:
+    """Abuse emits its weight, and 0.2 more in a row; who is meant right after it ("idiot you") adds 0.3."""
+    arcs = {(s, symbol): (0, 0.0, 1.0, 0.0) for s in (0, 1) for symbol in range(CLASSES)}
+    arcs |= {(0, INSULT): (1, 1.0, 1.0, 0.0), (1, INSULT): (1, 1.0, 1.0, 0.2), (1, TARGET): (0, 0.0, 1.0, 0.3)}
+    return Transducer(arcs)
+
+
+def _threat(reach: int = 3) -> Transducer:
+    """Harm emits half its weight, or with words of intent up to ``reach`` words before it one and a half; a target up to as many words after it adds 0.3, or 0.7 where it was intended."""
+    arcs: dict[tuple[int, int], tuple[int, float, float, float]] = {}
+    meant, loose, aimed = 0, reach, 2 * reach  # states of intent, of harm without it and of harm with it, counting down from there
+    states = range(3 * reach + 1)
+    for s in states:
+        waits = meant < s <= loose
+        for symbol in range(CLASSES):
+            down = s - 1 if s not in (0, loose + 1, aimed + 1) else 0
+            arcs[s, symbol] = (down, 0.0, 1.0, 0.0)
+        arcs[s, INTENT] = (loose, 0.0, 1.0, 0.0)
+        arcs[s, HARM] = (3 * reach if waits else aimed, 1.5 if waits else 0.5, 1.0, 0.0)
+        if s > loose:
+            arcs[s, TARGET] = (0, 0.0, 1.0, 0.7 if s > aimed else 0.3)
+    return Transducer(arcs)
 
 
-_HARM = (INSULT, THREAT)
-#: Target before or after the harm, negation before it, reported speech before it.
-GRAMMAR = compose(
-    compose(_span(TARGET, _HARM, 4, 1.0, 0.5), Transducer({(0, INSULT): (1, 1.0, 0.0), (0, THREAT): (1, 1.0, 0.0), (1, TARGET): (0, 1.0, 0.3)}, 2)),
-    compose(_span(NEGATION, _HARM, 3, 0.4, 0.0), _span(REPORT, _HARM, 12, 0.6, 0.0)),
-)
+INSULTS, THREATS = _insult(), _threat()
+TARGETS = _span(TARGET, _HARM, 4, 1.0, 0.5)
+NEGATIONS = _span(NEGATION, _HARM, 3, 0.4, 0.0)
+REPORTS = _span(REPORT, _HARM, 12, 0.6, 0.0)
+GRAMMAR = functools.reduce(compose, (INSULTS, THREATS, TARGETS, NEGATIONS, REPORTS))
 
 
 def clause_weight(symbols: list[int], weights: list[float]) -> float:
-    """Weight of one clause: its harmful words by weight, changed by the grammar."""
+    """Weight of one clause: its words by weight, read through the grammar."""
     state, total = 0, 0.0
     for symbol, weight in zip(symbols, weights, strict=True):
-        state, factor, addend = GRAMMAR.arc(state, symbol)
-        total += factor * (weight + addend if symbol in _HARM else addend)
+        state, gain, factor, addend = GRAMMAR.arc(state, symbol)
+        total += factor * (gain * weight + addend)
     return total
 
 
+class Stems:
+    """Letters to classes: a trie whose states may accept; a word is what the longest accepted stem of it is."""
+
+    def __init__(self, stems: dict[str, tuple[int, float]]):
+        self.arcs: list[dict[str, int]] = [{}]
+        self.accepts: list[tuple[int, float] | None] = [None]
+        for stem, value in stems.items():
+            at = 0
+            for letter in stem:
+                if letter not in self.arcs[at]:
+                    self.arcs[at][letter] = len(self.arcs)
+                    self.arcs.append({})
+                    self.accepts.append(None)
+                at = self.arcs[at][letter]
+            self.accepts[at] = value
+
+    def read(self, word: str) -> tuple[int, float] | None:
+        """Class and weight of a word, whose end is a blank."""
+        at, found = 0, None
+        for letter in word + " ":
+            at = self.arcs[at].get(letter, -1)
+            if at < 0:
+                break
+            found = self.accepts[at] or found
+        return found
+
+
 # --- lexicon and features -------------------------------------------------------------------------------------------------
 
 
@@ -121,7 +183,7 @@ def seed_stems() -> dict[str, tuple[int, float]]:
     out: dict[str, tuple[int, float]] = {}
     for kind, words in SEEDS.items():
         for w in words.split():
-            out[w if kind in PREFIX_SEEDS else w + " "] = (kind, {INSULT: 1.0, THREAT: 0.5}.get(kind, 0.0))
+            out[w if kind in PREFIX_SEEDS else w + " "] = (kind, 1.0 if kind in _HARM else 0.0)
     return out
 
 
@@ -129,15 +191,7 @@ class Reader:
     """Reads texts into clause features with a lexicon, remembering words."""
 
     def __init__(self, stems: dict[str, tuple[int, float]]):
-        self.stems, self.known = stems, {}
-        self.longest = max(map(len, stems), default=0)
-
-    def _look_up(self, word: str) -> tuple[int, float] | None:
-        marked = word + " "
-        for n in range(min(len(marked), self.longest), 0, -1):
-            if (found := self.stems.get(marked[:n])) is not None:
-                return found
-        return None
+        self.stems, self.known = Stems(stems), {}
 
     def features(self, text: str) -> tuple[float, float, float]:
         """The heaviest clause, the log of the sum of weights, and the share of clauses with weight."""
@@ -146,7 +200,7 @@ class Reader:
         if len(known) > REMEMBERED:
             known.clear()
         for w in set(words).difference(known):
-            known[w] = self._look_up(w)
+            known[w] = self.stems.read(w)
         found = list(map(known.__getitem__, words))
         if not any(x is not None and x[0] in _HARM for x in found):
             return 0.0, 0.0, 0.0
@@ -182,18 +236,14 @@ def _stems_of(text: str) -> set[str]:
     return {(w + " ")[:n] for w in words for n in range(3, min(len(w) + 1, STEM) + 1)}
 
 
-def _count_stems(only):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = Counter()
-        allowed = None if only is None else only.value
-        for batch in batches:
-            for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                stems = _stems_of(text)
-                counts.update((toxic, s) for s in (stems if allowed is None else stems & allowed))
-        keys = list(counts)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.string()), pa.array(counts.values(), pa.int64())], ["toxic", "stem", "n"])
-
-    return count
+def _count_stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(stem, marks, others): in how many toxic rows and in how many others of this task each stem is."""
+    counts: tuple[Counter, Counter] = (Counter(), Counter())
+    for batch in batches:
+        for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            counts[toxic].update(_stems_of(text))
+    keys = list(counts[0] | counts[1])
+    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([counts[k][s] for s in keys], pa.int64()) for k in (1, 0))], ["stem", "marks", "others"])
 
 
 def choose_stems(counts: dict[str, tuple[int, int]], toxic: int, clean: int) -> dict[str, tuple[int, float]]:
@@ -206,7 +256,7 @@ def choose_stems(counts: dict[str, tuple[int, int]], toxic: int, clean: int) ->
         t, c = counts[s]
         return (t / toxic) / ((c + 0.5) / clean)
 
-    fit = [s for s, (t, _) in counts.items() if t >= STEM_ROWS and odds(s) >= STEM_ODDS]
+    fit = sorted(s for s, (t, _) in counts.items() if t >= STEM_ROWS and odds(s) >= STEM_ODDS)
     longer: dict[str, int] = {}
     for s in fit:
         for n in range(3, len(s)):
@@ -258,14 +308,11 @@ def learn(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Model:
     model = Model(seed_stems())
     if len(sizes) < 2:
         return model
-    kinds = "toxic int, stem string, n long"
-    first = rows.where("toxic = 1").mapInArrow(_count_stems(None), kinds).groupBy("stem").agg(F.sum("n").alias("n")).where(F.col("n") >= STEM_ROWS)
-    allowed = frozenset(r["stem"] for r in first.orderBy(F.desc("n"), "stem").limit(CANDIDATES).collect())
-    second = rows.mapInArrow(_count_stems(spark.sparkContext.broadcast(allowed)), kinds).groupBy("toxic", "stem").agg(F.sum("n").alias("n")).collect()
-    counts = {s: [0, 0] for s in allowed}
-    for r in second:
-        counts[r["stem"]][1 - r["toxic"]] = r["n"]
-    model.stems |= choose_stems({s: tuple(c) for s, c in counts.items()}, sizes[1], sizes[0])
+    counted = rows.mapInArrow(_count_stems, "stem string, marks long, others long").groupBy("stem").agg(F.sum("marks").alias("marks"), F.sum("others").alias("others"))
+    odds = (F.col("marks") / sizes[1]) / ((F.col("others") + 0.5) / sizes[0])
+    fit = counted.where((F.col("marks") >= STEM_ROWS) & (odds >= STEM_ODDS)).toArrow()  # stems of about ``sample`` toxic rows
+    counts = dict(zip(fit["stem"].to_pylist(), zip(fit["marks"].to_pylist(), fit["others"].to_pylist(), strict=True), strict=True))
+    model.stems |= choose_stems(counts, sizes[1], sizes[0])
     # The link needs three numbers and a label of each sampled row.
     seen = rows.mapInArrow(_features(spark.sparkContext.broadcast(model.stems)), "toxic int, most double, total double, share double").toArrow()
     x = np.column_stack([seen[c].to_numpy() for c in ("most", "total", "share")])
@@ -290,11 +337,12 @@ def _score(sent):
 
 
 def toxicity(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs`` but ``text``, then score and predicted, which ``docs`` must not have."""
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.withColumn("text", F.coalesce("text", F.lit("")))
-    return rows.mapInArrow(_score(sent), f"{kinds}, score double" if kinds else "score double").withColumn("predicted", (F.col("score") >= CUT).cast("int"))
+    """All columns of ``docs`` but ``text``, score and predicted, then score and predicted."""
+    rest = [c for c in docs.columns if c not in ("text", "score", "predicted")]
+    rows = docs.select(as_struct(rest, "row"), F.coalesce("text", F.lit("")).alias("text"))
+    kinds = f"row {rows.schema['row'].dataType.simpleString()}, score double"
+    found = rows.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)), kinds)
+    return found.select(*(F.col("row")[c].alias(c) for c in rest), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
 
 
 def held_out() -> Column:

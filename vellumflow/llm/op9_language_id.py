@@ -5,15 +5,17 @@ up to ``ORDER`` - 1 symbols before it. The n-grams of all models lie in one sort
 column of probabilities and one of back-off weights per language. A text goes to the language of lowest cross-entropy per
 letter. Words are scored once per task and remembered, so long texts cost little more than splitting them.
 
-Learning uses labelled rows only: at most ``SAMPLE`` per language, chosen by a hash of the identifier over all rows
-(a documented bound for fitting a classifier). A fifth of them, kept out of the counts, calibrates the rejection: a text is
+Learning uses labelled rows only: about ``SAMPLE`` per language, drawn by a hash of the identifier over all rows (a documented
+bound for fitting a classifier). N-grams are counted, discounted and turned into probabilities in Spark; what reaches the driver
+is at most ``GRAMS`` numbers per language and order, which it only sorts. A fifth of them, kept out of the counts, calibrates the rejection: a text is
 rejected whose cross-entropy is above what clean text of that length reaches.
 
 Defined cases
 - null text, or text without a letter: language ``und``, score 0, rejected.
 - no labelled rows at all: every text is ``und``. Languages with fewer than two labelled rows are learned without calibration.
 - repeated rows are repeated; ties in cross-entropy go to the language first in code point order.
-- extra columns are ignored; labels, source and identifier never enter a prediction. An empty table gives no rows.
+- extra columns are kept by ``identify``; those it adds take the place of columns of the same name. Labels, source and
+  identifier never enter a prediction. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ from pyspark.sql import functions as F
 
 from ..plans.scratch import materialize
 from ..sources.tables import read_table
+from .alike import as_struct
 from .words import mix
 
 ORDER, SAMPLE, HELD_OUT, GRAMS = 4, 3000, 5, 1 << 18
@@ -104,64 +107,62 @@ class Model:
         return np.add.reduceat(*self.symbols(words), axis=0)
 
 
-def train(rows: list[tuple[str, str, int]], order: int = ORDER) -> Model:
-    """Model from (language, n-gram, count) of all orders; lower orders count the distinct symbols before an n-gram."""
-    languages = sorted({r[0] for r in rows})
-    column = {name: i for i, name in enumerate(languages)}
-    raw: list[dict[str, np.ndarray]] = [{} for _ in range(order)]
-    for name, gram, count in rows:
-        raw[len(gram) - 1].setdefault(gram, np.zeros(len(languages)))[column[name]] += count
-    used: list[dict[str, np.ndarray]] = [{} for _ in range(order)]
-    used[-1] = raw[-1]
-    for k in range(order - 1):
-        for gram, counts in raw[k + 1].items():
-            used[k].setdefault(gram[1:], np.zeros(len(languages)))
-            used[k][gram[1:]] += counts > 0
-        for gram, counts in raw[k].items():
-            if gram[0] == START and len(gram) > 1:  # nothing stands before a start, so its own count is used
-                used[k][gram] = counts
-    symbols = {g for g in used[0]} | {END}
+def _estimates(counts: DataFrame, order: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """From (lang, gram, n) of all orders: (lang, size, gram, prob, back), (lang, empty), and the symbols of all languages.
+
+    Lower orders count the distinct symbols before an n-gram; at the start of a word nothing stands before it, so its own count
+    is used. ``prob`` is what an n-gram's order gives its last symbol, ``back`` what the next order leaves to it after this context.
+    """
+    rows = counts.select("lang", "gram", F.length("gram").alias("size"), F.col("n").cast("double").alias("c"))
+    top = rows.where(F.col("size") == order)
+    own = rows.where((F.col("size") < order) & (F.col("size") > 1) & F.col("gram").startswith(START))
+    after = rows.where("size > 1").select("lang", F.expr("substring(gram, 2)").alias("gram"), (F.col("size") - 1).alias("size"))
+    used = top.unionByName(own).unionByName(after.groupBy("lang", "gram", "size").agg(F.count(F.lit(1)).cast("double").alias("c")))
+    used = materialize(used.select("lang", "size", "gram", "c"), "lang-used")
+    ones, twos = F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)
+    discount = F.when(ones + twos > 0, F.greatest(F.lit(0.1), F.least(F.lit(0.95), ones / (ones + 2 * twos)))).otherwise(0.5)
+    discounts = materialize(used.groupBy("lang", "size").agg(discount.alias("d")), "lang-discounts")
+    ends = used.where(~F.col("gram").endswith(START)).withColumn("context", F.expr("substring(gram, 1, size - 1)"))
+    sums = ends.groupBy("lang", "size", "context").agg(F.sum("c").alias("t"), F.count(F.lit(1)).alias("kinds"))
+    sums = materialize(sums.join(discounts, ["lang", "size"]), "lang-contexts")
+    prob = ends.join(sums, ["lang", "size", "context"]).select("lang", "size", "gram", (F.greatest(F.col("c") - F.col("d"), F.lit(0.0)) / F.col("t")).alias("prob"))
+    left = (F.col("d") * F.col("kinds") / F.col("t")).alias("back")
+    back = sums.where("size > 1").select("lang", (F.col("size") - 1).alias("size"), F.col("context").alias("gram"), left)
+    both = prob.join(back, ["lang", "size", "gram"], "full").select("lang", "size", "gram", F.coalesce("prob", F.lit(0.0)).alias("prob"), F.coalesce("back", F.lit(1.0)).alias("back"))
+    return both, sums.where("size = 1").select("lang", left.alias("empty")), used.where("size = 1").select("gram").distinct()
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Estimates with the hash of the n-gram in place of its text."""
+    for batch in batches:
+        size, grams = batch.column("size").to_numpy(), np.array(batch.column("gram").to_pylist(), object)
+        out = np.zeros(len(grams), np.uint64)
+        for k in np.unique(size).tolist():
+            at = np.flatnonzero(size == k)
+            codes, starts = _grams_as_codes(grams[at].tolist(), k)
+            out[at] = _gram_hashes(codes, starts, k)[k - 1][starts + k - 1]
+        yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("size"), pa.array(out.view(np.int64)), batch.column("prob"), batch.column("back")], ["lang", "size", "hash", "prob", "back"])
+
+
+def train(counts: DataFrame, order: int = ORDER) -> Model:
+    """Model from (lang, gram, n) of all orders."""
+    both, empty, symbols = _estimates(counts, order)
+    table = both.mapInArrow(_hashed, "lang string, size int, hash long, prob double, back double").toArrow()
+    left = {r["lang"]: r["empty"] for r in empty.collect()}  # one row per language
+    languages = sorted(left)
+    column = np.searchsorted(np.array(languages, object), np.array(table["lang"].to_pylist(), object)) if languages else np.empty(0, int)
+    size, keys = table["size"].to_numpy(), table["hash"].to_numpy().view(np.uint64)
     hashes, logs, backs = [], [], []
-    discounts = []
-    for table in used:
-        ones = sum((c == 1).astype(float) for c in table.values()) if table else np.zeros(len(languages))
-        twos = sum((c == 2).astype(float) for c in table.values()) if table else np.zeros(len(languages))
-        discounts.append(np.clip(np.where(ones + 2 * twos > 0, ones / np.maximum(ones + 2 * twos, 1), 0.5), 0.1, 0.95))
-    totals: list[dict[str, np.ndarray]] = [{} for _ in range(order)]
-    kinds: list[dict[str, np.ndarray]] = [{} for _ in range(order)]
-    for k, table in enumerate(used):
-        for gram, counts in table.items():
-            if gram[-1] == START:
-                continue
-            t = totals[k].setdefault(gram[:-1], np.zeros(len(languages)))
-            t += counts
-            s = kinds[k].setdefault(gram[:-1], np.zeros(len(languages)))
-            s += counts > 0
-
-    def weights(k: int, context: str) -> np.ndarray:
-        """What order k + 1 leaves to lower orders after a context of k symbols."""
-        t, s = totals[k].get(context), kinds[k].get(context)
-        return np.ones(len(languages)) if t is None else np.where(t > 0, discounts[k] * s / np.maximum(t, 1e-9), 1.0)
-
-    for k, table in enumerate(used):
-        grams = list(table)
-        contexts = [g for g in (totals[k + 1] if k + 1 < order else {}) if g not in table]
-        grams += contexts
-        prob = np.zeros((len(grams), len(languages)), np.float32)
-        back = np.ones((len(grams), len(languages)), np.float32)
-        for i, gram in enumerate(grams):
-            if gram in table and gram[-1] != START:
-                total = totals[k][gram[:-1]]
-                prob[i] = np.maximum(table[gram] - discounts[k], 0) / np.maximum(total, 1e-9)
-            if k + 1 < order:
-                back[i] = weights(k + 1, gram)
-        codes, starts = _grams_as_codes(grams, k + 1)
-        h = _gram_hashes(codes, starts, k + 1)[k][starts + k]
-        place = np.argsort(h)
-        hashes.append(h[place])
-        logs.append(prob[place])
-        backs.append(back[place])
-    return Model(languages, hashes, logs, backs, 1.0 / (len(symbols) + 1), weights(0, "").astype(np.float32))
+    for k in range(1, order + 1):
+        at = np.flatnonzero(size == k)
+        sorted_keys, row = np.unique(keys[at], return_inverse=True)
+        prob, back = np.zeros((len(sorted_keys), len(languages)), np.float32), np.ones((len(sorted_keys), len(languages)), np.float32)
+        prob[row, column[at]], back[row, column[at]] = table["prob"].to_numpy()[at], table["back"].to_numpy()[at]
+        hashes.append(sorted_keys)
+        logs.append(prob)
+        backs.append(back)
+    known = symbols.where(F.col("gram") != END).count() + 1
+    return Model(languages, hashes, logs, backs, 1.0 / (known + 1), np.array([left[x] for x in languages], np.float32))
 
 
 def _grams_as_codes(grams: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -285,8 +286,7 @@ def learn(labelled: DataFrame, *, order: int = ORDER, sample: int = SAMPLE, gram
     counts = materialize(counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "lang-grams")
     sums = counts.groupBy("lang", F.length("gram").alias("size")).agg(F.sum("n").alias("all"))
     kept = counts.withColumn("size", F.length("gram")).join(sums, ["lang", "size"]).where(F.col("n") * grams >= F.col("all"))
-    table = kept.select("lang", "gram", "n").toArrow()
-    model = train(list(zip(table["lang"].to_pylist(), table["gram"].to_pylist(), table["n"].to_pylist(), strict=True)), order)
+    model = train(materialize(kept.select("lang", "gram", "n"), "lang-kept"), order)
     spark = labelled.sparkSession
     k = len(model.languages)
     model.mean, model.spread = np.full(k, 2.0), np.full(k, 3.0)
@@ -301,20 +301,24 @@ def learn(labelled: DataFrame, *, order: int = ORDER, sample: int = SAMPLE, gram
     return model
 
 
+ADDED = ("lang_pred", "score", "cross_entropy", "rejected")
+
+
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs`` but ``text``, then lang_pred, score, cross_entropy, rejected, which ``docs`` must not have."""
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    made = "lang_pred string, score double, cross_entropy double, rejected boolean"
+    """All columns of ``docs`` but ``text`` and those it adds: lang_pred, score, cross_entropy, rejected."""
+    rest = [c for c in docs.columns if c not in ("text", *ADDED)]
     if not model.languages:
-        return docs.drop("text").select("*", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("cross_entropy"), F.lit(True).alias("rejected"))
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(_predict(sent), f"{kinds}, {made}" if kinds else made)
+        return docs.select(*(F.col(f"`{c}`") for c in rest), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("cross_entropy"), F.lit(True).alias("rejected"))
+    rows = docs.select(as_struct(rest, "row"), "text")
+    kinds = f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double, cross_entropy double, rejected boolean"
+    found = rows.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(model)), kinds)
+    return found.select(*(F.col("row")[c].alias(c) for c in rest), *ADDED)
 
 
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
     """The documents whose language is not rejected, all columns as they were."""
-    with_text = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    return identify(with_text, model).where("not rejected").select("row.*")
+    with_text = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), "text")
+    return identify(with_text, model).where("not rejected").select("doc.*")
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
