@@ -2,6 +2,7 @@
 
 import math
 import random
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -68,6 +69,106 @@ def test_extraction(spark):
     assert extract.extract_pages(df).count() == len(rows) and extract.extract_pages(df.limit(0)).count() == 0
 
 
+LONG = "Many words of a paragraph, one after the other. " * 12
+
+
+@pytest.mark.parametrize(
+    "main, want",
+    [
+        (f'<article class="post"><header class="entry-header"><h1>The title</h1></header><p>{LONG}</p></article>', ["The title", LONG]),
+        (f'<article><h1>The title</h1><p class="lead">The lead of it.</p><div class="article-body"><p>{LONG}</p><p>End.</p></div></article>', ["The title", "The lead of it.", LONG, "End."]),
+        (f'<article><section class="intro"><p>An intro, short.</p></section><section class="body"><p>{LONG}</p></section></article>', ["An intro, short.", LONG]),
+        (f'<article><h1>T</h1><div class="legal-analysis"><p>{LONG}</p></div><p>After.</p></article>', ["T", LONG, "After."]),
+        (f'<main><h1>Above</h1><article><p>{LONG}</p></article></main>', ["Above", LONG]),
+        (f'<div class="content"><h2>Head</h2><div class="text notice"><p>{LONG}</p></div></div>', ["Head"]),
+        (f'<article><div class="notice"><p>{LONG}{LONG}</p></div><p>{LONG}</p></article>', [LONG + LONG, LONG]),
+        (f'<article><p>{LONG}</p><div class="share-buttons">Tell all</div><div class="ad-300x250">Buy</div><nav>x</nav></article>', [LONG]),
+    ],
+)
+def test_extraction_keeps_all_of_the_article(main, want):
+    """No title, lead or section is left outside, no part is cut for half of a name or if it is most of the article."""
+    source = page(main, wrap="{main}")
+    assert extract.extract(source, []) == "\n\n".join(w.strip() for w in want)
+
+
+def test_noise_by_whole_names():
+    noise = "sidebar site-header page-footer cookie-banner comment-list comments-area related-posts socialShare ad-300x250 adBox main_nav entry-footer user-comments".split()
+    clean = "entry-header article-header legal-analysis has-sidebar article-body searching adapter postTitle story notice-of-appeal-history".split()
+    assert all(map(extract.is_noise, noise)) and not any(map(extract.is_noise, clean))
+
+
+def test_extraction_of_two_templates(spark):
+    """Half of a host's pages have the article in one container and a teaser in the other's, half the other way round."""
+    both = '<div class="a"><p>{a}</p></div><div class="c"><p>{c}</p></div>'
+    rows = [(i, "https://h.example/x", page(both.format(a=f"{i} {LONG}", c="teaser") if i % 2 else both.format(a="teaser", c=f"{i} {LONG}"), wrap="{main}")) for i in range(20)]
+    rows += [(i, "https://k.example/x", page(f'<article><p>{i} {LONG}</p></article><div class="c"><p>teaser</p></div>' if i < 30 else f'<div class="c"><p>{i} {LONG}</p></div>', wrap="{main}")) for i in range(20, 40)]
+    got = {r.page_id: r.text for r in extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"{i} {LONG}".strip() for i in range(40))
+
+
+class _Dom(HTMLParser):
+    """The article by the standard parser: text of blocks inside ``article``, without the parts that pages below mark."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.depth, self.skip, self.open, self.blocks, self.now = 0, 0, [], [], []
+
+    def close_block(self):
+        if text := " ".join("".join(self.now).split()):
+            self.blocks.append(text)
+        self.now = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("p", "h1", "h2", "li", "ul", "div", "section", "article", "blockquote"):
+            self.close_block()
+        if tag == "br":
+            self.now.append(" ")
+            return
+        self.open.append((tag, tag in ("nav", "script", "style", "form") or dict(attrs).get("class") in ("ad", "share")))
+        self.skip += self.open[-1][1]
+        self.depth += tag == "article"
+
+    def handle_endtag(self, tag):
+        self.close_block() if tag not in ("b", "i", "a", "em") else None
+        name, skipped = self.open.pop()
+        assert name == tag
+        self.skip -= skipped
+        self.depth -= tag == "article"
+
+    def handle_data(self, data):
+        if self.depth and not self.skip:
+            self.now.append(data)
+
+
+def test_extraction_against_a_dom(spark):
+    """Well-formed articles of random parts: the same blocks as a plain walk over the standard parser's events."""
+    rng = random.Random(6)
+
+    def words(n):
+        return " ".join(rng.choice(["one", "two &amp; three", "caf&eacute;", "<b>bold</b>", "<a href='/x'>link</a>", "four\n five", "six<br>seven"]) for _ in range(n))
+
+    def part(depth):
+        kind = rng.choice(["p", "p", "p", "h2", "ul", "div", "section", "ad", "script", "share"])
+        if kind in ("div", "section") and depth < 3:
+            return f"<{kind} class='k{rng.randrange(9)}'>" + "".join(part(depth + 1) for _ in range(rng.randint(1, 3))) + f"</{kind}>"
+        if kind == "ul":
+            return "<ul>" + "".join(f"<li>{words(3)}</li>" for _ in range(3)) + "</ul>"
+        if kind in ("ad", "share"):
+            return f"<div class='{kind}'>Buy</div>"
+        return f"<script>{words(2)}</script>" if kind == "script" else f"<{'h2' if kind == 'h2' else 'p'}>{words(12)}</{'h2' if kind == 'h2' else 'p'}>"
+
+    rows = []
+    for i in range(60):
+        main = f"<article><h1>Title {i}</h1><p>{words(60)}</p>" + "".join(part(0) for _ in range(6)) + "</article>"
+        rows.append((i, f"https://h{i % 3}.example/{i}", page(main, wrap="{main}"), main))
+    df = spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in extract.extract_pages(df).collect()}
+    for i, _, _, main in rows:
+        dom = _Dom()
+        dom.feed(main)
+        assert got[i] == "\n\n".join(dom.blocks)
+
+
 def test_extraction_never_fails():
     rng = random.Random(0)
     parts = ["<p>", "</p>", "<div class='a'>", "</div>", "<", ">", "<a href=x>", "</a>", "text ", "<td>", "</table>", "<li>", "<script>", "</b>", "<!--", '"', "&lt;", "<br/>", "<article>"]
@@ -75,7 +176,7 @@ def test_extraction_never_fails():
         assert isinstance(extract.extract("".join(rng.choices(parts, k=30)), []), str)
 
 
-def test_kneser_ney_sums_to_one():
+def test_kneser_ney_sums_to_one(spark):
     words = {"a": "abra cadabra abba".split(), "b": "zig zag zigzag abz".split()}
     rows = []
     for name, found in words.items():
@@ -85,7 +186,7 @@ def test_kneser_ney_sums_to_one():
     merged = {}
     for name, g, n in rows:
         merged[name, g] = merged.get((name, g), 0) + n
-    model = language.train([(a, g, n) for (a, g), n in merged.items()], 3)
+    model = language.train(spark.createDataFrame([(a, g, n) for (a, g), n in merged.items()], "lang string, gram string, n long"), 3)
     letters = sorted({c for f in words.values() for w in f for c in w})
     # After any prefix the chances of all symbols, the end and one unseen symbol add up to 1.
     for prefix in ("a", "ab", "zi", "gza"):
@@ -96,6 +197,50 @@ def test_kneser_ney_sums_to_one():
     assert model.languages == ["a", "b"] and a[0] < a[1] and b[1] < b[0]
 
 
+def brute_kneser_ney(counts, order, prefix, symbol, base):
+    """Interpolated Kneser-Ney by the book for one language, on plain dictionaries: chance of ``symbol`` after ``prefix``."""
+    def c(gram):
+        if len(gram) == order or gram[0] == language.START and len(gram) > 1:
+            return counts.get(gram, 0)
+        return sum(g[1:] == gram for g in counts if len(g) == len(gram) + 1)
+
+    def grams(size):
+        return {g for g in counts if len(g) == size and (size == order or g[0] == language.START and size > 1)} | {g[1:] for g in counts if len(g) == size + 1 <= order}
+
+    def chance(context):
+        lower = chance(context[1:]) if context else base
+        own = [g for g in grams(len(context) + 1) if g[:-1] == context and g[-1] != language.START]
+        if not own:
+            return lower
+        sizes = [c(g) for g in grams(len(context) + 1)]
+        ones, twos = sizes.count(1), sizes.count(2)
+        d = min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones + twos else 0.5
+        total = sum(map(c, own))
+        return max(c(context + symbol) - d, 0) / total * (context + symbol in own) + d * len(own) / total * lower
+
+    return chance(prefix[-(order - 1) :])
+
+
+def test_kneser_ney_against_the_formula(spark):
+    words = {"a": "abra cadabra abba abra bar".split(), "b": "zig zag zigzag abz zag".split()}
+    counts = {}
+    for name, found in words.items():
+        own = counts.setdefault(name, {})
+        for w in found:
+            m = language.START + w + language.END
+            for k in range(1, 4):
+                for i in range(len(m) - k + 1):
+                    own[m[i : i + k]] = own.get(m[i : i + k], 0) + 1
+    model = language.train(spark.createDataFrame([(a, g, n) for a, own in counts.items() for g, n in own.items()], "lang string, gram string, n long"), 3)
+    for word in ("abra", "zag", "bazi", "q"):
+        cost = model.symbols([word])[0]
+        marked = language.START + word + language.END
+        for i in range(1, len(marked)):
+            for k, name in enumerate("ab"):
+                want = brute_kneser_ney(counts[name], 3, marked[:i], marked[i], model.base)
+                assert math.isclose(np.exp(-cost[i][k]), want, rel_tol=1e-4), (word, i, name)
+
+
 def test_language_id(spark):
     r = language.op9_language_id(spark, D).join(spark.read.parquet(f"{D}/documents.parquet").select("doc_id", "lang"), "doc_id")
     held = r.where("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double")), F.count(F.lit(1)), F.count_if("rejected")).first()
@@ -103,9 +248,12 @@ def test_language_id(spark):
     docs = spark.read.parquet(f"{D}/documents.parquet")
     model = language.learn(docs)
     odd = [(1, None), (2, ""), (3, "123 !!"), (4, " ".join("".join(random.Random(i).choices("qxzjkvwp", k=9)) for i in range(60))), (5, "the and of that is"), (5, "the and of that is"), (6, "the " * 100_000)]
-    df = spark.createDataFrame(odd, "doc_id long, text string").withColumn("lang", F.lit("zz")).withColumn("row", F.lit(1))
+    df = spark.createDataFrame(odd, "doc_id long, text string").withColumn("lang", F.lit("zz")).withColumn("row", F.lit(1)).withColumn("score", F.lit("own")).withColumn("_", F.lit(2))
     got = {r.doc_id: r for r in language.identify(df, model).collect()}
     assert all(got[i].lang_pred == "und" and got[i].score == 0 and got[i].rejected for i in (1, 2, 3))
+    assert got[1].row == 1 and got[1]["_"] == 2 and isinstance(got[5].score, float)
+    kept = language.keep_identified(df, model)
+    assert kept.columns == df.columns and {r.score for r in kept.collect()} == {"own"}
     assert got[4].rejected and not got[5].rejected and got[6].lang_pred == "en"
     assert sorted(r.doc_id for r in language.keep_identified(df, model).collect()) == [5, 5, 6]
     nothing = language.learn(docs.limit(0))
@@ -118,12 +266,63 @@ def test_grammar():
     assert most("you are an idiot") > most("an idiot") > most("not an idiot") > 0
     assert most("he said an idiot came") < most("an idiot came") and most("you said") == most("") == 0
     assert most("I will kill you") > most("time to kill")
+    assert most("I will really hurt you") > most("they hurt you") > most("it hurt") and most("I hope you will burn") > most("a burn")
     one, other = toxic._span(1, (2,), 2, 0.5, 0.1), toxic._span(3, (2,), 1, 0.2, 0.0)
     both = toxic.compose(one, other)
     s = w = 0
     for symbol in (1, 3, 2):
-        s, f, w = both.arc(s, symbol)
-    assert math.isclose(f, 0.1) and math.isclose(w, 0.1)
+        s, g, f, w = both.arc(s, symbol)
+    assert g == 0 and math.isclose(f, 0.1) and math.isclose(w, 0.1)
+
+
+def plain_clause_weight(symbols, weights):
+    """The grammar as windows over the words, without any automaton."""
+    total = 0.0
+    for i, s in enumerate(symbols):
+        def within(kind, n):
+            return kind in symbols[max(0, i - n) : i]
+
+        gain = addend = 0.0
+        if s == toxic.INSULT:
+            gain = 1.0
+            addend += 0.2 if i and symbols[i - 1] == toxic.INSULT else 0.0
+        if s == toxic.TARGET and i and symbols[i - 1] == toxic.INSULT:
+            addend += 0.3
+        if s == toxic.HARM:
+            # Intent among the three words before, and no harm after it.
+            meant = [j for j in range(max(0, i - 3), i) if symbols[j] == toxic.INTENT]
+            gain = 1.5 if meant and toxic.HARM not in symbols[meant[-1] : i] else 0.5
+        if s == toxic.TARGET:
+            # The last harm among the three words before, with neither intent nor another target after it.
+            harm = [j for j in range(max(0, i - 3), i) if symbols[j] == toxic.HARM]
+            if harm and not {toxic.INTENT, toxic.TARGET} & set(symbols[harm[-1] + 1 : i]):
+                j = harm[-1]
+                meant = [k for k in range(max(0, j - 3), j) if symbols[k] == toxic.INTENT]
+                addend += 0.7 if meant and toxic.HARM not in symbols[meant[-1] : j] else 0.3
+        factor = 1.0
+        if s in (toxic.INSULT, toxic.HARM):
+            addend += 0.5 if within(toxic.TARGET, 4) else 0.0
+            factor *= (0.4 if within(toxic.NEGATION, 3) else 1.0) * (0.6 if within(toxic.REPORT, 12) else 1.0)
+        total += factor * (gain * weights[i] + addend)
+    return total
+
+
+def test_grammar_against_plain_windows():
+    rng = random.Random(8)
+    for _ in range(4000):
+        symbols = [rng.randrange(toxic.CLASSES) for _ in range(rng.randint(0, 14))]
+        weights = [rng.choice([0.5, 1.0, 2.0]) if s in (toxic.INSULT, toxic.HARM) else 0.0 for s in symbols]
+        assert math.isclose(toxic.clause_weight(symbols, weights), plain_clause_weight(symbols, weights), abs_tol=1e-9), symbols
+
+
+def test_stems_against_longest_prefix():
+    rng = random.Random(9)
+    stems = {"".join(rng.choices("abé ", k=rng.randint(1, 5))): (1, float(i)) for i in range(60)}
+    read = toxic.Stems(stems)
+    for _ in range(2000):
+        word = "".join(rng.choices("abéc", k=rng.randint(0, 7)))
+        fit = [s for s in stems if (word + " ").startswith(s)]
+        assert read.read(word) == (stems[max(fit, key=len)] if fit else None)
 
 
 def test_toxicity(spark):

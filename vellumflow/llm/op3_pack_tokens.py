@@ -12,6 +12,7 @@ Defined cases
 - null or empty text has no tokens and no segment. Null identifiers stay null in ``doc_ids``.
 - rows that repeat an identifier are packed one by one and told apart by ``rows``.
 - a text of any length is encoded whole, and its pieces may lie in several rows. Extra columns are ignored.
+- how segments meet in rows depends on how the input is split into partitions; which segments there are does not.
 - an empty table gives no rows. The rest of a row is filled with ``pad``; ``n_tokens`` says how much is used.
 """
 
@@ -19,7 +20,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,8 @@ from ..sources.tables import read_table
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Fixed value: how this kind of vocabulary cuts text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-ROW, BLOCK_TOKENS = 2048, 4_000_000
+ROW, BLOCK_TOKENS, LONG_SPACE = 2048, 4_000_000, 100_000
+_LONG_SPACE = re.compile(rf"\s{{{LONG_SPACE}}}")
 
 _encodings: dict[str, tiktoken.Encoding] = {}
 
@@ -61,6 +64,18 @@ def encoding(content: bytes) -> tiktoken.Encoding:
     return _encodings[name]
 
 
+def encode_text(encode: Callable[[str], np.ndarray], text: str) -> np.ndarray:
+    """Token ids of a text of any length.
+
+    Runs of white space are cut after every ``LONG_SPACE`` characters, as the encoder fails on runs of about a million: that
+    changes how such a run is merged, not what the ids decode to.
+    """
+    ends = [m.end() for m in _LONG_SPACE.finditer(text)]
+    if not ends:
+        return encode(text)
+    return np.concatenate([encode(text[a:b]) for a, b in zip([0, *ends], [*ends, len(text)], strict=True)])
+
+
 class Capacities:
     """Open rows by free capacity, with a segment tree that finds the least capacity that is enough."""
 
@@ -140,7 +155,7 @@ def _pack(vocabulary: Broadcast, row: int, pad: int, block_tokens: int):
 
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = encode(text).astype(kind)
+                ids = encode_text(encode, text).astype(kind)
                 for at in range(0, len(ids), row):
                     held.append((doc_id, base + seen, at, ids[at : at + row]))
                 seen, total = seen + 1, total + len(ids)

@@ -1,9 +1,14 @@
 """Main text of web pages by consensus over the pages of a host.
 
 First pass: the containers of each page are scored by the text below them that is not in links, menus, forms and the like;
-the smallest container with most of that text votes for its path of tags and classes, with numbers in class names made equal.
-Votes are added up per host and path in Spark. Second pass: a page is read at the best of its host's winning paths that it
-has, or at its own best container where it has none of them.
+the smallest container that leaves no heading and no paragraphs of the article outside votes for its path of tags and classes,
+with numbers in class names made equal. Votes are added up per host and path in Spark. Second pass: a page is read at the first
+of its host's winning paths that holds most of what the page's own best container does, or at that one where none does; so a
+host may have several templates, and a teaser with a winning name is not taken for an article.
+
+Parts are left out by tag, or by a class, identifier or role that names them: a whole name (``comments``), or one made of such a
+word and words for places and boxes (``site-header``). ``entry-header`` or ``legal-analysis`` name no such part. Whatever its name,
+an element with most of an article's text is no such part either.
 
 Blocks: text between tags that begin or end a block; inside a block white space becomes one space, and character
 references are decoded. A line break counts as white space. Blocks are joined by two line ends.
@@ -28,10 +33,10 @@ from pyspark.sql import functions as F
 from ..plans.scratch import materialize
 from ..sources.tables import read_table
 
-#: Paths kept per host, and the share of the host's votes that a path needs.
-PATHS, SHARE = 8, 0.02
-#: A container is entered while it holds this much of its parent's text.
-MOST = 0.6
+#: Share of a host's votes that a path needs, so there are at most 50 to a host.
+SHARE = 0.02
+#: A container is entered while it holds this much of its parent's text, and what is outside has less than ``LITTLE`` of it in paragraphs.
+MOST, LITTLE = 0.6, 0.05
 
 # Elements by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -56,6 +61,19 @@ NOISE = frozenset(
     ).split()
 )
 
+# Fixed words: what may stand beside a word of NOISE in the name of such a part.
+PLACES = frozenset(
+    (
+        "site page main global top bottom left right center middle upper lower primary secondary fixed sticky mobile desktop mini small large big wide "
+        "box bar area block section container wrap wrapper inner outer panel pane list group slot unit zone region row col column item items content "
+        "link links button buttons btn icon icons image img text title form field post posts entry article articles story stories news blog user reader readers "
+        "the and with for by of no my new first last one two previous next media policy trail leave"
+    ).split()
+)
+# Fixed words: words of NOISE that name a part of an article just as well, so that a name with ``article`` or ``post`` in it is none.
+COMMON = frozenset("header legal banner notice notices alert alerts aside rail tags copyright search privacy popular trending feedback discussion overlay skip form".split())
+OWN = frozenset("post posts entry article articles story stories news blog content text title section the and with for by of no my new".split())
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(script|style|noscript|template|svg|iframe|textarea|object|canvas|audio|video|math|title)\b.*?(?:</\1\s*>|\Z)"
@@ -69,6 +87,16 @@ _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _DIGITS = re.compile(r"\d+")
 
 
+def is_noise(name: str) -> bool:
+    """Whether a class, identifier or role names a part that is no article, by all of its words."""
+    words = [w.lower() for w in _PARTS.findall(name)]
+    found = {w for w in words if w in NOISE}
+    if not found:
+        return False
+    rest = {w for w in words if len(w) > 1} - found
+    return not rest or rest <= PLACES and not (found <= COMMON and rest & OWN)
+
+
 class Page:
     """Elements of a page as parallel lists, and its blocks of text as (element, text, characters in links)."""
 
@@ -85,7 +113,7 @@ class Page:
                 if name == "class":
                     classes = ".".join(sorted(_DIGITS.sub("#", value).split()))
                 if name in ("class", "id", "role"):
-                    noise = noise or any(p.lower() in NOISE for p in _PARTS.findall(value))
+                    noise = noise or any(map(is_noise, value.split()))
                 elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
                     noise = True
         if tag == "header" and self._within(parent, ("article", "main")):
@@ -175,7 +203,8 @@ class Page:
                 owner = stack[-1]
             pieces.append(source[at:])
         flush()
-        # An element around the page's main heading or article, with most of the text, is the page itself, whatever its name.
+        # An element around the page's main heading or article, with most of the text, is the page itself, whatever its name; so
+        # is one in an article with most of the article's text.
         size, main = [0] * len(self.tag), [False] * len(self.tag)
         for e, text, _ in self.blocks:
             size[e] += len(text)
@@ -183,19 +212,31 @@ class Page:
             up = self.parent[e]
             size[up] += size[e]
             main[up] = main[up] or main[e] or self.tag[e] in ("h1", "main") or self.tag[e] == "article" and not self.cut[e]
+        article = [0] * len(size)
         for e in range(1, len(size)):
-            if self.cut[e] and main[e] and self.tag[e] in PAGE_TAGS and size[e] > 0.5 * size[0]:
+            up = self.parent[e]
+            article[e] = up if self.tag[up] in ("article", "main") and not self.cut[up] else article[up]
+            around = main[e] and size[e] > 0.5 * size[0] or article[e] and size[e] > 0.5 * size[article[e]]
+            if self.cut[e] and around and self.tag[e] in PAGE_TAGS:
                 self.cut[e] = False
-            self.cut[e] = self.cut[e] or self.cut[self.parent[e]]
+            self.cut[e] = self.cut[e] or self.cut[up]
 
-    def best(self) -> tuple[int, float] | None:
-        """The smallest container with most of the page's own text, and that text's weight."""
+    def weights(self) -> list[float]:
+        """Of each element the characters of its own text that are neither cut nor in links."""
         weight = [0.0] * len(self.tag)
         for e, text, links in self.blocks:
             if not self.cut[e]:
                 weight[e] += max(0, len(text) - 2 * links)
+        return weight
+
+    def best(self) -> tuple[int, float] | None:
+        """The smallest container with most of the page's own text and all of its article, and that text's weight."""
+        weight = self.weights()
+        prose = [w if t in ("p", "li", "blockquote", "pre", "dd") else 0.0 for w, t in zip(weight, self.tag, strict=True)]
+        heads = [int(w > 0 and t in ("h1", "h2", "h3")) for w, t in zip(weight, self.tag, strict=True)]
         for e in range(len(weight) - 1, 0, -1):
-            weight[self.parent[e]] += weight[e]
+            for sums in (weight, prose, heads):
+                sums[self.parent[e]] += sums[e]
         if not weight[0]:
             return None
         inside: dict[int, list[int]] = {}
@@ -203,16 +244,29 @@ class Page:
             inside.setdefault(self.parent[e], []).append(e)
         at = chosen = 0
         while nexts := [e for e in inside.get(at, ()) if weight[e] >= MOST * weight[at]]:
-            at = nexts[0]
+            into = nexts[0]
+            inner = self.tag[at] in ("article", "main")
+            if heads[at] > heads[into] or prose[at] - prose[into] > LITTLE * weight[at] or inner and weight[into] < weight[at]:
+                break
+            at = into
             if self.tag[at] in CONTAINERS:
                 chosen = at
         return chosen, weight[chosen]
 
-    def text_at(self, path: str) -> str | None:
-        """Text of all elements with ``path``, or None where there are none that are not cut."""
+    def weight_at(self, path: str) -> float:
+        """Weight of what ``text_at`` gives for a path."""
+        inside = self._inside(path)
+        return sum(w for w, i in zip(self.weights(), inside, strict=True) if i)
+
+    def _inside(self, path: str) -> list[bool]:
         inside = [False] * len(self.tag)
         for e in range(len(inside)):
             inside[e] = e > 0 and inside[self.parent[e]] or self.path[e] == path and not self.cut[e]
+        return inside
+
+    def text_at(self, path: str) -> str | None:
+        """Text of all elements with ``path``, or None where there are none that are not cut."""
+        inside = self._inside(path)
         if not any(inside):
             return None
         return "\n\n".join(text for e, text, _ in self.blocks if inside[e] and not self.cut[e])
@@ -221,11 +275,15 @@ class Page:
 def extract(source: str, paths: list[str]) -> str:
     """Text of a page, given the winning paths of its host, best first."""
     page = Page(source)
-    for path in paths:
-        if text := page.text_at(path):
-            return text
     own = page.best()
-    return page.text_at(page.path[own[0]]) or "" if own else ""
+    if own is None:  # links alone, or nothing
+        return next(filter(None, map(page.text_at, paths)), "")
+    known = set(page.path)
+    least = own[1] * (1 - LITTLE)
+    for path in paths:
+        if path in known and page.weight_at(path) >= least:
+            return page.text_at(path) or ""
+    return page.text_at(page.path[own[0]]) or ""
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,13 +304,13 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def winning_paths(pages: DataFrame) -> DataFrame:
-    """(host, paths): the paths that at least ``SHARE`` of a host's pages voted for, best first, at most ``PATHS``."""
+    """(host, paths): the paths that at least ``SHARE`` of a host's pages voted for, best first."""
     votes = pages.select("host", "html").mapInArrow(_votes, "host string, path string, weight double")
     sums = materialize(votes.groupBy("host", "path").agg(F.count(F.lit(1)).alias("votes"), F.sum("weight").alias("weight")), "html-votes")
     all_votes = sums.groupBy("host").agg(F.sum("votes").alias("all"))
     strong = sums.join(all_votes, "host").where(F.col("votes") >= SHARE * F.col("all"))  # at most 1 / SHARE to a host
     ranked = strong.groupBy("host").agg(F.array_sort(F.collect_list(F.struct((-F.col("votes")).alias("v"), (-F.col("weight")).alias("w"), "path"))).alias("r"))
-    return ranked.select("host", F.slice(F.transform("r", lambda x: x["path"]), 1, PATHS).alias("paths"))
+    return ranked.select("host", F.transform("r", lambda x: x["path"]).alias("paths"))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
