@@ -68,6 +68,14 @@ def test_exact_dedup_in_batches(spark, tmp_path, digest):
         assert [r.doc_id == r.keep_id for r in found if r.kept] == [True]
 
 
+def test_exact_dedup_of_odd_columns(spark, tmp_path):
+    """Columns named like those that the reader adds, and a path that ends in a slash."""
+    path = str(tmp_path / "docs")
+    spark.createDataFrame([(1, "a", 1, "x"), (2, "a", 2, "y"), (3, None, 3, "z")], "doc_id long, text string, _metadata int, digest string").write.parquet(path)
+    got = exact.exact_dedup(spark, path + "/", root=str(tmp_path / "state")).collect()
+    assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got) == [(1, 2, 2, False), (2, 2, 2, True), (3, 3, 1, True)]
+
+
 def test_exact_dedup_of_nothing(spark, tmp_path):
     path = str(tmp_path / "docs")
     _write(spark, path, [], 0)

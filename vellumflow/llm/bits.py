@@ -17,3 +17,34 @@ def bitmap(ids: DataFrame, column: str) -> np.ndarray:
     out = np.zeros(1 << FILTER_BITS - 5, "<u4")
     out[rows["word"].to_numpy()] = rows["bits"].to_numpy().astype(np.uint32)
     return out.view(np.uint8)
+
+
+#: Bits that mark values for joins: a table of 2**17 rows at most is sent to all tasks, whatever the number of values.
+MARK_BITS = 23
+
+
+def _bit(df: DataFrame, columns: list[str]) -> DataFrame:
+    place = F.shiftrightunsigned(F.xxhash64(*columns), 64 - MARK_BITS)
+    return df.withColumn("_word", F.shiftright(place, 6).cast("int")).withColumn("_bit", place.bitwiseAND(63).cast("int"))
+
+
+def mark(rows: DataFrame, columns: list[str], among: DataFrame, name: str = "_marked") -> DataFrame:
+    """``rows`` with ``name``: true for all rows whose ``columns`` are in ``among``, and for few others. Rows stay where they are."""
+    words = _bit(among.select(*columns), columns).groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits"))
+    joined = _bit(rows, columns).join(F.broadcast(words), "_word", "left")
+    return joined.select(*rows.columns, F.coalesce(F.expr("bit_get(_bits, _bit) = 1"), F.lit(False)).alias(name))
+
+
+def rows_without(docs: DataFrame, keys: list, dropped: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ``keys`` (columns) are not a row of ``dropped``; columns as they were.
+
+    Only rows that a table of bits of fixed size cannot clear are dealt to the join that decides, so texts that stay are not shuffled.
+    """
+    names = [f"k{i}" for i in range(len(keys))]
+    out = dropped.toDF(*names)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), *(k.alias(n) for k, n in zip(keys, names, strict=True)))
+    rows = mark(rows, names, out)
+    doubtful = rows.where("_marked")
+    same = [doubtful[n].eqNullSafe(out[n]) for n in names]
+    decided = doubtful.join(out, same, "left_anti")
+    return rows.where("not _marked").select("doc.*").unionByName(decided.select("doc.*"))

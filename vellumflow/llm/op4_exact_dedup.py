@@ -4,13 +4,14 @@ A file stream of documents is grouped by the SHA-256 digest of the text. The sta
 the executors' disks with its log in the shared checkpoint folder and never expires. Per digest it keeps the identifier of
 the row that stays, a locator of that row's bytes (file and row number in it) and the number of rows. Each micro-batch
 appends the digests it changed to a table of changes. A digest with more than one row is a hit; the full texts of hits are
-compared, and texts that differ under one digest are told apart.
+compared, and texts that differ under one digest are told apart. Rows that are no hits are told by a table of bits of fixed size
+and stay where they are; of the rows of a hit each task sends one per text.
 
 Defined cases
 - null text counts as empty; texts are compared without any change. Null identifiers are below all others.
 - of equal texts the row with the largest identifier stays; rows that repeat an identifier too are told apart by locator,
   so that exactly one row of a group stays.
-- extra columns are ignored. An empty table gives no rows.
+- extra columns are ignored, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..plans.scratch import materialize, scratch_path
 from ..sources.tables import table_path
+from .bits import mark
 
 #: Bytes of input to a partition of the state, and the least number of partitions. Each costs a fixed 4 MB of disk.
 STATE_BYTES, STATE_LEAST = 2 << 30, 12
@@ -41,6 +43,14 @@ def _rows(df: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
     return df.select("doc_id", text.alias("text"), digest(text).alias("digest"), at.alias("at"))
 
 
+def _read(spark: SparkSession, path: str) -> tuple[str, str]:
+    """A pattern that stands for the file or folder at ``path``, and the schema of the two columns that are read."""
+    path = path.rstrip("/")
+    kinds = dict(spark.read.parquet(path).dtypes)
+    # A stream wants a folder or a pattern; a pattern stands for a single file as well.
+    return f"{path[:-1]}[{path[-1]}]", f"doc_id {kinds['doc_id']}, text {kinds['text']}"
+
+
 def _state_partitions(spark: SparkSession, path: str) -> int:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     size = where.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
@@ -49,11 +59,11 @@ def _state_partitions(spark: SparkSession, path: str) -> int:
 
 def ingest(spark: SparkSession, path: str, root: str, *, digest: Callable[[Column], Column] = sha256, files_per_batch: int | None = None) -> None:
     """Bring the state below ``root`` up to date with the files at ``path``; files seen before are not read again."""
-    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    pattern, schema = _read(spark, path)
+    reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    # A pattern stands for a single file as well as for a folder; a plain path must be a folder here.
-    rows = _rows(reader.parquet(f"{path[:-1]}[{path[-1]}]"), digest)
+    rows = _rows(reader.parquet(pattern), digest)
     groups = rows.groupBy("digest").agg(F.max("at").alias("keep"), F.count(F.lit(1)).alias("group_size"))
 
     def log(changed: DataFrame, batch: int) -> None:
@@ -96,10 +106,11 @@ def exact_dedup(spark: SparkSession, path: str, *, root: str | None = None, dige
     root = root or scratch_path(spark, "exact")
     ingest(spark, path, root, digest=digest, files_per_batch=files_per_batch)
     groups = materialize(groups_of(spark, root), "exact-groups")
-    rows = _rows(spark.read.parquet(path), digest)
+    pattern, schema = _read(spark, path)
+    rows = _rows(spark.read.schema(schema).parquet(pattern), digest)
 
-    # Full bytes on hits: copies collapse in the partial aggregate, so a large group sends one row per task.
-    hits = rows.join(groups.where("group_size > 1").select("digest"), "digest")
+    # Full bytes on hits: copies collapse before they are dealt by digest and text, so a large group sends one row per task.
+    hits = mark(rows, ["digest"], groups.where("group_size > 1")).where("_marked")
     texts = hits.groupBy("digest", "text").agg(F.max("at").alias("keep"), F.count(F.lit(1)).alias("group_size"))
     clashing = materialize(texts.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest"), "exact-clash")
 
