@@ -96,6 +96,60 @@ def test_line_dedup_odd_rows(spark):
     assert lines.dedup_lines(df.limit(0)).count() == 0
 
 
+def removed_of(df, **options):
+    return {r.doc_id: list(r.removed) for r in lines.dedup_lines(df, **options).collect() if r.removed}
+
+
+def test_line_dedup_parts_without_words(spark):
+    """Parts that are empty, null or blank, among others and alone."""
+    rows = [(1, "a b c d e"), (2, None), (3, " \t\n"), (4, ""), (5, "a b c d e"), (6, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    assert removed_of(df) == {5: [0]}
+    blank = df.where("doc_id in (2, 3, 4)")
+    assert sorted((r.doc_id, r.text, list(r.removed)) for r in lines.dedup_lines(blank).collect()) == [(2, None, []), (3, " \t\n", []), (4, "", [])]
+    two = spark.createDataFrame(rows[:2], "doc_id long, text string").repartition(4, "doc_id")
+    assert lines.dedup_lines(two).count() == 2
+
+
+def test_line_dedup_keeps_extra_columns(spark):
+    rows = [(1, "a b c d e\nf", "x", 1, 2, 3), (1, "a b c d e\nf", "y", 4, 5, 6), (2, "f", "z", 7, 8, 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _key string, _lines int, n_lines int, `key` int")
+    got = sorted(tuple(r) for r in lines.dedup_lines(df).select("doc_id", "_key", "_lines", "key", "n_lines", "kept_lines").collect())
+    assert [g[:5] for g in got] == [(1, "x", 1, 3, 2), (1, "y", 4, 6, 2), (2, "z", 7, 9, 1)] and sorted(g[5] for g in got) == [0, 0, 2]
+
+
+def test_line_dedup_hot_words_and_clashing_sums(spark):
+    """Words dealt to many tasks, steps that leave most lines unsettled, and class sums of ten bits: the same lines go."""
+    rng = random.Random(21)
+    common = [f"c{i}" for i in range(12)]
+    rows = []
+    for d in range(150):
+        text = [" ".join(rng.sample(common, 9) + [rng.choice(common)]) for _ in range(2)] + [" ".join(rng.choices(WORDS, k=6))]
+        rows.append((d, "\n".join(text)))
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {d: x for d, x in brute_removed(rows).items() if x}
+    assert 50 < len(want) < 150
+    assert removed_of(df, hot=4, steps=(1, 2)) == want
+    assert removed_of(df, class_bits=10) == want
+    assert removed_of(df, hot=64, wide=2, steps=(1, 2)) == want
+
+
+def test_line_dedup_common_words_only(spark):
+    """Twenty thousand lines of thirty words: every word's lines are dealt to many tasks; against a comparison of all pairs."""
+    rng = np.random.default_rng(4)
+    sets = np.array([sum(1 << int(w) for w in rng.choice(30, int(n), replace=False)) for n in rng.integers(9, 12, 20_000)], np.uint64)
+    text = [" ".join(f"w{k}" for k in range(30) if int(s) >> k & 1) for s in sets]
+    sizes, gone = np.bitwise_count(sets).astype(int), []
+    for i in range(1, len(sets)):
+        both = np.bitwise_count(sets[:i] & sets[i]).astype(int)
+        if (both >= 0.8 * (sizes[:i] + sizes[i] - both) - 1e-9).any():
+            gone.append(i)
+    df = spark.createDataFrame([*enumerate(text)], "doc_id long, text string").repartition(6)
+    assert 100 < len(gone) < 19_000
+    assert sorted(removed_of(df, hot=1 << 10)) == gone == sorted(removed_of(df, wide=600))
+
+
 def test_hash_words_cuts_like_split():
     texts = [b"", b" a  b\x0bc ", "é\xa0é".encode(), b"a", b"\x1ca \x85"]
     hashes, which, _, _ = hash_words(texts)
@@ -252,13 +306,37 @@ def test_similar_long_runs_lose_no_link(spark):
 
 
 def test_block_pairs_meet_once_or_within(spark):
-    rows = [(k, n, 10, 0, n) for k, m in ((1, 30), (2, 4)) for n in range(m)]
-    df = spark.createDataFrame([(*r, 30 if r[0] == 1 else 4) for r in rows], "key long, node long, size int, place int, root long, rows long")
+    rows = [(k, n, 10, 0, n, b"\0" * 64) for k, m in ((1, 30), (2, 4)) for n in range(m)]
+    df = spark.createDataFrame([(*r, 30 if r[0] == 1 else 4) for r in rows], "key long, node long, size int, place int, root long, bits binary, rows long")
     left = simhash._block_pairs(df, 8).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
-    got = {tuple(r) for r in left.mapInArrow(simhash._other_links(0.8), "u long, v long").collect()}
+    got = {tuple(r) for r in left.mapInArrow(simhash._other_links(0.8, None), "u long, v long, key long").select("u", "v").collect()}
     assert got == {(a, b) for b in range(30) for a in range(b)}
 
 
+def test_similar_hot_shingles_dealt_to_tasks(spark):
+    """Runs dealt to many tasks, cut into blocks, and nodes that clash: still all links and no others."""
+    rng = random.Random(12)
+    rows = families(rng, 3, 60, 120, 8) + [(1000, ""), (1001, None), (1002, "a b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_components([(d, t or "") for d, t in rows])
+    assert 3 < len({want[d] for d, _ in rows if d < 1000}) < 170
+    got = simhash.similar_documents(df, hot_rows=2, run_limit=16, node=lambda t: F.pmod(F.xxhash64(t), F.lit(20)))
+    got = {r.doc_id: r.component_id for r in got.collect()}
+    assert got.pop(1001) == 1000 and {**want, 1001: 1000} == {**got, 1001: 1000}
+
+
+def test_parity_bits_bound_the_difference():
+    """Folded or not, texts never differ in more parity bits than their sets do in shingles."""
+    rng = np.random.default_rng(3)
+    for n, m in ((5, 5), (100, 90), (3000, 2900), (3000, 200), (0, 4)):
+        a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        b = np.concatenate((a[: min(n, m) // 2], rng.integers(0, 1 << 63, m - min(n, m) // 2, dtype=np.uint64)))
+        x, y = simhash.parity_bits(a), simhash.parity_bits(b)
+        for size in {min(len(x), len(y)), 64}:
+            apart = int(np.bitwise_count(simhash.fold(x, size) ^ simhash.fold(y, size)).sum())
+            assert apart <= len(set(a.tolist()) ^ set(b.tolist()))
+
+
 def test_decontamination(spark):
     rng = random.Random(4)
     items = [(i, " ".join(rng.choices(WORDS, k=20 + i))) for i in range(30)] + [(50, "short item of six words here"), (51, "too short"), (52, None), (0, "again the same number but other words in it here")]

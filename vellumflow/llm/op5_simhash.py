@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..plans.scratch import materialize, release
 from ..sources.tables import read_table
-from .bits import FILTER_BITS, bitmap
+from .bits import FILTER_BITS, bitmap, rows_without
 from .components import connected_components
 from .words import blocks, hash_words, mix
 
@@ -187,11 +187,20 @@ def near_duplicates(docs: DataFrame, *, bits: int = BITS, run_limit: int = RUN)
 #
 # Two bits of 64 stand for a similarity of about 0.98. A lower one is found by an exact join of the sets of shingles: shingles
 # are put in an order, rare ones first, and two sets at the similarity share one among the first few of each (prefix filter).
-# Texts that share such a shingle form a run. Of a run each text is verified against the first and the one before it; what this
-# does not connect is compared pair by pair. No pair that passes the size and place filters is left out.
+# Texts that share such a shingle form a run.
+#
+# Pairs of a run are verified in steps: each text with the first of its run and the one before it; then, of texts that this has
+# left in different components, each with the nearest few of another component; last, in runs where a text has more of these,
+# all pairs that are still in different components. Nearness is read off parity bits: each shingle turns one bit, so that the number of bits in which two
+# texts differ is never more than the number of shingles in which their sets do. Pairs beyond the bound are never listed. No
+# pair that can reach the similarity is left out, and of a large group of near copies a few pairs to each text are listed.
 
 #: Counters of shingles, 2 MB as sent to tasks. They set the order only: rare shingles first makes short runs, any order is exact.
 RARITY_BITS, SLICE_BITS = 21, 16
+#: A run of about this many rows and more is dealt to several tasks. Nearest texts of another component that are verified in a step.
+HOT_ROWS, NEAREST = 4096, 2
+#: Parity bits that rows of a run carry. A text has as many as twice its shingles or more, for pairs that pass on these.
+RUN_BITS = 512
 
 
 def _shingles(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -251,30 +260,42 @@ def _shingle_rarity(rows: DataFrame, words: int) -> np.ndarray:
     return codes.reshape(-1)
 
 
-def _shingle_prefixes(words: int, similarity: float, rarity):
-    """Rows (key, node, size, place): the shingles of a text's prefix, the size of its set, and where in the order each stands.
+def _salts(codes: np.ndarray, hot_rows: int) -> np.ndarray:
+    """By logarithm of a counter, over how many tasks a shingle's run is dealt: 1 unless the counter stands out and is hot."""
+    usual = int(np.bincount(codes).argmax()) + 2
+    hot = max(usual, int(np.log2(hot_rows)))
+    return np.array([1 << min(max(0, c - hot), 20) for c in range(64)])
+
+
+def _shingle_prefixes(words: int, similarity: float, rarity, hot_rows: int):
+    """Rows (key, salt, node, size, place): the shingles of a text's prefix, the size of its set, and where in the order each stands.
 
-    Of copies a batch indexes one, so that a large group of them sends a few rows from each task.
+    Of copies a batch indexes one, so that a large group of them sends a few rows from each task. ``salt`` is 0 but for
+    shingles in very many texts, whose rows are dealt to several tasks.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = rarity.value
+        dealt = _salts(codes, hot_rows)
         for batch in batches:
             nodes, at = np.unique(batch.column("node").to_numpy(), return_index=True)
             for start, texts in blocks(batch.column("text").take(pa.array(at)).to_pylist()):
                 h, of = _shingles(texts, words)
                 if not len(h):
                     continue
-                order = np.lexsort((h, codes[_counter(h)], of))
-                h, of = h[order], of[order]
+                code = codes[_counter(h)]
+                order = np.lexsort((h, code, of))
+                h, of, code = h[order], of[order], code[order]
                 fresh = np.concatenate(([True], (h[1:] != h[:-1]) | (of[1:] != of[:-1])))
-                h, of = h[fresh], of[fresh]
+                h, of, code = h[fresh], of[fresh], code[fresh]
                 first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
                 size = np.diff(np.append(first, len(of)))
                 place, n = np.arange(len(of)) - np.repeat(first, size), np.repeat(size, size)
                 some = np.flatnonzero(place <= n - np.ceil(similarity * n - 1e-9))
-                columns = [h[some].view(np.int64), nodes[start + of[some]], n[some].astype(np.int32), place[some].astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "node", "size", "place"])
+                node, over = nodes[start + of[some]], dealt[code[some]]
+                salt = np.where(over > 1, 1 + (mix(node.view(np.uint64)) % over.astype(np.uint64)).astype(np.int64), 0)
+                columns = [h[some].view(np.int64), salt.astype(np.int32), node, n[some].astype(np.int32), place[some].astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "salt", "node", "size", "place"])
 
     return read
 
@@ -290,25 +311,27 @@ def _pairs(u: np.ndarray, v: np.ndarray) -> np.ndarray:
 
 
 def _first_links(similarity: float):
-    """From prefix rows sorted by key and node: pairs (u, v) of each text with the first of its run and the one before it.
+    """From prefix rows sorted by key, salt and node: pairs (u, v) of each text with the first of its run and the one before it.
 
-    Gives also the rows of runs of four or more, whose other pairs are left, as (key, u, size, place).
+    Gives also the rows of runs of four or more, or dealt to several tasks, whose other pairs are left, as (key, u, size, place).
     """
     names = ["u", "v", "key", "size", "place"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names_in, held = ["key", "node", "size", "place"], None  # the first and last row of a run that may go on
+        names_in, held = ["key", "salt", "node", "size", "place"], None  # the first and last row of a run that may go on
         for batch in batches:
-            k, n, size, place = (batch.column(c).to_numpy().astype(np.int64) for c in names_in)
-            if not len(k):
+            columns = [batch.column(c).to_numpy().astype(np.int64) for c in names_in]
+            if not len(columns[0]):
                 continue
-            if held is not None:
-                k, n, size, place = (np.concatenate(x) for x in zip(held, (k, n, size, place), strict=True))
             own = 0 if held is None else len(held[0])
-            fresh = np.concatenate(([True], (k[1:] != k[:-1]) | (n[1:] != n[:-1])))
+            if held is not None:
+                columns = [np.concatenate(x) for x in zip(held, columns, strict=True)]
+            k, s, n = columns[:3]
+            new = np.concatenate(([True], (k[1:] != k[:-1]) | (s[1:] != s[:-1])))
+            fresh = new | np.concatenate(([True], n[1:] != n[:-1]))
             own = int(fresh[:own].sum())
-            k, n, size, place = k[fresh], n[fresh], size[fresh], place[fresh]
-            first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+            k, s, n, size, place = (c[fresh] for c in columns)
+            first = np.flatnonzero(new[fresh])
             length = np.diff(np.append(first, len(k)))
             head = np.repeat(first, length)
             y = np.flatnonzero(np.arange(len(k)) > head)
@@ -316,28 +339,52 @@ def _first_links(similarity: float):
             good = _fit(similarity, size, place, x, y)
             pairs = _pairs(n[x[good]], n[y[good]])
             open_ = np.isin(head, (first[0], first[-1]))  # may have rows in other batches
-            rest = np.flatnonzero((open_ | (np.repeat(length, length) > 3)) & (np.arange(len(k)) >= own))
+            rest = np.flatnonzero((open_ | (s > 0) | (np.repeat(length, length) > 3)) & (np.arange(len(k)) >= own))
             a = [pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), pa.nulls(len(pairs), pa.int64()), pa.nulls(len(pairs), pa.int32()), pa.nulls(len(pairs), pa.int32())]
             yield pa.RecordBatch.from_arrays(a, names)
             b = [pa.array(n[rest]), pa.nulls(len(rest), pa.int64()), pa.array(k[rest]), pa.array(size[rest].astype(np.int32)), pa.array(place[rest].astype(np.int32))]
             yield pa.RecordBatch.from_arrays(b, names)
             ends = np.unique([first[-1], len(k) - 1])
-            held = tuple(c[ends] for c in (k, n, size, place))
+            held = tuple(c[ends] for c in (k, s, n, size, place))
 
     return read
 
 
+def fold(bits: np.ndarray, length: int) -> np.ndarray:
+    """Parity bits as bytes, folded to ``length`` bytes: a shingle's place among fewer bits is its place among more, modulo."""
+    return np.bitwise_xor.reduce(bits.reshape(-1, length), axis=0)
+
+
+def parity_bits(shingles: np.ndarray) -> np.ndarray:
+    """Bytes of parity bits of a set of hashes: a power of two of bits, RUN_BITS or more, and twice the shingles or more."""
+    n = max(RUN_BITS, 1 << int(2 * len(shingles) - 1).bit_length()) if len(shingles) else RUN_BITS
+    place = (shingles & np.array(n - 1, shingles.dtype)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=n) & 1).astype(bool), bitorder="little")
+
+
 #: Pairs compared at a time, and pairs of texts gathered before they are given.
 COMPARED = 1 << 22
 
 
-def _other_links(similarity: float):
-    """Pairs (u, v) of different root from (key, i, j, block, node, size, place, root) sorted by key, i and j.
+def _other_links(similarity: float, nearest: int | None):
+    """Pairs (u, v, null) of different root from (key, i, j, block, node, size, place, root, bits) sorted by key, i and j.
 
-    Where i and j differ, of pairs of one from block i and one from block j.
+    Where i and j differ, of pairs of one from block i and one from block j. ``nearest``: of a text that many with the least
+    difference in parity bits, and keys (null, null, key) of which there are more; None: all that the bits let pass.
     """
-
-    def settle(k: np.ndarray, i: np.ndarray, j: np.ndarray, block: np.ndarray, n: np.ndarray, size: np.ndarray, place: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
+    slack = (1 - similarity) / (1 + similarity)  # sets of sizes a and b may differ in this share of a + b
+
+    def chosen(y: np.ndarray, x: np.ndarray, apart: np.ndarray) -> np.ndarray:
+        """Which pairs are among the ``nearest`` of either of their two texts."""
+        keep = np.zeros(len(y), bool)
+        for one, other in ((y, x), (x, y)):
+            order = np.lexsort((other, apart, one))
+            head = np.flatnonzero(np.concatenate(([True], one[order][1:] != one[order][:-1])))
+            rank = np.arange(len(one)) - np.repeat(head, np.diff(np.append(head, len(one))))
+            keep[order[rank < nearest]] = True
+        return keep
+
+    def settle(k: np.ndarray, i: np.ndarray, j: np.ndarray, block: np.ndarray, n: np.ndarray, size: np.ndarray, place: np.ndarray, root: np.ndarray, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
         first = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
         at = np.arange(len(k)) - np.repeat(first, np.diff(np.append(first, len(k))))
         apart = i != j
@@ -347,11 +394,19 @@ def _other_links(similarity: float):
             y = y[at[y] >= step]
             z = y[(root[y] != root[y - step]) & ((block[y] != block[y - step]) | ~apart[y])]
             z = z[_fit(similarity, size, place, z - step, z)]
-            found.append((n[z], n[z - step]))
-            total += len(z)
-            if found and (total > COMPARED or not len(y)):
-                pairs = _pairs(*(np.concatenate(c) for c in zip(*found, strict=True)))
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["u", "v"])
+            far = np.bitwise_count(bits[z] ^ bits[z - step]).sum(1, dtype=np.int64)
+            fine = far <= (size[z] + size[z - step]) * slack + 1e-9
+            found.append((z[fine], z[fine] - step, far[fine]))
+            total += int(fine.sum())
+            if total and (total > COMPARED or not len(y)):
+                a, b, far = (np.concatenate(c) for c in zip(*found, strict=True))
+                if nearest is not None:
+                    keep = chosen(a, b, far)
+                    more = np.unique(k[a[~keep]])
+                    yield pa.RecordBatch.from_arrays([pa.nulls(len(more), pa.int64()), pa.nulls(len(more), pa.int64()), pa.array(more)], ["u", "v", "key"])
+                    a, b = a[keep], b[keep]
+                pairs = _pairs(n[a], n[b])
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), pa.nulls(len(pairs), pa.int64())], ["u", "v", "key"])
                 found, total = [], 0
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -359,7 +414,8 @@ def _other_links(similarity: float):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held.append([batch.column(c).to_numpy().astype(np.int64) for c in ("key", "i", "j", "block", "node", "size", "place", "root")])
+            numbers = [batch.column(c).to_numpy().astype(np.int64) for c in ("key", "i", "j", "block", "node", "size", "place", "root")]
+            held.append([*numbers, np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint64).reshape(-1, RUN_BITS // 64)])
             if all(held[-1][c][-1] == held[0][c][0] for c in range(3)):
                 continue
             whole = [np.concatenate(c) for c in zip(*held, strict=True)]
@@ -373,20 +429,55 @@ def _other_links(similarity: float):
     return read
 
 
-def _shingle_sets(words: int, wanted):
+def _wanted_sets(words: int, wanted, columns: tuple[str, ...]):
+    """(node, ``columns``) of the texts whose node may be wanted: size, bits and parity, or shingles."""
+
+    def made(column: str, sets: list[np.ndarray]) -> pa.Array:
+        if column == "size":
+            return pa.array([len(s) for s in sets], pa.int32())
+        if column == "shingles":
+            # The upper halves of the hashes: of two texts of n shingles about n * n / 2**32 are equal by chance.
+            return pa.array([np.unique((s >> np.uint64(32)).astype(np.uint32)).tobytes() for s in sets], pa.binary())
+        parity = [parity_bits(s) for s in sets]
+        return pa.array([(p if column == "parity" else fold(p, RUN_BITS // 8)).tobytes() for p in parity], pa.binary())
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = wanted.value
+        kept = wanted.value
         for batch in batches:
-            nodes = batch.column("node").to_numpy()
+            nodes, once = np.unique(batch.column("node").to_numpy(), return_index=True)
             at = (nodes.view(np.uint64) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-            chosen = np.flatnonzero(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1)
-            texts = batch.column("text").take(pa.array(chosen)).to_pylist()
+            hit = np.flatnonzero(kept[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+            texts = batch.column("text").take(pa.array(once[hit])).to_pylist()
             for first, part in blocks(texts):
                 h, of = _shingles(part, words)
                 ends = np.searchsorted(of, np.arange(len(part) + 1))
-                # The upper halves of the hashes: of two texts of n shingles about n * n / 2**32 are equal by chance.
-                sets = [np.unique((h[a:b] >> np.uint64(32)).astype(np.uint32)).tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[chosen[first : first + len(part)]]), pa.array(sets, pa.binary())], ["node", "shingles"])
+                sets = [np.unique(h[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[hit[first : first + len(part)]]), *(made(c, sets) for c in columns)], ["node", *columns])
+
+    return read
+
+
+def _of_nodes(rows: DataFrame, words: int, nodes: DataFrame, *columns: str) -> DataFrame:
+    """(node, ``columns``) of ``rows`` for the nodes in column c of ``nodes`` at least, each once, as a table."""
+    sent = rows.sparkSession.sparkContext.broadcast(bitmap(nodes, "c"))
+    kinds = {"size": "int"}
+    made = rows.mapInArrow(_wanted_sets(words, sent, columns), ", ".join(["node long", *(f"{c} {kinds.get(c, 'binary')}" for c in columns)]))
+    return materialize(made.groupBy("node").agg(*(F.first(c).alias(c) for c in columns)), "similar-sets")
+
+
+def _near_enough(similarity: float):
+    """Pairs (u, v) whose parity bits do not rule the similarity out, of (u, v, a, b, m, n): bits and sizes."""
+    slack = (1 - similarity) / (1 + similarity)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y, m, n in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "m", "n")), strict=True):
+                a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+                least = min(len(a), len(b))
+                keep.append(int(np.bitwise_count(fold(a, least) ^ fold(b, least)).sum()) <= (m + n) * slack + 1e-9)
+            keep = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("u", "v")], ["u", "v"])
 
     return read
 
@@ -405,13 +496,20 @@ def _similar(similarity: float):
     return read
 
 
-def _verified(rows: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs (u, v) of nodes whose sets of shingles are similar."""
-    sent = rows.sparkSession.sparkContext.broadcast(bitmap(pairs.select(F.explode(F.array("u", "v")).alias("c")), "c"))
-    sets = rows.mapInArrow(_shingle_sets(words, sent), "node long, shingles binary")
-    sets = materialize(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "similar-sets")
-    sides = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
-    links = materialize(sides.select("u", "v", "a", "b").mapInArrow(_similar(similarity), "u long, v long"), "similar-verified")
+def _sides(pairs: DataFrame, of: DataFrame, *columns: str) -> DataFrame:
+    """``pairs`` with ``columns`` of u as a and m, and of v as b and n."""
+    for side, names in (("u", "am"), ("v", "bn")):
+        pairs = pairs.join(of.select(F.col("node").alias(side), *(F.col(c).alias(n) for c, n in zip(columns, names, strict=False))), side)
+    return pairs
+
+
+def _verified(rows: DataFrame, signs: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (u, v) of nodes whose sets of shingles are similar; sets are made for pairs that pass on their parity bits only."""
+    near = materialize(_sides(pairs, signs, "parity", "size").select("u", "v", "a", "b", "m", "n").mapInArrow(_near_enough(similarity), "u long, v long"), "similar-near")
+    if near.isEmpty():
+        return near
+    sets = _of_nodes(rows, words, near.select(F.col("u").alias("c")).union(near.select(F.col("v").alias("c"))), "shingles")
+    links = materialize(_sides(near, sets, "shingles").select("u", "v", "a", "b").mapInArrow(_similar(similarity), "u long, v long"), "similar-verified")
     release(sets)
     return links
 
@@ -424,40 +522,68 @@ def _block_pairs(runs: DataFrame, limit: int) -> DataFrame:
     count = F.ceil(F.col("rows") / F.lit(limit)).cast("int")
     cut = runs.withColumn("blocks", count).withColumn("block", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int"))
     other = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return other.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "size", "place", "root")
+    rest = [c for c in runs.columns if c not in ("key", "rows")]
+    return other.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", *rest)
 
 
-def similar_links(rows: DataFrame, words: int, similarity: float, run_limit: int) -> DataFrame:
-    """Verified links (u, v) that connect all (node, text) in ``rows`` whose sets of shingles have the similarity."""
-    rarity = rows.sparkSession.sparkContext.broadcast(_shingle_rarity(rows, words))
-    keyed = rows.mapInArrow(_shingle_prefixes(words, similarity, rarity), "key long, node long, size int, place int")
-    found = keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_first_links(similarity), "u long, v long, key long, size int, place int")
-    found = materialize(found, "similar-runs")
+def similar_roots(rows: DataFrame, words: int, similarity: float, run_limit: int, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(node, root) of the (node, text) in ``rows`` that are linked: those whose sets of shingles have the similarity."""
+    context = rows.sparkSession.sparkContext
+    rarity = context.broadcast(_shingle_rarity(rows, words))
+    keyed = rows.mapInArrow(_shingle_prefixes(words, similarity, rarity, hot_rows), "key long, salt int, node long, size int, place int")
+    keyed = keyed.repartition("key", "salt").sortWithinPartitions("key", "salt", "node")
+    found = materialize(keyed.mapInArrow(_first_links(similarity), "u long, v long, key long, size int, place int"), "similar-runs")
     pairs = materialize(found.where("key is null").select("u", "v").distinct(), "similar-pairs")
-    links = _verified(rows, pairs, words, similarity)
-    roots = materialize(connected_components(links, "similar-links"), "similar-roots")
     runs = found.where("key is not null").select("key", F.col("u").alias("node"), "size", "place")
-    runs = materialize(runs.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "similar-left")
-    release(found)
-    mixed = runs.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("rows")).where("low <> high and rows > 3")
-    left = _block_pairs(runs.join(mixed.select("key", "rows"), "key"), run_limit).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
-    more = left.mapInArrow(_other_links(similarity), "u long, v long").distinct()
-    more = materialize(more.join(pairs, ["u", "v"], "left_anti"), "similar-more")
-    if more.isEmpty():
-        return links
-    return links.union(_verified(rows, more, words, similarity))
-
-
-def similar_documents(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, run_limit: int = 2048) -> DataFrame:
+    named = found.select(F.col("u").alias("c")).union(pairs.select(F.col("v").alias("c")))
+    signs = _of_nodes(rows, words, named, "size", "bits", "parity")
+    links, tried = _verified(rows, signs, pairs, words, similarity), pairs
+    roots = materialize(connected_components(links, "similar-links"), "similar-roots")
+    for nearest in (NEAREST, None):
+        marked = signs.select("node", "bits").join(roots, "node", "left").select("node", "bits", F.coalesce("root", "node").alias("root"))
+        rooted = materialize(runs.join(marked, "node"), "similar-left")
+        mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("rows")).where("low <> high")
+        left = _block_pairs(rooted.join(mixed.select("key", "rows"), "key"), run_limit)
+        left = left.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+        listed = materialize(left.mapInArrow(_other_links(similarity, nearest), "u long, v long, key long").distinct(), "similar-listed")
+        more = materialize(listed.where("u is not null").select("u", "v").join(tried, ["u", "v"], "left_anti"), "similar-more")
+        release(rooted)
+        if not more.isEmpty():
+            new = _verified(rows, signs, more, words, similarity)
+            links, tried = roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(new), tried.union(more)
+            roots = materialize(connected_components(links, "similar-links"), "similar-roots")
+        runs = runs.join(listed.where("u is null").select("key"), "key", "left_semi")  # where not all was listed
+    for df in (found, signs):
+        release(df)
+    return roots
+
+
+def text_nodes(docs: DataFrame, node=None) -> DataFrame:
+    """(doc_id, node, text): equal texts and no others have one node.
+
+    A node is a 64-bit hash of the text. Where two texts share one, which a second hash shows, their nodes are made of both.
+    """
+    text = F.coalesce("text", F.lit(""))
+    node = F.xxhash64(text) if node is None else node(text)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), node.alias("node"), text.cast("binary").alias("text"))
+    other = F.xxhash64(F.lit("other"), "text")
+    spread = rows.groupBy("node").agg(F.min(other).alias("low"), F.max(other).alias("high"))
+    clash = materialize(spread.where("low <> high").select(F.col("node").alias("_node")), "similar-clash")  # about n * n / 2**65 of n texts
+    if clash.isEmpty():
+        return rows
+    both = rows.join(clash, F.col("node") == F.col("_node"), "left")
+    return both.select("doc_id", F.when(F.col("_node").isNull(), F.col("node")).otherwise(F.xxhash64("node", other)).alias("node"), "text")
+
+
+def similar_documents(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, run_limit: int = 2048, hot_rows: int = HOT_ROWS, node=None) -> DataFrame:
     """One row per document: doc_id, node (of its text), component_id, the smallest doc_id of the texts linked to its own.
 
     Texts are linked whose sets of ``words``-word shingles have a Jaccard similarity of at least ``similarity``: all of
     them are found, and every link is verified.
     """
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("node"), text.cast("binary").alias("text"))
+    rows = text_nodes(docs, node)
     nodes = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("least")), "similar-nodes")
-    roots = connected_components(similar_links(rows.select("node", "text"), words, similarity, run_limit), "similar-links")
+    roots = similar_roots(rows.select("node", "text"), words, similarity, run_limit, hot_rows)
     linked = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = linked.join(linked.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
     return rows.select("doc_id", "node").join(materialize(named, "similar-components"), "node").select("doc_id", "node", "component_id")
@@ -468,12 +594,15 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
 
     Rows that repeat the identifier that stays count as one document: one of them stays. Rows without identifier stay.
     """
-    found = similar_documents(docs.where("doc_id is not null"), **options).where("doc_id = component_id")
-    kept = materialize(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")), "simhash-kept")
-    stay = docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    if not kept.where("rows > 1").isEmpty():
-        stay = stay.dropDuplicates(["doc_id"])
-    return stay.unionByName(docs.where("doc_id is null"))
+    found = similar_documents(docs.where("doc_id is not null"), **options)
+    rows = found.groupBy("doc_id").agg(F.count_if(F.col("doc_id") == F.col("component_id")).alias("rows"))
+    rows = materialize(rows.where("rows <> 1"), "similar-dropped")
+    stay = rows_without(docs, [F.col("doc_id").cast("long")], rows.where("rows = 0").select("doc_id"))
+    twice = rows.where("rows > 1")
+    if twice.isEmpty():
+        return stay
+    again = stay.withColumn("_again", F.col("doc_id").cast("long")).join(twice.select(F.col("doc_id").alias("_again")), "_again", "left_semi").drop("_again")
+    return rows_without(stay, [F.col("doc_id").cast("long")], twice.select("doc_id")).unionByName(again.dropDuplicates(["doc_id"]))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,9 @@ item are laid on each other and compared token by token.
 An overlap counts where a window of ``WINDOW`` tokens (or the whole item if that is shorter) agrees in ``IDENTITY`` or more
 of its places. Tokens are lower-case runs of letters and digits. A document is contaminated if any overlap counts.
 
-The documents are not shuffled: a Bloom filter of fixed size over the test hashes lets through the places that may match,
-and only those, with the tokens around them, go into the join that decides. The filter never loses a hit.
+The documents are not shuffled: a Bloom filter over the test hashes, sized by their number within bounds, lets through the
+places that may match, and only those, with a window of tokens around them, go into the join that decides. Every window that
+counts has a hit inside it, so neither the filter nor the size of a region loses an overlap, however long items are.
 
 Defined cases
 - null or empty text: not contaminated. Null document identifiers are kept and reported as null.
@@ -31,14 +32,15 @@ from pyspark.sql import functions as F
 
 from ..plans.scratch import materialize
 from ..sources.tables import read_table
+from .bits import rows_without
 from .words import NOT_ALNUM, blocks, hash_words, mix
 
 #: Offsets that a mask looks at. Of a window with as many substitutions as ``IDENTITY`` allows, wherever they are, one mask at
 #: some place sees none.
 MASKS = ((0, 1, 2, 4, 5, 7, 8), (0, 1, 3, 4, 6, 9, 10), (0, 2, 3, 5, 8, 9, 11), (0, 1, 2, 3, 4, 5, 6), (0, 1, 2, 6, 8, 10, 11))
 WINDOW, IDENTITY, LEAST = 13, 0.8, 5
-#: The filter has 2**FILTER_BITS bits (4 MB) whatever the size of the benchmark; three bits stand for a hash.
-FILTER_BITS = 25
+#: The filter has 2**25 bits (4 MB) for up to two million test hashes, and more for more, up to 2**28 (32 MB); three bits stand for a hash.
+FILTER_BITS = (25, 28)
 
 
 def short_masks(size: int) -> list[tuple[int, ...]]:
@@ -69,9 +71,13 @@ def _seeds(hashes: np.ndarray, which: np.ndarray, shapes: list[tuple[int, ...]])
         yield number, at, mix(seed[at])
 
 
-def _filter_bits(seeds: np.ndarray) -> list[np.ndarray]:
-    low = np.uint64((1 << FILTER_BITS) - 1)
-    return [(seeds >> np.uint64(s)) & low for s in (0, FILTER_BITS - 5, 64 - FILTER_BITS)]
+def _filter_shifts(bits: int) -> tuple[int, ...]:
+    return 0, (64 - bits) // 2, 64 - bits
+
+
+def _filter_places(seeds: np.ndarray, bits: int) -> list[np.ndarray]:
+    low = np.uint64((1 << bits) - 1)
+    return [(seeds >> np.uint64(s)) & low for s in _filter_shifts(bits)]
 
 
 def _items(short: list[int]):
@@ -103,11 +109,12 @@ def _item_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("item_id"), pa.array(tokens, pa.binary())], ["key", "item_id", "item"])
 
 
-def _regions(short: list[int], reach: int, filter_: Broadcast):
-    """Places that may match, gathered into regions that reach as far to both sides as the longest item."""
+def _regions(short: list[int], filter_: Broadcast):
+    """Places that may match, gathered into regions that reach a window to both sides."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, shapes, count = filter_.value, _shapes(short), TaskContext.get().partitionId() << 36
+        bits, shapes, count, reach = filter_.value, _shapes(short), TaskContext.get().partitionId() << 36, WINDOW
+        size = len(bits).bit_length() + 2
         for batch in batches:
             ids, sums = batch.column("doc_id").to_pylist(), batch.column("sum").to_pylist()
             rows: list[list] = [[] for _ in range(7)]
@@ -116,7 +123,7 @@ def _regions(short: list[int], reach: int, filter_: Broadcast):
                 found = []
                 for _, at, seeds in _seeds(hashes, which, shapes):
                     maybe = np.ones(len(seeds), bool)
-                    for bit in _filter_bits(seeds):
+                    for bit in _filter_places(seeds, size):
                         maybe &= (bits[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
                     found.append((at[maybe], seeds[maybe]))
                 if not found or not sum(len(a) for a, _ in found):
@@ -176,19 +183,19 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = materialize(items.withColumn("key", F.monotonically_increasing_id()), "seeds-items")
     tokens = materialize(items.select("key", "item_id", "text").mapInArrow(_item_tokens, "key long, item_id long, item binary"), "seeds-tokens")
     sizes = tokens.select((F.octet_length("item") / 8).cast("int").alias("n")).where(F.col("n") >= LEAST)
-    reach = sizes.agg(F.max("n")).first()[0] or 0
     short = sorted(r["n"] for r in sizes.where(F.col("n") < WINDOW).distinct().collect())  # at most WINDOW - LEAST
     tests = materialize(items.select("key", "text").mapInArrow(_items(short), "seed long, key long, place long"), "seeds-tests")
 
-    words = F.explode(F.array(*(F.shiftrightunsigned("seed", s).bitwiseAND((1 << FILTER_BITS) - 1) for s in (0, FILTER_BITS - 5, 64 - FILTER_BITS)))).alias("bit")
-    marks = tests.select(words).groupBy(F.shiftright("bit", 5).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 31 as int))")).alias("bits"))
-    table = marks.toArrow()  # at most 2**(FILTER_BITS - 5) rows
-    filter_ = np.zeros(1 << FILTER_BITS - 5, np.uint32)
+    bits = min(max(FILTER_BITS[0], (16 * tests.count()).bit_length()), FILTER_BITS[1])
+    places = F.explode(F.array(*(F.shiftrightunsigned("seed", s).bitwiseAND((1 << bits) - 1) for s in _filter_shifts(bits)))).alias("bit")
+    marks = tests.select(places).groupBy(F.shiftright("bit", 5).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 31 as int))")).alias("bits"))
+    table = marks.toArrow()  # at most 2**(bits - 5) rows
+    filter_ = np.zeros(1 << bits - 5, np.uint32)
     filter_[table["at"].to_numpy()] = table["bits"].to_numpy().astype(np.uint32)
     sent = spark.sparkContext.broadcast(filter_.view(np.uint8))
 
     texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), _row_sum().alias("sum"), F.lower("text").cast("binary").alias("text"))
-    regions = texts.mapInArrow(_regions(short, reach, sent), "region long, doc_id long, sum long, start long, tokens binary, places array<long>, seeds array<long>")
+    regions = texts.mapInArrow(_regions(short, sent), "region long, doc_id long, sum long, start long, tokens binary, places array<long>, seeds array<long>")
     regions = materialize(regions, "seeds-regions")
     hits = regions.select("region", F.explode(F.arrays_zip("places", "seeds")).alias("h")).select("region", "h.seeds", "h.places")
     laid = hits.join(tests, hits["seeds"] == tests["seed"]).select("region", "key", (F.col("places") - F.col("place")).alias("shift")).distinct()
@@ -216,9 +223,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without those that are contaminated, all their columns as they were."""
-    found = materialize(find_overlaps(docs, benchmark).select("doc_id", "sum").distinct(), "seeds-drop").withColumnsRenamed({"doc_id": "_id", "sum": "_sum"})
-    same = docs["doc_id"].cast("long").eqNullSafe(found["_id"]) & (F.xxhash64(docs["text"]) == found["_sum"])
-    return docs.join(found, same, "left_anti")
+    found = materialize(find_overlaps(docs, benchmark).select("doc_id", "sum").distinct(), "seeds-drop")
+    return rows_without(docs, [F.col("doc_id").cast("long"), F.xxhash64("text")], found)
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
