@@ -24,6 +24,8 @@ from .corpus import log_line, number_in_groups
 #: Bytes of documents to a package.
 PACKAGE_BYTES = 256 << 20
 LOG_ROWS = 2000
+# What a run says of a page it could not reach and of attached PDFs.
+PAGE_MISSED, PDF_COVERED, PDF_AS_IT_IS = "No se pudo posicionar la página", "PDF adjunto redactado", "Redacción de PDF omitida — adjunto se incluye sin redactar"
 
 
 def paginated_scan(pages: DataFrame, totals: DataFrame, *, by: str = "package", page: str = "page", html: str = "html", now: Column | None = None) -> tuple[DataFrame, DataFrame]:
@@ -37,7 +39,7 @@ def paginated_scan(pages: DataFrame, totals: DataFrame, *, by: str = "package",
     scanned = there.join(wanted, [by, page], "left_semi")
     missing = wanted.join(there, [by, page], "left_anti")
     none = F.lit(None).cast("struct<categoria: string, fecha: string, descripcion: string>")
-    message = F.concat(F.lit("No se pudo posicionar la página "), F.col(page).cast("string"))
+    message = F.concat(F.lit(f"{PAGE_MISSED} "), F.col(page).cast("string"))
     errors = missing.select(by, none.alias("meta"), F.lit(None).cast("string").alias("url"), message.alias("message"), T.iso_instant(F.current_timestamp() if now is None else now).alias("occurredAt"))
     return scanned, errors
 
@@ -69,7 +71,7 @@ def anonymize_captured(docs: DataFrame, *, order: str, **options) -> AnonymizedR
     out = covered.withColumn("sha256", T.sha256_hex(F.col("html")))
     out = out.withColumn("attachmentBase64", F.when(ok, T.base64_plain(F.col("_done.data"))).otherwise(F.col("attachmentBase64")))
     out = out.withColumn("attachmentSha256", F.when(ok, F.col("_done.sha256")).otherwise(F.col("attachmentSha256")))
-    said = F.when(F.col("_done.ok"), F.lit("PDF adjunto redactado")).otherwise(F.concat(F.lit("Redacción de PDF omitida — adjunto se incluye sin redactar: "), F.col("_done.reason")))
+    said = F.when(F.col("_done.ok"), F.lit(PDF_COVERED)).otherwise(F.concat(F.lit(f"{PDF_AS_IT_IS}: "), F.col("_done.reason")))
     log = covered.where(F.coalesce("attachmentBase64", F.lit("")) != "").where(F.col("attachmentMime") == M.PDF)
     log = log.select("id", F.when(F.col("_done.ok"), "INFO").otherwise("WARN").alias("level"), said.alias("message"))
     return AnonymizedRun(out.select(*docs.columns), anonymizer_stats(result), log)

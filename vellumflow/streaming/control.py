@@ -17,14 +17,14 @@ from pyspark.sql.streaming import StreamingQuery
 from ..plans.scratch import scratch_path
 from .run import rocksdb, stream_pattern
 
-#: Which commands a state allows, and the state after them.
+# Which commands a state allows, and the state after them.
 COMMANDS = {
     "start": {"idle": "running", "completed": "running", "cancelled": "running", "error": "running"},
     "pause": {"running": "paused"},
     "resume": {"paused": "running"},
     "cancel": {"running": "cancelled", "paused": "cancelled"},
 }
-#: Seconds between batches, attempts at a batch, and seconds before the first further attempt and at most.
+# Seconds between batches, attempts at a batch, and seconds before the first further attempt and at most.
 EVERY, ATTEMPTS, FIRST_WAIT, MOST_WAIT = 0.8, 3, 1.0, 16.0
 
 
