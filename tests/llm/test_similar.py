@@ -151,7 +151,7 @@ def test_line_dedup_common_words_only(spark):
 
 
 def test_hash_words_cuts_like_split():
-    texts = [b"", b" a  b\x0bc ", "é\xa0é".encode(), b"a", b"\x1ca \x85"]
+    texts = [b"", b" a  b\x0bc ", "é\xa0é".encode(), b"a", b"\x1ca \x85", b"x" * 600_000 + b" y " + b"z" * 300_000, b"ab " * 200_000]
     hashes, which, _, _ = hash_words(texts)
     assert [int((which == i).sum()) for i in range(len(texts))] == [len(t.split()) for t in texts]
     assert hashes[0] == hashes[4] != hashes[1]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: 4 MB as sent to tasks, whatever the number of values; values that share a bit are let through.
@@ -23,28 +23,39 @@ def bitmap(ids: DataFrame, column: str) -> np.ndarray:
 MARK_BITS = 23
 
 
-def _bit(df: DataFrame, columns: list[str]) -> DataFrame:
-    place = F.shiftrightunsigned(F.xxhash64(*columns), 64 - MARK_BITS)
-    return df.withColumn("_word", F.shiftright(place, 6).cast("int")).withColumn("_bit", place.bitwiseAND(63).cast("int"))
+def _free(rows: DataFrame) -> str:
+    """A beginning of names that no column of ``rows`` has."""
+    start = "_"
+    while any(c.lower().startswith(start) for c in rows.columns):
+        start += "_"
+    return start
 
 
 def mark(rows: DataFrame, columns: list[str], among: DataFrame, name: str = "_marked") -> DataFrame:
     """``rows`` with ``name``: true for all rows whose ``columns`` are in ``among``, and for few others. Rows stay where they are."""
-    words = _bit(among.select(*columns), columns).groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits"))
-    joined = _bit(rows, columns).join(F.broadcast(words), "_word", "left")
-    return joined.select(*rows.columns, F.coalesce(F.expr("bit_get(_bits, _bit) = 1"), F.lit(False)).alias(name))
+    start = _free(rows)
+    word, bit = f"{start}word", f"{start}bit"
 
+    def placed(df: DataFrame) -> DataFrame:
+        place = F.shiftrightunsigned(F.xxhash64(*columns), 64 - MARK_BITS)
+        return df.withColumn(word, F.shiftright(place, 6).cast("int")).withColumn(bit, place.bitwiseAND(63).cast("int"))
 
-def rows_without(docs: DataFrame, keys: list, dropped: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose ``keys`` (columns) are not a row of ``dropped``; columns as they were.
+    words = placed(among.select(*columns)).groupBy(word).agg(F.bit_or(F.expr(f"shiftleft(1L, {bit})")).alias(f"{start}bits"))
+    joined = placed(rows).join(F.broadcast(words), word, "left")
+    return joined.select(*(F.col(f"`{c}`") for c in rows.columns), F.coalesce(F.expr(f"bit_get({start}bits, {bit}) = 1"), F.lit(False)).alias(name))
+
+
+def rows_without(docs: DataFrame, keys: list[Column], dropped: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ``keys`` are not a row of ``dropped``; columns as they were.
 
     Only rows that a table of bits of fixed size cannot clear are dealt to the join that decides, so texts that stay are not shuffled.
     """
-    names = [f"k{i}" for i in range(len(keys))]
+    start = _free(docs)
+    names = [f"{start}key{i}" for i in range(len(keys))]
     out = dropped.toDF(*names)
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), *(k.alias(n) for k, n in zip(keys, names, strict=True)))
-    rows = mark(rows, names, out)
-    doubtful = rows.where("_marked")
-    same = [doubtful[n].eqNullSafe(out[n]) for n in names]
-    decided = doubtful.join(out, same, "left_anti")
-    return rows.where("not _marked").select("doc.*").unionByName(decided.select("doc.*"))
+    rows = docs.select("*", *(k.alias(n) for k, n in zip(keys, names, strict=True)))
+    rows = mark(rows, names, out, f"{start}marked")
+    doubtful, clear = rows.where(f"{start}marked"), rows.where(f"not {start}marked")
+    decided = doubtful.join(out, [doubtful[n].eqNullSafe(out[n]) for n in names], "left_anti")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    return clear.select(*own).unionByName(decided.select(*own))

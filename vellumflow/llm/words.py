@@ -5,11 +5,17 @@ from __future__ import annotations
 import numpy as np
 
 #: Bytes of text worked on at a time; a longer text is a block of its own.
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _VALUES = np.random.default_rng(20240501).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_powers = np.ones(1, np.uint64)
+#: Bytes that are added up at a time, and powers of the multiplier, and of its inverse modulo 2**64, for that many.
+STRETCH = 1 << 18
+_POWERS = np.full(STRETCH, _MULTIPLIER, np.uint64)
+_INVERSES = np.full(STRETCH, pow(_MULTIPLIER, -1, 1 << 64), np.uint64)
+for _table in (_POWERS, _INVERSES):
+    _table[0] = 1
+    np.multiply.accumulate(_table, out=_table)
 
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
@@ -24,16 +30,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _power(n: int) -> np.ndarray:
-    global _powers
-    if len(_powers) < n:
-        size = max(n, 2 * len(_powers), 64)
-        steps = np.full(size, _MULTIPLIER, np.uint64)
-        steps[0] = 1
-        _powers = np.multiply.accumulate(steps)
-    return _powers
-
-
 def blocks(texts: list[bytes], size: int = BLOCK):
     """Slices of ``texts`` of about ``size`` bytes: (first, texts)."""
     first, total = 0, 0
@@ -52,15 +48,36 @@ def hash_words(texts: list[bytes], separators: np.ndarray = SPACES) -> tuple[np.
     Equal words have equal hashes; of n distinct words about n*n/2**65 pairs share one by chance.
     """
     data = np.frombuffer(b"\n".join(texts), np.uint8)
-    inside = ~separators[data]
-    edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    inside = np.concatenate(([False], ~separators[data], [False]))
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edge[::2], edge[1::2]
     sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
     which = np.searchsorted(np.cumsum(sizes), starts, side="right")
     if not len(starts):
         return np.empty(0, np.uint64), which, starts, data
-    lengths = ends - starts
-    first = np.cumsum(lengths) - lengths
-    place = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
-    values = _VALUES[data[inside]] * _power(int(lengths.max()))[place]
-    return mix(np.add.reduceat(values, first)), which, starts, data
+    sums = np.empty(len(starts), np.uint64)
+    cuts = np.searchsorted(starts, np.arange(0, len(data) + STRETCH, STRETCH)).tolist()
+    for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        if a == b:
+            continue
+        first = k * STRETCH
+        if ends[b - 1] > first + STRETCH:  # the last word of a stretch may go on
+            b -= 1
+            sums[b] = _word_sum(data[starts[b] : ends[b]])
+        # Sums from the stretch's begin, of bytes' values by powers of their place there; a word's part is moved to its own begin.
+        part = data[first : first + STRETCH]
+        upto = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_VALUES[part] * _POWERS[: len(part)], out=upto[1:])
+        begin = starts[a:b] - first
+        sums[a:b] = (upto[ends[a:b] - first] - upto[begin]) * _INVERSES[begin]
+    return mix(sums), which, starts, data
+
+
+def _word_sum(word: np.ndarray) -> int:
+    """Values of a word's bytes by powers of their place in it, added up; long words in pieces."""
+    total, scale = 0, 1
+    for first in range(0, len(word), len(_POWERS)):
+        part = word[first : first + len(_POWERS)]
+        total += scale * int((_VALUES[part] * _POWERS[: len(part)]).sum(dtype=np.uint64))
+        scale = scale * pow(_MULTIPLIER, len(part), 1 << 64) & 0xFFFFFFFFFFFFFFFF
+    return total & 0xFFFFFFFFFFFFFFFF
