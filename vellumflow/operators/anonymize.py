@@ -160,10 +160,15 @@ def anonymize(
     narrow = [F.col(order).alias(at), F.col(text).alias("_text")]  # the caller's names may be any
     present = source.where(F.col(text).isNotNull()).select(*narrow)
     found = materialize(identifier_keys(present, at, "_text", markup), "identifiers")
-    places = {k: key_places(found, at, k) for k in PREFIXES}
-    tables = {k: materialize(first_seen(p), f"tokens-{k}") for k, p in places.items()}
+    held = found.agg(*(F.coalesce(F.max(F.size(k)), F.lit(0)).alias(k) for k in PREFIXES)).first()
+    tables = {k: spark.createDataFrame([], "key string, n long") for k in PREFIXES}
     # What is to be replaced: a row per document, kind and key.
-    entries = [places[k].select(at, "key").distinct().join(tables[k], "key").select(at, F.lit(k).alias("kind"), "key", "n") for k in PREFIXES]
+    entries = [present.select(at, F.lit("").alias("kind"), F.lit("").alias("key"), F.lit(0).cast("long").alias("n")).limit(0)]
+    for k in PREFIXES:
+        if held[k]:
+            places = key_places(found, at, k)
+            tables[k] = materialize(first_seen(places), f"tokens-{k}")
+            entries.append(places.select(at, "key").distinct().join(tables[k], "key").select(at, F.lit(k).alias("kind"), "key", "n"))
     known = spark.createDataFrame([], "name string, first string, n long")
     if names:
         known = materialize(find_names(docs.where(F.col(text).isNotNull()).select(*narrow), at, "_text", seeds=seed_names, strict=strict_labels), "names")

@@ -779,7 +779,7 @@ def package_files(spark, d):
     return read.select("package", "name", F.when(F.col("name") == "metadata.json", F.sha2(said, 256)).otherwise(F.sha2("data", 256)).alias("sha256"))
 
 
-@query("SELECT doc_id, doc_id % 2 = 0 AND NOT regexp_matches(CASE WHEN doc_id % 3 = 0 THEN text || ' [CI]' ELSE text END, '\[[A-Z_0-9]+\]') AS missing FROM documents")
+@query(r"SELECT doc_id, doc_id % 2 = 0 AND NOT regexp_matches(CASE WHEN doc_id % 3 = 0 THEN text || ' [CI]' ELSE text END, '\[[A-Z_0-9]+\]') AS missing FROM documents")
 def manifest_check(spark, d):
     """Every second file is declared as pseudonymised, every third holds a token."""
     key = F.col("doc_id")
