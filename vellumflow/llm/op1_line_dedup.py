@@ -37,7 +37,7 @@ from ..plans.scratch import materialize, release
 from ..sources.tables import read_table
 from .alike import as_struct, number_alike
 from .bits import FILTER_BITS, bitmap, mark
-from .words import SPACES, blocks, hash_words, mix
+from .words import SPACES, column_blocks, hash_words, mix, numbered
 
 SIMILARITY, RARITY_BITS, SLICE_BITS = 0.8, 25, 16
 LONG_RUN = 512
@@ -61,7 +61,7 @@ class Lines:
     def __init__(self, texts: list[bytes], class_bits: int = 64):
         self.hashes, which, starts, data = hash_words(texts, SPACES)
         ends = np.flatnonzero(data == 10)
-        line = np.searchsorted(ends, starts)  # texts are joined by a line end, so lines are counted through
+        line = numbered(starts, ends)  # texts are joined by a line end, so lines are counted through
         new = np.concatenate(([True], line[1:] != line[:-1])) if len(line) else np.empty(0, bool)
         self.first = np.flatnonzero(new)
         self.text = which[self.first]
@@ -105,7 +105,7 @@ def _first_pass(class_bits: int):
         places, counts, waiting = np.empty(0, np.uint64), np.empty(0, np.int64), []
         for batch in batches:
             ids, sums = batch.column("doc_id"), batch.column("sum").to_numpy()
-            for first, texts in blocks(batch.column("text").to_pylist()):
+            for first, texts in column_blocks(batch.column("text")):
                 lines = Lines(texts, class_bits)
                 waiting.append(lines.hashes >> np.uint64(64 - RARITY_BITS))
                 if sum(map(len, waiting)) > COUNTED:
@@ -234,7 +234,7 @@ def _prefixes(rarity, similarity: float, clash: np.ndarray, class_bits: int, hot
         held: list[dict[str, np.ndarray]] = []
         for batch in batches:
             ids = batch.column("doc_id")
-            for start, texts in blocks(batch.column("text").to_pylist()):
+            for start, texts in column_blocks(batch.column("text")):
                 lines = Lines(texts, class_bits)
                 h, of = lines.hashes, lines.of_word
                 if not len(h):
@@ -394,7 +394,7 @@ def _sets(wanted, clash: np.ndarray, class_bits: int):
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, texts in blocks(batch.column("text").to_pylist()):
+            for _, texts in column_blocks(batch.column("text")):
                 lines = Lines(texts, class_bits)
                 c1, once = np.unique(lines.ids(clash), return_index=True)
                 hit = _marked(wanted.value, c1)

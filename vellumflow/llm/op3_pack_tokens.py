@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import re
 from collections.abc import Callable, Iterator
 
@@ -31,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
+from .words import column_blocks
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Fixed value: how this kind of vocabulary cuts text before merging.
@@ -154,7 +156,8 @@ def _pack(vocabulary: Broadcast, row: int, pad: int, block_tokens: int):
             held.clear()
 
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            texts = itertools.chain.from_iterable(part for _, part in column_blocks(batch.column("text")))
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
                 ids = encode_text(encode, text).astype(kind)
                 for at in range(0, len(ids), row):
                     held.append((doc_id, base + seen, at, ids[at : at + row]))

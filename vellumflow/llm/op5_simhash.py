@@ -29,7 +29,7 @@ from ..plans.scratch import materialize, release
 from ..sources.tables import read_table
 from .bits import FILTER_BITS, bitmap, rows_without
 from .components import connected_components
-from .words import blocks, hash_words, mix
+from .words import column_blocks, hash_words, mix
 
 BITS, RUN = 2, 1024
 #: A byte spread over eight lanes of eight bits, so that up to 255 bytes can be added up in one word.
@@ -56,7 +56,7 @@ def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        marks = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], dtype=np.uint64).view(np.int64)
+        marks = np.array([fingerprint(t) for _, texts in column_blocks(batch.column("text")) for t in texts], dtype=np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(marks)], ["doc_id", "mark"])
 
 
@@ -231,7 +231,7 @@ def _shingle_counts(words: int):
         counts = np.zeros(1 << RARITY_BITS, np.int64)
         for batch in batches:
             at = np.unique(batch.column("node").to_numpy(), return_index=True)[1]
-            for _, texts in blocks(batch.column("text").take(pa.array(at)).to_pylist()):
+            for _, texts in column_blocks(batch.column("text"), at=at):
                 counts += np.bincount(_counter(_shingles(texts, words)[0]), minlength=len(counts))
         if counts.any():
             # Low bytes, then high bytes, which are mostly 0 and shrink to nothing.
@@ -279,7 +279,7 @@ def _shingle_prefixes(words: int, similarity: float, rarity, hot_rows: int):
         dealt = _salts(codes, hot_rows)
         for batch in batches:
             nodes, at = np.unique(batch.column("node").to_numpy(), return_index=True)
-            for start, texts in blocks(batch.column("text").take(pa.array(at)).to_pylist()):
+            for start, texts in column_blocks(batch.column("text"), at=at):
                 h, of = _shingles(texts, words)
                 if not len(h):
                     continue
@@ -447,8 +447,7 @@ def _wanted_sets(words: int, wanted, columns: tuple[str, ...]):
             nodes, once = np.unique(batch.column("node").to_numpy(), return_index=True)
             at = (nodes.view(np.uint64) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
             hit = np.flatnonzero(kept[at >> 3] >> (at & 7).astype(np.uint8) & 1)
-            texts = batch.column("text").take(pa.array(once[hit])).to_pylist()
-            for first, part in blocks(texts):
+            for first, part in column_blocks(batch.column("text"), at=once[hit]):
                 h, of = _shingles(part, words)
                 ends = np.searchsorted(of, np.arange(len(part) + 1))
                 sets = [np.unique(h[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]

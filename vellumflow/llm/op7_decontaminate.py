@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from ..plans.scratch import materialize
 from ..sources.tables import read_table
 from .bits import rows_without
-from .words import NOT_ALNUM, blocks, hash_words, mix
+from .words import NOT_ALNUM, column_blocks, hash_words, mix
 
 #: Offsets that a mask looks at. Of a window with as many substitutions as ``IDENTITY`` allows, wherever they are, one mask at
 #: some place sees none.
@@ -84,7 +84,7 @@ def _items(short: list[int]):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column("key").to_pylist()
-            for first, texts in blocks(batch.column("text").to_pylist()):
+            for first, texts in column_blocks(batch.column("text")):
                 hashes, which, _, _ = hash_words(texts, NOT_ALNUM)
                 starts = np.searchsorted(which, np.arange(len(texts) + 1))
                 shapes, own = _shapes(short), [n for n in short for _ in short_masks(n)]
@@ -102,7 +102,7 @@ def _items(short: list[int]):
 def _item_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         tokens = []
-        for _, texts in blocks(batch.column("text").to_pylist()):
+        for _, texts in column_blocks(batch.column("text")):
             hashes, which, _, _ = hash_words(texts, NOT_ALNUM)
             starts = np.searchsorted(which, np.arange(len(texts) + 1))
             tokens += [hashes[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:], strict=True)]
@@ -118,7 +118,7 @@ def _regions(short: list[int], filter_: Broadcast):
         for batch in batches:
             ids, sums = batch.column("doc_id").to_pylist(), batch.column("sum").to_pylist()
             rows: list[list] = [[] for _ in range(7)]
-            for first, texts in blocks(batch.column("text").to_pylist()):
+            for first, texts in column_blocks(batch.column("text")):
                 hashes, which, _, _ = hash_words(texts, NOT_ALNUM)
                 found = []
                 for _, at, seeds in _seeds(hashes, which, shapes):

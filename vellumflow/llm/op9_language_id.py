@@ -33,12 +33,12 @@ from pyspark.sql import functions as F
 from ..plans.scratch import materialize
 from ..sources.tables import read_table
 from .alike import as_struct
-from .words import mix
+from .words import column_blocks, mix
 
 ORDER, SAMPLE, HELD_OUT, GRAMS = 4, 3000, 5, 1 << 18
 START, END = "\x02", "\x03"
 #: Words remembered per task; beyond, the memory is emptied.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Rejection: cross-entropy above the mean by this many nats and by this many standard errors for the length.
 MARGIN, ERRORS = 0.35, 6.0
 
@@ -214,24 +214,13 @@ class Scorer:
         return cost, letters
 
 
-def _batches_of(texts: list[str], chars: int = 2_000_000) -> Iterator[tuple[int, list[str]]]:
-    first, total = 0, 0
-    for i, t in enumerate(texts):
-        if total and total + len(t) > chars:
-            yield first, texts[first:i]
-            first, total = i, 0
-        total += len(t)
-    if first < len(texts):
-        yield first, texts[first:]
-
-
 def _predict(sent):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)
         model = sent.value
         for batch in batches:
             names, scores, costs, out = [], [], [], []
-            for _, texts in _batches_of([t or "" for t in batch.column("text").to_pylist()]):
+            for _, texts in column_blocks(batch.column("text").fill_null("")):
                 cost, letters = scorer.texts(texts)
                 best = cost.argmin(1)
                 least = cost[np.arange(len(texts)), best]
@@ -259,7 +248,7 @@ def _calibrate(sent):
         for batch in batches:
             own, size = [], []
             names = batch.column("lang").to_pylist()
-            for first, texts in _batches_of(batch.column("text").to_pylist()):
+            for first, texts in column_blocks(batch.column("text")):
                 cost, letters = scorer.texts(texts)
                 own += [cost[i, column[names[first + i]]] if names[first + i] in column else np.nan for i in range(len(texts))]
                 size += letters.tolist()

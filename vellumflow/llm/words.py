@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text worked on at a time; a longer text is a block of its own.
 BLOCK = 1 << 20
@@ -42,6 +46,17 @@ def blocks(texts: list[bytes], size: int = BLOCK):
         yield first, texts[first:]
 
 
+def column_blocks(column: pa.Array, size: int = BLOCK, at: np.ndarray | None = None) -> Iterator[tuple[int, list]]:
+    """(first, texts) for slices of a column, or of its rows ``at``, of about ``size`` bytes; only one slice is in memory as a list."""
+    lengths = pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum((lengths if at is None else lengths[at]).astype(np.int64) + 1)
+    first = 0
+    while first < len(ends):
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + size, side="right")))
+        yield first, (column.slice(first, last - first) if at is None else column.take(pa.array(at[first:last]))).to_pylist()
+        first = last
+
+
 def hash_words(texts: list[bytes], separators: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hashes, text number, start, the joined bytes) of the words: runs of bytes that are no separators.
 
@@ -52,7 +67,7 @@ def hash_words(texts: list[bytes], separators: np.ndarray = SPACES) -> tuple[np.
     edge = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edge[::2], edge[1::2]
     sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-    which = np.searchsorted(np.cumsum(sizes), starts, side="right")
+    which = numbered(starts, np.cumsum(sizes)[:-1])
     if not len(starts):
         return np.empty(0, np.uint64), which, starts, data
     sums = np.empty(len(starts), np.uint64)
@@ -73,6 +88,12 @@ def hash_words(texts: list[bytes], separators: np.ndarray = SPACES) -> tuple[np.
     return mix(sums), which, starts, data
 
 
+def numbered(places: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """For each of the sorted ``places`` how many of the sorted ``ends`` are at or before it."""
+    cuts = np.concatenate(([0], np.searchsorted(places, ends), [len(places)]))
+    return np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+
+
 def _word_sum(word: np.ndarray) -> int:
     """Values of a word's bytes by powers of their place in it, added up; long words in pieces."""
     total, scale = 0, 1
