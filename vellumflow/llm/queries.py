@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_line_dedup, op2_mix_sources, op3_pack_tokens, op4_exact_dedup, op5_simhash, op6_html_extract, op7_decontaminate, op8_toxicity, op9_language_id, op10_chat_format
+from . import op1_line_dedup, op2_mix_sources, op3_pack_tokens, op4_exact_dedup, op5_simhash, op6_html_extract, op7_decontaminate, op8_toxicity, op9_language_id, op10_chat_format, op12_warc
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup.op1_line_dedup,
@@ -15,9 +15,11 @@ QUERIES = {
     "op8_toxicity": op8_toxicity.op8_toxicity,
     "op9_language_id": op9_language_id.op9_language_id,
     "op10_chat_format": op10_chat_format.op10_chat_format,
+    "op12_warc": op12_warc.op12_warc,
 }
 
 SQL = {
     "op4_exact_dedup": op4_exact_dedup.SQL,
     "op10_chat_format": op10_chat_format.SQL,
+    "op12_warc": op12_warc.SQL,
 }
