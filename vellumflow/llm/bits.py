@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 FILTER_BITS = 25
 
 
-def bitmap(ids: DataFrame, column: str) -> np.ndarray:
-    """Bits of the high ends of 64-bit values; at most 2**(FILTER_BITS - 5) rows reach the driver."""
-    at = F.shiftrightunsigned(column, 64 - FILTER_BITS)
+def bitmap(ids: DataFrame, column: str, bits: int = FILTER_BITS) -> np.ndarray:
+    """A table of 2**bits bits for the high ends of 64-bit values; at most 2**(bits - 5) rows reach the driver."""
+    at = F.shiftrightunsigned(column, 64 - bits)
     rows = ids.select(at.alias("at")).groupBy(F.shiftright("at", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 31 as int))")).alias("bits")).toArrow()
-    out = np.zeros(1 << FILTER_BITS - 5, "<u4")
+    out = np.zeros(1 << bits - 5, "<u4")
     out[rows["word"].to_numpy()] = rows["bits"].to_numpy().astype(np.uint32)
     return out.view(np.uint8)
 
