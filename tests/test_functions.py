@@ -1,12 +1,17 @@
 """Literal cases of the column functions."""
 
 import base64
+import re
+import string
+import unicodedata
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from vellumflow.functions import html as H
-from vellumflow.functions import pdf, pii
+from vellumflow.functions import names, pdf, pii
 from vellumflow.functions import regex as R
 from vellumflow.functions import text as T
 from vellumflow.functions import timeline as L
@@ -61,14 +66,58 @@ def test_normalize_name(spark):
     assert values(spark, rows, pii.normalize_name) == ["", "juan perez", "perez juan", "", "juan de la rosa", "", "ana gomez"]
 
 
-def test_name_pattern(spark):
-    def hit(text):
-        df = spark.createDataFrame([(text, "juan perez")], "t string, n string")
-        return df.select(F.rlike(F.col("t"), pii.name_pattern(F.col("n")))).first()[0]
-
-    assert all(hit(t) for t in ("JUAN PEREZ asistió", "Perez Juan", "Juán Pérez", "Pérez,  Juan"))
-    assert not hit("juanperezoso") and not hit("juan perezoso")
-    assert values(spark, ["juan"], pii.name_pattern) == [None]
+def plain_replace(text, names):
+    """Names replaced by a pattern each, one after the other."""
+    for name in names:
+        both = {c: "".join(x for x in LETTERS if PLAIN[x] == c) for c in set(PLAIN.values())}
+        parts = ["".join(f"[{both[c]}]" if c in both else re.escape(c) for c in p) for p in name.split(" ")]
+        if len(parts) > 1:
+            gap = f",?[{R.SPACE}]+"
+            text = re.sub(rf"{EDGE}(?:{gap.join(parts)}|{gap.join(parts[::-1])}){EDGE}", "[PACIENTE]", text)
+    return text
+
+
+LETTERS = string.ascii_letters + "".join(c for c in T.ACCENTED if unicodedata.normalize("NFD", c)[0].isalpha())
+PLAIN = {c: unicodedata.normalize("NFD", c)[0].lower() for c in LETTERS}
+WORD = "[0-9_" + "".join(c for c in LETTERS if c not in "áéíóúñÁÉÍÓÚÑ") + "]"
+EDGE = f"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
+
+
+def test_replace_names():
+    assert all(names.replace_names(t, ["juan perez"]) == "[PACIENTE] x" for t in ("JUAN PEREZ x", "Perez Juan x", "Juán Pérez x", "Pérez,  Juan x", "Jua\u0301n Pe\u0301rez x"))
+    for text in ("juanperezoso", "juan perezoso", "xjuan perez", "juan-perez", "juan  \n, perez", "juan", ""):
+        assert names.replace_names(text, ["juan perez", "solo", ""]) == text
+    for form in ("NFC", "NFD"):
+        assert names.replace_names(unicodedata.normalize(form, "Nguyễn Thị; Thị, Nguyễn."), ["nguyen thi"]) == "[PACIENTE]; [PACIENTE]."
+    composed = unicodedata.normalize("NFC", "Juan José, Ángel Pérez")
+    assert names.replace_names(composed, ["juan jose", "angel perez"]) == composed  # as in the patterns that it stands for
+    assert names.replace_names(unicodedata.normalize("NFD", "Juan José, y"), ["juan jose"]) == "[PACIENTE], y"
+    long = "juan, " * 50_000
+    assert names.replace_names(long + "perez", ["juan perez"]) == long[:-6] + "[PACIENTE]"
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["ana", "Ana", "ANÁ", "á", "gomez", "Gómez", "gomeza", "o'neil", "O'Neil", "de", "sosa", "x1", "_", "é", "’", "'", ","]), max_size=14), st.lists(st.sampled_from([" ", " ", ", ", "  ", "\n", "", ",", "-", " "]), min_size=14, max_size=14), st.lists(st.sampled_from(["ana gomez", "gomez ana", "ana de sosa", "sosa ana", "o'neil ana", "ana o'neil", "gomez sosa ana", "ana ana", "de ana"]), max_size=4))
+def test_replace_names_like_patterns(words, gaps, which):
+    text = "".join(w + g for w, g in zip(words, gaps, strict=False))
+    assert names.replace_names(text, which) == plain_replace(text, which)
+    hit = {n for n in which if plain_replace(text, [n]) != text}
+    keys = names.keys_of_text(text)
+    assert all(keys & names.keys_of_name(n) for n in hit)  # every name that occurs is found by a key
+
+
+def test_accents_of_all_letters(spark):
+    """Slugs and names fold whatever canonical decomposition folds."""
+    chars = [chr(c) for c in (*range(0x20, 0xD800), *range(0xF900, 0x10000), *range(0x1D100, 0x1D200)) if unicodedata.category(chr(c)) not in ("Cn", "Co")]
+    rows = ["a" + "b".join(chars[i : i + 20]) + "c" for i in range(0, len(chars), 20)]
+
+    def slug(t):
+        plain = re.sub("[̀-ͯ]", "", unicodedata.normalize("NFD", t)).lower()
+        return re.sub("^-+|-+$", "", re.sub("[^a-z0-9]+", "-", plain))[:80]
+
+    assert values(spark, rows, T.slugify) == [slug(t) for t in rows]
+    assert values(spark, ["Nguyễn Thị", "NGUYỄN Thị"], T.slugify) == ["nguyen-thi"] * 2
+    assert values(spark, ["Nguyễn Thị", "Đặng Văn Lâm"], pii.normalize_name) == ["nguyen thi", "ang van lam"]
 
 
 def test_extract_names(spark):

@@ -125,23 +125,3 @@ def extract_names(html: Column, *, strict: bool = False) -> Column:
     raw = F.regexp_extract_all(readable_text(html), F.lit(NAME_LABEL_STRICT if strict else NAME_LABEL), F.lit(1))
     names = F.array_distinct(F.filter(F.transform(raw, lambda r: normalize_name(trim(r))), lambda n: n != ""))
     return F.when(html.rlike(NAME_HINT), names).when(html.isNotNull(), F.array().cast("array<string>"))
-
-
-def name_pattern(name: Column) -> Column:
-    """Pattern for a canonical name in its order or reversed, whatever its case, accents and spaces; null for fewer than two parts.
-
-    The reversed order is that of all parts. Names that begin or end in an accented letter are missed at that end unless an
-    ASCII word character stands beside it, as word boundaries are those of ASCII.
-    """
-    fuzzy = name
-    for letter, both in (("a", "[aá]"), ("e", "[eé]"), ("i", "[ií]"), ("o", "[oó]"), ("u", "[uú]"), ("n", "[nñ]")):
-        fuzzy = F.regexp_replace(fuzzy, letter, both)
-    parts = F.filter(F.split(fuzzy, " "), lambda p: p != "")
-    gap = f",?{S}+"
-    forward, backward = F.array_join(parts, gap), F.array_join(F.reverse(parts), gap)
-    return F.when(F.size(parts) >= 2, F.concat(F.lit(f"(?iu){EDGE}(?:"), forward, F.lit("|"), backward, F.lit(f"){EDGE}")))
-
-
-def replace_names(text: Column, patterns: Column) -> Column:
-    """Replace what an array of patterns matches, one after the other."""
-    return F.aggregate(patterns, text, lambda t, p: F.regexp_replace(t, p, F.lit(NAME_TOKEN)))

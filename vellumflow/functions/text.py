@@ -11,9 +11,9 @@ from pyspark.sql.types import StringType
 
 
 def _accent_table() -> tuple[str, str]:
-    """Letters below U+0250 that decompose to one ASCII letter and combining marks, and those letters."""
-    found = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in range(0xC0, 0x250) if len(unicodedata.normalize("NFD", chr(c))) > 1]
-    found = [(a, b) for a, b in found if b.isascii()]
+    """Characters that decompose to one ASCII character and marks of U+0300 to U+036F, or to it alone, and those ASCII characters."""
+    found = [(chr(c), unicodedata.normalize("NFD", chr(c))) for c in (*range(0x80, 0xD800), *range(0xE000, 0x110000))]
+    found = [(a, b[0]) for a, b in found if b[0].isascii() and all("\u0300" <= m <= "\u036f" for m in b[1:])]
     return "".join(a for a, _ in found), "".join(b for _, b in found)
 
 

@@ -2,22 +2,25 @@
 
 Phones and e-mail addresses are numbered by first appearance: document order, then place in the text. The dictionary is built
 from distinct keys, so numbering sorts keys, not documents. Names found after a label are replaced in later documents
-(``cumulative``) or in all (``global``); which names can occur in a document is found by an equality join on pairs of
-neighbouring words, so the names of a large corpus are never applied to every text nor brought to the driver.
+(``cumulative``) or in all (``global``); which names can occur in a document is found by an equality join on keys of
+neighbouring words, so the names of a large corpus are never applied to every text nor brought to the driver. They are then put
+in place by position. Texts that have nothing replaced but national identifiers are not shuffled.
 """
 
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import html as H
+from ..functions import names as N
 from ..functions import pii
 from ..functions.regex import bind, matches, rewrite
-from ..functions.text import fold_accents
+from ..plans.marks import bit_table, bits_for, free_prefix, mark
 from ..plans.ranking import number_rows
 from ..plans.scratch import materialize
 
@@ -115,21 +118,15 @@ def find_names(docs: DataFrame, order: str, text: str, *, seeds: tuple[str, ...]
     return number_rows(firsts, F.col("at"), tag="names").select("name", F.col("at.first").alias("first"), "n")
 
 
-def word_pairs(docs: DataFrame, order: str, text: str) -> DataFrame:
-    """(order, pair): the distinct pairs of neighbouring words of each text, in plain lower case."""
-    folded = F.regexp_replace(F.lower(fold_accents(F.col(text))), "[^a-z']+", " ")
-    words = docs.select(order, F.filter(F.split(folded, " "), lambda w: w != "").alias("_words")).where("size(_words) > 1")
-    after = F.slice("_words", F.lit(2), F.size("_words"))
-    pairs = F.zip_with(F.slice("_words", F.lit(1), F.size("_words") - 1), after, lambda a, b: F.concat(a, F.lit(" "), b))
-    return words.select(order, F.explode(F.array_distinct(pairs)).alias("pair"))
+def names_by_document(parts: DataFrame, order: str, texts: str, names: DataFrame, scope: str) -> DataFrame:
+    """(order, n, name) of the names that may occur in a document with an array of texts.
 
-
-def names_by_document(docs: DataFrame, order: str, text: str, names: DataFrame, scope: str) -> DataFrame:
-    """(order, n, name) of the names that may occur in a document."""
-    parts = F.split("name", " ")
-    starts = F.array_distinct(F.array(F.concat_ws(" ", F.get(parts, F.lit(0)), F.get(parts, F.lit(1))), F.concat_ws(" ", F.element_at(parts, -1), F.element_at(parts, -2))))
-    keyed = names.select("name", "first", "n", F.explode(starts).alias("pair"))
-    hits = word_pairs(docs, order, text).join(keyed, "pair")
+    Texts give up only keys that a table of bits, sized by the number of names, lets through, so few rows meet the names.
+    """
+    keyed = materialize(names.select("name", "first", "n", F.explode(N.name_hashes("name")).alias("hash")), "name-keys")
+    table = parts.sparkSession.sparkContext.broadcast(bit_table(keyed.select("hash"), bits_for(keyed.count())))
+    found = parts.select(order, F.explode(F.array_distinct(N.text_hashes(table)(F.col(texts)))).alias("hash"))
+    hits = found.join(keyed, "hash")
     if scope == "cumulative":
         hits = hits.where(F.col("first").isNull() | (F.col("first") <= F.col(order)))
     elif scope != "global":
@@ -173,7 +170,8 @@ def anonymize(
     if names:
         known = materialize(find_names(docs.where(F.col(text).isNotNull()).select(*narrow), at, "_text", seeds=seed_names, strict=strict_labels), "names")
         if not known.isEmpty():
-            entries.append(names_by_document(present, at, "_text", known, names_scope).select(at, F.lit("name").alias("kind"), F.col("name").alias("key"), "n"))
+            parts = present.select(at, text_parts(F.col("_text"), markup).alias("_parts"))
+            entries.append(names_by_document(parts, at, "_parts", known, names_scope).select(at, F.lit("name").alias("kind"), F.col("name").alias("key"), "n"))
     rows = functools.reduce(DataFrame.unionByName, entries)
 
     def of(kind: str) -> Column:
@@ -181,22 +179,29 @@ def anonymize(
 
     columns = [F.map_from_entries(F.nullif(of(k), F.array().cast("array<struct<key:string,n:bigint>>"))).alias(f"_{k}") for k in PREFIXES]
     ordered = F.array_sort(F.transform(of("name"), lambda r: F.struct(r["n"].alias("n"), r["key"].alias("name"))))
-    per = rows.groupBy(at).agg(*columns, F.transform(ordered, lambda r: pii.name_pattern(r["name"])).alias("_names"))
-    out = source.join(materialize(per, "replacements"), F.col(order) == F.col(at), "left")
+    per = materialize(rows.groupBy(at).agg(*columns, F.transform(ordered, lambda r: r["name"]).alias("_names")), "replacements")
+    start = free_prefix(source)
+    per = per.withColumnsRenamed({c: start + c for c in per.columns})
+    marked = mark(source, F.col(order), per.select(start + at), f"{start}marked")
+    own = [F.col(f"`{c}`") for c in docs.columns]
 
     def change(part: Column) -> Column:
-        def ids(p: Column) -> Column:
-            return bind(pii.rewrite_national_ids(p), tel)
-
         def tel(p: Column) -> Column:
-            done = replace_from_dictionary(p, pii.PHONE, pii.phone_key, F.col("_tel"), PREFIXES["tel"])
-            return F.when(F.size("_names") > 0, pii.replace_names(done, F.col("_names"))).otherwise(done)
+            return replace_from_dictionary(p, pii.PHONE, pii.phone_key, F.col(f"{start}_tel"), PREFIXES["tel"])
+
+        return bind(replace_from_dictionary(part, pii.EMAIL, pii.email_key, F.col(f"{start}_email"), PREFIXES["email"]), lambda p: bind(pii.rewrite_national_ids(p), tel))
 
-        return bind(replace_from_dictionary(part, pii.EMAIL, pii.email_key, F.col("_email"), PREFIXES["email"]), ids)
+    def changed(ids: Callable[[Column], Column]) -> Column:
+        return H.map_text(F.col(text), ids) if markup else ids(F.col(text))
 
-    new = H.map_text(F.col(text), change) if markup else change(F.col(text))
-    touched = F.col("_order").isNotNull() | F.col(text).rlike(pii.CEDULA_HINT)
-    rewritten = out.withColumn(text, F.when(touched, new).otherwise(F.col(text))).select(*docs.columns)
+    hinted = F.col(text).rlike(pii.CEDULA_HINT)
+    clear = marked.where(f"not {start}marked").withColumn(text, F.when(hinted, changed(pii.rewrite_national_ids)).otherwise(F.col(text))).select(*own)
+    met = marked.where(f"{start}marked").join(per, F.col(order) == F.col(start + at), "left")
+    met = met.withColumn(text, F.when(F.col(start + at).isNotNull() | hinted, changed(change)).otherwise(F.col(text)))
+    # Only texts with names go to Python.
+    held = F.when(F.size(f"{start}_names") > 0, H.segments(F.col(text)) if markup else F.array(text))
+    named = F.array_join(N.replace_names_in_parts(held, F.col(f"{start}_names"), F.lit(markup)), "")
+    rewritten = clear.unionByName(met.withColumn(text, F.coalesce(named, F.col(text))).select(*own))
     return Anonymized(rewritten, tables["email"], tables["tel"], known, found)
 
 
