@@ -295,3 +295,20 @@ def test_stream_tokens(spark, tmp_path):
     batch = {r.ordinal: r.text for r in A.anonymize(docs, order="ordinal", text="text", markup=False, names_scope="cumulative").docs.collect()}
     assert streamed == batch and streamed[1].endswith("Ana Gómez") and streamed[2] == "Paciente: [PACIENTE]; [TEL_1]" and streamed[3].startswith("[PACIENTE] y [TEL_3]")
     assert drop_captured(spark.createDataFrame([("r", "h"), ("r", "h")], "run_id string, sha256 string")).count() == 1
+
+
+def test_stream_of_pages_is_the_cumulative_scope(spark, tmp_path):
+    """Header, segments and names over two batches, as in one batch job."""
+    from vellumflow.streaming.run import run_to_end
+    from vellumflow.streaming.tokens import tokenize_stream
+
+    header = '<table><tr><td class="td_label">Documento</td><td class="td_header_role_value">1234567</td></tr></table>'
+    rows = [(1, "<p title='Ana Gómez'>Ana Gómez a@e.com</p><script>a@e.com</script>"), (2, f"{header}<p>Paciente: Ana Gómez; y <b>GOMEZ, ANA</b> 099 123 456 a@e.com</p>"), (3, "<p>Nombre: Thị Nguyễn; b@e.com 1.234.567-8 Ana<br>Gómez</p>"), (4, "<p>nguyễn  thị y ana gómez, 099123456</p>"), (5, None), (6, "")]
+    docs = spark.createDataFrame([("r", i, t, "x") for i, t in rows], "run_id string, ordinal long, text string, base string")
+    for part in range(2):
+        docs.where(F.col("ordinal").between(part * 3 + 1, part * 3 + 3)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    for strict in (False, True):
+        streamed = {r.ordinal: r.text for r in run_to_end(spark, str(tmp_path / "in"), lambda d: tokenize_stream(d, markup=True, strict_labels=strict), files_per_batch=1).collect()}
+        batch = {r.ordinal: r.text or "" for r in A.anonymize(docs.select("ordinal", "text"), order="ordinal", text="text", markup=True, names_scope="cumulative", strict_labels=strict).docs.collect()}
+        assert streamed == batch
+    assert streamed[1].startswith("<p title='Ana Gómez'>Ana Gómez [EMAIL_1]") and "[ID]" in streamed[2] and "<b>[PACIENTE]</b>" in streamed[2] and streamed[4] == "<p>[PACIENTE] y [PACIENTE], [TEL_1]</p>"

@@ -443,19 +443,35 @@ texts AS (SELECT id, list_filter(s, lambda x: NOT starts_with(x, '<')) AS s FROM
 PAGE_EMAILS = f"flatten(list_transform(s, lambda x: {_email_keys('x')}))"
 
 
-@query(f"""WITH {PAGE_PARTS}, {_sql_first_seen('texts', PAGE_EMAILS, 'emails')}, parts AS (SELECT id, unnest(s) AS text, generate_subscripts(s, 1) AS pos FROM seg),
+PAGE_STEPS = f"""{_sql_first_seen('texts', PAGE_EMAILS, 'emails')}, parts AS (SELECT id, unnest(s) AS text, generate_subscripts(s, 1) AS pos FROM seg),
 lefts AS (SELECT id, pos, CASE WHEN starts_with(text, '<') THEN '' ELSE {_sql_cedula(STUBBED)} END AS text FROM parts),
 places AS (SELECT id, pos, unnest({PHONE_KEYS}) AS key, generate_subscripts({PHONE_KEYS}, 1) AS k FROM lefts),
 tels AS (SELECT key, row_number() OVER (ORDER BY id, pos, k) AS n FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY id, pos, k) AS f FROM places) WHERE f = 1),
 tels_map AS (SELECT coalesce(map_from_entries(list((key, n))), MAP {{}}) AS m FROM tels),
 step AS (SELECT id, pos, text AS raw, {_sql_tokens('text', EMAIL, LOWER, 'emails_map', 'EMAIL')} AS text FROM parts, emails_map), step2 AS (SELECT id, pos, raw, {_sql_cedula('text')} AS text FROM step),
-step3 AS (SELECT id, pos, CASE WHEN starts_with(raw, '<') THEN raw ELSE {_sql_tokens('text', PHONE, DIGITS, 'tels_map', 'TEL')} END AS text FROM step2, tels_map)
+step3 AS (SELECT id, pos, raw, CASE WHEN starts_with(raw, '<') THEN raw ELSE {_sql_tokens('text', PHONE, DIGITS, 'tels_map', 'TEL')} END AS text FROM step2, tels_map)"""
+
+
+@query(f"""WITH {PAGE_PARTS}, {PAGE_STEPS}
 SELECT id AS page_id, sha256(string_agg(text, '' ORDER BY pos)) AS sha256 FROM step3 GROUP BY id""")
 def anonymize_pages(spark, d):
     pages = read_table(spark, d, "pages").select("page_id", "html")
     return A.anonymize(pages, order="page_id", text="html", markup=True).docs.select("page_id", T.sha256_hex(F.col("html")).alias("sha256"))
 
 
+def named_pages(pages: DataFrame) -> DataFrame:
+    """Every fifth page begins with a name after a label, every second ends with a mention of one."""
+    name, key = _pick(NAMES, "page_id"), F.col("page_id")
+    label = F.when(key % 5 == 0, F.concat(F.lit("<p>Paciente: "), name, F.lit(";</p>"))).otherwise("")
+    mention = F.when(key % 2 == 0, F.concat(F.lit("<p>firma "), name, F.lit("</p>"))).otherwise("")
+    return pages.select("page_id", F.concat(label, F.col("html"), mention).alias("html"))
+
+
+_PICKED = f"({_sql_list(NAMES)})[page_id % {len(NAMES)} + 1]"
+NAMED_PAGES = f"""pg AS (SELECT page_id AS id, CASE WHEN page_id % 5 = 0 THEN '<p>Paciente: ' || {_PICKED} || ';</p>' ELSE '' END || html
+  || CASE WHEN page_id % 2 = 0 THEN '<p>firma ' || {_PICKED} || '</p>' ELSE '' END AS html FROM pages),""" + PAGE_PARTS.split("FROM pages),", 1)[1]
+
+
 def contact_rows(spark, d) -> DataFrame:
     """Phone rows of which every seventh names a person after a label, and every fifth mentions one."""
     key, name = F.col("id"), _pick(NAMES, "id")
@@ -857,6 +873,24 @@ def stream_tokens(spark, d):
     return run_to_end(spark, table_path(d, "documents"), change).select("run_id", "ordinal", "sha256", "duplicate", "slug")
 
 
+def _name_step(at: int, name: str) -> str:
+    """SQL that replaces a name in the pages from the first one that says it after a label."""
+    known = f"id >= (SELECT min(page_id) FROM pages WHERE page_id % 5 = 0 AND page_id % {len(NAMES)} = {at})"
+    changed = f"CASE WHEN NOT starts_with(raw, '<') AND {known} THEN regexp_replace(text, '{_fuzzy(name)}', '[PACIENTE]', 'g') ELSE text END"
+    return f"named{at} AS (SELECT id, pos, raw, {changed} AS text FROM {f'named{at - 1}' if at else 'step3'})"
+
+
+_NAME_STEPS = "".join(", " + _name_step(at, name) for at, name in enumerate(_PLAIN))
+
+
+@query(f"""WITH {NAMED_PAGES}, {PAGE_STEPS}{_NAME_STEPS}
+SELECT id AS page_id, sha256(string_agg(text, '' ORDER BY pos)) AS sha256 FROM named{len(NAMES) - 1} GROUP BY id""")
+def stream_pages(spark, d):
+    """Pages as one run, every fifth with a name after a label, of which every second stands in a later page too: the cumulative scope."""
+    change = lambda pages: tokenize_stream(named_pages(pages).select(F.lit("run").alias("run_id"), F.col("page_id").alias("ordinal"), F.col("html").alias("text"), F.lit("page").alias("base")), markup=True)
+    return run_to_end(spark, table_path(d, "pages"), change).select(F.col("ordinal").alias("page_id"), "sha256")
+
+
 @query("SELECT doc_id, sha256(text) AS sha256 FROM documents")
 def controlled_run(spark, d):
     """A run that is started, paused, resumed and read to its end: every document once."""

@@ -1,33 +1,36 @@
 """Pseudonyms, names of files and duplicates over a stream of documents, with state per run.
 
-Documents of a run come in order within a batch; the state of a run holds its token numbers, its names, its slugs and its hashes,
-each in a map on disk, so that state in memory does not grow with the run. A run is one ordered stream, so one task reads its
-rows of a batch; how many these are is set by ``files_per_batch``. Many runs are read side by side.
+Documents of a run come in order within a batch; the state of a run holds its token numbers, its names by the keys that they are
+found by, its slugs and its hashes, each in a map on disk. In memory is a table of bits of fixed size that tells which keys of a text
+may be those of names, so that only these are looked up. A run is one ordered stream, so one task reads its rows of a batch; how
+many these are is set by ``files_per_batch``. Many runs are read side by side.
 
-A name found after a label is replaced from that document on; whole corpora go through ``operators.anonymize`` instead.
+What a document says of itself (header, labels, segments) is worked out by the same columns as in ``operators.anonymize`` before it
+reaches the state. A name found after a label is replaced from that document on, which is the cumulative scope there.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import re
-import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, BooleanType, LongType, StringType, StructField, StructType
 
+from ..functions import html as H
 from ..functions import pii
+from ..functions.names import keys_of_name, keys_of_text, replace_names
 
-# The shapes of addresses, national identity numbers and phones, for Python.
-EMAIL = re.compile(r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b", re.ASCII)
-CEDULA = re.compile(r"\b(?:\d{1,3}(?:\.\d{3}){1,2}[-/]?\d?|\d{7,8}[-/]?\d?)\b", re.ASCII)
-_GAP = r"[\s\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff.\-]?"
-PHONE = re.compile(rf"\+598{_GAP}\d{{1,2}}{_GAP}\d{{3}}{_GAP}\d{{3,4}}\b|\b09\d{_GAP}\d{{3}}{_GAP}\d{{3}}\b|\b(?:2|4)\d{{3}}{_GAP}\d{{4}}\b", re.ASCII)
-_STOPS = "|".join(pii.STOP_LABELS)
-NAME = re.compile(rf"(?<!\w)(?:{'|'.join(pii.NAME_LABELS)})\s*[:\-]\s*([^\n\r,;|]+?)(?=\s+(?:{_STOPS})\s*[:\-]|[\n\r,;|]|\Z)", re.I)
+EMAIL, CEDULA, PHONE = (re.compile(p, re.ASCII) for p in (pii.EMAIL, pii.CEDULA, pii.PHONE))
+#: Bits for the keys of a run's names, 128 KB: beyond some hundred thousand names more keys are looked up, and none is missed.
+NAME_BITS = 20
 OUTPUT = StructType(
     [StructField("run_id", StringType()), StructField("ordinal", LongType()), StructField("text", StringType()), StructField("slug", StringType()), StructField("sha256", StringType()), StructField("duplicate", BooleanType())]
 )
@@ -35,19 +38,8 @@ _KEY = StructType([StructField("k", StringType())])
 _NUMBER = StructType([StructField("n", LongType())])
 
 
-def canonical_name(name: str) -> str:
-    """Plain lower-case parts of a name, or "" for what is no full name: two parts, and two of three letters or more."""
-    plain = "".join(c for c in unicodedata.normalize("NFD", name) if not "\u0300" <= c <= "\u036f").lower()
-    parts = [p for p in re.sub(r"[^a-z\s']", " ", plain).split() if len(p) >= 2]
-    return " ".join(parts) if len(parts) >= 2 and sum(len(p) >= 3 for p in parts) >= 2 else ""
-
-
-def name_expression(name: str) -> re.Pattern:
-    """A canonical name in its order or reversed, whatever its case, accents and spaces."""
-    both = {a: f"[{a}{b}]" for a, b in zip("aeioun", "áéíóúñ", strict=True)}
-    parts = ["".join(both.get(c, re.escape(c)) for c in p) for p in name.split()]
-    edge = "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
-    return re.compile(f"{edge}(?:{r',?\s+'.join(parts)}|{r',?\s+'.join(reversed(parts))}){edge}", re.I)
+_TEXT = StructType([StructField("v", StringType())])
+_BITS = StructType([StructField("bits", BinaryType())])
 
 
 class RunTokens(StatefulProcessor):
@@ -56,10 +48,11 @@ class RunTokens(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.tokens = handle.getMapState("tokens", _KEY, _NUMBER)
         self.names = handle.getMapState("names", _KEY, _NUMBER)
+        self.named = handle.getMapState("named", _KEY, _TEXT)  # key to names and their numbers
+        self.filter = handle.getValueState("filter", _BITS)
         self.slugs = handle.getMapState("slugs", _KEY, _NUMBER)
         self.hashes = handle.getMapState("hashes", _KEY, _NUMBER)
         self.counts = handle.getMapState("counts", _KEY, _NUMBER)
-        self.patterns: dict[tuple, re.Pattern] = {}
 
     def _count(self, kind: str) -> int:
         n = (self.counts.getValue((kind,))[0] if self.counts.containsKey((kind,)) else 0) + 1
@@ -72,20 +65,43 @@ class RunTokens(StatefulProcessor):
             self.tokens.updateValue(entry, (self._count(kind),))
         return f"[{kind}_{self.tokens.getValue(entry)[0]}]"
 
-    def _learn_names(self, text: str) -> None:
-        for found in NAME.findall(text):
-            name = canonical_name(found)
-            if name and not self.names.containsKey((name,)):
-                self.names.updateValue((name,), (self._count("NAME"),))
-
-    def _rewrite(self, text: str) -> str:
-        """Addresses, national identity numbers, phones, names, in this order."""
+    def _learn_names(self, names: list[str]) -> None:
+        for name in names:
+            if not self.names.containsKey((name,)):
+                n = self._count("NAME")
+                self.names.updateValue((name,), (n,))
+                for key in keys_of_name(name):
+                    held = json.loads(self.named.getValue((key,))[0]) if self.named.containsKey((key,)) else []
+                    self.named.updateValue((key,), (json.dumps([*held, [n, name]]),))
+                    at = self._bit(key)
+                    self.bits[at >> 3] |= 1 << (at & 7)
+                    self.learned = True
+
+    @staticmethod
+    def _bit(key: str) -> int:
+        return xxhash.xxh64_intdigest(key) >> 64 - NAME_BITS
+
+    def _names_in(self, texts: list[str]) -> list[str]:
+        """Names that may occur, in order of their first appearance in the run."""
+        found = set()
+        for key in set().union(*map(keys_of_text, texts)):
+            at = self._bit(key)
+            if self.bits[at >> 3] >> (at & 7) & 1 and self.named.containsKey((key,)):
+                found.update(map(tuple, json.loads(self.named.getValue((key,))[0])))
+        return [name for _, name in sorted(found)]
+
+    def _ids(self, text: str) -> str:
+        """Addresses, national identity numbers, phones, in this order."""
         text = EMAIL.sub(lambda m: self._token("EMAIL", m[0].lower()), text)
         text = CEDULA.sub(lambda m: pii.NATIONAL_ID_TOKEN if 7 <= len(re.sub(r"\D", "", m[0])) <= 8 else m[0], text)
-        text = PHONE.sub(lambda m: self._token("TEL", re.sub(r"[^\d+]", "", m[0])), text)
-        for name in self.known:
-            text = self.patterns.setdefault(name, name_expression(name)).sub(pii.NAME_TOKEN, text)
-        return text
+        return PHONE.sub(lambda m: self._token("TEL", re.sub(r"[^\d+]", "", m[0])), text)
+
+    def _rewrite(self, parts: list[str], markup: bool) -> str:
+        """Identifiers, then names, in the parts that are text."""
+        is_text = [not (markup and p.startswith("<")) for p in parts]
+        parts = [self._ids(p) if t else p for p, t in zip(parts, is_text, strict=True)]
+        names = self._names_in([p for p, t in zip(parts, is_text, strict=True) if t]) if self.any_name else []
+        return "".join(replace_names(p, names) if t and names else p for p, t in zip(parts, is_text, strict=True))
 
     def _slug(self, base: str) -> str:
         base = base or "evento"
@@ -101,28 +117,35 @@ class RunTokens(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(rows)).sort_values("ordinal")
-        self.known = [k[0] for k, _ in sorted(self.names.iterator(), key=lambda x: x[1][0])]
-        out = []
+        self.bits = np.frombuffer(self.filter.get()[0], np.uint8).copy() if self.filter.exists() else np.zeros(1 << NAME_BITS - 3, np.uint8)
+        self.learned, out = False, []
         for r in frame.itertuples(index=False):
-            before = len(self.known)
-            self._learn_names(r.text or "")
-            if self.counts.containsKey(("NAME",)) and self.counts.getValue(("NAME",))[0] > before:
-                self.known = [k[0] for k, _ in sorted(self.names.iterator(), key=lambda x: x[1][0])]
-            text = self._rewrite(r.text or "")
+            self._learn_names([] if r.names is None else list(r.names))
+            self.any_name = self.learned or bool(self.filter.exists())
+            text = self._rewrite([] if r.parts is None else list(r.parts), bool(r.markup))
             sha = hashlib.sha256(text.encode()).hexdigest()
             slug, seen = self._slug(r.base), self.hashes.containsKey((sha,))
             if not seen:
                 self.hashes.updateValue((sha,), (1,))
             out.append((key[0], int(r.ordinal), text, slug, sha, seen))
+        if self.learned:
+            self.filter.update((self.bits.tobytes(),))
         yield pd.DataFrame(out, columns=OUTPUT.names)
 
     def close(self) -> None:
         pass
 
 
-def tokenize_stream(docs: DataFrame) -> DataFrame:
-    """Streaming (run_id, ordinal, text, base) to run_id, ordinal, text, slug, sha256, duplicate. Needs the RocksDB state store."""
-    return docs.groupBy("run_id").transformWithStateInPandas(RunTokens(), OUTPUT, "Append", "None")
+def tokenize_stream(docs: DataFrame, *, markup: bool = False, strict_labels: bool = False) -> DataFrame:
+    """Streaming (run_id, ordinal, text, base) to run_id, ordinal, text, slug, sha256, duplicate. Needs the RocksDB state store.
+
+    With ``markup`` header identifiers are replaced, and other identifiers and names only outside tags and raw zones. A null text is
+    an empty one.
+    """
+    text = F.col("text")
+    parts = H.segments(pii.rewrite_header_id(text)) if markup else F.array(text)
+    read = docs.select("run_id", "ordinal", "base", F.when(text.isNotNull(), parts).alias("parts"), pii.extract_names(text, strict=strict_labels).alias("names"), F.lit(markup).alias("markup"))
+    return read.groupBy("run_id").transformWithStateInPandas(RunTokens(), OUTPUT, "Append", "None")
 
 
 def drop_captured(docs: DataFrame) -> DataFrame:
