@@ -182,6 +182,28 @@ def test_listing(spark):
     assert [r.id for r in read_details(list_records(pages), details).collect()] == [got[0][1]]
 
 
+def test_rows_of_deep_and_broken_pages():
+    import tracemalloc
+
+    from vellumflow.sources.listing import read_rows
+
+    record = "<table><tbody><tr id=r><td>01/02/2024</td><td><span>Consulta</span></td><td><a href='visualizar?1'>ver</a></td></tr></tbody></table>"
+    want = [(0, "visualizar?1", "01/02/2024 Consulta ver", ["01/02/2024", "Consulta", "Consulta", "ver"])]
+    sizes = []
+    for depth in (10_000, 20_000):
+        page = "<div>" * depth + "text " + record + "</p></b>" * depth + "<a>x</a>" * depth
+        tracemalloc.start()
+        got = list(read_rows(page, "visualizar"))
+        sizes.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert [r[:4] for r in got if not r[4]] == want == [r[:4] for r in got if r[4]]
+    assert sizes[1] < 2.5 * sizes[0] < 100 << 20
+    marked = "<div data-gx-row=1><div id=CONTENTGRID_1>a<script>no</script><br>b<a data-gx-evt=5>go</a></div> c</div>"
+    assert [(r[2], r[3]) for r in read_rows(marked, "visualizar")] == [("a bgo c", ["a bgo"])]
+    assert [r[2] for r in read_rows("<div id=GRIDX></div><div id=RIGTH_1>t<a onclick='visualizar(1)'>x", "visualizar")] == ["tx"]
+    assert list(read_rows(None, "visualizar")) == [] and list(read_rows("</tr></div><a href=visualizar>x</a>", "visualizar")) == []
+
+
 def test_paged_source(spark, tmp_path):
     from vellumflow.sources.paged import ListingPages
 
@@ -189,7 +211,82 @@ def test_paged_source(spark, tmp_path):
         (tmp_path / f"{n}.html").write_text(f"<p>{n}</p>")
     spark.dataSource.register(ListingPages)
     df = spark.read.format("listing_pages").option("paths", "\n".join(str(tmp_path / f"{n}.html") for n in (1, 2))).load()
-    assert sorted(tuple(r) for r in df.collect()) == [(1, "1.html", "<p>1</p>"), (2, "2.html", "<p>2</p>")] and df.rdd.getNumPartitions() == 2
+    assert sorted(tuple(r) for r in df.collect()) == [(1, "1.html", "<p>1</p>", None, 1), (2, "2.html", "<p>2</p>", None, 1)]
+    for n in (1, 2, 5, 12):
+        (tmp_path / "all" / f"listing-{n}.html").parent.mkdir(exist_ok=True)
+        (tmp_path / "all" / f"listing-{n}.html").write_text(f"<p>{n}</p>" if n != 5 else "  ")
+    folder = spark.read.format("listing_pages").option("firstWait", 0).option("pages", 13).option("pagesPerTask", 4).load(f"file://{tmp_path}/all")
+    got = {r.page: r for r in folder.collect()}
+    assert sorted(got) == list(range(1, 14)) and folder.rdd.getNumPartitions() == 4 and got[12].html == "<p>12</p>"
+    assert got[5].error.endswith(" 5") and got[5].file == "listing-5.html" and got[5].attempts == 3 and got[13].error.endswith(" 13") and got[13].file is None
+
+
+def test_paged_stream_goes_on_at_its_page(spark, tmp_path):
+    from vellumflow.sources.paged import ListingPages
+
+    folder, root = tmp_path / "pages", str(tmp_path)
+    folder.mkdir()
+    for n in (1, 2, 3, 4, 6, 7):
+        (folder / f"{n}.html").write_text(f"<p>{n}</p>")
+    spark.dataSource.register(ListingPages)
+    stream = spark.readStream.format("listing_pages").option("pagesPerBatch", 2).option("firstWait", 0.01).option("onMissing", "fail").load(str(folder))
+
+    def begin():
+        return stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(processingTime="10 milliseconds").start()
+
+    query = begin()
+    with pytest.raises(Exception, match="página 5"):
+        query.processAllAvailable()
+    assert sorted(r.page for r in spark.read.parquet(f"{root}/out").collect()) == [1, 2, 3, 4]
+    (folder / "5.html").write_text("<p>5</p>")
+    for more in ((), (8, 9, 10)):  # a query that goes on after a failed batch, and one that goes on after a done one
+        for n in more:
+            (folder / f"{n}.html").write_text(f"<p>{n}</p>")
+        query = begin()
+        query.processAllAvailable()
+        query.stop()
+        assert sorted((r.page, r.html) for r in spark.read.parquet(f"{root}/out").collect()) == [(n, f"<p>{n}</p>") for n in range(1, 8 + len(more))]
+
+
+def test_packages_as_files(spark, tmp_path):
+    from vellumflow.sources.sinks import read_archives, write_files, write_packages
+
+    rows = [(f"p{i % 3}", f"docs/{i}.html", b"x" * 3000 + str(i).encode()) for i in range(60)] + [("p0", "empty", None)]
+    entries = spark.createDataFrame([(*r, 1) for r in rows], "package string, name string, data binary, other int").repartition(4)
+    for part in ("a", "b"):
+        write_packages(entries, f"file://{tmp_path}/{part}")
+    assert sorted(p.name for p in (tmp_path / "a").iterdir()) == ["_SUCCESS", "p0.zip", "p1.zip", "p2.zip"]
+    for n in range(3):
+        data = (tmp_path / "a" / f"p{n}.zip").read_bytes()
+        assert data == (tmp_path / "b" / f"p{n}.zip").read_bytes() and zipfile.ZipFile(io.BytesIO(data)).testzip() is None
+        assert zipfile.ZipFile(io.BytesIO(data)).namelist() == sorted(name for p, name, _ in rows if p == f"p{n}")
+    whole = sorted((p, name, data or b"") for p, name, data in rows)
+    assert sorted((r.package, r.name, bytes(r.data)) for r in read_archives(spark, str(tmp_path / "a")).collect()) == whole
+    split = spark.read.format("zip_packages").option("splitBytes", 300).load(str(tmp_path / "a"))
+    assert split.rdd.getNumPartitions() > 3 and sorted((r.package, r.name, bytes(r.data)) for r in split.collect()) == whole
+    with pytest.raises(Exception, match="no more"):
+        write_packages(entries.withColumn("data", F.when(F.col("name") == "docs/59.html", F.raise_error(F.lit("no more")).cast("binary")).otherwise(F.col("data"))), str(tmp_path / "c"))
+    assert not (tmp_path / "c").exists() or not list((tmp_path / "c").iterdir())
+    write_files(entries.where("package = 'p1'"), str(tmp_path / "files"))
+    assert (tmp_path / "files" / "docs" / "1.html").read_bytes() == rows[1][2] and len(list((tmp_path / "files" / "docs").iterdir())) == 20
+
+
+def test_a_large_package_is_streamed(spark, tmp_path):
+    """300 MB into one archive by a writer that is given one entry at a time."""
+    import resource
+
+    import pyarrow as pa
+
+    from vellumflow.sources.sinks import ZipSource
+
+    sink = ZipSource({"path": str(tmp_path)}).writer(None, False)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    block = bytes(5 << 20)
+    done = sink.write(pa.RecordBatch.from_pylist([{"package": "p", "name": f"{i:03d}", "data": block}]) for i in range(60))
+    sink.commit([done])
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 100 << 10  # kilobytes
+    with zipfile.ZipFile(tmp_path / "p.zip") as z:
+        assert len(z.infolist()) == 60 and sum(i.file_size for i in z.infolist()) == 300 << 20
 
 
 def small_pdf():
@@ -260,6 +357,33 @@ def test_run_control(spark, tmp_path):
         run.resume()
 
 
+def test_another_driver_resumes_a_run(spark, tmp_path):
+    """More batches than Spark's own list of them keeps, over a pause, another object, and a driver that goes away."""
+    spark.range(130).repartitionByRange(130, "id").write.parquet(str(tmp_path / "in"))
+    change = lambda df: df
+    first = Run(spark, str(tmp_path / "in"), change, every=0.001)
+    first.start()
+    while first.progress()["batches"] < 3:
+        time.sleep(0.05)
+    first.pause()
+    done = first.progress()
+    assert done["state"] == "paused" and 3 <= done["batches"] == done["processed"] < 130 and first.output().count() == done["processed"]
+    second = Run.attach(spark, str(tmp_path / "in"), change, first.root, every=0.001)
+    assert second.state == "paused" and second.progress() == done
+    second.resume()
+    while second.progress()["batches"] < done["batches"] + 3:
+        time.sleep(0.05)
+    second.query.stop()  # its driver goes away without a word
+    third = Run.attach(spark, str(tmp_path / "in"), change, first.root, every=0.001)
+    assert third.state == "paused"
+    third.resume()
+    assert third.poll() == "completed"
+    assert third.progress()["processed"] == 130 == third.progress()["batches"] and sorted(r.id for r in third.output().collect()) == list(range(130))
+    assert [r.command for r in third.journal.commands(spark).orderBy("number").collect()] == ["start", "pause", "resume", "pause", "resume", "poll"]
+    with pytest.raises(ValueError):
+        Run.attach(spark, str(tmp_path / "in"), change, str(tmp_path / "none"))
+
+
 def test_run_tries_again_and_gives_up(spark, tmp_path):
     spark.range(5).write.parquet(str(tmp_path / "in"))
     waits = []

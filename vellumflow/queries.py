@@ -6,6 +6,9 @@ put together from columns by the same recipe in Spark and in SQL.
 
 from __future__ import annotations
 
+import time
+
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,8 +20,10 @@ from .operators import anonymize as A
 from .operators import corpus as C
 from .operators import metadata as M
 from .operators import package as K
+from .plans.scratch import scratch_path
 from .sources.archive import read_packages, zip_packages
-from .sources.listing import list_records, read_details
+from .sources.listing import list_records, read_details, scan_pages
+from .sources.sinks import read_archives, write_files, write_packages
 from .sources.tables import read_table, table_path
 from .streaming.control import Run
 from .streaming.run import run_to_end
@@ -270,6 +275,38 @@ def paginated_scan(spark, d):
     return K.append_all(there.select("package", "page"), errors.select("package", F.regexp_extract("message", r"(\d+)$", 1).cast("long").alias("page"), F.col("message").alias("error")))
 
 
+@query(f"""WITH {ROWS}, numbered AS (SELECT *, (row_number() OVER (ORDER BY o_orderkey) - 1) // 500 + 1 AS page FROM listing),
+last AS (SELECT max(page) AS last FROM numbered),
+base AS (SELECT o_orderkey, page, {CATEGORY} AS categoria, {DATE} AS fecha, cells FROM numbered, last WHERE {CATEGORY} IS NOT NULL AND page <> (last + 1) // 2),
+c AS (SELECT o_orderkey, lower(categoria) AS low, unnest(cells) AS cell, generate_subscripts(cells, 1) AS pos FROM base),
+k AS (SELECT o_orderkey, cell, row_number() OVER (PARTITION BY o_orderkey ORDER BY length(cell) DESC, pos) AS n FROM c WHERE lower(cell) NOT IN (low, '', 'ver', 'detalle') AND NOT (regexp_matches(cell, '\\d{{2}}/\\d{{2}}/\\d{{4}}') AND length(cell) <= 10)),
+r AS (SELECT base.*, fecha || '_' || {_sql_slug('categoria')} || '_' || {_sql_slug('cell')} AS id FROM base JOIN k USING (o_orderkey) WHERE n = 1)
+SELECT page, id, 'visualizar?' || o_orderkey AS href, CAST(NULL AS VARCHAR) AS error FROM (SELECT *, row_number() OVER (PARTITION BY page, id ORDER BY o_orderkey) AS f FROM r) WHERE f = 1
+UNION ALL SELECT (last + 1) // 2, NULL, NULL, 'No se pudo posicionar la página ' || (last + 1) // 2 FROM last""")
+def scanned_records(spark, d):
+    """Listing pages as files, scanned as a stream: the page in the middle is missing, the scan fails there, goes on at its offset and reads the rest.
+
+    The second time the missing page is passed over with an error. Records are read from the pages as scanned.
+    """
+    root = scratch_path(spark, "scan")
+    cells = F.array_join(F.transform(F.slice("cells", 1, 4), lambda c: F.concat(F.lit("<td>"), H.escape_html(c), F.lit("</td>"))), "")
+    row = F.concat(F.lit("<tr>"), cells, F.lit('<td><a data-gx-evt="5" href="visualizar?'), F.col("o_orderkey").cast("string"), F.lit('">ver</a></td></tr>'))
+    numbered = C.page_ordinals(listing_rows(spark, d).select("o_orderkey", row.alias("row")), F.col("o_orderkey"), size=500)
+    pages = numbered.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "row"))).alias("r"))  # of 500 rows
+    html = F.concat(F.lit("<table><tbody>"), F.array_join(F.transform("r", lambda x: x["row"]), "\n"), F.lit("</tbody></table>"))
+    last = numbered.agg(F.max("page").alias("last"))
+    files = pages.join(F.broadcast(last), F.col("page") != F.floor((F.col("last") + 1) / 2))  # one row
+    write_files(files.select(F.concat(F.lit("listing-"), F.col("page").cast("string"), F.lit(".html")).alias("name"), html.cast("binary").alias("data")), f"{root}/pages")
+    try:
+        scan_pages(spark, f"{root}/pages", root, onMissing="fail", firstWait=0, pagesPerTask=1)
+    except StreamingQueryException as e:
+        if "No se pudo posicionar" not in str(e):
+            raise
+    scanned = scan_pages(spark, f"{root}/pages", root, firstWait=0, pagesPerTask=1)
+    errors = scanned.where("error is not null").select("page", F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("href"), "error")
+    return list_records(scanned.where("error is null").select("page", "html")).select("page", "id", "href", F.lit(None).cast("string").alias("error")).unionByName(errors)
+
+
 @query("""SELECT c_custkey AS id, n_chars FROM customer JOIN documents ON doc_id = c_custkey % 2000 WHERE length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) >= 200 OR doc_id % 9 = 0""")
 def listing_details(spark, d):
     """Listed records with their pages where these are ready: by text, or every ninth by an attachment."""
@@ -795,6 +832,16 @@ def package_files(spark, d):
     return read.select("package", "name", F.when(F.col("name") == "metadata.json", F.sha2(said, 256)).otherwise(F.sha2("data", 256)).alias("sha256"))
 
 
+@query(f"""SELECT source || '-' || lpad(CAST(doc_id % 3 AS VARCHAR), 4, '0') AS package, 'docs/d' || doc_id || '.html' AS name, CAST(strlen(text) AS INTEGER) AS bytes, sha256(text) AS sha256 FROM documents""")
+def package_archives(spark, d):
+    """Three packages of each source's documents, written as archives and read back entry by entry."""
+    path = scratch_path(spark, "packages")
+    package = F.concat("source", F.lit("-"), F.lpad((F.col("doc_id") % 3).cast("string"), 4, "0"))
+    name = M.html_path(F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    write_packages(read_table(spark, d, "documents").select(package.alias("package"), name.alias("name"), F.col("text").cast("binary").alias("data")), path)
+    return read_archives(spark, path).select("package", "name", F.octet_length("data").alias("bytes"), F.sha2("data", 256).alias("sha256"))
+
+
 @query(r"SELECT doc_id, doc_id % 2 = 0 AND NOT regexp_matches(CASE WHEN doc_id % 3 = 0 THEN text || ' [CI]' ELSE text END, '\[[A-Z_0-9]+\]') AS missing FROM documents")
 def manifest_check(spark, d):
     """Every second file is declared as pseudonymised, every third holds a token."""
@@ -901,3 +948,23 @@ def controlled_run(spark, d):
     if run.poll() != "completed":
         raise RuntimeError("the run ended as " + run.state)
     return run.output()
+
+
+@query("""WITH said AS (SELECT * FROM (VALUES (0, 'start', 'running'), (1, 'pause', 'paused'), (2, 'resume', 'running'), (3, 'poll', 'completed')) v(number, command, state))
+SELECT CAST(number AS BIGINT) AS number, command, state, CASE WHEN number = 3 THEN (SELECT count(*) FROM documents) END AS processed FROM said""")
+def run_journal(spark, d):
+    """The commands of a run that one object pauses after its first batch and another resumes, and the rows that its journal counts at the end."""
+    change = lambda docs: docs.select("doc_id", T.sha256_hex(F.col("text")).alias("sha256"))
+    path = scratch_path(spark, "parts")
+    read_table(spark, d, "documents").select("doc_id", "text").repartition(6, "doc_id").write.parquet(path)
+    first = Run(spark, path, change, every=0.05)
+    first.start()
+    while not first.progress()["batches"]:
+        time.sleep(0.05)
+    first.pause()
+    second = Run.attach(spark, path, change, first.root, every=0.05)
+    second.resume()
+    second.poll()
+    counted = second.journal.batches(spark).agg(F.sum("rows").alias("processed"))
+    rows = second.journal.commands(spark).crossJoin(counted)  # one row
+    return rows.select("number", "command", "state", F.when(F.col("state") == "completed", F.col("processed")).alias("processed"))

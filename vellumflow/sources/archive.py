@@ -1,7 +1,7 @@
 """ZIP packages of a corpus.
 
-A package is one file, so its documents are held by one task; a large run is packed as several packages of bounded size first
-(``operators.package.shard``). Archives are made with fixed dates and sorted names, so equal input gives equal bytes. Packages and
+Here a package is a row, so its documents are held by one task; a large run is packed as several packages of bounded size first
+(``operators.package.shard``). ``sinks`` writes packages as files without holding them. Archives are made with fixed dates and sorted names, so equal input gives equal bytes. Packages and
 the progress of runs can be kept in a folder that all executors share, read back, and cleared before a run starts anew.
 """
 
@@ -17,16 +17,21 @@ from pyspark.sql import DataFrame, SparkSession
 from ..plans.scratch import delete_path
 
 SCHEMA = "package string, data binary, entries long"
-_DATE = (1980, 1, 1, 0, 0, 0)
+#: Date of all entries, and how hard they are deflated.
+_DATE, LEVEL = (1980, 1, 1, 0, 0, 0), 6
 
 
-def zip_bytes(entries: list[tuple[str, bytes]], level: int = 6) -> bytes:
+def zip_entry(name: str) -> zipfile.ZipInfo:
+    info = zipfile.ZipInfo(name, _DATE)
+    info.compress_type = zipfile.ZIP_DEFLATED
+    return info
+
+
+def zip_bytes(entries: list[tuple[str, bytes]], level: int = LEVEL) -> bytes:
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, compresslevel=level) as z:
         for name, data in sorted(entries):
-            info = zipfile.ZipInfo(name, _DATE)
-            info.compress_type = zipfile.ZIP_DEFLATED
-            z.writestr(info, data, compresslevel=level)
+            z.writestr(zip_entry(name), data, compresslevel=level)
     return out.getvalue()
 
 

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import bisect
+import operator
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import Row
 
 from ..functions import timeline
 from ..functions.regex import trim
+from .paged import ListingPages
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("p div tr li td th h1 h2 h3 h4 h5 h6 ul ol table section article br".split())
@@ -19,55 +22,76 @@ _GRID = re.compile(r"(CONTENTGRID_|RIGTH_|TABLEACCION_)")
 
 
 class _Node:
-    __slots__ = ("anchors", "attributes", "cells", "parent", "pieces", "tag")
+    """An element: its place among all elements and in the text, each as an interval, and the rows that it stands in or is."""
 
-    def __init__(self, tag: str, attributes: dict[str, str], parent: _Node | None):
-        self.tag, self.attributes, self.parent = tag, attributes, parent
-        self.pieces, self.cells, self.anchors = [], [], []  # of all that is below
+    __slots__ = ("attributes", "begin", "end", "last", "number", "parent", "rows", "tag", "tree")
 
-    def up(self) -> Iterator[_Node]:
-        node: _Node | None = self
-        while node is not None:
-            yield node
-            node = node.parent
+    def __init__(self, tree: _Tree, tag: str, attributes: dict[str, str], parent: _Node | None):
+        self.tree, self.tag, self.attributes, self.parent = tree, tag, attributes, parent
+        self.number = self.last = len(tree.nodes) if parent else -1
+        self.begin, self.end = len(tree.pieces), None
+        near = parent.rows if parent else (None, None, None)
+        # The nearest table row, marked row and grid container.
+        own = (tag == "tr", bool({"data-gx-row", "data-gx-evtrow"} & attributes.keys()), tag == "div" and bool(_GRID.match(attributes.get("id", ""))))
+        self.rows = tuple(self if is_row else above for is_row, above in zip(own, near, strict=True))
+
+    def close(self) -> None:
+        self.end, self.last = len(self.tree.pieces), len(self.tree.nodes) - 1
 
     def text(self) -> str:
-        return " ".join("".join(self.pieces).split())
+        return " ".join("".join(self.tree.pieces[self.begin : self.end]).split())
+
+    def below(self, nodes: list[_Node]) -> list[_Node]:
+        """Those of ``nodes``, which are in document order, that this one holds."""
+        return nodes[bisect.bisect_right(nodes, self.number, key=_number) : bisect.bisect_right(nodes, self.last, key=_number)]
+
+
+_number = operator.attrgetter("number")
 
 
 class _Tree(HTMLParser):
-    """Nodes in document order; each keeps the text below it."""
+    """Elements in document order, and the text of all of them once; what one holds are slices of both."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.root = _Node("", {}, None)
-        self.at, self.nodes, self.raw = self.root, [], 0
+        self.nodes, self.cells, self.pieces, self.raw, self.open = [], [], [], 0, {}
+        self.root = self.at = _Node(self, "", {}, None)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        node = _Node(tag, {k: v or "" for k, v in attrs}, self.at)
-        self.nodes.append(node)
-        if tag in ("td", "span", "div", "a"):
-            for up in self.at.up():
-                (up.anchors if tag == "a" else up.cells).append(node)
         if tag in _BLOCK:
             self.handle_data(" ")
-        if tag not in _VOID:
+        node = _Node(self, tag, {k: v or "" for k, v in attrs}, self.at)
+        self.nodes.append(node)
+        if tag in ("td", "span", "div"):
+            self.cells.append(node)
+        if tag in _VOID:
+            node.end = node.begin
+        else:
             self.at = node
+            self.open[tag] = self.open.get(tag, 0) + 1
             self.raw += tag in ("script", "style")
 
     def handle_endtag(self, tag: str) -> None:
-        for node in self.at.up():
-            if node.tag == tag:
-                self.at = node.parent
-                self.raw -= tag in ("script", "style")
-                break
+        if self.open.get(tag):
+            while True:
+                node, self.at = self.at, self.at.parent
+                node.close()
+                self.open[node.tag] -= 1
+                if node.tag == tag:
+                    break
+            self.raw -= tag in ("script", "style")
         if tag in _BLOCK:
             self.handle_data(" ")
 
+    def finish(self) -> None:
+        self.close()
+        while self.at is not None:
+            self.at.close()
+            self.at = self.at.parent
+
     def handle_data(self, data: str) -> None:
         if not self.raw:
-            for node in self.at.up():
-                node.pieces.append(data)
+            self.pieces.append(data)
 
 
 def _opens_record(node: _Node, route: str) -> bool:
@@ -79,17 +103,12 @@ def _opens_record(node: _Node, route: str) -> bool:
 
 def _row_of(anchor: _Node) -> _Node | None:
     """The nearest table row, else the nearest marked row, else the nearest grid container."""
-    up = list(anchor.up())[1:]
-    return (
-        next((n for n in up if n.tag == "tr"), None)
-        or next((n for n in up if {"data-gx-row", "data-gx-evtrow"} & n.attributes.keys()), None)
-        or next((n for n in up if n.tag == "div" and _GRID.match(n.attributes.get("id", ""))), None)
-    )
+    return next((row for row in anchor.parent.rows if row is not None), None)
 
 
 def _is_row(node: _Node) -> bool:
     a = node.attributes
-    return node.tag == "tr" and ({"data-gx-evtrow", "data-gx-row", "onclick"} & a.keys() or a.get("role") == "row" or any(n.tag == "tbody" for n in list(node.up())[1:2]))
+    return node.tag == "tr" and ({"data-gx-evtrow", "data-gx-row", "onclick"} & a.keys() or a.get("role") == "row" or node.parent.tag == "tbody")
 
 
 def _anchor_of_row(node: _Node, route: str) -> bool:
@@ -101,18 +120,18 @@ def read_rows(html: str | None, route: str) -> Iterator[tuple[int, str, str, lis
     """(place, href, row text, cells, found by a row) of what may be records; rows only where no anchor opens one."""
     tree = _Tree()
     tree.feed(html or "")
-    tree.close()
+    tree.finish()
 
     def out(anchors: list[_Node], fallback: bool) -> Iterator[tuple[int, str, str, list[str], bool]]:
         for place, a in enumerate(anchors):
             row = _row_of(a)
-            if row is not None and row.text():
-                yield place, a.attributes.get("href", ""), row.text(), [n.text() for n in row.cells], fallback
+            if row is not None and (text := row.text()):
+                yield place, a.attributes.get("href", ""), text, [n.text() for n in row.below(tree.cells)], fallback
 
     yield from out([n for n in tree.nodes if _opens_record(n, route)], False)
-    rows = [n for n in tree.nodes if _is_row(n)]
-    firsts = [next((a for a in r.anchors if _anchor_of_row(a, route)), None) for r in rows]
-    yield from out([a for a in firsts if a is not None], True)
+    anchors = [n for n in tree.nodes if _anchor_of_row(n, route)]
+    firsts = ([*r.below(anchors)[:1]] for r in tree.nodes if _is_row(r))
+    yield from out([a for f in firsts for a in f], True)
 
 
 def list_records(pages: DataFrame, *, page: str = "page", html: str = "html", route: str = "visualizar") -> DataFrame:
@@ -140,6 +159,19 @@ def list_records(pages: DataFrame, *, page: str = "page", html: str = "html", ro
     return firsts.join(kind, "page").where(F.col("r.fallback") == F.col("_kind")).select("page", "r.place", "r.href", "id", "r.categoria", "r.fecha", "r.prestador", "r.profesional", "r.descripcion")
 
 
+def scan_pages(spark: SparkSession, path: str, root: str, **options) -> DataFrame:
+    """The listing pages at ``path`` as scanned so far: page, file, html, error, attempts.
+
+    They are read as a stream that keeps its place and its rows below ``root``: a later call reads pages after the last one, and one
+    after a failure the pages that failed.
+    """
+    spark.dataSource.register(ListingPages)
+    pages = spark.readStream.format("listing_pages").options(**options).load(path)
+    query = pages.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(pages.schema).parquet(f"{root}/out")
+
+
 def read_details(listing: DataFrame, details: DataFrame, *, key: str = "id", html: str = "html", attachment: str = "b64", least: int = 200) -> DataFrame:
     """Listed records with their detail page where it is ready: enough text, or enough of an attachment."""
     ready = (F.length(trim(F.coalesce(html, F.lit("")))) >= least) | (F.length(trim(F.coalesce(attachment, F.lit("")))) >= least)
