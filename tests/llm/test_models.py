@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import tracemalloc
 from html.parser import HTMLParser
 
 import numpy as np
@@ -92,6 +93,44 @@ def test_extraction_keeps_all_of_the_article(main, want):
     assert extract.extract(source, []) == "\n\n".join(w.strip() for w in want)
 
 
+PROSE = "<article><h1>T</h1><p>" + "Prose here and more. " * 20 + "</p>{}<p>" + "End of it all. " * 20 + "</p></article>"
+
+
+@pytest.mark.parametrize(
+    ("part", "kept"),
+    [
+        *((x, []) for x in ("<video-player></video-player>", "<iframe-x></iframe-x>", "<object-x></object-x>", "<object data=x>", "<svg width=1>", "<canvas/>", "<svg><text>no</text></svg>", "<template><p>no</p></template>")),
+        ("<title-bar>x</title-bar>", ["x"]),
+        ("<p>with <math><mi>x</mi><mo>+</mo><annotation>x+</annotation></math> in it</p>", ["with x+ in it"]),
+        ("<p>a <label for=x>word</label> in prose</p>", ["a word in prose"]),
+        ("<form><label>Name</label><p>field</p></form>", []),
+        ("<section id=discussion><h2>Discussion</h2><p>" + "We discuss this. " * 9 + "</p></section>", ["Discussion", ("We discuss this. " * 9).strip()]),
+        ("<section class='privacy'><h3>On privacy</h3><p>" + "It matters. " * 9 + "</p></section>", ["On privacy", ("It matters. " * 9).strip()]),
+        ("<section class=comments><h2>Comments</h2><p>" + "Nice text this. " * 9 + "</p></section>", []),
+        ("<section id=discussion><h2>Discussion</h2><p>" + "Nice text this. " * 9 + "</p><form>Reply</form></section>", []),
+        ("<section class=privacy><p>" + "We use cookies here. " * 9 + "</p></section>", []),
+        ("<div class=discussion><h2>Discussion</h2><p>" + "Nice text this. " * 9 + "</p></div>", []),
+    ],
+)
+def test_extraction_of_custom_and_unclosed_elements_and_topics(part, kept):
+    want = ["T", ("Prose here and more. " * 20).strip(), *kept, ("End of it all. " * 20).strip()]
+    assert extract.extract(f"<html><body>{PROSE.format(part)}</body></html>", []).split("\n\n") == want
+    if part.startswith("<title-bar"):
+        assert extract.extract(part + PROSE.format(""), []).startswith("T\n\nProse")
+
+
+def test_extraction_of_deep_pages():
+    tracemalloc.start()
+    got = extract.extract("<div>" * 60_000 + PROSE.format("") + "</section></x>" * 20_000, [])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.startswith("T\n\nProse") and peak < 200 << 20
+    page = extract.Page("<div class='a>b'><main><p class=c9>x</p></main></div><div class=a><b></b></div>")
+    paths = [page.path_of(e) for e in range(1, len(page.tag))]
+    assert paths == [">div.a>b", ">div.a>b>main", ">div.a>b>main>p.c#", ">div.a"]
+    assert page.numbers_of([*paths, ">div.z", ""]) == {p: page.path[e + 1] for e, p in enumerate(paths)}
+
+
 def test_noise_by_whole_names():
     noise = "sidebar site-header page-footer cookie-banner comment-list comments-area related-posts socialShare ad-300x250 adBox main_nav entry-footer user-comments".split()
     clean = "entry-header article-header legal-analysis has-sidebar article-body searching adapter postTitle story notice-of-appeal-history".split()
