@@ -5,7 +5,8 @@ tokens are substituted. Hashes of the test items and of the documents are joined
 item are laid on each other and compared token by token.
 
 An overlap counts where a window of ``WINDOW`` tokens (or the whole item if that is shorter) agrees in ``IDENTITY`` or more
-of its places. Tokens are lower-case runs of letters and digits. A document is contaminated if any overlap counts.
+of its places; an item of up to four tokens has to be there as it is. Tokens are lower-case runs of letters, marks and digits of
+any script, and single characters of scripts that set no spaces. A document is contaminated if any overlap counts.
 
 The documents are not shuffled: a Bloom filter over the test hashes, sized by their number within bounds, lets through the
 places that may match, and only those, with a window of tokens around them, go into the join that decides. Every window that
@@ -13,8 +14,9 @@ counts has a hit inside it, so neither the filter nor the size of a region loses
 
 Defined cases
 - null or empty text: not contaminated. Null document identifiers are kept and reported as null.
-- items with fewer than ``LEAST`` tokens, or null, match nothing; items shorter than a window have masks of their own.
-- rows that repeat an identifier are judged by their own texts. Rows that repeat an item identifier are separate items.
+- items without tokens, or null, match nothing; items shorter than a window have masks of their own.
+- rows that repeat an identifier are judged by their own texts. Rows that repeat an item identifier are separate items;
+  items of equal tokens are compared once.
 - extra columns are ignored. An empty benchmark marks nothing; an empty table gives no rows.
 """
 
@@ -27,7 +29,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast, TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.scratch import materialize
@@ -38,7 +40,10 @@ from .words import NOT_ALNUM, column_blocks, hash_words, mix
 #: Offsets that a mask looks at. Of a window with as many substitutions as ``IDENTITY`` allows, wherever they are, one mask at
 #: some place sees none.
 MASKS = ((0, 1, 2, 4, 5, 7, 8), (0, 1, 3, 4, 6, 9, 10), (0, 2, 3, 5, 8, 9, 11), (0, 1, 2, 3, 4, 5, 6), (0, 1, 2, 6, 8, 10, 11))
-WINDOW, IDENTITY, LEAST = 13, 0.8, 5
+WINDOW, IDENTITY = 13, 0.8
+#: What is neither ASCII nor part of a word, and characters that are words by themselves.
+SEPARATORS = r"[^\x00-\x7F\p{L}\p{M}\p{N}]+"
+SINGLES = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}]\p{M}*"
 #: The filter has 2**25 bits (4 MB) for up to two million test hashes, and more for more, up to 2**28 (32 MB); three bits stand for a hash.
 FILTER_BITS = (25, 28)
 
@@ -167,9 +172,16 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in batch.to_pylist():
             span = overlap(np.frombuffer(r["tokens"], np.uint64), np.frombuffer(r["item"], np.uint64), r["shift"])
             if span:
-                rows.append((r["doc_id"], r["sum"], r["item_id"], r["start"] + span[0], r["start"] + span[1], span[2]))
+                rows.append((r["doc_id"], r["sum"], r["key"], r["start"] + span[0], r["start"] + span[1], span[2]))
         columns = list(zip(*rows, strict=True)) if rows else [()] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "sum", "item_id", "first_word", "end_word", "equal_words"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "sum", "key", "first_word", "end_word", "equal_words"])
+
+
+def spaced(text: Column) -> Column:
+    """``text`` in lower case, as bytes in which ASCII characters other than letters and digits stand between all tokens."""
+    low = F.lower(text)
+    cut = F.regexp_replace(F.regexp_replace(low, SEPARATORS, " "), SINGLES, " $0 ")
+    return F.when(low.rlike(r"[^\x00-\x7F]"), cut).otherwise(low).cast("binary")
 
 
 def _row_sum():
@@ -179,12 +191,15 @@ def _row_sum():
 def find_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, sum (of the document's text), item_id, first_word, end_word, equal_words: one row per counted overlap."""
     spark = docs.sparkSession
-    items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.lower("text").cast("binary").alias("text"))
+    items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), spaced(F.col("text")).alias("text"))
     items = materialize(items.withColumn("key", F.monotonically_increasing_id()), "seeds-items")
     tokens = materialize(items.select("key", "item_id", "text").mapInArrow(_item_tokens, "key long, item_id long, item binary"), "seeds-tokens")
-    sizes = tokens.select((F.octet_length("item") / 8).cast("int").alias("n")).where(F.col("n") >= LEAST)
-    short = sorted(r["n"] for r in sizes.where(F.col("n") < WINDOW).distinct().collect())  # at most WINDOW - LEAST
-    tests = materialize(items.select("key", "text").mapInArrow(_items(short), "seed long, key long, place long"), "seeds-tests")
+    # Of items with equal tokens one is compared, and all are named.
+    named = tokens.where("octet_length(item) > 0").groupBy("item").agg(F.min("key").alias("first"), F.collect_list("item_id").alias("item_ids"))
+    named = materialize(named.withColumn("n", (F.octet_length("item") / 8).cast("int")), "seeds-named")
+    short = sorted(r["n"] for r in named.select("n").where(F.col("n") < WINDOW).distinct().collect())  # fewer than WINDOW
+    firsts = items.join(named.select(F.col("first").alias("key")), "key", "left_semi")
+    tests = materialize(firsts.select("key", "text").mapInArrow(_items(short), "seed long, key long, place long"), "seeds-tests")
 
     bits = min(max(FILTER_BITS[0], (16 * tests.count()).bit_length()), FILTER_BITS[1])
     places = F.explode(F.array(*(F.shiftrightunsigned("seed", s).bitwiseAND((1 << bits) - 1) for s in _filter_shifts(bits)))).alias("bit")
@@ -194,13 +209,15 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     filter_[table["at"].to_numpy()] = table["bits"].to_numpy().astype(np.uint32)
     sent = spark.sparkContext.broadcast(filter_.view(np.uint8))
 
-    texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), _row_sum().alias("sum"), F.lower("text").cast("binary").alias("text"))
+    texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), _row_sum().alias("sum"), spaced(F.col("text")).alias("text"))
     regions = texts.mapInArrow(_regions(short, sent), "region long, doc_id long, sum long, start long, tokens binary, places array<long>, seeds array<long>")
     regions = materialize(regions, "seeds-regions")
     hits = regions.select("region", F.explode(F.arrays_zip("places", "seeds")).alias("h")).select("region", "h.seeds", "h.places")
     laid = hits.join(tests, hits["seeds"] == tests["seed"]).select("region", "key", (F.col("places") - F.col("place")).alias("shift")).distinct()
-    pairs = laid.join(tokens, "key").join(regions.select("region", "doc_id", "sum", "start", "tokens"), "region")
-    return pairs.select("doc_id", "sum", "start", "tokens", "shift", "item_id", "item").mapInArrow(_verify, "doc_id long, sum long, item_id long, first_word long, end_word long, equal_words long")
+    pairs = laid.join(named.select(F.col("first").alias("key"), "item"), "key").join(regions.select("region", "doc_id", "sum", "start", "tokens"), "region")
+    found = pairs.select("doc_id", "sum", "start", "tokens", "shift", "key", "item").mapInArrow(_verify, "doc_id long, sum long, key long, first_word long, end_word long, equal_words long")
+    members = named.select(F.col("first").alias("key"), F.explode("item_ids").alias("item_id"))
+    return found.join(members, "key").select("doc_id", "sum", "item_id", "first_word", "end_word", "equal_words")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
