@@ -8,6 +8,7 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from vellumflow.llm import op3_pack_tokens as packing
@@ -426,9 +427,10 @@ def test_decontamination_of_long_items(spark):
     assert (got[1].first_word, got[1].end_word) == (99_998, 100_014) and (got[3].first_word, got[3].end_word) == (0, 20_000)
 
 
-def brute_contaminated(texts, items, window=13, identity=0.8, least=5):
-    """Texts of which any stretch agrees with any stretch of an item, at every alignment, by sets of places."""
-    words = lambda t: re.findall(r"[a-z0-9]+|[^\x00-\x7f]+", "".join(c.lower() if c.isascii() else c for c in t))
+def brute_contaminated(texts, items, window=13, identity=0.8, least=1):
+    """Texts of which any stretch agrees with any stretch of an item, at every alignment, by sets of places; with a tokenizer of its own."""
+    alone = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}"
+    words = lambda t: regex.findall(rf"[{alone}]\p{{M}}*|(?:(?![{alone}])[\p{{L}}\p{{M}}\p{{N}}])+", t.lower())
     found = set()
     tokens = [w for t in items if (w := words(t or "")) and len(w) >= least]
     for d, t in texts:
@@ -469,13 +471,35 @@ def test_decontamination_at_all_alignments(spark):
     assert {r.doc_id for r in decontaminate.drop_contaminated(docs, bench).collect()} == {d for d, _ in texts} - want
 
 
+def test_decontamination_of_any_script(spark):
+    """Dashes, quotes and spaces of any kind, scripts without spaces, and items of few tokens, which have to be there as they are."""
+    dash = "the capital of that old country is a city by the river and the sea they say"
+    han, hindi, thai = "北京是中华人民共和国的首都和政治文化中心", "भारत की राजधानी नई दिल्ली है और यह यमुना नदी के किनारे", "กรุงเทพมหานครเป็นเมืองหลวงของประเทศไทย"
+    items = [(1, dash), (2, han), (3, hindi), (4, thai), (5, "one two three four"), (6, "Zwölf"), (7, "—…"), (8, dash.upper())]
+    texts = [
+        (1, "x " + dash.replace("capital of", "capital\u2014of").replace(" the ", "\u00a0the\u2003").replace("city", "\u201ccity\u201d") + " y"),
+        (2, f"前文{han}。後文"),
+        (3, f"यह {hindi}।"),
+        (4, thai[:3] + thai),
+        (5, "zero one two, three: four five"),
+        (6, "zwölf."),
+        (7, "one two three"),
+        (8, "zwölfte — …"),
+        (9, han[:8]),
+        (10, "one two thre four"),
+    ]
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: r.item_ids for r in decontaminate.contamination(docs, bench).where("contaminated").collect()}
+    assert got == {1: [1, 8], 2: [2], 3: [3], 4: [4], 5: [5], 6: [6]} and set(got) == brute_contaminated(texts, [t for _, t in items])
+
+
 def test_pipeline_of_odd_tables(spark):
     """No rows; and repeated rows, a very long text, and columns with names that stages use."""
     import corpus_pipeline as p
 
     some = spark.read.parquet(f"{D}/documents.parquet").where("doc_id < 60")
     long = some.orderBy("doc_id").limit(1).select((F.col("doc_id") + 9000).alias("doc_id"), F.repeat(F.concat("text", F.lit("\n")), 300).alias("text"), "lang", "source", "n_chars")
-    odd = some.unionByName(some.limit(5)).unionByName(long).withColumns({"node": F.lit(1), "key": F.lit("k"), "size": F.lit(2), "doc": F.lit(3), "copies": F.lit(4), "sum": F.lit(5), "score": F.lit("s"), "_word": F.lit(6)})
+    odd = some.unionByName(some.limit(5)).unionByName(long).withColumns({"node": F.lit(1), "key": F.lit("k"), "size": F.lit(2), "doc": F.lit(3), "copies": F.lit(4), "sum": F.lit(5), "score": F.lit("s"), "_word": F.lit(6), "_again": F.lit(7)})
     for docs in (odd.limit(0), odd):
         kinds = docs.dtypes
         for name, stage in p.STAGES[:-1]:

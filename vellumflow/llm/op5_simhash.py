@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 
 from ..plans.scratch import materialize, release
 from ..sources.tables import read_table
-from .bits import FILTER_BITS, bitmap, rows_without
+from .alike import as_struct
+from .bits import FILTER_BITS, _free, bitmap, rows_without
 from .components import connected_components
 from .words import column_blocks, hash_words, mix
 
@@ -591,17 +592,23 @@ def similar_documents(docs: DataFrame, *, words: int = 5, similarity: float = 0.
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """Documents without the near-duplicates of others; of each component the row with the smallest doc_id stays.
 
-    Rows that repeat the identifier that stays count as one document: one of them stays. Rows without identifier stay.
+    Rows that repeat the identifier that stays count as one document: the one whose text has the smallest hash stays, then the one
+    whose other columns, as JSON, have; of rows equal in all columns any. Rows without identifier stay.
     """
     found = similar_documents(docs.where("doc_id is not null"), **options)
     rows = found.groupBy("doc_id").agg(F.count_if(F.col("doc_id") == F.col("component_id")).alias("rows"))
     rows = materialize(rows.where("rows <> 1"), "similar-dropped")
-    stay = rows_without(docs, [F.col("doc_id").cast("long")], rows.where("rows = 0").select("doc_id"))
-    twice = rows.where("rows > 1")
+    key = F.col("doc_id").cast("long")
+    stay = rows_without(docs, [key], rows.where("rows = 0").select("doc_id"))
+    twice = rows.where("rows > 1").select("doc_id")
     if twice.isEmpty():
         return stay
-    again = stay.withColumn("_again", F.col("doc_id").cast("long")).join(twice.select(F.col("doc_id").alias("_again")), "_again", "left_semi").drop("_again")
-    return rows_without(stay, [F.col("doc_id").cast("long")], twice.select("doc_id")).unionByName(again.dropDuplicates(["doc_id"]))
+    start = _free(docs)
+    own, place = [F.col(f"`{c}`") for c in docs.columns], F.struct(F.xxhash64("text"), F.sha2("text", 256), F.to_json(as_struct(docs.columns, "row")))
+    repeated = stay.withColumn(f"{start}key", key).join(twice.withColumnRenamed("doc_id", f"{start}key"), f"{start}key", "left_semi")
+    repeated = repeated.select(f"{start}key", place.alias(f"{start}place"), *own)
+    one = repeated.groupBy(f"{start}key").agg(F.min_by(F.struct(*own), f"{start}place").alias(f"{start}row"))
+    return rows_without(stay, [key], twice).unionByName(one.select(f"{start}row.*"))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
