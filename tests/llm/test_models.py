@@ -282,6 +282,48 @@ def test_kneser_ney_against_the_formula(spark):
                 assert math.isclose(np.exp(-cost[i][k]), want, rel_tol=1e-4), (word, i, name)
 
 
+def test_kneser_ney_is_estimated_before_it_is_pruned(spark):
+    """With few n-grams kept, those have the chances that all counts give them, the discount is that of all counts, and sums are one."""
+    rng = random.Random(2)
+    counts = {}
+    for w in ["".join(rng.choices("abcde", weights=[9, 5, 3, 2, 1], k=rng.randint(1, 6))) for _ in range(150)]:
+        m = language.START + w + language.END
+        for k in range(1, 4):
+            for i in range(len(m) - k + 1):
+                counts[m[i : i + k]] = counts.get(m[i : i + k], 0) + 1
+    rows = spark.createDataFrame([("a", g, n) for g, n in counts.items()], "lang string, gram string, n long")
+    grams = 40
+    whole, pruned = language.train(rows, 3), language.train(rows, 3, grams=grams)
+    size = [sum(n for g, n in counts.items() if len(g) == k) for k in (1, 2, 3)]
+    strong = {g for g, n in counts.items() if len(g) == 1 or n * grams >= size[len(g) - 1]}
+    kept = {g[:k] for g in strong for k in range(1, len(g) + 1)}
+    assert [len(h) for h in pruned.hashes] == [len({g for g in kept if len(g) == k}) for k in (1, 2, 3)] and len(kept) < len(counts) / 2
+    singles = sum(n == 1 for g, n in counts.items() if len(g) == 3)
+    assert singles > 10 and not any(counts[g] == 1 for g in kept if len(g) == 3)  # a cut before would leave none to estimate by
+    for prefix in ("", "a", "ab", "ca", "eb"):
+        marked = language.START + prefix
+        for symbol in "abcde":
+            cost = pruned.symbols([prefix + symbol])[0][len(prefix) + 1]
+            if marked[-2:] + symbol in kept and len(marked) > 1:
+                context, full = marked[-2:], brute_kneser_ney(counts, 3, marked, symbol, pruned.base)
+                below = brute_kneser_ney(counts, 3, marked[-1:], symbol, pruned.base)
+                lost = sum(brute_own(counts, context + s) for s in "abcde" + language.END if context + s in counts and context + s not in kept)
+                if context[1:] + symbol in kept and all(context[1:] + s in kept or context[1:] + s not in counts for s in "abcde" + language.END):
+                    assert math.isclose(np.exp(-cost[0]), full + lost * below, rel_tol=1e-4)
+        chances = [np.exp(-pruned.symbols([prefix + c])[0][len(prefix) + 1]) for c in "abcdeé"]
+        end = np.exp(-pruned.symbols([prefix])[0][len(prefix) + 1]) if prefix else np.exp(-pruned.symbols([""])[0][1])
+        assert np.allclose(sum(chances) + end, 1, atol=1e-5)
+    assert whole.base == pruned.base and np.array_equal(whole.empty, pruned.empty)
+
+
+def brute_own(counts, gram):
+    """What the top order itself gives a gram of three symbols."""
+    sizes = [n for g, n in counts.items() if len(g) == 3]
+    ones, twos = sizes.count(1), sizes.count(2)
+    d = min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones + twos else 0.5
+    return max(counts[gram] - d, 0) / sum(n for g, n in counts.items() if len(g) == 3 and g[:2] == gram[:2])
+
+
 def test_language_id(spark):
     r = language.op9_language_id(spark, D).join(spark.read.parquet(f"{D}/documents.parquet").select("doc_id", "lang"), "doc_id")
     held = r.where("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double")), F.count(F.lit(1)), F.count_if("rejected")).first()

@@ -6,11 +6,14 @@ column of probabilities and one of back-off weights per language. A text goes to
 letter. Words are scored once per task and remembered, so long texts cost little more than splitting them.
 
 Learning uses labelled rows only: about ``SAMPLE`` per language, drawn by a hash of the identifier over all rows (a documented
-bound for fitting a classifier). N-grams are counted, discounted and turned into probabilities in Spark; what reaches the driver
-is at most ``GRAMS`` numbers per language and order, which it only sorts. A fifth of them, kept out of the counts, calibrates the rejection: a text is
+bound for fitting a classifier). N-grams are counted, discounted and turned into probabilities in Spark, on all counts of the sample.
+Only then is the table pruned, to n-grams that make up 1/``GRAMS`` of their order's occurrences and their beginnings: what a context
+gave to pruned ones goes to its back-off weight, so all chances after it still add up to one. What reaches the driver is at most some
+``GRAMS`` numbers per language and order, which it only sorts. A fifth of them, kept out of the counts, calibrates the rejection: a text is
 rejected whose cross-entropy is above what clean text of that length reaches.
 
 Defined cases
+- combining marks stand between words, so words of scripts that write vowels as marks are learned and read in pieces.
 - null text, or text without a letter: language ``und``, score 0, rejected.
 - no labelled rows at all: every text is ``und``. Languages with fewer than two labelled rows are learned without calibration.
 - repeated rows are repeated; ties in cross-entropy go to the language first in code point order.
@@ -144,9 +147,28 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("size"), pa.array(out.view(np.int64)), batch.column("prob"), batch.column("back")], ["lang", "size", "hash", "prob", "back"])
 
 
-def train(counts: DataFrame, order: int = ORDER) -> Model:
-    """Model from (lang, gram, n) of all orders."""
+def _pruned(both: DataFrame, counts: DataFrame, grams: int) -> DataFrame:
+    """Estimates of n-grams with at least 1/``grams`` of their order's occurrences, of their beginnings and of single symbols.
+
+    Interpolated chances after a context are its n-grams' own and its weight times the lower order's, which add up to one, so
+    what pruned n-grams had is added to the weight. A context without n-grams ends with weight 1, which is that of one never seen.
+    """
+    both = materialize(both, "lang-estimates")
+    sized = counts.select("lang", "gram", "n", F.length("gram").alias("size"))
+    sums = sized.groupBy("lang", "size").agg(F.sum("n").alias("all"))
+    strong = sized.join(sums, ["lang", "size"]).where((F.col("size") == 1) | (F.col("n") * grams >= F.col("all")))
+    kept = strong.select("lang", F.explode(F.transform(F.sequence(F.lit(1), "size"), lambda k: F.substr("gram", F.lit(1), k))).alias("gram")).distinct()
+    flagged = materialize(both.join(kept.withColumn("kept", F.lit(True)), ["lang", "gram"], "left"), "lang-flagged")
+    lost = flagged.where("kept is null and prob > 0").groupBy("lang", F.expr("substring(gram, 1, size - 1)").alias("gram")).agg(F.sum("prob").alias("lost"))
+    left = flagged.where("kept").join(lost, ["lang", "gram"], "left")
+    return left.select("lang", "size", "gram", "prob", (F.col("back") + F.coalesce("lost", F.lit(0.0))).alias("back"))
+
+
+def train(counts: DataFrame, order: int = ORDER, *, grams: int | None = None) -> Model:
+    """Model from (lang, gram, n) of all orders, pruned after all has been estimated where ``grams`` is given."""
     both, empty, symbols = _estimates(counts, order)
+    if grams is not None:
+        both = _pruned(both, counts, grams)
     table = both.mapInArrow(_hashed, "lang string, size int, hash long, prob double, back double").toArrow()
     left = {r["lang"]: r["empty"] for r in empty.collect()}  # one row per language
     languages = sorted(left)
@@ -264,7 +286,7 @@ def held_out() -> Column:
 def learn(labelled: DataFrame, *, order: int = ORDER, sample: int = SAMPLE, grams: int = GRAMS) -> Model:
     """Model from rows (doc_id, text, lang); rows of null text or language are left out.
 
-    Every language keeps the n-grams that make up at least 1/``grams`` of its order, so at most ``grams`` of each.
+    Every language's finished table keeps the n-grams that make up at least 1/``grams`` of their order's occurrences.
     """
     rows = labelled.where("text is not null and lang is not null").select("doc_id", "text", "lang")
     share = rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(sample)) / F.count(F.lit(1))).alias("share"))
@@ -273,9 +295,7 @@ def learn(labelled: DataFrame, *, order: int = ORDER, sample: int = SAMPLE, gram
     picked = materialize(picked.select("lang", "text", (F.col("draw") < F.col("share") * 0.2).alias("aside")), "lang-sample")
     counts = picked.where("not aside").select("lang", "text").mapInArrow(_count_grams(order), "lang string, gram string, n long")
     counts = materialize(counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "lang-grams")
-    sums = counts.groupBy("lang", F.length("gram").alias("size")).agg(F.sum("n").alias("all"))
-    kept = counts.withColumn("size", F.length("gram")).join(sums, ["lang", "size"]).where(F.col("n") * grams >= F.col("all"))
-    model = train(materialize(kept.select("lang", "gram", "n"), "lang-kept"), order)
+    model = train(counts, order, grams=grams)
     spark = labelled.sparkSession
     k = len(model.languages)
     model.mean, model.spread = np.full(k, 2.0), np.full(k, 3.0)
