@@ -4,6 +4,7 @@ import base64
 import re
 import string
 import unicodedata
+import zlib
 
 import pytest
 from hypothesis import given, settings
@@ -215,12 +216,84 @@ def test_pdf_cover(pages):
     data = _pdf(pages)
     new, reason = pdf.cover_header(data)
     assert reason is None and new.startswith(data) and new.count(b"0 710 595 70 re f") == pages
-    objects = pdf._objects(new)
-    covered = [b for _, b in objects.values() if b"/Type /Page " in b and b"/VfLabel" in b and b"/F1 99 0 R" in b]
-    assert len(covered) == pages
+    assert len(covered_pages(new)) == pages
     assert pdf.cover_header(new)[1] is None
 
 
+def covered_pages(data):
+    """Bodies of covered pages, by a chain that holds."""
+    file = pdf._File(data)
+    assert not file.broken
+    bodies = [file.get(n)[1] for n, p in file.places.items() if p[0] != "free"]
+    return [b for b in bodies if b"/Type /Page " in b and b"/VfLabel" in b and b"/F1 99 0 R" in b]
+
+
+def _pdf_of_streams(objects, packed, *, predictor=False, before=None, base=b"%PDF-1.5\n"):
+    """A file, or an update to one, whose cross-references are a stream; ``packed`` objects lie in an object stream."""
+    out, rows = bytearray(base), {0: (0, 0, 65535)}
+    size = max([*objects, *packed]) + 1
+    if packed:
+        bodies, heads, at = b"", b"", 0
+        for k, (n, body) in enumerate(packed.items()):
+            heads, bodies, rows[n] = heads + b"%d %d " % (n, len(bodies)), bodies + body + b" ", (2, size, k)
+        raw = zlib.compress(heads + bodies)
+        rows[size] = (1, len(out), 0)
+        out += b"%d 0 obj\n<< /Type /ObjStm /N %d /First %d /Filter /FlateDecode /Length %d >>\nstream\n" % (size, len(packed), len(heads), len(raw)) + raw + b"\nendstream\nendobj\n"
+        size += 1
+    for n, body in objects.items():
+        rows[n] = (1, len(out), 0)
+        out += b"%d 0 obj\n" % n + body + b"\nendobj\n"
+    at = len(out)
+    rows[size] = (1, at, 0)
+    lines = [b"%c" % k + a.to_bytes(4, "big") + b.to_bytes(2, "big") for _, (k, a, b) in sorted(rows.items())]
+    if predictor:  # each line as its difference from the one above
+        lines = [b"\2" + bytes((x - y) & 255 for x, y in zip(line, above, strict=True)) for line, above in zip(lines, [bytes(7), *lines], strict=False)]
+    raw = zlib.compress(b"".join(lines))
+    parms = b" /DecodeParms << /Predictor 12 /Columns 7 >>" if predictor else b""
+    prev = b" /Prev %d" % before if before is not None else b""
+    index = b" ".join(b"%d 1" % n for n in sorted(rows))
+    out += b"%d 0 obj\n<< /Type /XRef /Size %d /W [1 4 2] /Index [%b] /Root 1 0 R /Filter /FlateDecode%b%b /Length %d >>\nstream\n" % (size, size + 1, index, parms, prev, len(raw)) + raw + b"\nendstream\nendobj\n"
+    return bytes(out + b"startxref\n%d\n%%%%EOF\n" % at)
+
+
+DECOY = b"BT (x) Tj ET\n3 0 obj\n<< /Type /Font >>\nendobj\ntrailer\n<< /Root 3 0 R /Encrypt 3 0 R >>\n(endobj) startxref"
+PAGE = b"<< /Type /Page /Parent 2 0 R /Contents 4 0 R /MediaBox [0 0 300 400] /Resources << /Font << /F1 99 0 R >> >> /Title (a >> \\) endobj ] b) >>"
+TREE = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /Count 1 /Kids [3 0 R] >>", 3: PAGE}
+CONTENT = {4: b"<< /Length %d >>\nstream\n" % len(DECOY) + DECOY + b"\nendstream"}
+
+
+@pytest.mark.parametrize("predictor", [False, True])
+@pytest.mark.parametrize("packed", [False, True])
+def test_pdf_with_streams_of_references(packed, predictor):
+    data = _pdf_of_streams(CONTENT if packed else TREE | CONTENT, TREE if packed else {}, predictor=predictor)
+    new, reason = pdf.cover_header(data)
+    assert reason is None and new.startswith(data) and b"\nxref" not in new[len(data) :] and b"/Type /XRef" in new[len(data) :] and b"/Prev" in new[len(data) :]
+    (page,) = covered_pages(new)
+    assert b"/MediaBox [0 0 300 400]" in page and b" 4 0 R " in page and b"/Font << /F1 99 0 R /VfLabel" in b" ".join(page.split())
+    again, reason = pdf.cover_header(new)
+    assert reason is None and len(covered_pages(again)) == 1
+    # An update to the file wins over what it replaces, wherever the older object is found.
+    moved = _pdf_of_streams({3: PAGE.replace(b"300 400", b"500 600")}, {}, before=int(re.findall(rb"startxref\s+(\d+)", data)[-1]), base=data)
+    (page,) = covered_pages(pdf.cover_header(moved)[0])
+    assert b"[0 0 500 600]" in page
+
+
+def test_pdf_whose_stream_holds_the_text_of_objects():
+    for pages in (1, 2):
+        plain = _pdf(pages)
+        data = plain.replace(b"BT (secreto 0) Tj ET", b"3 0 obj <<>> endobj ")  # as long as before
+        assert len(data) == len(plain) and data != plain
+        new, reason = pdf.cover_header(data)
+        assert reason is None and len(covered_pages(new)) == pages
+        for lost in (data.replace(b"xref\n0", b"xrex\n0"), re.sub(rb"startxref\n\d+", b"startxref\n0", data), data.replace(b"%PDF-1.4\n", b"%PDF-1.4\n%moved\n")):
+            new, reason = pdf.cover_header(lost)  # read object by object, and mended
+            assert reason is None and new.startswith(lost) and len(covered_pages(new)) == pages
+    packed = _pdf_of_streams(CONTENT, TREE)
+    new, reason = pdf.cover_header(re.sub(rb"startxref\n\d+", b"startxref\n7", packed))
+    assert reason is None and len(covered_pages(new)) == 1
+    assert pdf.cover_header(re.sub(rb"startxref\n\d+", b"", data))[1]
+
+
 def test_pdf_refusals(spark):
     assert pdf.cover_header(b"hola")[1] and pdf.cover_header(b"%PDF-1.4 x")[1]
     assert "cifrado" in pdf.cover_header(_pdf(1).replace(b"/Root 1 0 R", b"/Root 1 0 R /Encrypt 9 0 R"))[1]
