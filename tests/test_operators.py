@@ -51,6 +51,24 @@ def test_name_scopes_and_seeds(spark):
     assert run(seed_names=("Sosa, Luis",), names_scope="cumulative")[1] == "<p>Ana Gómez y [PACIENTE]</p>"
 
 
+def test_batches_with_a_dictionary_are_one_run(spark, tmp_path):
+    from vellumflow.operators.dictionary import Dictionary
+
+    rows = [(1, "b@e.com a@e.com 099 123 456"), (2, "Paciente: Ana Gómez; a@e.com"), (3, None), (4, "c@e.com B@e.com 2487 1234 ana gomez"), (5, "Paciente: Luis Sosa; GOMEZ ANA 099123456"), (6, "d@e.com Luis Sosa a@e.com"), (7, "nobody")]
+    docs = spark.createDataFrame(rows, "id long, t string")
+    options = {"order": "id", "text": "t", "markup": False, "names_scope": "cumulative"}
+    whole = A.anonymize(docs, **options)
+    want = {r.id: r.t for r in whole.docs.collect()}
+    kept, got = Dictionary(str(tmp_path)), {}
+    for batch, ids in ((0, (1, 2)), (1, (3, 4, 5)), (1, (3, 4, 5)), (2, (6,)), (3, (7,)), (4, ())):
+        part = A.anonymize(docs.where(F.col("id").isin(*ids)), **options, dictionary=kept, batch=batch)
+        got |= {r.id: r.t for r in part.docs.collect()}
+    assert got == want and want[4] == "[EMAIL_3] [EMAIL_1] [TEL_2] [PACIENTE]" and want[6] == "[EMAIL_4] [PACIENTE] [EMAIL_2]"
+    for one, all_ in ((part.emails, whole.emails), (part.phones, whole.phones)):
+        assert sorted(map(tuple, one.select("key", "n").collect())) == sorted(map(tuple, all_.select("key", "n").collect()))
+    assert sorted((r.name, r.n) for r in part.names.collect()) == [("ana gomez", 1), ("luis sosa", 2)]
+
+
 def test_long_text_with_a_name(spark):
     """Twenty thousand words: the work grows with the text, not with its square."""
     docs = spark.createDataFrame([(1, "Paciente: Ana Gómez; " + "palabra " * 20_000 + "ana gomez 099 123 456"), (2, None), (3, "")], "id long, t string")

@@ -23,6 +23,7 @@ from ..functions.regex import bind, matches, rewrite
 from ..plans.marks import bit_table, bits_for, free_prefix, mark
 from ..plans.ranking import number_rows
 from ..plans.scratch import materialize
+from .dictionary import Dictionary
 
 EMAIL_STUB = "[EMAIL_0]"
 PREFIXES = {"email": "EMAIL", "tel": "TEL"}
@@ -118,6 +119,16 @@ def find_names(docs: DataFrame, order: str, text: str, *, seeds: tuple[str, ...]
     return number_rows(firsts, F.col("at"), tag="names").select("name", F.col("at.first").alias("first"), "n")
 
 
+def _names_over_batches(found: DataFrame, dictionary: Dictionary, batch: int) -> DataFrame:
+    """(name, first, n) of this batch and earlier ones; ``first`` is null where a name comes before the batch."""
+    places = found.select(F.col("name").alias("key"), F.col("n").alias("at"))
+    numbered = dictionary.extend("name", places, batch).withColumnRenamed("key", "name")
+    old = dictionary.known(found.sparkSession, "name", batch).select(F.col("key").alias("name"), F.lit(True).alias("_old"))
+    own = found.select("name", "first")
+    joined = numbered.join(own, "name", "left").join(old, "name", "left")
+    return joined.select("name", F.when(F.col("_old").isNull(), F.col("first")).alias("first"), "n")
+
+
 def names_by_document(parts: DataFrame, order: str, texts: str, names: DataFrame, scope: str) -> DataFrame:
     """(order, n, name) of the names that may occur in a document with an array of texts.
 
@@ -144,12 +155,17 @@ def anonymize(
     seed_names: tuple[str, ...] = (),
     names_scope: str = "global",
     strict_labels: bool = False,
+    dictionary: Dictionary | None = None,
+    batch: int = 0,
 ) -> Anonymized:
     """Rewrite ``text``: header identifiers, e-mail addresses, national identifiers, phones, names, in this order.
 
     ``order`` is a unique key that gives the order of documents. With ``markup`` only text outside tags and raw zones is
     changed. Null text stays null.
 
+    With a ``dictionary`` documents are one ``batch`` of many: keys and names of earlier batches keep their numbers and new ones
+    come after them, so that batches in order get the tokens of one run; names of earlier batches are replaced in this one.
+
     Texts are read three times (identifiers, names, rewriting) and joined once, with what each document has to have replaced.
     """
     spark, at = docs.sparkSession, "_order"
@@ -162,13 +178,15 @@ def anonymize(
     # What is to be replaced: a row per document, kind and key.
     entries = [present.select(at, F.lit("").alias("kind"), F.lit("").alias("key"), F.lit(0).cast("long").alias("n")).limit(0)]
     for k in PREFIXES:
-        if held[k]:
+        if held[k] or dictionary is not None:
             places = key_places(found, at, k)
-            tables[k] = materialize(first_seen(places), f"tokens-{k}")
+            tables[k] = materialize(first_seen(places), f"tokens-{k}") if dictionary is None else dictionary.extend(k, places, batch)
             entries.append(places.select(at, "key").distinct().join(tables[k], "key").select(at, F.lit(k).alias("kind"), "key", "n"))
     known = spark.createDataFrame([], "name string, first string, n long")
     if names:
         known = materialize(find_names(docs.where(F.col(text).isNotNull()).select(*narrow), at, "_text", seeds=seed_names, strict=strict_labels), "names")
+        if dictionary is not None:
+            known = materialize(_names_over_batches(known, dictionary, batch), "names-known")
         if not known.isEmpty():
             parts = present.select(at, text_parts(F.col("_text"), markup).alias("_parts"))
             entries.append(names_by_document(parts, at, "_parts", known, names_scope).select(at, F.lit("name").alias("kind"), F.col("name").alias("key"), "n"))

@@ -20,7 +20,8 @@ from .operators import anonymize as A
 from .operators import corpus as C
 from .operators import metadata as M
 from .operators import package as K
-from .plans.scratch import scratch_path
+from .operators.dictionary import Dictionary
+from .plans.scratch import materialize, scratch_path
 from .sources.archive import read_packages, zip_packages
 from .sources.listing import list_records, read_details, scan_pages
 from .sources.sinks import read_archives, write_files, write_packages
@@ -466,14 +467,30 @@ def html_zone_counts(spark, d):
     return rows.groupBy(H.zone(F.col("s")).alias("zone")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("s")).cast("long").alias("chars"))
 
 
-@query(f"""WITH {DOCS}, {_sql_first_seen('docs', _email_keys('text'), 'emails')}, lefts AS (SELECT id, {_sql_cedula(STUBBED)} AS text FROM docs), {_sql_first_seen('lefts', PHONE_KEYS, 'tels')},
+TEXT_SQL = f"""WITH {DOCS}, {_sql_first_seen('docs', _email_keys('text'), 'emails')}, lefts AS (SELECT id, {_sql_cedula(STUBBED)} AS text FROM docs), {_sql_first_seen('lefts', PHONE_KEYS, 'tels')},
 step AS (SELECT id, {_sql_tokens('text', EMAIL, LOWER, 'emails_map', 'EMAIL')} AS text FROM docs, emails_map), step2 AS (SELECT id, {_sql_cedula('text')} AS text FROM step)
-SELECT id AS doc_id, sha256({_sql_tokens('text', PHONE, DIGITS, 'tels_map', 'TEL')}) AS sha256 FROM step2, tels_map""")
+SELECT id AS doc_id, sha256({_sql_tokens('text', PHONE, DIGITS, 'tels_map', 'TEL')}) AS sha256 FROM step2, tels_map"""
+
+
+@query(TEXT_SQL)
 def anonymize_text(spark, d):
     docs = read_table(spark, d, "documents").select("doc_id", "text")
     return A.anonymize(docs, order="doc_id", text="text", markup=False).docs.select("doc_id", T.sha256_hex(F.col("text")).alias("sha256"))
 
 
+@query(TEXT_SQL)
+def anonymize_batches(spark, d):
+    """Documents in three batches by number, with a dictionary that is kept between them; the second is run twice."""
+    docs = read_table(spark, d, "documents").select("doc_id", "text")
+    kept, last = Dictionary(scratch_path(spark, "dictionary")), docs.agg(F.max("doc_id")).first()[0]
+    done = []
+    for batch in (0, 1, 1, 2):
+        part = docs.where(F.floor(F.col("doc_id") * 3 / (last + 1)) == batch)
+        result = A.anonymize(part, order="doc_id", text="text", markup=False, names_scope="cumulative", dictionary=kept, batch=batch)
+        done.append(materialize(result.docs.select("doc_id", T.sha256_hex(F.col("text")).alias("sha256")), "batch"))
+    return K.append_all(done[0], done[2], done[3])
+
+
 PAGE_PARTS = f"""pg AS (SELECT page_id AS id, html FROM pages),
 seg AS (SELECT id, regexp_extract_all(html, '{SEGMENT}', 0) AS s FROM pg),
 texts AS (SELECT id, list_filter(s, lambda x: NOT starts_with(x, '<')) AS s FROM seg)"""
