@@ -119,6 +119,23 @@ def greedy_slugs(bases):
     return out
 
 
+def test_a_stem_with_many_rows_and_literal_forms(spark):
+    rng = random.Random(1)
+    bases = ["x"] * 4000 + [f"x-{k}" for k in rng.sample(range(2, 6000), 600)]
+    rng.shuffle(bases)
+    seen, numbers, want = set(), {}, []
+    for b in bases:  # as greedy_slugs, from the last number of the base on
+        n = numbers.get(b, 1)
+        while (name := b if n == 1 else f"{b}-{n}") in seen:
+            n += 1
+        numbers[b] = n
+        seen.add(name)
+        want.append(name)
+    df = spark.createDataFrame([*enumerate(bases)], "i int, b string").repartition(5)
+    got = {r.i: r.slug for r in C.unique_slugs(df, "b", F.col("i")).collect()}
+    assert [got[i] for i in range(len(bases))] == want
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_unique_slugs(spark, seed):
     rng = random.Random(seed)

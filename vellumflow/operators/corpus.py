@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,6 +48,24 @@ def number_in_groups(rows: DataFrame, group: str, *order: Column, name: str = "n
     return ranked.join(firsts, F.col(group) == F.col("_group")).withColumn(name, F.col("_rank") - F.col("_first") + 1).drop("_rank", "_first", "_group")
 
 
+def count_below(probes: DataFrame, entries: DataFrame, group: str, value: str, name: str = "below") -> DataFrame:
+    """``probes`` with ``name``: how many ``entries`` of the same ``group`` have a smaller ``value``.
+
+    Both are range-partitioned together, entries are counted up inside a partition and the counts of earlier partitions and groups,
+    one row each, are taken into account. So work grows with the rows and not with their pairs, and a hot group is not one task's.
+    """
+    kind, part, upto, first = f"_{name}_kind", f"_{name}_part", f"_{name}_upto", f"_{name}_first"
+    both = probes.withColumn(kind, F.lit(0)).unionByName(entries.select(group, value).withColumn(kind, F.lit(1)), allowMissingColumns=True)
+    placed = materialize(both.repartitionByRange(group, value, kind).withColumn(part, F.spark_partition_id()), "below")
+    inside = F.sum(kind).over(Window.partitionBy(part).orderBy(group, value, kind).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    sizes = placed.groupBy(part).agg(F.sum(kind).alias("_size"))
+    before = sizes.select(part, (F.sum("_size").over(Window.orderBy(part)) - F.col("_size")).alias("_before"))  # a row for each partition
+    counted = placed.withColumn(upto, inside).join(F.broadcast(before), part).withColumn(upto, F.col(upto) + F.col("_before"))
+    starts = counted.groupBy(group).agg(F.min(F.col(upto) - F.col(kind)).alias(first))
+    out = counted.where(F.col(kind) == 0).join(starts, group)
+    return out.withColumn(name, (F.col(upto) - F.col(first)).cast("long")).select(*probes.columns, name)
+
+
 def _numbered_form(base: str) -> tuple[Column, Column]:
     """Stem and number of a base such as ``x-2``."""
     pattern = r"^(.+)-([1-9]\d{0,8})$"
@@ -53,23 +73,32 @@ def _numbered_form(base: str) -> tuple[Column, Column]:
 
 
 def _replay(clashes: pd.DataFrame) -> pd.DataFrame:
-    """(base, late, taken) of one family from (base, stem, k, place, before), in order of place.
+    """(base, late, skips) of one family from (base, stem, k, place, before), in order of place.
 
     ``before`` rows of the stem come before the first row of ``base``, which is the stem with -k. If one of them has been
-    given that name already, ``base`` comes late and starts with its number 2; otherwise the stem's rows skip k.
+    given that name already, ``base`` comes late and starts with its number 2; otherwise the stem's rows skip k. Of the numbers
+    t0 < t1 < ... that a stem skips, ``skips`` holds ti - i: the n-th name has number n and one more for each of these up to n.
     """
-    late: dict[str, bool] = {}
+    late: set[str] = set()
     taken: dict[str, list[int]] = {}
+
+    def skipped(numbers: list[int], n: int) -> int:
+        """How many of the sorted ``numbers`` the n-th name passes over."""
+        low, high = 0, len(numbers)
+        while low < high:
+            mid = (low + high) // 2
+            low, high = (mid + 1, high) if numbers[mid] - mid <= n else (low, mid)
+        return low
+
     for r in clashes.sort_values("place").itertuples(index=False):
-        reached = r.before + late.get(r.stem, False) if r.before else 0
-        for k in sorted(taken.get(r.stem, [])):
-            reached += k <= reached
+        reached = r.before + (r.stem in late) if r.before else 0
+        reached += skipped(taken.get(r.stem, []), reached)
         if r.k <= reached:
-            late[r.base] = True
+            late.add(r.base)
         else:
-            taken.setdefault(r.stem, []).append(r.k)
-    bases = sorted(late.keys() | taken.keys())
-    return pd.DataFrame({"base": bases, "late": [late.get(b, False) for b in bases], "taken": [sorted(taken.get(b, [])) for b in bases]})
+            bisect.insort(taken.setdefault(r.stem, []), r.k)
+    bases = sorted(late | taken.keys())
+    return pd.DataFrame({"base": bases, "late": [b in late for b in bases], "skips": [[t - i for i, t in enumerate(taken.get(b, []))] for b in bases]})
 
 
 def unique_slugs(rows: DataFrame, base: str, *order: Column, name: str = "slug", fallback: str = "evento") -> DataFrame:
@@ -83,24 +112,28 @@ def unique_slugs(rows: DataFrame, base: str, *order: Column, name: str = "slug",
     numbered = materialize(number_in_groups(rows.withColumn("_base", base_), "_base", *order, name="_n").withColumn("_place", F.struct(*order)), "slugs")
     firsts = numbered.where("_n = 1").select(F.col("_base").alias("base"), F.col("_place").alias("place"))
     stem, k = _numbered_form("base")
-    pairs = firsts.select("base", "place", stem.alias("stem"), k.alias("k")).where("k >= 2")
-    pairs = pairs.join(firsts.select(F.col("base").alias("stem")), "stem")
-    own = numbered.select(F.col("_base").alias("stem"), F.col("_place").alias("own"))
-    before = pairs.join(own, "stem", "left").groupBy("base", "stem", "k", "place").agg(F.count_if(F.col("own") < F.col("place")).alias("before"))
-    before = materialize(before, "slugs-clashes")
-    joined = numbered
-    late, taken = F.lit(False), F.array().cast("array<int>")
-    if not before.isEmpty():
-        ranked = number_rows(before, F.col("place"), F.col("base"), name="at", tag="slugs-order").withColumn("family", F.regexp_replace("base", r"(-[1-9]\d{0,8})+$", ""))
-        replayed = ranked.select("family", "base", "stem", "k", F.col("at").alias("place"), "before").groupBy("family").applyInPandas(lambda pdf: _replay(pdf), "base string, late boolean, taken array<int>")
-        known = materialize(replayed, "slugs-replayed").withColumnsRenamed({"base": "_known", "late": "_late", "taken": "_taken"})
-        joined = numbered.join(known, F.col("_base") == F.col("_known"), "left").drop("_known")
-        late, taken = F.coalesce("_late", F.lit(False)), F.coalesce("_taken", taken)
-    number = F.col("_n") + F.when(late, 1).otherwise(0)
-    # The number-th of 1, 2, ... without those taken.
-    free = F.aggregate(taken, number, lambda at, t: F.when(t <= at, at + 1).otherwise(at))
-    slug = F.when(number == 1, F.col("_base")).otherwise(F.concat("_base", F.lit("-"), free.cast("string")))
-    return joined.withColumn(name, slug).drop("_base", "_n", "_place", "_late", "_taken")
+    forms = firsts.select("base", "place", stem.alias("stem"), k.alias("k")).where("k >= 2")
+    pairs = materialize(forms.join(firsts.select(F.col("base").alias("stem")), "stem"), "slugs-pairs")
+    own = [F.col(c) for c in rows.columns]
+    if pairs.isEmpty():
+        return numbered.select(*own, _slug(F.col("_n")).alias(name))
+    stems = numbered.join(pairs.select(F.col("stem").alias("_base")).distinct(), "_base", "left_semi")
+    clashes = count_below(pairs, stems.select(F.col("_base").alias("stem"), F.col("_place").alias("place")), "stem", "place", "before")
+    ranked = number_rows(clashes, F.col("place"), F.col("base"), name="at", tag="slugs-order").withColumn("family", F.regexp_replace("base", r"(-[1-9]\d{0,8})+$", ""))
+    replayed = ranked.select("family", "base", "stem", "k", F.col("at").alias("place"), "before").groupBy("family").applyInPandas(lambda pdf: _replay(pdf), "base string, late boolean, skips array<long>")
+    replayed = materialize(replayed, "slugs-replayed")
+    known = replayed.select(F.col("base").alias("_base"), F.col("late").alias("_late"), (F.size("skips") > 0).alias("_skips"))
+    joined = numbered.join(known, "_base", "left").withColumn("_number", F.col("_n") + F.when(F.col("_late"), 1).otherwise(0))
+    plain = joined.where(~F.coalesce("_skips", F.lit(False)))
+    # Numbers of rows of a stem that skips some: one more for each skip up to theirs.
+    skips = replayed.select(F.col("base").alias("_base"), F.explode("skips").alias("_value"))
+    shifted = count_below(joined.where("_skips").withColumn("_value", F.col("_number") + 1), skips, "_base", "_value", "_passed")
+    one = shifted.select(*own, F.when(F.col("_number") == 1, F.col("_base")).otherwise(_slug(F.col("_number") + F.col("_passed"))).alias(name))
+    return plain.select(*own, _slug(F.col("_number")).alias(name)).unionByName(one)
+
+
+def _slug(number: Column) -> Column:
+    return F.when(number == 1, F.col("_base")).otherwise(F.concat("_base", F.lit("-"), number.cast("string")))
 
 
 def totals(expected: Column | int, captured: DataFrame, failed: DataFrame) -> DataFrame:

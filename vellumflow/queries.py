@@ -832,12 +832,28 @@ def zip_manifest(spark, d):
     return read_packages(zip_packages(entries)).select(F.regexp_replace("package", r"-\d{4}$", "").alias("package"), "name", F.octet_length("data").alias("bytes"), F.sha2("data", 256).alias("sha256"))
 
 
+# What the text of a package has to say, written out.
+ABOUT = """Corpus exportado
+
+Contenido:
+  metadata.json  índice de la corrida (schema v1.0)
+  log.txt        log de operación
+  docs/          un HTML por registro y, si lo hay, su PDF
+
+Anonimización: activada (nivel básico).
+  Se sustituyeron nombre del paciente, cédula, teléfono y correo electrónico en los HTML;
+  en los PDF adjuntos se cubrió una banda del cabezal, sin borrar el texto que hay debajo.
+
+Generado: 2026-01-02T03:04:05.000Z
+"""
+
+
 @query(f"""WITH k AS (SELECT 'd' || doc_id AS id, doc_id, source AS package, text FROM documents),
 lines AS (SELECT package, doc_id, strftime(to_timestamp(doc_id + 1700000000) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S.000Z') || ' ' || CASE WHEN doc_id % 10 = 0 THEN 'ERROR' ELSE 'INFO ' END || ' d' || doc_id AS line, row_number() OVER (PARTITION BY package ORDER BY doc_id DESC) AS n FROM k),
 files AS (SELECT package, 'docs/' || id || '.html' AS name, sha256(text) AS sha256 FROM k
   UNION ALL SELECT package, 'docs/' || id || '.pdf', sha256(from_base64('JVBERg==')) FROM k WHERE doc_id % 8 = 0
   UNION ALL SELECT package, 'log.txt', sha256(string_agg(line, chr(10) ORDER BY doc_id) || chr(10)) FROM lines WHERE n <= 2000 GROUP BY package
-  UNION ALL SELECT DISTINCT package, 'README.txt', sha256('{M.readme("2026-01-02T03:04:05.000Z", anonymized=True)}') FROM k)
+  UNION ALL SELECT DISTINCT package, 'README.txt', sha256('{ABOUT}') FROM k)
 SELECT * FROM files UNION ALL SELECT package, 'metadata.json', sha256(string_agg('docs/' || id || '.html', ' ' ORDER BY id) || ' [PACIENTE] [CI] [TEL_N] [EMAIL_N]') FROM k GROUP BY package""")
 def package_files(spark, d):
     """Whole packages of pseudonymised runs, read back; of the index what its manifest lists."""
