@@ -5,10 +5,10 @@ the classes of a clause runs the composition of five small weighted transducers.
 more right after another one. Threat: a word of harm emits half its weight, or three times that after words of intent, and more
 where it is aimed at a target ("will ... hurt ... you"). Target: who is meant, near abuse or harm, adds weight. Negation: takes
 from what follows it. Reported speech: lowers what it introduces. A document is scored by the weights of its clauses (the
-heaviest, their sum, and the share of clauses with any), put through a logistic link.
+heaviest, their sum, and the share of clauses with any), put through a logistic link. A clause ends at marks and line ends, but at exclamation marks only from its third word on, as shouted words have one each.
 
 Seed stems of each class are fixed. Further insult stems are learned: prefixes that mark toxic rows among the labelled ones,
-each as long as possible without losing rows and counted against the other rows. About ``SAMPLE`` labelled rows of each label,
+each as long as possible without losing rows, of ``LEAST_STEM`` letters at least, and counted against the other rows. About ``SAMPLE`` labelled rows of each label,
 drawn by a hash over all of them, are used for fitting (a documented bound); stems of both labels are counted and chosen by rows
 and odds in Spark, so what reaches the driver is bounded by the sample. Labels, language, source and identifier never enter a
 score.
@@ -42,6 +42,8 @@ from .alike import as_struct
 SAMPLE, FOLDS, CUT = 6000, 3, 0.7
 #: Learned stems: letters at most, rows at least, odds against other rows at least.
 STEM, STEM_ROWS, STEM_ODDS = 12, 5, 20.0
+#: Letters of a learned stem, or a whole word of one fewer: shorter ones begin too many words that no sample holds.
+LEAST_STEM = 4
 REMEMBERED = 500_000
 CLASSES = 7
 OTHER, INSULT, HARM, INTENT, TARGET, NEGATION, REPORT = range(CLASSES)
@@ -52,12 +54,22 @@ SEEDS = {
     HARM: "kill hurt destroy beat burn punish murder töten vernichten tuer frapper détruire matar destruir golpear ",
     INTENT: "will shall gonna going i'll we'll you'll must should deserve hope werde werden wirst sollst vais allons vas doit voy vamos vas debes ",
     TARGET: "you your yours yourself they them he him she her people du dich dir ihr euch tu toi te vous ils elles tú ti usted ustedes ellos ",
-    NEGATION: "not never no none isn't aren't don't nicht nie kein ne pas jamais aucun nunca ningún jamás ",
+    NEGATION: (
+        "not never no none nobody cannot without isn't aren't wasn't weren't don't doesn't didn't won't wouldn't can't couldn't shouldn't mustn't haven't hasn't hadn't "
+        "nicht nie niemals kein keine keinen keiner nichts ohne ne n'est pas jamais aucun aucune sans rien nunca ningún ninguna jamás nadie sin tampoco "
+    ),
     REPORT: "said says wrote quoted reported claimed called according sagte schrieb zitierte dit écrit selon dijo escribió según ",
 }
 PREFIX_SEEDS = (INSULT, HARM)  # their seeds also stand for longer words
 
-_TOKENS = re.compile(r"[^\W_]+(?:['’][^\W_]+)*|[.!?;:\n]+")
+_TOKENS = re.compile(r"[^\W_]+(?:'[^\W_]+)*|[.!?;:\n]+")
+#: Words that a clause needs for an exclamation mark to end it.
+SHOUTED = 3
+FEATURES = ("most", "total", "share")
+
+
+def _lower(text: str) -> str:
+    return text.lower().replace("’", "'")
 
 
 # --- transducers ----------------------------------------------------------------------------------------------------------
@@ -195,7 +207,7 @@ class Reader:
 
     def features(self, text: str) -> tuple[float, float, float]:
         """The heaviest clause, the log of the sum of weights, and the share of clauses with weight."""
-        words = _TOKENS.findall(text.lower())
+        words = _TOKENS.findall(_lower(text))
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
@@ -210,7 +222,7 @@ class Reader:
         weights: list[float] = []
         for w, x in [*zip(words, found, strict=True), (".", None)]:
             if w[0] in ".!?;:\n":
-                if symbols:
+                if symbols and (len(symbols) >= SHOUTED or w.strip("!")):
                     clauses += 1
                     if any(s in _HARM for s in symbols):
                         value = max(0.0, clause_weight(symbols, weights))
@@ -223,7 +235,7 @@ class Reader:
         return most, math.log1p(total), heavy / max(1, clauses)
 
 
-def score(model: Model, features: tuple[float, float, float]) -> float:
+def score(model: Model, features: tuple[float, ...]) -> float:
     z = model.link[0] + sum(w * x for w, x in zip(model.link[1:], features, strict=True))
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
@@ -232,8 +244,8 @@ def score(model: Model, features: tuple[float, float, float]) -> float:
 
 
 def _stems_of(text: str) -> set[str]:
-    words = {w for w in _TOKENS.findall(text.lower()) if w[0].isalnum()}
-    return {(w + " ")[:n] for w in words for n in range(3, min(len(w) + 1, STEM) + 1)}
+    words = {w for w in _TOKENS.findall(_lower(text)) if w[0].isalnum()}
+    return {(w + " ")[:n] for w in words for n in range(LEAST_STEM, min(len(w) + 1, STEM) + 1)}
 
 
 def _count_stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,7 +271,7 @@ def choose_stems(counts: dict[str, tuple[int, int]], toxic: int, clean: int) ->
     fit = sorted(s for s, (t, _) in counts.items() if t >= STEM_ROWS and odds(s) >= STEM_ODDS)
     longer: dict[str, int] = {}
     for s in fit:
-        for n in range(3, len(s)):
+        for n in range(LEAST_STEM, len(s)):
             if s[:n] in counts:
                 longer[s[:n]] = max(longer.get(s[:n], 0), counts[s][0])
     closed = [s for s in fit if longer.get(s, 0) < counts[s][0]]
@@ -290,8 +302,8 @@ def _features(sent):
         reader = Reader(sent.value)
         for batch in batches:
             rows = [reader.features(t) for t in batch.column("text").to_pylist()]
-            columns = zip(*rows, strict=True) if rows else [()] * 3
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), *(pa.array(c, pa.float64()) for c in columns)], ["toxic", "most", "total", "share"])
+            columns = zip(*rows, strict=True) if rows else [()] * len(FEATURES)
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), *(pa.array(c, pa.float64()) for c in columns)], ["toxic", *FEATURES])
 
     return read
 
@@ -313,9 +325,9 @@ def learn(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Model:
     fit = counted.where((F.col("marks") >= STEM_ROWS) & (odds >= STEM_ODDS)).toArrow()  # stems of about ``sample`` toxic rows
     counts = dict(zip(fit["stem"].to_pylist(), zip(fit["marks"].to_pylist(), fit["others"].to_pylist(), strict=True), strict=True))
     model.stems |= choose_stems(counts, sizes[1], sizes[0])
-    # The link needs three numbers and a label of each sampled row.
-    seen = rows.mapInArrow(_features(spark.sparkContext.broadcast(model.stems)), "toxic int, most double, total double, share double").toArrow()
-    x = np.column_stack([seen[c].to_numpy() for c in ("most", "total", "share")])
+    # The link needs a few numbers and a label of each sampled row.
+    seen = rows.mapInArrow(_features(spark.sparkContext.broadcast(model.stems)), f"toxic int, {', '.join(f'{c} double' for c in FEATURES)}").toArrow()
+    x = np.column_stack([seen[c].to_numpy() for c in FEATURES])
     # Sampling changed the balance of the labels; the constant undoes that.
     link = fit_link(x, seen["toxic"].to_numpy().astype(float))
     shares = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
