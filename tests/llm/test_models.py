@@ -404,7 +404,7 @@ def test_negations_shouting_and_short_stems():
     for negated in ("I won't hurt you", "I won’t hurt you", "you cannot hurt them", "he wouldn't hurt you", "sin matar", "ohne töten"):
         assert 0 < most(negated) < most(negated.replace("won't", "will").replace("won’t", "will").replace("cannot", "must").replace("wouldn't", "would").replace("sin", "vas").replace("ohne", "wirst"))
     assert most("IDIOT!! MORON!!") == most("idiot moron") > most("idiot. moron") and most("you are an idiot! fine") == most("you are an idiot")
-    stems = toxic.choose_stems({"worth": (10, 0), "worthless ": (10, 0), "wors": (9, 0), "work": (8, 60)}, 60, 60)
+    stems = toxic.choose_stems({"worth": (10, 0), "worthless ": (10, 0), "wors": (12, 0), "work": (8, 60)}, 60, 60)
     assert set(stems) >= {"worthless ", "wors"} and not any(s.startswith("work") for s in stems)
     assert min(map(len, toxic._stems_of("wor worm working"))) == toxic.LEAST_STEM
 
