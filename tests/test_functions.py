@@ -148,6 +148,11 @@ def test_accents_agree_with_decomposition(spark):
 
 def test_formats(spark):
     assert values(spark, [0, 1023, 1024, 1536, 1048576, 5000000], T.format_bytes, "long") == ["0 B", "1023 B", "1.0 KiB", "1.5 KiB", "1.00 MiB", "4.77 MiB"]
+    # Halves: up, and to the even digit as C's printf, which the query's SQL calls. 1.125 and 1.375 MiB, 1.25 and 1.75 KiB.
+    halves = [1179648, 1441792, 1280, 1792, 1023 * 1024 + 1000]
+    assert values(spark, halves, T.format_bytes, "long") == ["1.13 MiB", "1.38 MiB", "1.3 KiB", "1.8 KiB", "1024.0 KiB"]
+    assert values(spark, halves, lambda c: T.format_bytes(c, half_even=True), "long") == ["1.12 MiB", "1.38 MiB", "1.2 KiB", "1.8 KiB", "1024.0 KiB"]
+    assert values(spark, [2**62 + 2**19], T.format_bytes, "long") == ["4398046511104.50 MiB"]
     assert values(spark, [0, 1, 2, 3, 4, 9], T.backoff_ms, "long") == [1000, 2000, 4000, 8000, 16000, 16000]
     assert values(spark, [0, 1, 5, 300], lambda x: T.percent(x, F.lit(200)), "long") == [0, 1, 3, 100]
 

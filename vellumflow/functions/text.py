@@ -68,9 +68,22 @@ def iso_instant(at: Column) -> Column:
     return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
-def format_bytes(size: Column) -> Column:
-    kib, mib = size / F.lit(1024.0), size / F.lit(1048576.0)
-    return F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B"))).when(size < 1048576, F.format_string("%.1f KiB", kib)).otherwise(F.format_string("%.2f MiB", mib))
+def _in_units(size: Column, unit: int, digits: int, half_even: bool) -> Column:
+    """``size`` in units of ``2**unit`` with ``digits`` decimals, rounded on whole numbers."""
+    scale, half = 10**digits, 1 << unit - 1
+    parts = size.bitwiseAND((1 << unit) - 1) * scale
+    cut, rest = F.shiftright(parts, unit), parts.bitwiseAND((1 << unit) - 1)
+    up = (rest > half) | ((rest == half) & (cut % 2 == 1 if half_even else F.lit(True)))
+    decimals = cut + up.cast("long")
+    carry = (decimals == scale).cast("long")
+    return F.format_string(f"%d.%0{digits}d", F.shiftright(size, unit) + carry, decimals - carry * scale)
+
+
+def format_bytes(size: Column, *, half_even: bool = False) -> Column:
+    """Bytes, KiB with one decimal or MiB with two. Halves, which are exact here, round up, or with ``half_even`` to the even digit, as C's printf does."""
+    size = size.cast("long")
+    kib, mib = _in_units(size, 10, 1, half_even), _in_units(size, 20, 2, half_even)
+    return F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B"))).when(size < 1048576, F.concat(kib, F.lit(" KiB"))).otherwise(F.concat(mib, F.lit(" MiB")))
 
 
 def percent(done: Column, total: Column) -> Column:

@@ -785,7 +785,7 @@ def status_label(spark, d):
 
 @query("SELECT doc_id, CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN printf('%.1f KiB', b / 1024.0) ELSE printf('%.2f MiB', b / 1048576.0) END AS size FROM (SELECT doc_id, n_chars * (doc_id % 200) + 1 AS b FROM documents)")
 def format_bytes(spark, d):
-    return read_table(spark, d, "documents").select("doc_id", T.format_bytes(F.col("n_chars") * (F.col("doc_id") % 200) + 1).alias("size"))
+    return read_table(spark, d, "documents").select("doc_id", T.format_bytes(F.col("n_chars") * (F.col("doc_id") % 200) + 1, half_even=True).alias("size"))
 
 
 @query("SELECT event_id, CAST(least(16000, 1000 * (2 ** (event_id % 6))) AS BIGINT) AS ms FROM events")
