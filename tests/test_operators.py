@@ -217,6 +217,16 @@ def test_listing(spark):
     assert [r.id for r in read_details(list_records(pages), details).collect()] == [got[0][1]]
 
 
+def test_rows_of_many_pages_are_given_in_small_batches():
+    import pyarrow as pa
+
+    from vellumflow.sources import listing
+
+    pages = pa.RecordBatch.from_pydict({"page": list(range(3000)), "html": [LISTING] * 3000})
+    sizes = [(b.num_rows, b.nbytes) for b in listing._read_pages("visualizar")(iter([pages]))]
+    assert sum(n for n, _ in sizes) == 3000 * 7 and max(n for n, _ in sizes) <= listing.ROWS_OUT and max(b for _, b in sizes) < 2 << 20
+
+
 def test_rows_of_deep_and_broken_pages():
     import tracemalloc
 

@@ -8,9 +8,9 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import Row
 
 from ..functions import timeline
 from ..functions.regex import trim
@@ -134,20 +134,39 @@ def read_rows(html: str | None, route: str) -> Iterator[tuple[int, str, str, lis
     yield from out([a for f in firsts for a in f], True)
 
 
+#: Rows, and characters of rows and cells, that a task gives at a time.
+ROWS_OUT, CHARS_OUT = 1024, 1 << 20
+_RAW = pa.schema([("page", pa.int64()), ("place", pa.int32()), ("href", pa.string()), ("row", pa.string()), ("cells", pa.list_(pa.string())), ("fallback", pa.bool_())])
+
+
+def _read_pages(route: str):
+    """Reads (page, html); gives rows in small batches, as those of a batch of pages take many times the memory of their pages."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, chars = [], 0
+        for batch in batches:
+            for page, html in zip(batch.column("page"), batch.column("html"), strict=True):
+                number = page.as_py()
+                for place, href, row, cells, fallback in read_rows(html.as_py(), route):
+                    held.append({"page": number, "place": place, "href": href, "row": row, "cells": cells, "fallback": fallback})
+                    chars += len(row) + sum(map(len, cells))
+                    if len(held) >= ROWS_OUT or chars >= CHARS_OUT:
+                        yield pa.RecordBatch.from_pylist(held, _RAW)
+                        held, chars = [], 0
+        if held:
+            yield pa.RecordBatch.from_pylist(held, _RAW)
+
+    return read
+
+
 def list_records(pages: DataFrame, *, page: str = "page", html: str = "html", route: str = "visualizar") -> DataFrame:
     """Records of listing pages: page, place, id, categoria, fecha, prestador, profesional, descripcion.
 
     A row counts if it names a category and a date; of rows with one provisional id on a page the first counts. Rows found by
     table structure are used only on pages where no anchor gave a record. A page reads on its own, in one Arrow pass.
     """
-    def read(batches):
-        import pandas as pd
-
-        for batch in batches:
-            rows = [Row(page=p, place=pl, href=h, row=t, cells=c, fallback=f) for p, source in zip(batch[page], batch[html], strict=True) for pl, h, t, c, f in read_rows(source, route)]
-            yield pd.DataFrame(rows, columns=["page", "place", "href", "row", "cells", "fallback"])
-
-    raw = pages.select(page, html).mapInPandas(read, "page long, place int, href string, row string, cells array<string>, fallback boolean")
+    source = pages.select(F.col(page).cast("long").alias("page"), F.col(html).cast("string").alias("html"))
+    raw = source.mapInArrow(_read_pages(route), "page long, place int, href string, row string, cells array<string>, fallback boolean")
     category, date = timeline.find_category(F.col("row")), timeline.find_date(F.col("row"))
     rows = raw.withColumn("categoria", category).withColumn("fecha", date).where("categoria is not null and fecha is not null")
     rows = rows.withColumn("descripcion", timeline.pick_description(F.col("cells"), F.col("row"), F.col("categoria")))
