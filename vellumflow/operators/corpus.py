@@ -45,7 +45,7 @@ def number_in_groups(rows: DataFrame, group: str, *order: Column, name: str = "n
     """Add ``name``: 1, 2, ... in ``order`` within each ``group``, by ranks over all rows, so that a large group is not one task's."""
     ranked = number_rows(rows, F.col(group), *order, name="_rank", tag="groups")
     firsts = ranked.groupBy(group).agg(F.min("_rank").alias("_first")).withColumnRenamed(group, "_group")
-    return ranked.join(firsts, F.col(group) == F.col("_group")).withColumn(name, F.col("_rank") - F.col("_first") + 1).drop("_rank", "_first", "_group")
+    return ranked.join(firsts, F.col(group).eqNullSafe(F.col("_group"))).withColumn(name, F.col("_rank") - F.col("_first") + 1).drop("_rank", "_first", "_group")
 
 
 def count_below(probes: DataFrame, entries: DataFrame, group: str, value: str, name: str = "below") -> DataFrame:

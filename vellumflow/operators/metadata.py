@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import pii
 from ..functions.text import iso_instant
+from .corpus import number_in_groups
 
 SCHEMA_VERSION = "1.0"
 PDF = "application/pdf"
@@ -52,11 +53,9 @@ def error_rows(errors: DataFrame, *keys: str) -> DataFrame:
     return errors.select(*keys, "meta.categoria", "meta.fecha", "meta.descripcion", "url", "message", "occurredAt")
 
 
-def manifest(*, by: str, version: str, stats: Column, files: Column, tokens: tuple[str, ...] = pii.LISTED_TOKENS) -> Column:
-    """What was pseudonymised, how, and in which files."""
-    return F.struct(
-        F.lit(by).alias("by"), F.lit(version).alias("version"), F.lit("basic").alias("scope"), F.array(*map(F.lit, tokens)).alias("tokens"), stats.alias("stats"), files.alias("files")
-    )
+def manifest(*, by: str, version: str, stats: Column, tokens: tuple[str, ...] = pii.LISTED_TOKENS) -> Column:
+    """What was pseudonymised, and how; the files follow in the index."""
+    return F.struct(F.lit(by).alias("by"), F.lit(version).alias("version"), F.lit("basic").alias("scope"), F.array(*map(F.lit, tokens)).alias("tokens"), stats.alias("stats"))
 
 
 def check_manifest(files: DataFrame) -> DataFrame:
@@ -64,33 +63,63 @@ def check_manifest(files: DataFrame) -> DataFrame:
     return files.where(F.col("declared") & ~F.col("html").rlike(r"\[[A-Z_0-9]+\]"))
 
 
-def metadata_by(
+#: Sections of an index: its head with the totals, the files that were pseudonymised, documents, errors, and what stands before each.
+HEAD, FILES_BEGIN, FILES, FILES_END, DOCUMENTS_BEGIN, DOCUMENTS, ERRORS_BEGIN, ERRORS, END = range(9)
+
+
+def metadata_lines(
     docs: DataFrame, errors: DataFrame, runs: DataFrame, *, by: str, order: str, now: Column, anonymized: bool = False, version: str = "1.0.0", patient: str = "paciente",
-    document_hash: str | None = None, portal: str = "", base_url: str = "", redact: bool = False, export_id: Column | None = None, indent: bool = True,
+    document_hash: str | None = None, portal: str = "", base_url: str = "", redact: bool = False, export_id: Column | None = None,
 ) -> DataFrame:
-    """(``by``, json): the index of each package of captured documents. ``runs``: ``by``, expected, startedAt and, where pseudonymised, stats.
+    """(``by``, section, n, line): the index of each package of captured documents, line by line, so that a package may have any size.
 
-    Documents are in ``order``, errors by time, then message, address and kind. A package is bounded by its bytes, see
-    ``package.shard``, and so is its index.
+    Lines in the order of section and n are its JSON: one for each document, error and pseudonymised file, from the second on with a
+    comma before it. ``runs``: ``by``, expected, startedAt and, where pseudonymised, stats. Documents are in ``order``, errors by time,
+    then message, address and kind.
     """
-    rows = document_rows(docs, F.col(order).alias("_at"), F.col(by).alias("_by"), redact=redact)
-    per = rows.groupBy("_by").agg(F.array_sort(F.collect_list(F.struct("_at", F.struct(*INDEX).alias("d")))).alias("_docs"), F.count(F.lit(1)).alias("_captured"))
+    rows = number_in_groups(document_rows(docs, F.col(order).alias("_at"), F.col(by).alias("_by"), redact=redact), "_by", F.col("_at"))
     fields = ("categoria", "fecha", "descripcion", "url", "message", "occurredAt")
-    bad = error_rows(errors, F.col(by).alias("_of")).groupBy("_of").agg(F.collect_list(F.struct("occurredAt", "message", "url", "categoria", "fecha", "descripcion")).alias("_errors"))
-    both = per.join(bad, F.col("_by") == F.col("_of"), "left").join(runs, F.col("_by") == F.col(by), "left")
-    listed = F.transform(F.array_sort(F.coalesce("_errors", F.array())), lambda e: F.struct(*(e[f].alias(f) for f in fields)))
-    said = []
-    if anonymized:
-        files = F.transform("_docs", lambda x: x["d"]["file"])
-        said = [F.lit(True).alias("anonymized"), F.lit("basic").alias("anonymizationScope"), manifest(by="vellumflow", version=version, stats=F.col("stats"), files=files).alias("anonymization")]
-    whole = F.struct(
+    per = rows.groupBy("_by").agg(F.count(F.lit(1)).alias("_captured"))
+    bad = error_rows(errors, F.col(by).alias("_of"))
+    bad = number_in_groups(bad.join(per, F.col("_of").eqNullSafe(F.col("_by")), "left_semi"), "_of", *(F.col(c) for c in ("occurredAt", "message", "url", "categoria", "fecha", "descripcion")))
+    failed = bad.groupBy("_of").agg(F.count(F.lit(1)).alias("_failed"))
+    both = per.join(failed, F.col("_by").eqNullSafe(F.col("_of")), "left").join(runs, F.col("_by").eqNullSafe(F.col(by)), "left")
+    head = F.struct(
         F.lit(SCHEMA_VERSION).alias("schemaVersion"), (F.uuid() if export_id is None else export_id).alias("exportId"), iso_instant(now).alias("exportedAt"), F.col("startedAt"),
         F.struct(F.lit(portal).alias("portal"), F.lit(base_url).alias("baseUrl")).alias("source"),
         F.struct(F.lit(patient).alias("displayName"), F.lit(document_hash).cast("string").alias("documentHash")).alias("patient"),
-        *said, F.struct(F.col("expected").cast("long").alias("expected"), F.col("_captured").alias("captured"), F.size(listed).cast("long").alias("failed")).alias("totals"),
-        F.transform("_docs", lambda x: x["d"]).alias("documents"), listed.alias("errors"),
+        F.struct(F.col("expected").cast("long").alias("expected"), F.col("_captured").alias("captured"), F.coalesce("_failed", F.lit(0)).cast("long").alias("failed")).alias("totals"),
     )
-    return both.select(F.col("_by").alias(by), F.to_json(whole, {"pretty": "true"} if indent else {}).alias("json"))
+    fixed = [(HEAD, F.regexp_replace(F.to_json(head), r"\}$", "")), (DOCUMENTS_BEGIN, F.lit(',"documents":[')), (ERRORS_BEGIN, F.lit('],"errors":[')), (END, F.lit("]}"))]
+    if anonymized:
+        said = F.struct(F.lit(True).alias("anonymized"), F.lit("basic").alias("anonymizationScope"), manifest(by="vellumflow", version=version, stats=F.col("stats")).alias("anonymization"))
+        fixed += [(FILES_BEGIN, F.concat(F.lit(","), F.regexp_replace(F.to_json(said), r"^\{|\}\}$", ""), F.lit(',"files":['))), (FILES_END, F.lit("]}"))]
+    lines = both.select(F.col("_by").alias(by), F.explode(F.array(*(F.struct(F.lit(k).alias("section"), F.lit(0).cast("long").alias("n"), line.alias("line")) for k, line in fixed))).alias("l")).select(by, "l.*")
+
+    def listed(rows: DataFrame, key: str, section: int, json: Column) -> DataFrame:
+        return rows.select(F.col(key).alias(by), F.lit(section).alias("section"), F.col("n").cast("long").alias("n"), F.concat(F.when(F.col("n") > 1, ",").otherwise(""), json).alias("line"))
+
+    lines = lines.unionByName(listed(rows, "_by", DOCUMENTS, F.to_json(F.struct(*INDEX)))).unionByName(listed(bad, "_of", ERRORS, F.to_json(F.struct(*fields))))
+    if anonymized:
+        lines = lines.unionByName(listed(rows, "_by", FILES, F.regexp_replace(F.to_json(F.array("file")), r"^\[|\]$", "")))
+    return lines
+
+
+def read_lines(lines: DataFrame, *, by: str = "package") -> DataFrame:
+    """(``by``, totals, exportedAt, place, d): the documents that the lines of indexes list, by their place from 0."""
+    kinds = ", ".join(f"{c}: STRING" for c in INDEX)
+    head = F.from_json(F.concat("line", F.lit("}")), "STRUCT<totals: STRUCT<expected: BIGINT, captured: BIGINT, failed: BIGINT>, exportedAt: STRING>")
+    heads = lines.where(F.col("section") == HEAD).select(F.col(by).alias("_of"), head.alias("h")).select("_of", "h.*")
+    document = F.from_json(F.regexp_replace("line", "^,", ""), f"STRUCT<{kinds}>")
+    rows = lines.where(F.col("section") == DOCUMENTS).select(by, (F.col("n") - 1).alias("place"), document.alias("d"))
+    return rows.join(heads, F.col(by).eqNullSafe(F.col("_of"))).drop("_of")
+
+
+def metadata_by(docs: DataFrame, errors: DataFrame, runs: DataFrame, *, by: str, indent: bool = True, **options) -> DataFrame:
+    """(``by``, json): the whole index of each package in a row, for packages bounded by ``package.shard``. Otherwise as ``metadata_lines``."""
+    lines = metadata_lines(docs, errors, runs, by=by, **options)
+    whole = F.array_sort(F.collect_list(F.struct("section", "n", "line")))
+    return lines.groupBy(by).agg(F.array_join(F.transform(whole, lambda x: x["line"]), "\n" if indent else "").alias("json"))
 
 
 def metadata(documents: DataFrame, errors: DataFrame, *, order: str, expected: int, started_at: Column, now: Column, **options) -> DataFrame:

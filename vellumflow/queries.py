@@ -816,12 +816,8 @@ FROM k JOIN (SELECT package, count(*) AS captured FROM k GROUP BY 1) n ON n.pack
 def metadata_json(spark, d):
     """The index of each source's package, read back from its JSON."""
     docs, errors, _, runs = run_tables(spark, d)
-    index = M.metadata_by(docs, errors, runs, by="package", order="id", now=F.lit(NOW).cast("timestamp"))
-    kinds = ", ".join(f"{c}: STRING" for c in M.INDEX)
-    schema = f"STRUCT<totals: STRUCT<expected: BIGINT, captured: BIGINT, failed: BIGINT>, exportedAt: STRING, documents: ARRAY<STRUCT<{kinds}>>, errors: ARRAY<STRUCT<message: STRING>>>"
-    read = index.select("package", F.from_json("json", schema).alias("j"))
-    rows = read.select("package", "j.totals", "j.exportedAt", F.posexplode("j.documents").alias("place", "d"))
-    return rows.select(*(F.col(f"d.{c}").alias(c) for c in M.INDEX), "package", "totals.captured", "totals.expected", "totals.failed", "exportedAt", F.col("place").cast("long").alias("place"))
+    rows = M.read_lines(M.metadata_lines(docs, errors, runs, by="package", order="id", now=F.lit(NOW).cast("timestamp")))
+    return rows.select(*(F.col(f"d.{c}").alias(c) for c in M.INDEX), "package", "totals.captured", "totals.expected", "totals.failed", "exportedAt", "place")
 
 
 @query("""SELECT source AS package, name, octet_length(encode(data)) AS bytes, sha256(data) AS sha256 FROM (SELECT source, 'docs/d' || doc_id || '.html' AS name, text AS data FROM documents)""")
