@@ -364,6 +364,34 @@ def test_anonymize_and_pack_a_run(spark):
     assert {r.filename for r in packed.collect()} == {"export_ana-gomez_2026-04-20_1030.zip"}
 
 
+def test_an_index_of_any_size_goes_by_lines(spark, tmp_path):
+    """An index of 30 MB: written, read and hashed with no row of more than a document or a few lines."""
+    from vellumflow.sources.sinks import read_archives, write_packages
+
+    none = F.lit(None).cast("string")
+    empty = {c: none for c in "prestador profesional visualizarUrl captureUrl capturedAt sha256 attachmentBase64 attachmentMime attachmentSha256".split()}
+    docs = spark.range(300).select(F.lit("p").alias("package"), F.concat(F.lit('d"'), F.lpad(F.col("id").cast("string"), 4, "0")).alias("id"), F.lit("x").alias("html"), F.lit("Otros").alias("categoria"), F.lit("2026-01-02").alias("fecha"), F.repeat(F.lit("á\n"), 33_000).alias("descripcion")).withColumns(empty)
+    errors = spark.createDataFrame([("p", (None, None, None), None, m, "t") for m in ("m2", "m1")], "package string, meta struct<categoria: string, fecha: string, descripcion: string>, url string, message string, occurredAt string")
+    log = spark.createDataFrame([], "package string, at timestamp, level string, message string, context string")
+    runs = spark.createDataFrame([("p", 305, "s", (1,))], "package string, expected long, startedAt string, stats struct<emails: int>")
+    now = F.lit("2026-04-20 10:30:00").cast("timestamp")
+    parts = K.package_parts(docs, errors, log, runs, now=now, anonymized=True)
+    assert parts.agg(F.max(F.octet_length("data"))).first()[0] < 300_000
+    write_packages(parts, str(tmp_path / "zip"))
+    whole = {r.name: bytes(r.data) for r in read_archives(spark, str(tmp_path / "zip")).collect()}
+    index = json.loads(whole["metadata.json"])
+    assert len(whole) == 303 and len(whole["metadata.json"]) > 30_000_000 and index["totals"] == {"expected": 305, "captured": 300, "failed": 2}
+    files = [f'docs/d"{i:04d}.html' for i in range(300)]
+    assert index["anonymization"]["files"] == files == [d["file"] for d in index["documents"]] and [e["message"] for e in index["errors"]] == ["m1", "m2"]
+    read = read_archives(spark, str(tmp_path / "zip"), cut="metadata.json").where("name = 'metadata.json'")
+    cut = [bytes(r.data) for r in read.orderBy("part").collect()]
+    assert len(cut) > 5 and b"".join(cut) == whole["metadata.json"] and all(c.endswith(b"\n") for c in cut)
+    said = " ".join([*files, *index["anonymization"]["tokens"]])
+    assert K.index_digests(read).first().sha256 == hashlib.sha256(said.encode()).hexdigest()
+    again = M.read_lines(M.metadata_lines(docs, errors, runs, by="package", order="id", now=now))
+    assert [r.file for r in again.orderBy("place").select("d.file").collect()] == files
+
+
 def test_shards_are_bounded_and_lose_nothing(spark):
     docs = spark.range(400).select(F.lit("p").alias("package"), F.concat(F.lit("d"), "id").alias("id"), F.repeat(F.lit("x"), 1000).alias("html"), F.lit(None).cast("string").alias("attachmentBase64"))
     got = K.shard(docs.union(docs.limit(1).withColumn("package", F.lit("small"))), limit=20_000)

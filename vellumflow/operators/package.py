@@ -7,8 +7,11 @@ its own documents, so no package is more than one task can hold.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +27,7 @@ from .corpus import log_line, number_in_groups
 #: Bytes of documents to a package.
 PACKAGE_BYTES = 256 << 20
 LOG_ROWS = 2000
+INDEX_NAME = "metadata.json"
 # What a run says of a page it could not reach and of attached PDFs.
 PAGE_MISSED, PDF_COVERED, PDF_AS_IT_IS = "No se pudo posicionar la página", "PDF adjunto redactado", "Redacción de PDF omitida — adjunto se incluye sin redactar"
 
@@ -99,33 +103,74 @@ def log_at_least(log: DataFrame, level: str) -> DataFrame:
     return log.where(F.col("level").isin(*levels[levels.index(level) :]))
 
 
-def package_entries(docs: DataFrame, errors: DataFrame, log: DataFrame, runs: DataFrame, *, by: str = "package", now: Column, anonymized: bool = False, version: str = "1.0.0") -> DataFrame:
-    """(package, name, data) of all files of all packages.
-
-    ``runs`` has a row per package: ``by``, expected, startedAt and, where pseudonymised, stats. Packages without a document
-    have no files.
-    """
-    index = M.metadata_by(docs, errors, runs, by=by, order="id", now=now, anonymized=anonymized, version=version)
+def _files_beside(docs: DataFrame, log: DataFrame, *, by: str, now: Column, anonymized: bool) -> DataFrame:
+    """(``by``, name, data) of all files of all packages but their indexes."""
     there = docs.select(by).distinct()
     logs = there.join(log_texts(log, by=by), by, "left").select(by, F.coalesce("log", F.lit("\n")).alias("log"))
     about = F.replace(F.lit(M.readme("{now}", anonymized=anonymized)), F.lit("{now}"), T.iso_instant(now))
     has_pdf = (F.coalesce("attachmentBase64", F.lit("")) != "") & (F.col("attachmentMime") == M.PDF)
     files = [
-        index.select(by, F.lit("metadata.json").alias("name"), F.col("json").cast("binary").alias("data")),
         logs.select(by, F.lit("log.txt").alias("name"), F.col("log").cast("binary").alias("data")),
         there.select(by, F.lit("README.txt").alias("name"), about.cast("binary").alias("data")),
         docs.select(by, M.html_path(F.col("id")).alias("name"), F.coalesce("html", F.lit("")).cast("binary").alias("data")),
         docs.where(has_pdf).select(by, F.concat(F.lit("docs/"), "id", F.lit(".pdf")).alias("name"), T.base64_bytes(F.col("attachmentBase64")).alias("data")),
     ]
-    return append_all(*files).withColumnRenamed(by, "package")
+    return append_all(*files)
+
+
+def package_entries(docs: DataFrame, errors: DataFrame, log: DataFrame, runs: DataFrame, *, by: str = "package", now: Column, anonymized: bool = False, version: str = "1.0.0") -> DataFrame:
+    """(package, name, data) of all files of all packages.
+
+    ``runs`` has a row per package: ``by``, expected, startedAt and, where pseudonymised, stats. Packages without a document
+    have no files.
+    """
+    index = M.metadata_by(docs, errors, runs, by=by, order="id", now=now, anonymized=anonymized, version=version)
+    index = index.select(by, F.lit(INDEX_NAME).alias("name"), F.col("json").cast("binary").alias("data"))
+    return append_all(index, _files_beside(docs, log, by=by, now=now, anonymized=anonymized)).withColumnRenamed(by, "package")
+
+
+def package_parts(docs: DataFrame, errors: DataFrame, log: DataFrame, runs: DataFrame, *, by: str = "package", now: Column, anonymized: bool = False, version: str = "1.0.0") -> DataFrame:
+    """(package, name, part, data) as ``package_entries``, with a row for each line of an index, for ``write_packages``: packages of any size."""
+    lines = M.metadata_lines(docs, errors, runs, by=by, order="id", now=now, anonymized=anonymized, version=version)
+    part = F.shiftleft(F.col("section").cast("long"), 48) + F.col("n")
+    index = lines.select(by, F.lit(INDEX_NAME).alias("name"), part.alias("part"), F.concat("line", F.lit("\n")).cast("binary").alias("data"))
+    return append_all(index, _files_beside(docs, log, by=by, now=now, anonymized=anonymized)).withColumnRenamed(by, "package")
 
 
 def build_packages(docs: DataFrame, errors: DataFrame, log: DataFrame, runs: DataFrame, *, by: str = "package", now: Column, owner: str = "paciente", **options) -> DataFrame:
-    """(package, filename, data, entries): a ZIP per package."""
+    """(package, filename, data, entries): a ZIP per package, held by one task; ``write_packages`` of ``package_parts`` holds none."""
     packed = zip_packages(package_entries(docs, errors, log, runs, by=by, now=now, **options))
     return packed.select("package", T.archive_name(F.lit(owner), now).alias("filename"), "data", "entries")
 
 
+def index_digests(parts: DataFrame) -> DataFrame:
+    """(package, sha256) of what the manifest of each index lists, joined by spaces: its files in order, then its tokens.
+
+    ``parts``: (package, part, data), whole lines of indexes. Of each only a digest is held as the lines stream by in order.
+    """
+    lines = parts.select("package", "part", F.posexplode(F.split(F.col("data").cast("string"), "\n")).alias("n", "line"))
+    file = F.when(F.col("line").rlike('^,?".*"$'), F.from_json(F.concat(F.lit("["), F.regexp_replace("line", "^,", ""), F.lit("]")), "array<string>")[0])
+    begin = F.when(F.col("line").startswith(',"anonymized":'), F.from_json(F.concat(F.lit("{"), F.expr("substring(line, 2)"), F.lit("]}}")), "anonymization STRUCT<tokens: ARRAY<STRING>>")["anonymization"]["tokens"])
+    said = lines.select("package", F.when(begin.isNotNull(), 1).otherwise(0).alias("last"), "part", "n", F.coalesce(file, F.array_join(begin, " ")).alias("text")).where("text is not null")
+    ordered = said.repartition("package").sortWithinPartitions("package", "last", "part", "n").select("package", "text")
+    return ordered.mapInArrow(_digests, "package string, sha256 string")
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    done, at, digest = [], None, None
+    for batch in batches:
+        for package, text in zip(batch.column("package").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            if digest is None or package != at:
+                if digest is not None:
+                    done.append((at, digest.hexdigest()))
+                at, digest = package, hashlib.sha256(text.encode())
+            else:
+                digest.update(b" " + text.encode())
+    if digest is not None:
+        done.append((at, digest.hexdigest()))
+    yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in done], pa.string()) for i in range(2)], ["package", "sha256"])
+
+
 def data_url(data: Column, mime: str = "application/zip") -> Column:
     """Bytes as a URL that holds them."""
     return F.concat(F.lit(f"data:{mime};base64,"), T.base64_plain(data))

@@ -855,10 +855,11 @@ def package_files(spark, d):
     """Whole packages of pseudonymised runs, read back; of the index what its manifest lists."""
     docs, errors, log, runs = run_tables(spark, d)
     now = F.lit(NOW).cast("timestamp")
-    read = read_packages(K.build_packages(docs, errors, log, runs, now=now, anonymized=True))
-    listed = F.from_json(F.col("data").cast("string"), "anonymization STRUCT<tokens: ARRAY<STRING>, files: ARRAY<STRING>>")["anonymization"]
-    said = F.array_join(F.concat(listed["files"], listed["tokens"]), " ")
-    return read.select("package", "name", F.when(F.col("name") == "metadata.json", F.sha2(said, 256)).otherwise(F.sha2("data", 256)).alias("sha256"))
+    path = scratch_path(spark, "runs")
+    write_packages(K.package_parts(docs, errors, log, runs, now=now, anonymized=True), path)
+    read = read_archives(spark, path, cut=K.INDEX_NAME)
+    indexes = K.index_digests(read.where(F.col("name") == K.INDEX_NAME)).withColumn("name", F.lit(K.INDEX_NAME))
+    return read.where(F.col("name") != K.INDEX_NAME).select("package", "name", F.sha2("data", 256).alias("sha256")).unionByName(indexes)
 
 
 @query(f"""SELECT source || '-' || lpad(CAST(doc_id % 3 AS VARCHAR), 4, '0') AS package, 'docs/d' || doc_id || '.html' AS name, CAST(strlen(text) AS INTEGER) AS bytes, sha256(text) AS sha256 FROM documents""")
