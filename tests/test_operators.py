@@ -494,6 +494,32 @@ def test_stream_tokens(spark, tmp_path):
     assert drop_captured(spark.createDataFrame([("r", "h"), ("r", "h")], "run_id string, sha256 string")).count() == 1
 
 
+def test_rows_of_a_run_are_sorted_on_disk(tmp_path, monkeypatch):
+    """80 MB of rows in batches, out of order, with 8 MB of them in memory."""
+    import tempfile
+
+    import numpy as np
+    import pandas as pd
+    import pyarrow as pa
+
+    from vellumflow.streaming.tokens import in_order
+
+    monkeypatch.setattr(tempfile, "tempdir", str(tmp_path))
+    rng = np.random.default_rng(1)
+    order = rng.permutation(8000)
+
+    def frames():
+        for i in range(0, 8000, 200):
+            part = order[i : i + 200]
+            yield pd.DataFrame({"base": "x", "ordinal": part, "parts": [[f"{n} ", "y" * 10_000] if n % 7 else None for n in part], "names": [["Ana"] if n % 5 == 0 else [] for n in part], "markup": True})
+
+    before, most = pa.total_allocated_bytes(), 0
+    for n, r in enumerate(in_order(frames(), 8 << 20)):
+        assert r["ordinal"] == n and r["parts"] == ([f"{n} ", "y" * 10_000] if n % 7 else None) and r["names"] == (["Ana"] if n % 5 == 0 else [])
+        most = max(most, pa.total_allocated_bytes() - before)
+    assert n == 7999 and most < 40 << 20 and not list(tmp_path.iterdir())
+
+
 def test_stream_of_pages_is_the_cumulative_scope(spark, tmp_path):
     """Header, segments and names over two batches, as in one batch job."""
     from vellumflow.streaming.run import run_to_end

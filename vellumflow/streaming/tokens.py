@@ -2,8 +2,8 @@
 
 Documents of a run come in order within a batch; the state of a run holds its token numbers, its names by the keys that they are
 found by, its slugs and its hashes, each in a map on disk. In memory is a table of bits of fixed size that tells which keys of a text
-may be those of names, so that only these are looked up. A run is one ordered stream, so one task reads its rows of a batch; how
-many these are is set by ``files_per_batch``. Many runs are read side by side.
+may be those of names, so that only these are looked up. A run is one ordered stream, so one task reads its rows of a batch, sorted on
+disk where they are many; how many these are is set by ``files_per_batch``. Many runs are read side by side.
 
 What a document says of itself (header, labels, segments) is worked out by the same columns as in ``operators.anonymize`` before it
 reaches the state. A name found after a label is replaced from that document on, which is the cumulative scope there.
@@ -12,12 +12,16 @@ reaches the state. A name found after a label is replaced from that document on,
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
+import operator
 import re
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +46,42 @@ _TEXT = StructType([StructField("v", StringType())])
 _BITS = StructType([StructField("bits", BinaryType())])
 
 
+_ROWS = pa.schema([("ordinal", pa.int64()), ("base", pa.string()), ("parts", pa.list_(pa.string())), ("names", pa.list_(pa.string())), ("markup", pa.bool_())])
+#: Bytes of a run's rows that are sorted in memory, rows that are read at a time of what was sorted, and characters given at a time.
+SORT_BYTES, READ_ROWS, OUT_CHARS = 64 << 20, 32, 4 << 20
+
+
+def in_order(frames: Iterator[pd.DataFrame], limit: int = SORT_BYTES) -> Iterator[dict]:
+    """The rows of one run in order of ``ordinal``. More than ``limit`` bytes are sorted on disk, in a folder that is deleted at the end."""
+    held, size, sorted_files = [], 0, []
+
+    def settled() -> pa.Table:
+        table = pa.concat_tables(held)
+        return table.take(np.argsort(table["ordinal"].to_numpy(), kind="stable"))
+
+    def read(path: str) -> Iterator[dict]:
+        with pa.OSFile(path) as f, pa.ipc.open_file(f) as batches:
+            for i in range(batches.num_record_batches):
+                yield from batches.get_batch(i).to_pylist()
+
+    def rows_of(table: pa.Table) -> Iterator[dict]:
+        for batch in table.to_batches(READ_ROWS):
+            yield from batch.to_pylist()
+
+    with tempfile.TemporaryDirectory(prefix="run-") as folder:
+        for frame in frames:
+            held.append(pa.Table.from_pandas(frame[_ROWS.names], _ROWS, preserve_index=False))
+            size += held[-1].nbytes
+            if size > limit:
+                path = f"{folder}/{len(sorted_files)}"
+                with pa.OSFile(path, "wb") as f, pa.ipc.new_file(f, _ROWS) as out:
+                    out.write_table(settled(), READ_ROWS)
+                sorted_files.append(path)
+                held, size = [], 0
+        rest = [rows_of(settled())] if held else []
+        yield from heapq.merge(*map(read, sorted_files), *rest, key=operator.itemgetter("ordinal"))
+
+
 class RunTokens(StatefulProcessor):
     """Replaces identifiers by tokens numbered by first appearance, makes slugs unique and marks repeated texts."""
 
@@ -116,18 +156,22 @@ class RunTokens(StatefulProcessor):
         return f"{base}-{n}"
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values("ordinal")
         self.bits = np.frombuffer(self.filter.get()[0], np.uint8).copy() if self.filter.exists() else np.zeros(1 << NAME_BITS - 3, np.uint8)
         self.learned, out = False, []
-        for r in frame.itertuples(index=False):
-            self._learn_names([] if r.names is None else list(r.names))
+        chars = 0
+        for r in in_order(rows):
+            self._learn_names(r["names"] or [])
             self.any_name = self.learned or bool(self.filter.exists())
-            text = self._rewrite([] if r.parts is None else list(r.parts), bool(r.markup))
+            text = self._rewrite(r["parts"] or [], bool(r["markup"]))
             sha = hashlib.sha256(text.encode()).hexdigest()
-            slug, seen = self._slug(r.base), self.hashes.containsKey((sha,))
+            slug, seen = self._slug(r["base"]), self.hashes.containsKey((sha,))
             if not seen:
                 self.hashes.updateValue((sha,), (1,))
-            out.append((key[0], int(r.ordinal), text, slug, sha, seen))
+            out.append((key[0], r["ordinal"], text, slug, sha, seen))
+            chars += len(text)
+            if chars > OUT_CHARS:
+                yield pd.DataFrame(out, columns=OUTPUT.names)
+                out, chars = [], 0
         if self.learned:
             self.filter.update((self.bits.tobytes(),))
         yield pd.DataFrame(out, columns=OUTPUT.names)
