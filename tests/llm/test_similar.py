@@ -409,3 +409,19 @@ def test_short_and_sparse_overlaps(spark):
         rows.append((len(rows), " ".join([*rng.choices(WORDS, k=20), *v, *rng.choices(WORDS, k=20)])))
     df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     assert {r.doc_id: r.item_ids for r in clean.contamination(df, bench).collect()} == {i: [i] for i in range(len(items))}
+
+
+def test_similar_documents_go_by_deletion_variants(spark, monkeypatch):
+    """Candidates of the fingerprints' variants connect what a fingerprint links, and are verified with the others."""
+    base = [f"w{i}" for i in range(400)]
+    texts = [*(" ".join([*base[:n], "new", *base[n + 1 :]]) for n in range(0, 390, 13)), " ".join(base).upper(), "a b c", "A b c", "", " ", *(" ".join(f"v{k}-{i}" for i in range(40)) for k in range(5))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = df.select(F.col("doc_id").alias("node"), F.col("text").cast("binary").alias("text"))
+    found = simhash.connected_components(simhash.variant_pairs(rows)).collect()
+    roots = {r.node: r.root for r in found}
+    want = {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()}
+    assert len(set(want.values())) < len(want) and {n: roots.get(n, n) for n in want} == want
+    marks, seen = simhash.near_links, []
+    monkeypatch.setattr(simhash, "near_links", lambda m, **options: seen.append(m.count()) or marks(m, **options))
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(df).collect()}
+    assert seen == [len({simhash.fingerprint(t.encode()) for t in texts})] and {0, 31, 33, 34} <= kept and len(kept) == 9

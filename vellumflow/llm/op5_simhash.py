@@ -186,9 +186,10 @@ def near_duplicates(docs: DataFrame, *, bits: int = BITS, run_limit: int = RUN)
 
 # --- similarity of 0.8 and more ----------------------------------------------------------------------------------------------
 #
-# Two bits of 64 stand for a similarity of about 0.98. A lower one is found by an exact join of the sets of shingles: shingles
-# are put in an order, rare ones first, and two sets at the similarity share one among the first few of each (prefix filter).
-# Texts that share such a shingle form a run.
+# Pairs come from the deletion variants of the fingerprints first. Two bits of 64 stand for a similarity of about 0.98, so that
+# others are left: these are found by an exact join of the sets of shingles. Shingles are put in an order, rare ones first, and two
+# sets at the similarity share one among the first few of each (prefix filter). Texts that share such a shingle form a run. All pairs
+# are verified alike.
 #
 # Pairs of a run are verified in steps: each text with the first of its run and the one before it; then, of texts that this has
 # left in different components, each with the nearest few of another component; last, in runs where a text has more of these,
@@ -526,16 +527,33 @@ def _block_pairs(runs: DataFrame, limit: int) -> DataFrame:
     return other.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", *rest)
 
 
+def variant_pairs(rows: DataFrame, *, bits: int = BITS, run_limit: int = RUN) -> DataFrame:
+    """Pairs (u, v) of nodes of the (node, text) in ``rows`` that connect all whose fingerprints differ in at most ``bits`` bits.
+
+    As in ``near_duplicates``: deletion variants of two halves, an equality shuffle, and links verified by their distance. Nodes of one
+    fingerprint are paired with the first of them.
+    """
+    made = rows.select(F.col("node").alias("doc_id"), "text").mapInArrow(_fingerprints, "doc_id long, mark long")
+    marks = materialize(made.groupBy("doc_id").agg(F.first("mark").alias("mark")), "similar-marks")
+    heads = materialize(marks.groupBy("mark").agg(F.min("doc_id").alias("head")), "similar-heads")
+    links = near_links(heads.select("mark"), bits=bits, run_limit=run_limit)
+    for side in "uv":
+        links = links.join(heads.select(F.col("mark").alias(side), F.col("head").alias(f"_{side}")), side)
+    same = marks.join(heads, "mark").where("doc_id <> head").select(F.col("doc_id").alias("_u"), F.col("head").alias("_v"))
+    return links.select("_u", "_v").union(same).select(F.least("_u", "_v").alias("u"), F.greatest("_u", "_v").alias("v"))
+
+
 def similar_roots(rows: DataFrame, words: int, similarity: float, run_limit: int, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(node, root) of the (node, text) in ``rows`` that are linked: those whose sets of shingles have the similarity."""
     context = rows.sparkSession.sparkContext
+    near = materialize(variant_pairs(rows), "similar-variants")
     rarity = context.broadcast(_shingle_rarity(rows, words))
     keyed = rows.mapInArrow(_shingle_prefixes(words, similarity, rarity, hot_rows), "key long, salt int, node long, size int, place int")
     keyed = keyed.repartition("key", "salt").sortWithinPartitions("key", "salt", "node")
     found = materialize(keyed.mapInArrow(_first_links(similarity), "u long, v long, key long, size int, place int"), "similar-runs")
-    pairs = materialize(found.where("key is null").select("u", "v").distinct(), "similar-pairs")
+    pairs = materialize(found.where("key is null").select("u", "v").union(near).distinct(), "similar-pairs")
     runs = found.where("key is not null").select("key", F.col("u").alias("node"), "size", "place")
-    named = found.select(F.col("u").alias("c")).union(pairs.select(F.col("v").alias("c")))
+    named = found.select(F.col("u").alias("c")).union(pairs.select(F.col("v").alias("c"))).union(near.select(F.col("u").alias("c")))
     signs = _of_nodes(rows, words, named, "size", "bits", "parity")
     links, tried = _verified(rows, signs, pairs, words, similarity), pairs
     roots = materialize(connected_components(links, "similar-links"), "similar-roots")
