@@ -299,11 +299,11 @@ def scanned_records(spark, d):
     files = pages.join(F.broadcast(last), F.col("page") != F.floor((F.col("last") + 1) / 2))  # one row
     write_files(files.select(F.concat(F.lit("listing-"), F.col("page").cast("string"), F.lit(".html")).alias("name"), html.cast("binary").alias("data")), f"{root}/pages")
     try:
-        scan_pages(spark, f"{root}/pages", root, onMissing="fail", firstWait=0, pagesPerTask=1)
+        scan_pages(spark, f"{root}/pages", root, onMissing="fail", firstWait=0)
     except StreamingQueryException as e:
         if "No se pudo posicionar" not in str(e):
             raise
-    scanned = scan_pages(spark, f"{root}/pages", root, firstWait=0, pagesPerTask=1)
+    scanned = scan_pages(spark, f"{root}/pages", root, firstWait=0)
     errors = scanned.where("error is not null").select("page", F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("href"), "error")
     return list_records(scanned.where("error is null").select("page", "html")).select("page", "id", "href", F.lit(None).cast("string").alias("error")).unionByName(errors)
 
