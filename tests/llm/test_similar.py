@@ -3,8 +3,10 @@
 import random
 from collections import defaultdict
 from itertools import combinations
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
@@ -150,6 +152,65 @@ def test_line_dedup_common_words_only(spark):
     assert sorted(removed_of(df, hot=1 << 10)) == gone == sorted(removed_of(df, wide=600))
 
 
+def test_line_dedup_reads_sets_of_wanted_lines_only(monkeypatch):
+    """Of the lines of all texts only those at a wanted place are cut into words again."""
+    texts = [None, "a b c\nd e f\n", "\n\ng h i", "d e f"]
+    read, wanted = [], np.zeros(1 << lines.FILTER_BITS, bool)
+    for d, n in ((0, 1), (7, 2)):
+        wanted[int(lines._places(np.array([d]), np.array([n]))[0]) >> 64 - lines.FILTER_BITS] = True
+    made = lines.Lines
+    monkeypatch.setattr(lines, "Lines", lambda t, *a: read.extend(t) or made(t, *a))
+    rows = pa.RecordBatch.from_arrays([pa.array([1, None, 7, 9]), pa.array(texts).cast(pa.binary())], ["doc_id", "text"])
+    rows = rows.filter(rows["text"].is_valid())
+    sent = SimpleNamespace(value=np.packbits(wanted, bitorder="little"))
+    got = [r for b in lines._sets(sent, np.empty(0, np.uint64), 64)(iter([rows])) for r in b.to_pylist()]
+    assert sorted(read) == [b"d e f", b"g h i"]
+    want = [made([t]) for t in sorted(read)]
+    assert {r["c1"]: r["words"] for r in got} == {int(w.classes[0].view(np.int64)[0]): np.sort(w.hashes).tobytes() for w in want}
+
+
+def test_line_dedup_orders_rows_of_a_bucket():
+    """By one number where identifiers allow it, else by all columns; the first row of each class of a run stays."""
+    rng = np.random.default_rng(8)
+    for low, high, repeats in ((0, 50, 1), (-(1 << 63), (1 << 63) - 1, 1), (0, 5, 3)):
+        rows = {"run": np.sort(rng.integers(0, 9, 400).astype(np.uint64)), "known": rng.integers(0, 2, 400).astype(np.uint8), "doc_id": rng.integers(low, high, 400)}
+        rows |= {"line": rng.integers(0, 4, 400).astype(np.int32), "c1": rng.integers(-20, 20, 400)}
+        want = sorted(zip(*(rows[c].tolist() for c in ("run", "known", "doc_id", "line", "c1")), strict=True))
+        order = lines._by_place(rows)
+        assert [*zip(*(rows[c][order].tolist() for c in ("run", "known", "doc_id", "line", "c1")), strict=True)] == want
+        run, c1 = (rows[c][order] for c in ("run", "c1"))
+        seen, first = set(), []
+        for i, k in enumerate(zip(run.tolist(), c1.tolist(), strict=True)):
+            if k not in seen:
+                first.append(i)
+            seen.add(k)
+        assert lines._first_of_classes(run.astype(np.int64), c1).tolist() == first
+
+
+def test_line_dedup_adds_counters_up():
+    places, counts, want = np.empty(0, np.uint64), np.empty(0, np.int64), defaultdict(int)
+    rng = np.random.default_rng(9)
+    for n in (0, 5, 3000):
+        more = rng.integers((1 << lines.RARITY_BITS) - 40, 1 << lines.RARITY_BITS, n).astype(np.uint32)
+        for m in more.tolist():
+            want[m] += 1
+        places, counts = lines._add_counts(places, counts, [more])
+    assert dict(zip(places.tolist(), counts.tolist(), strict=True)) == want and (np.diff(places.astype(np.int64)) > 0).all()
+
+
+def test_hash_words_differ_by_any_byte():
+    """Words of one byte to more than are hashed together; zeros at the end count."""
+    words = {bytes(n) for n in (1, 7, 8, 9, 16, 17, 1023, 1024, 1025, 3000)} | {b"", b"x"}
+    for n in (1, 5, 8, 9, 24, 1024, 1030):
+        for i in {0, n // 2, n - 1}:
+            words.add(b"a" * i + b"b" + b"a" * (n - 1 - i))
+    words = sorted(words - {b""})
+    hashes, which, starts, data = hash_words(words)
+    assert len(set(hashes.tolist())) == len(words) and which.tolist() == [*range(len(words))] and data.tobytes() == b"\n".join(words)
+    again = hash_words([b" y ".join(reversed(words))])[0]
+    assert again[::2].tolist() == hashes[::-1].tolist() and hash_words([])[3].tobytes() == b""
+
+
 def test_hash_words_cuts_like_split():
     texts = [b"", b" a  b\x0bc ", "é\xa0é".encode(), b"a", b"\x1ca \x85", b"x" * 600_000 + b" y " + b"z" * 300_000, b"ab " * 200_000]
     hashes, which, _, _ = hash_words(texts)

@@ -107,7 +107,7 @@ def _first_pass(class_bits: int):
             ids, sums = batch.column("doc_id"), batch.column("sum").to_numpy()
             for first, texts in column_blocks(batch.column("text")):
                 lines = Lines(texts, class_bits)
-                waiting.append(lines.hashes >> np.uint64(64 - RARITY_BITS))
+                waiting.append((lines.hashes >> np.uint64(64 - RARITY_BITS)).astype(np.uint32))
                 if sum(map(len, waiting)) > COUNTED:
                     places, counts = _add_counts(places, counts, waiting)
                     waiting = []
@@ -137,9 +137,16 @@ def _add_counts(places: np.ndarray, counts: np.ndarray, more: list[np.ndarray])
     """Sorted places and their counts, with one more for each of ``more``."""
     if not more:
         return places, counts
-    new, n = np.unique(np.concatenate(more), return_counts=True)
-    places, where = np.unique(np.concatenate((places, new)), return_inverse=True)
-    return places, np.bincount(where, np.concatenate((counts, n)), len(places)).astype(np.int64)
+    new = np.sort(np.concatenate(more))
+    heads = np.flatnonzero(np.concatenate(([True], new[1:] != new[:-1]))) if len(new) else np.empty(0, np.int64)
+    n = np.diff(np.append(heads, len(new)))
+    # A place and its count are sorted as one number: a task counts fewer than 2**(64 - RARITY_BITS) words.
+    room = np.uint64(64 - RARITY_BITS)
+    both = np.sort(np.concatenate((places << room | counts.astype(np.uint64), new[heads].astype(np.uint64) << room | n.astype(np.uint64))))
+    places = both >> room
+    heads = np.flatnonzero(np.concatenate(([True], places[1:] != places[:-1]))) if len(places) else np.empty(0, np.int64)
+    counts = both & ((np.uint64(1) << room) - np.uint64(1))
+    return places[heads], (np.add.reduceat(counts, heads) if len(heads) else counts).astype(np.int64)
 
 
 def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,12 +221,43 @@ def _from_blobs(blobs: list[bytes]) -> dict[str, np.ndarray]:
     same = run[order][1:] == run[order][:-1]
     order = order[np.concatenate(([False], same)) | np.concatenate((same, [False]))]
     hot = np.flatnonzero(np.concatenate(parts["at"]) >> 62)  # lines of a hot word are compared with those of its other tasks later
-    order = np.union1d(order, hot) if len(hot) else order
-    rows = {c: np.concatenate(v)[order] for c, v in parts.items()}
-    order = np.lexsort((rows["c1"], rows["line"], rows["doc_id"], rows["known"], rows["run"]))
+    if len(hot):
+        order = np.union1d(order, hot)
+        order = order[np.argsort(run[order])]
+    rows = {c: np.concatenate(v) for c, v in parts.items()}
+    order = order[_by_place({c: rows[c][order] for c in ("run", "known", "doc_id", "line", "c1")})]
     return {c: v[order] for c, v in rows.items()}
 
 
+def _by_place(rows: dict[str, np.ndarray]) -> np.ndarray:
+    """Order by run, null or not, identifier, line and class, of rows that have equal runs together."""
+    n, c1 = len(rows["run"]), rows["c1"]
+    if n:
+        run = np.cumsum(np.concatenate(([False], rows["run"][1:] != rows["run"][:-1])))
+        least, lines = int(rows["doc_id"].min()), int(rows["line"].max()) + 1
+        span = int(rows["doc_id"].max()) - least + 1
+        if 2 * (int(run[-1]) + 1) * span * lines < 1 << 63:  # all but the class as one number, of which one sort is enough
+            key = ((run * 2 + rows["known"]) * span + (rows["doc_id"] - least)) * lines + rows["line"]
+            order = np.argsort(key)
+            key = key[order]
+            if not ((key[1:] == key[:-1]) & (c1[order][1:] != c1[order][:-1])).any():
+                return order
+    return np.lexsort((c1, rows["line"], rows["doc_id"], rows["known"], rows["run"]))
+
+
+def _first_of_classes(run: np.ndarray, c1: np.ndarray) -> np.ndarray:
+    """The first row of each class of each run, in the order of rows."""
+    if not len(run):
+        return np.empty(0, np.int64)
+    key = mix(c1.view(np.uint64) ^ mix(run.astype(np.uint64) ^ _K2))
+    order = np.argsort(key)
+    new = np.concatenate(([True], key[order][1:] != key[order][:-1]))
+    if (~new[1:] & ((c1[order][1:] != c1[order][:-1]) | (run[order][1:] != run[order][:-1]))).any():  # two share a key
+        order = np.lexsort((c1, run))
+        new = np.concatenate(([True], (run[order][1:] != run[order][:-1]) | (c1[order][1:] != c1[order][:-1])))
+    return np.sort(np.minimum.reduceat(order, np.flatnonzero(new)))
+
+
 def _prefixes(rarity, similarity: float, clash: np.ndarray, class_bits: int, hot: int, buckets: int, asking=None, tokens=None, words_only: bool = False):
     """(bucket, rows): blocks of RECORD, one for each prefix word of a line; words that stand nowhere else are left out.
 
@@ -296,7 +334,8 @@ def _prefixes(rarity, similarity: float, clash: np.ndarray, class_bits: int, hot
 
 
 def _candidates(similarity: float, listed: int | None, only, wide: int = WIDE):
-    """Reads prefix rows by bucket; gives (c1, near: earlier classes that pass all filters, nearest first, more).
+    """Reads prefix rows by bucket; gives (c1, near: earlier classes that pass all filters, nearest first, more), and rows of
+    place alone: where the first lines of all these classes stand, once for a bucket.
 
     All runs at hand are compared together, each row with the ones 1, 2, ... before it; a run
     longer than ``LONG_RUN`` is compared on its own, a row with all before it. ``more``: not all earlier classes are in the list.
@@ -319,9 +358,7 @@ def _candidates(similarity: float, listed: int | None, only, wide: int = WIDE):
         if not n:
             return
         run = np.cumsum(np.concatenate(([True], r["run"][1:] != r["run"][:-1]))) - 1
-        order = np.lexsort((np.arange(n), r["c1"], run))
-        first = np.concatenate(([True], (run[order][1:] != run[order][:-1]) | (r["c1"][order][1:] != r["c1"][order][:-1])))
-        keep = np.sort(order[first])  # of a class the first line, as rows come in that order
+        keep = _first_of_classes(run, r["c1"])  # of a class the first line, as rows come in that order
         r, run = {k: v[keep] for k, v in r.items()}, run[keep]
         r |= {"size": r["at"] & 0x7FFFFFFF, "place": r["at"] >> 31 & 0x7FFFFFFF, "hot": r["at"] >> 62 > 0}
         starts = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
@@ -364,8 +401,15 @@ def _candidates(similarity: float, listed: int | None, only, wide: int = WIDE):
             cut |= part[y[heads]]
             alone = np.unique(r["c1"][np.setdiff1d(np.flatnonzero(part), y)])
             none = pa.ListArray.from_arrays(pa.array(np.zeros(len(alone) + 1), pa.int32()), pa.array([], pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(alone), none, pa.array(np.ones(len(alone), bool))], ["c1", "near", "more"])
-        yield pa.RecordBatch.from_arrays([pa.array(r["c1"][y[heads]], pa.int64()), near, pa.array(cut)], ["c1", "near", "more"])
+            yield out(pa.array(alone), none, pa.array(np.ones(len(alone), bool)))
+        yield out(pa.array(r["c1"][y[heads]], pa.int64()), near, pa.array(cut))
+        named = np.unique(np.concatenate((x, y)))
+        places = np.unique(_places(r["doc_id"][named], r["line"][named]))
+        none = (pa.nulls(len(places), k) for k in (pa.int64(), near.type, pa.bool_()))
+        yield out(*none, pa.array(places.view(np.int64)))
+
+    def out(c1: pa.Array, near: pa.Array, more: pa.Array, place: pa.Array | None = None) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([c1, near, more, pa.nulls(len(c1), pa.int64()) if place is None else place], ["c1", "near", "more", "place"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs, now = [], None
@@ -382,33 +426,41 @@ def _candidates(similarity: float, listed: int | None, only, wide: int = WIDE):
     return read
 
 
-def _ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Classes of candidate lists, each once per batch."""
-    for batch in batches:
-        c = np.unique(np.concatenate((batch.column("c1").to_numpy(), batch.column("near").flatten().to_numpy())))
-        yield pa.RecordBatch.from_arrays([pa.array(c)], ["c"])
+def _places(ids: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """Hashes of places of lines: identifier (of null: 0) and line number. Places that share one are let through together."""
+    return mix(mix(ids.view(np.uint64) ^ _K1) + number.astype(np.uint64) * _K3)
 
 
 def _sets(wanted, clash: np.ndarray, class_bits: int):
-    """(c1, words): the sorted distinct word hashes of lines whose class may be wanted."""
+    """(c1, words): the sorted distinct word hashes of lines whose place may be wanted; only these lines are read by words."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, texts in column_blocks(batch.column("text")):
-                lines = Lines(texts, class_bits)
+            ids = batch.column("doc_id").fill_null(0).to_numpy()
+            for start, texts in column_blocks(batch.column("text")):
+                data = b"\n".join(texts)
+                ends = np.append(np.flatnonzero(np.frombuffer(data, np.uint8) == 10), len(data))
+                begin = np.concatenate(([0], ends[:-1] + 1))
+                sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+                first = np.searchsorted(begin, np.cumsum(sizes) - sizes)  # of each text its first line
+                times = np.diff(np.append(first, len(ends)))
+                number = np.arange(len(ends)) - np.repeat(first, times)
+                hit = np.flatnonzero(_marked(wanted.value, _places(np.repeat(ids[start : start + len(texts)], times), number)))
+                lines = Lines([data[a:b] for a, b in zip(begin[hit].tolist(), ends[hit].tolist(), strict=True)], class_bits)
                 c1, once = np.unique(lines.ids(clash), return_index=True)
-                hit = _marked(wanted.value, c1)
                 ends = np.append(lines.first, len(lines.hashes))
-                words = [np.unique(lines.hashes[ends[i] : ends[i + 1]]).tobytes() for i in once[hit].tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(c1[hit].view(np.int64)), pa.array(words, pa.binary())], ["c1", "words"])
+                words = [np.unique(lines.hashes[ends[i] : ends[i + 1]]).tobytes() for i in once.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(c1.view(np.int64)), pa.array(words, pa.binary())], ["c1", "words"])
 
     return read
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     """Similarity of two sorted arrays without repeats."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both)
+    together = np.concatenate((a, b))
+    together.sort()
+    both = np.count_nonzero(together[1:] == together[:-1])
+    return both / (len(together) - both)
 
 
 def _verify(similarity: float):
@@ -454,15 +506,15 @@ def later_matches(docs: DataFrame, *, similarity: float = SIMILARITY, steps: tup
     def candidates(listed: int | None, asking=None, tokens=None) -> DataFrame:
         prefixes = rows.select("doc_id", "text").mapInArrow(_prefixes(rarity, similarity, clash, class_bits, hot, buckets, asking, tokens), "bucket int, rows binary")
         dealt = prefixes.repartition("bucket").sortWithinPartitions("bucket")
-        return dealt.mapInArrow(_candidates(similarity, listed, asking, wide), "c1 long, near array<long>, more boolean")
+        return dealt.mapInArrow(_candidates(similarity, listed, asking, wide), "c1 long, near array<long>, more boolean, place long")
 
-    def sets_of(ids: DataFrame) -> DataFrame:
-        sent = spark.sparkContext.broadcast(bitmap(ids, "c"))
-        made = rows.select("text").mapInArrow(_sets(sent, clash, class_bits), "c1 long, words binary")
+    def sets_of(listed: DataFrame) -> DataFrame:
+        sent = spark.sparkContext.broadcast(bitmap(listed.where("place is not null"), "place"))
+        made = rows.select("doc_id", "text").mapInArrow(_sets(sent, clash, class_bits), "c1 long, words binary")
         return materialize(made.groupBy("c1").agg(F.first("words").alias("words")), "lines-sets")
 
     found = materialize(candidates(steps[-1]), "lines-candidates")
-    all_sets = [sets_of(found.where("size(near) > 0").select("c1", "near").mapInArrow(_ids, "c long"))]
+    all_sets = [sets_of(found)]
 
     def verified(pairs: DataFrame) -> DataFrame:
         """c1 of the pairs (c1, other class) that are similar."""
@@ -480,10 +532,9 @@ def later_matches(docs: DataFrame, *, similarity: float = SIMILARITY, steps: tup
         asking = spark.sparkContext.broadcast(bitmap(long_, "c1"))
         words = rows.select("doc_id", "text").mapInArrow(_prefixes(rarity, similarity, clash, class_bits, hot, buckets, asking, words_only=True), "c long")
         tokens = spark.sparkContext.broadcast(bitmap(words, "c"))
-        rest = candidates(None, asking, tokens).join(long_, "c1", "left_semi")
-        rest = materialize(rest.select("c1", F.explode("near").alias("near")), "lines-rest")
-        all_sets.append(sets_of(rest.select(F.explode(F.array("c1", "near")).alias("c"))))
-        settled = settled.union(verified(rest))
+        rest = materialize(candidates(None, asking, tokens), "lines-rest")
+        all_sets.append(sets_of(rest))
+        settled = settled.union(verified(rest.join(long_, "c1", "left_semi").select("c1", F.explode("near").alias("near"))))
     settled = materialize(settled.distinct(), "lines-removed")
     for df in (found, *all_sets):  # before texts are shuffled
         release(df)
@@ -493,7 +544,7 @@ def later_matches(docs: DataFrame, *, similarity: float = SIMILARITY, steps: tup
 def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with the lines that stay as ``text``, and n_lines, kept_lines, removed (line numbers from 0)."""
     heads, settled, own = later_matches(docs.select("doc_id", "text"), **options)
-    stay = heads.join(settled, "c1", "left_anti").groupBy("doc_id", "sum").agg(F.collect_list("line").alias("stay"))
+    stay = heads.join(settled, "c1", "left_anti").repartition("doc_id", "sum").groupBy("doc_id", "sum").agg(F.collect_list("line").alias("stay"))
     stay = stay.withColumnsRenamed({"doc_id": "_id", "sum": "_sum"})
     # Texts that lose lines, and those of which other rows repeat identifier and text. All others stay as and where they are.
     none = F.array().cast("array<int>")

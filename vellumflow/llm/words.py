@@ -13,13 +13,15 @@ BLOCK = 1 << 20
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _VALUES = np.random.default_rng(20240501).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: Bytes that are added up at a time, and powers of the multiplier, and of its inverse modulo 2**64, for that many.
+#: Bytes of a long word that are added up at a time, and powers of the multiplier for that many.
 STRETCH = 1 << 18
 _POWERS = np.full(STRETCH, _MULTIPLIER, np.uint64)
-_INVERSES = np.full(STRETCH, pow(_MULTIPLIER, -1, 1 << 64), np.uint64)
-for _table in (_POWERS, _INVERSES):
-    _table[0] = 1
-    np.multiply.accumulate(_table, out=_table)
+_POWERS[0] = 1
+np.multiply.accumulate(_POWERS, out=_POWERS)
+#: Words of more bytes than this are long. Others are hashed together, eight bytes at a time.
+LONG_WORD = 1 << 10
+#: By number of bytes up to eight, what is kept of eight bytes.
+_KEPT = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
@@ -62,30 +64,27 @@ def hash_words(texts: list[bytes], separators: np.ndarray = SPACES) -> tuple[np.
 
     Equal words have equal hashes; of n distinct words about n*n/2**65 pairs share one by chance.
     """
-    data = np.frombuffer(b"\n".join(texts), np.uint8)
-    inside = np.concatenate(([False], ~separators[data], [False]))
+    joined = b"\n".join((*texts, bytes(8)))  # so that eight bytes can be read at any place of a text
+    data = np.frombuffer(joined, np.uint8)[: max(0, len(joined) - 9)]
+    inside = np.zeros(len(data) + 2, bool)
+    np.take(~separators, data, out=inside[1:-1])
     edge = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edge[::2], edge[1::2]
     sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
     which = numbered(starts, np.cumsum(sizes)[:-1])
     if not len(starts):
         return np.empty(0, np.uint64), which, starts, data
-    sums = np.empty(len(starts), np.uint64)
-    cuts = np.searchsorted(starts, np.arange(0, len(data) + STRETCH, STRETCH)).tolist()
-    for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-        if a == b:
-            continue
-        first = k * STRETCH
-        if ends[b - 1] > first + STRETCH:  # the last word of a stretch may go on
-            b -= 1
-            sums[b] = _word_sum(data[starts[b] : ends[b]])
-        # Sums from the stretch's begin, of bytes' values by powers of their place there; a word's part is moved to its own begin.
-        part = data[first : first + STRETCH]
-        upto = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(_VALUES[part] * _POWERS[: len(part)], out=upto[1:])
-        begin = starts[a:b] - first
-        sums[a:b] = (upto[ends[a:b] - first] - upto[begin]) * _INVERSES[begin]
-    return mix(sums), which, starts, data
+    eight = np.ndarray(len(joined) - 7, "<u8", joined, strides=(1,))  # the eight bytes from each place on
+    left = ends - starts
+    hashes = mix((eight[starts] & _KEPT[np.minimum(left, 8)]) + left.astype(np.uint64) * np.uint64(_MULTIPLIER))
+    for i in np.flatnonzero(left > LONG_WORD).tolist():
+        hashes[i] = mix(hashes[i : i + 1] + np.uint64(_word_sum(data[starts[i] : ends[i]])))[0]
+    more, at = np.flatnonzero((left > 8) & (left <= LONG_WORD)), 8
+    while len(more):
+        hashes[more] = mix(hashes[more] + (eight[starts[more] + at] & _KEPT[np.minimum(left[more] - at, 8)]))
+        at += 8
+        more = more[left[more] > at]
+    return hashes, which, starts, data
 
 
 def numbered(places: np.ndarray, ends: np.ndarray) -> np.ndarray:
