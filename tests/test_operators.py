@@ -494,6 +494,69 @@ def test_stream_tokens(spark, tmp_path):
     assert drop_captured(spark.createDataFrame([("r", "h"), ("r", "h")], "run_id string, sha256 string")).count() == 1
 
 
+def test_stream_of_one_run_is_shared_by_tasks(spark, tmp_path):
+    """Texts of one run are rewritten by several tasks, with numbers, slugs and repeats in the order of the run over two batches."""
+    from vellumflow.streaming.run import run_to_end
+    from vellumflow.streaming.tokens import tokenize_stream
+
+    bases = ["x", "x", "x-2", "x-2", "x", "x-5", "x", "x-02"]
+    rows = [("r", n, f"{'Paciente: Ana Gómez; ' if n == 25 else ''}u{n % 3}@e.com 099 123 {n % 2:03d} CI 1.234.567-8 gomez, ana {'y' * (n % 3)}", bases[n % 8]) for n in range(60)]
+    docs = spark.createDataFrame(rows, "run_id string, ordinal long, text string, base string")
+    for part in (docs.where("ordinal < 30"), docs.where("ordinal >= 30")):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    out = run_to_end(spark, str(tmp_path / "in"), tokenize_stream, files_per_batch=1).select("*", F.input_file_name().alias("file")).orderBy("ordinal").collect()
+    batch = {r.ordinal: r.text for r in A.anonymize(docs.select("ordinal", "text"), order="ordinal", text="text", markup=False, names_scope="cumulative").docs.collect()}
+    assert {r.ordinal: r.text for r in out} == batch and batch[24].endswith("gomez, ana ") and "[PACIENTE]" in batch[26]
+    slugs, texts = set(), set()
+    for r, (_, _, _, base) in zip(out, rows, strict=True):
+        slug = next(s for s in (base if n == 1 else f"{base}-{n}" for n in range(1, 99)) if s not in slugs)
+        assert r.slug == slug and r.duplicate == (r.text in texts)
+        slugs.add(slug)
+        texts.add(r.text)
+    assert len(texts) < 60 and len({r.file for r in out if r.ordinal < 30}) > 1 < len({r.file for r in out if r.ordinal >= 30})
+
+
+def test_state_of_a_run_is_read_and_written_through_memory(monkeypatch):
+    """A thousand documents of one run take few calls of the state, and with few entries in memory give the same."""
+    import pandas as pd
+
+    from vellumflow.streaming import tokens
+
+    class State(dict):
+        calls = 0
+
+        def getValue(self, key):  # noqa: N802
+            State.calls += 1
+            return self.get(key)
+
+        def updateValue(self, key, value):  # noqa: N802
+            State.calls += 1
+            self[key] = value
+
+        def containsKey(self, key):  # noqa: N802
+            State.calls += 1
+            return key in self
+
+    class Value(list):
+        get = lambda self: self[-1] if self else None
+        exists, update = list.__len__, list.append
+
+    class Handle:
+        getMapState, getValueState = lambda *_: State(), lambda *_: Value()
+
+    def numbered(held):
+        monkeypatch.setattr(tokens, "HELD", held)
+        run, State.calls = tokens.RunTokens(), 0
+        run.init(Handle())
+        for start in (0, 500):
+            rows = [(n, "page", "t", ["ana gomez"], [f"EMAIL {n % 9}@e.com", "TEL 099123456"], tokens._find(False).func(pd.Series([["Ana Gómez"]]))["keys"][0]) for n in range(start, start + 500)]
+            yield from pd.concat(run.handleInputRows(("r",), iter([pd.DataFrame(rows, columns=tokens._ROWS.names)]), None)).values.tolist()
+
+    many = list(numbered(1 << 16))
+    assert State.calls < 200 and many[999] == ["r", 999, "t", [1, 1], ["ana gomez"], "page-1000"] and many[8][3] == [9, 1]
+    assert list(numbered(2)) == many
+
+
 def test_rows_of_a_run_are_sorted_on_disk(tmp_path, monkeypatch):
     """80 MB of rows in batches, out of order, with 8 MB of them in memory."""
     import tempfile

@@ -39,7 +39,10 @@ _EDGE = f"(?:(?<={_WORDLIKE})(?!{_WORDLIKE})|(?<!{_WORDLIKE})(?={_WORDLIKE}))"
 _IS_WORDLIKE = re.compile(_WORDLIKE).match
 #: Letters of the second word that make a key, with the first word.
 KEY = 5
-_PAIR = re.compile(rf"{_EDGE}(?=({_LETTER}+)[',{SPACE}]+({_LETTER}{{1,{KEY + 1}}}))")
+_SECOND = rf"[',{SPACE}]+({_LETTER}{{1,{KEY + 1}}})"
+# A boundary before a letter, told by the letter; in plain text that is lower case, an ASCII one.
+_PAIR = re.compile(rf"(?:(?<!{_WORDLIKE})(?![{OUTSIDE}])|(?<={_WORDLIKE})(?=[{OUTSIDE}]))(?=({_LETTER}+){_SECOND})")
+_PLAIN_PAIR = re.compile(rf"\b([a-z]+)(?=[',{SPACE}]+([a-z]{{1,{KEY}}}))", re.ASCII)
 _START = re.compile(rf"{_EDGE}(?=({_LETTER}+))")
 _GAP = re.compile(f",?[{SPACE}]+")
 _WORD = re.compile("[a-z]+")
@@ -58,21 +61,27 @@ def keys_of_name(name: str) -> set[str]:
 
 def keys_of_text(text: str) -> set[str]:
     """A key for each pair of neighbouring words, and where the second may end sooner, at a boundary, one more."""
+    if text.isascii():
+        return set(map(" ".join, _PLAIN_PAIR.findall(text.lower())))
     out = set()
     for first, second in set(_PAIR.findall(_MARKS.sub("", text))):
+        if second.isascii():
+            key = f"{first} {second[:KEY]}"
+            out.add(key.lower() if first.isascii() else key.translate(_FOLD))
+            continue
         ends = [j for j in range(1, min(KEY, len(second))) if (second[j - 1] in OUTSIDE) != (second[j] in OUTSIDE)]
         out.update(f"{first} {second[:j]}".translate(_FOLD) for j in [*ends, KEY])
     return out
 
 
-def _hashes(keys: Iterable[str]) -> np.ndarray:
+def hashes_of_keys(keys: Iterable[str]) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(k) for k in keys), np.uint64)
 
 
 @F.pandas_udf(ArrayType(LongType()))
 def name_hashes(name: pd.Series) -> pd.Series:
     """Hashes of the keys that a canonical name is found by."""
-    return name.map(lambda n: _hashes(sorted(keys_of_name(n))).view(np.int64))
+    return name.map(lambda n: hashes_of_keys(sorted(keys_of_name(n))).view(np.int64))
 
 
 def text_hashes(table: Broadcast):
@@ -83,7 +92,7 @@ def text_hashes(table: Broadcast):
         def of(texts):
             if texts is None:
                 return None
-            values = _hashes(set().union(*(keys_of_text(t) for t in texts if t is not None)))
+            values = hashes_of_keys(set().union(*(keys_of_text(t) for t in texts if t is not None)))
             return values[in_table(table.value, values)].view(np.int64)
 
         return parts.map(of)
@@ -111,6 +120,8 @@ def replace_names(text: str, names: Iterable[str], token: str = NAME_TOKEN) -> s
     firsts = {m[0] for _, m in wanted if m}
     if not firsts:
         return text
+    if text.isascii() and not any(map(text.lower().__contains__, firsts)):
+        return text
     whole, at = text, range(len(text) + 1)  # where each character was before combining marks were left out
     if _MARKS.search(text):
         at = [i for i, c in enumerate(text) if not "\u0300" <= c <= "\u036f"] + [len(text)]
