@@ -516,6 +516,16 @@ def test_stream_of_one_run_is_shared_by_tasks(spark, tmp_path):
     assert len(texts) < 60 and len({r.file for r in out if r.ordinal < 30}) > 1 < len({r.file for r in out if r.ordinal >= 30})
 
 
+def test_streams_give_python_small_batches(spark, tmp_path):
+    from vellumflow.streaming.run import run_to_end
+
+    spark.range(2500).coalesce(1).write.parquet(str(tmp_path / "in"))
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows)
+    out = run_to_end(spark, str(tmp_path / "in"), lambda df: df.mapInPandas(lambda frames: (f.head(1).assign(id=len(f)) for f in frames), df.schema)).collect()
+    assert sum(r.id for r in out) == 2500 and max(r.id for r in out) <= 1000 and spark.conf.get(rows) == before
+
+
 def test_state_of_a_run_is_read_and_written_through_memory(monkeypatch):
     """A thousand documents of one run take few calls of the state, and with few entries in memory give the same."""
     import pandas as pd

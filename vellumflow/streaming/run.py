@@ -11,6 +11,9 @@ from ..plans.scratch import scratch_path
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: Rows of a batch between Spark and Python: ten thousand pages with their segments, Spark's own limit, are held several times over by each task.
+BATCH_ROWS = 1000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def stream_pattern(path: str) -> str:
@@ -21,13 +24,16 @@ def stream_pattern(path: str) -> str:
 
 @contextlib.contextmanager
 def rocksdb(spark: SparkSession) -> Iterator[None]:
-    """Queries started inside keep their state in RocksDB."""
-    before = spark.conf.get(PROVIDER)
+    """Queries started inside keep their state in RocksDB, and give Python batches of ``BATCH_ROWS`` rows or fewer."""
+    before, rows = spark.conf.get(PROVIDER), spark.conf.get(_ROWS)
     spark.conf.set(PROVIDER, ROCKSDB)
+    if not 0 < int(rows) <= BATCH_ROWS:
+        spark.conf.set(_ROWS, BATCH_ROWS)
     try:
         yield
     finally:
         spark.conf.set(PROVIDER, before)
+        spark.conf.set(_ROWS, rows)
 
 
 def run_to_end(spark: SparkSession, path: str, change: Callable[[DataFrame], DataFrame], *, root: str | None = None, files_per_batch: int | None = None) -> DataFrame:
